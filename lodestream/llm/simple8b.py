@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
             yield out()
 
     texts = id_and_text(docs, id_col, text_col)
-    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(work, BLOCKS).write.option("compression", "none").parquet(path)
 
 
@@ -190,6 +190,9 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # ids before each part: one number per written part, at most as many as shuffle partitions
     parts = sorted((r.part, r.n) for r in blocks.groupBy(F.shiftright("block", 40).alias("part")).agg(F.sum("n_tokens").alias("n")).collect())
+    before, total = {}, 0
+    for part, n in parts:
+        before[part], total = total, total + n
     placed = blocks.select(F.shiftright("block", 40).alias("part"), "n_before", "has_null", "payload")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
