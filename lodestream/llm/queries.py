@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm.packing import packed
+from lodestream.llm.simhash import simhash_components
 from lodestream.llm.simple8b import stored_digest
 from lodestream.llm.syncmers import edited_likeness
 
@@ -34,3 +35,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digest(documents(spark, sf_dir), "byte_bpe_50k.json")
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir), words=4, radius=4)
