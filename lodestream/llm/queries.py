@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm.packing import packed
+from lodestream.llm.pii import pii_digest
 from lodestream.llm.simhash import simhash_components
 from lodestream.llm.simple8b import stored_digest
 from lodestream.llm.syncmers import edited_likeness
@@ -40,3 +41,8 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir), words=4, radius=4)
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(documents(spark, sf_dir))
