@@ -9,6 +9,7 @@ from lodestream.llm.pii import pii_digest
 from lodestream.llm.simhash import simhash_components
 from lodestream.llm.simple8b import stored_digest
 from lodestream.llm.syncmers import edited_likeness
+from lodestream.llm.toxicity import fit_toxicity, scored_with_folds, toxicity_scores
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -46,3 +47,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored_with_folds(toxicity_scores(docs, model), 0.5)
