@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestream.llm.decontam import contaminations
+from lodestream.llm.fm_quality import fit_quality, quality_scores
 from lodestream.llm.packing import packed
 from lodestream.llm.pii import pii_digest
 from lodestream.llm.simhash import simhash_components
 from lodestream.llm.simple8b import stored_digest
 from lodestream.llm.syncmers import edited_likeness
+from lodestream.llm.token_counts import token_counts
 from lodestream.llm.toxicity import fit_toxicity, scored_with_folds, toxicity_scores
 
 QUERIES: dict = {}
@@ -54,3 +57,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored_with_folds(toxicity_scores(docs, model), 0.5)
+
+
+@query
+def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored_with_folds(quality_scores(docs, model), 0.3)
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
