@@ -10,6 +10,7 @@ from lodestream.llm.packing import packed
 from lodestream.llm.pii import pii_digest
 from lodestream.llm.simhash import simhash_components
 from lodestream.llm.simple8b import stored_digest
+from lodestream.llm.suffix_dedup import deduplicated
 from lodestream.llm.syncmers import edited_likeness
 from lodestream.llm.token_counts import token_counts
 from lodestream.llm.toxicity import fit_toxicity, scored_with_folds, toxicity_scores
@@ -74,3 +75,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(documents(spark, sf_dir))
