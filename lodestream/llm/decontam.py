@@ -127,21 +127,29 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[list[t
         yield [(r.doc_id, r.text) for r in items.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k).orderBy("doc_id", "text").collect()]
 
 
-OVERLAPS = "doc_id long, item_id long, overlap_tokens long, agreeing_tokens long, text_token long, item_token long"
+OVERLAPS = "array<struct<item_id:long,overlap_tokens:long,agreeing_tokens:long,text_token:long,item_token:long>>"
+_OVERLAP = pa.struct([(n, pa.int64()) for n in ("item_id", "overlap_tokens", "agreeing_tokens", "text_token", "item_token")])
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item that overlap, with the longest overlap."""
-    texts, found = id_and_text(docs, id_col, text_col), None
+def with_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", output: str = "overlaps") -> DataFrame:
+    """``docs`` with ``output``: for each benchmark item that a text overlaps, its longest overlap. No shuffle; all other columns pass through."""
+    out = docs.withColumn(output, F.array().cast(OVERLAPS))
     for block in blocks_of(benchmark):
 
         def work(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemIndex(block), TokenHashes()
             for batch in batches:
-                rows = [(doc_id, item_id, *x) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for item_id, x in index.overlaps(hashes.of(text)).items()]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in OVERLAPS.split(", ")])
+                found = [
+                    old + [dict(zip(_OVERLAP.names, (item_id, *x), strict=True)) for item_id, x in index.overlaps(hashes.of(text or "")).items()]
+                    for old, text in zip(batch[output].to_pylist(), batch[text_col].to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_OVERLAP))], names=batch.schema.names)
+
+        out = out.mapInArrow(work, out.schema)
+    return out
 
-        own = texts.mapInArrow(work, OVERLAPS)
-        found = own if found is None else found.union(own)
-    return docs.sparkSession.createDataFrame([], OVERLAPS) if found is None else found
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and benchmark item that overlap: doc_id, item_id, overlap_tokens, agreeing_tokens, text_token, item_token."""
+    found = with_overlaps(id_and_text(docs, id_col, text_col), benchmark)
+    return found.select("doc_id", F.explode("overlaps").alias("x")).select("doc_id", "x.*")

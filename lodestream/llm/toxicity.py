@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestream.llm.common import id_and_text
 
@@ -233,16 +234,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     return ToxicityModel(tuple(lexicon), tuple(weights.tolist()), bias)
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score: one pass over the texts, no shuffle."""
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", output: str = "toxicity") -> DataFrame:
+    """``docs`` with ``output``: the score of each text. One pass, no shuffle; all other columns pass through."""
+    schema = StructType([*docs.schema.fields, StructField(output, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, weights = Scanner(list(model.terms)), np.array(model.weights)
         for batch in batches:
-            x = np.array([scanner.features(t) for t in batch["text"].to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "score": pa.array(1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -30, 30))))})
+            x = np.array([scanner.features(t or "") for t in batch[text_col].to_pylist()]).reshape(-1, len(FEATURES))
+            score = pa.array(1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, output])
+
+    return docs.mapInArrow(work, schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, score double")
+
+def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score."""
+    return with_toxicity(id_and_text(docs, id_col, text_col), model, output="score").select("doc_id", "score")
 
 
 def scored_with_folds(scores: DataFrame, threshold: float) -> DataFrame:
