@@ -40,6 +40,9 @@ MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 20
 #: A block row; n_before counts the ids before it in its part.
 BLOCKS = "block long, n_before long, n_tokens long, has_null boolean, payload binary"
+_LIMITS = np.array([1 << bits for _, bits in WIDTHS], np.uint64)
+_SELECTOR_OF = np.zeros(61, np.int64)
+_SELECTOR_OF[[n for n, _ in WIDTHS]] = range(1, len(WIDTHS) + 1)
 _COUNT_OF = np.array([0, *(n for n, _ in WIDTHS), 1], np.int64)
 
 
@@ -49,32 +52,27 @@ def encode_words(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64)
-    # the number of values a word takes from each position: the first selector whose width holds them all
-    take = np.ones(n, np.int64)
-    selector = np.full(n, ESCAPE, np.int64)
-    for s, (count, bits) in reversed([*enumerate(WIDTHS, 1)]):
-        if count > n:
-            continue
-        # positions whose next ``count`` values fit, by the distance to the next value that does not
-        wide = np.flatnonzero(values >> np.uint64(bits))
-        fits = np.ones(n - count + 1, bool)
-        if len(wide):
-            nearest = wide[np.minimum(np.searchsorted(wide, np.arange(n - count + 1)), len(wide) - 1)] if len(wide) * 20 < n else None
-            if nearest is not None:
-                ahead = nearest - np.arange(n - count + 1)
-                fits = (ahead >= count) | (ahead < 0)
-            else:
-                bad = np.zeros(n + 1, np.int32)
-                np.cumsum(values >> np.uint64(bits) != 0, out=bad[1:])
-                fits = bad[count:] == bad[: n - count + 1]
-        take[: n - count + 1][fits] = count
-        selector[: n - count + 1][fits] = s
+    # bits of each value, as the index of the first width that holds it; then the widest in each window, by doubling
+    if n and (top := int(values.max())) < 1 << 16:
+        need = np.searchsorted(_LIMITS, np.arange(top + 1, dtype=np.uint64), "right").astype(np.uint8)[values.astype(np.int64)]
+    else:
+        need = np.searchsorted(_LIMITS, values, "right").astype(np.uint8)
+    widest = {1: need}
+    while (reach := max(widest)) * 2 <= min(n, WIDTHS[0][0]):
+        widest[reach * 2] = np.maximum(widest[reach][:-reach], widest[reach][reach:])
+    take = np.ones(n, np.uint8)
+    for s, (count, _) in enumerate(WIDTHS):
+        if 1 < count <= n:
+            reach = 1 << (count.bit_length() - 1)
+            window = widest[reach] if reach == count else np.maximum(widest[reach][: n - count + 1], widest[reach][count - reach :])
+            np.maximum(take[: n - count + 1], (window <= s) * np.uint8(count), out=take[: n - count + 1])
     at, steps, k = [], take.tolist(), 0
     while k < n:
         at.append(k)
         k += steps[k]
     start = np.array(at)
-    chosen = selector[start]
+    chosen = _SELECTOR_OF[take[start]]
+    chosen[(chosen == len(WIDTHS)) & (need[start] == len(WIDTHS))] = ESCAPE
     escapes = chosen == ESCAPE
     place = np.arange(len(start)) + np.concatenate([[0], np.cumsum(escapes)[:-1]])
     words = np.zeros(len(start) + int(escapes.sum()), np.uint64)

@@ -17,7 +17,7 @@ from array import array
 import regex
 
 #: Distinct chunks kept by one worker, in two generations of half as many.
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 1_200_000
 END_ID = 2
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Below this character every text is its own NFC form, and all libraries agree which characters are letters.
@@ -40,6 +40,7 @@ class Encoder:
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         given = [x["pattern"]["Regex"] for x in steps if x["type"] == "Split"]
         self.find = regex.compile(given[0] if given else public_tokenizers.PATTERN).findall
+        self.space = chr(256 + 32)
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         # byte-level vocabularies write byte b as the character of rank b among the printable ones, then those from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -49,10 +50,13 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, by the model itself."""
         if len(self.parts) > KEPT_CHUNKS // 2:
             self.parts.clear()
-        found = self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes_as))
-        self.parts[part] = ids = array("I", [x.id for x in found]).tobytes()
+        shown = self.space + part[1:] if part[0] == " " else part
+        if not (part.isascii() and shown.isalnum()):
+            shown = part.encode().decode("latin-1").translate(self.bytes_as)
+        self.parts[part] = ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
         return ids
 
     def _learn(self, chunk: str) -> bytes | None:
@@ -61,9 +65,17 @@ class Encoder:
             self.old, self.young = self.young, {}
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             ids = None
-        elif max(chunk) < _PLAIN:
+        elif chunk.isascii() or max(chunk) < _PLAIN:
             known = self.parts
-            ids = b"".join([known.get(x) or self._part(x) for x in self.find(" " + (chunk.lower() if self.lower else chunk))])
+            text = chunk.lower() if self.lower else chunk
+            if text.isalpha():  # one pre-token; the pattern would give the same
+                text = text if self.lower else " " + text
+                ids = known.get(text) or self._part(text)
+            elif text[-1] in ".," and text[:-1].isalpha():  # two
+                word, mark = text[:-1] if self.lower else " " + text[:-1], text[-1]
+                ids = (known.get(word) or self._part(word)) + (known.get(mark) or self._part(mark))
+            else:
+                ids = b"".join([known.get(x) or self._part(x) for x in self.find(" " + text)])
         else:
             ids = self._whole(" " + chunk)
         self.young[chunk] = ids
@@ -73,17 +85,19 @@ class Encoder:
         """Ids of ``chunks``, each after a space; None if one of them has white space at an edge."""
         ids = [*map(self.young.get, chunks)]
         if None in ids:
-            young, old = self.young, self.old
-            for k, x in enumerate(ids):
-                if x is None:
+            old, k = self.old.get, -1
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
                     chunk = chunks[k]
-                    if (x := young.get(chunk)) is None:
-                        if (x := old.get(chunk)) is not None:
-                            young[chunk] = x
+                    if (x := self.young.get(chunk)) is None:
+                        if (x := old(chunk)) is not None:
+                            self.young[chunk] = x
                         elif (x := self._learn(chunk)) is None:
                             return None
-                        young = self.young
                     ids[k] = x
+            except ValueError:  # none left
+                pass
         return b"".join(ids)
 
     def _whole(self, text: str) -> bytes:
