@@ -15,8 +15,8 @@ Sorting every suffix of a corpus would move each text many times over. So:
    successors are sorted directly; the rest are induced by scanning the buckets
    in order. Common prefixes of neighbours of ``LENGTH`` bytes or more are equal
    strings, and all but the first of them are repeats. An anchor with more than
-   ``GROUP`` contexts hands out its windows by digest instead, to be aggregated
-   by Spark.
+   ``GROUP`` contexts is sorted in runs of as many, and the strings that come
+   first in their run are compared across runs by Spark, by 128-bit digest.
 
 Texts are written once, bucketed by order key, so that the two later joins do
 not shuffle them. Strings never cross documents. A null or empty text has no
@@ -76,7 +76,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _sorted_directly(keys: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places ``at`` by the ``depth`` bytes there; ``keys`` has the next 8 bytes of each place, most significant first."""
-    order = at[np.argsort(keys[at], kind="stable")]
+    order = at[np.argsort(keys[at])]
     group = np.concatenate(([0], np.cumsum(keys[order[1:]] != keys[order[:-1]]))) if len(order) else order
     for step in range(8, depth, 8):
         same = group[1:] == group[:-1]
@@ -145,8 +145,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
     return np.minimum(out, most)
 
 
-def repeats(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """Of contexts (key, place, bytes): the intervals (key, start, end) of strings of ``LENGTH`` bytes that are also earlier."""
+def repeats(contexts: list[tuple[int, int, bytes]], with_firsts: bool = False) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes]]]:
+    """Of contexts (key, place, bytes): the intervals (key, start, end) of strings of ``LENGTH`` bytes that are also earlier, and the strings (key, start, bytes) that are not."""
     data = np.frombuffer(b"".join(c for _, _, c in contexts), np.uint8)
     sizes = np.array([len(c) for _, _, c in contexts])
     ends = np.cumsum(sizes)
@@ -156,22 +156,22 @@ def repeats(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]
     order = order[whole[order]]
     run = np.cumsum(common_prefixes(data, order) < LENGTH)
     key = np.array([k for k, _, _ in contexts])[owner[order]]
-    start = order - (ends - sizes)[owner[order]] + np.array([p for _, p, _ in contexts])[owner[order]]
+    shift = np.array([p for _, p, _ in contexts]) - (ends - sizes)
+    start = order + shift[owner[order]]
     rank = np.lexsort((start, key, run))
     run, key, start, place = run[rank], key[rank], start[rank], order[rank]
     first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     head = np.repeat(first, np.diff(np.append(first, len(run))))
     later = (key != key[head]) | (start != start[head])
+    firsts = []
+    if with_firsts:
+        raw = data.tobytes()
+        firsts = [(k, s, raw[p : p + LENGTH]) for k, s, p in zip(key[first].tolist(), start[first].tolist(), place[first].tolist(), strict=True)]
     place = np.sort(place[later])
-    if not len(place):
-        return []
     cut = np.flatnonzero((np.diff(place) > 1) | (np.diff(owner[place]) != 0)) + 1
-    out = []
-    for part in np.split(place, cut):
-        k = owner[part[0]]
-        shift = contexts[k][1] - int(ends[k] - sizes[k])
-        out.append((contexts[k][0], int(part[0]) + shift, int(part[-1]) + shift + LENGTH))
-    return out
+    a, b = place[np.append(0, cut)] if len(place) else place, place[np.append(cut - 1, -1)] if len(place) else place
+    of = owner[a]
+    return list(zip(np.array([k for k, _, _ in contexts])[of].tolist(), (a + shift[of]).tolist(), (b + shift[of] + LENGTH).tolist(), strict=True)), firsts
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
@@ -179,16 +179,30 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with their contexts. What repeats within its own document is known here: merged to intervals (size < 0), dealt by a hash of their own."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         parts = []
         for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
             data = text.encode()
             at, h = anchors(data)
-            if len(at):
-                n = len(data)
-                context = np.fromiter((digest(data[max(0, a - BEFORE) : a + LENGTH], min(a, BEFORE)) for a in at.tolist()), np.uint64, len(at))
-                parts.append((h, context, np.full(len(at), key), at, np.minimum(at, BEFORE) + np.minimum(n - at, LENGTH)))
+            if not len(at):
+                continue
+            context = np.fromiter((digest(data[max(0, a - BEFORE) : a + LENGTH], min(a, BEFORE)) for a in at.tolist()), np.uint64, len(at))
+            size = np.minimum(at, BEFORE) + np.minimum(len(data) - at, LENGTH)
+            _, first = np.unique(context, return_index=True)
+            if len(first) < len(at):
+                again = np.ones(len(at), bool)
+                again[first] = False
+                start = np.maximum(at[again] - BEFORE, 0)
+                end = start + size[again]
+                cut = np.flatnonzero(start[1:] > np.maximum.accumulate(end)[:-1]) + 1
+                start, end = start[np.append(0, cut)], np.maximum.accumulate(end)[np.append(cut - 1, -1)]
+                own = np.array([digest(f"{key}:{x}") for x in start.tolist()], np.uint64)
+                parts.append((own, np.zeros(len(start), np.uint64), np.full(len(start), key), start, start - end))
+                first.sort()
+                at, h, context, size = at[first], h[first], context[first], size[first]
+            parts.append((h, context, np.full(len(at), key), at, size))
         if parts:
             h, context, key, at, size = map(np.concatenate, zip(*parts, strict=True))
             yield pa.record_batch({"anchor": h.view(np.int64), "context": context.view(np.int64), "key": key.astype(np.int64), "at": at.astype(np.int32), "size": size.astype(np.int32)})
@@ -204,10 +218,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         same = np.concatenate(([h[0] == anchor], h[1:] == h[:-1]))
         follows = np.concatenate((same[1:], [True]))
-        live = np.flatnonzero(same | follows)  # not alone; the last may go on in the next batch
+        ready = batch["size"].to_numpy(zero_copy_only=False) < 0
+        live = np.flatnonzero(same | follows | ready)  # not alone; the last may go on in the next batch
         rows = []
         for this, ctx, key, at, size in zip(h[live].tolist(), c[live].tolist(), *(batch[x].to_numpy(zero_copy_only=False)[live].tolist() for x in ("key", "at", "size")), strict=True):
-            if this != anchor:
+            if size < 0:
+                rows.append((0, key, at, at - size))
+            elif this != anchor:
                 anchor, context, pending = this, ctx, (1, key, at, this)
             elif ctx == context:
                 start = max(0, at - BEFORE)
@@ -234,42 +251,42 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by anchor: repeats (kind 0: key, start, end), or the windows of anchors with too many contexts (kind 1: key, start, two halves of a digest)."""
+    """From contexts sorted by anchor, in document order: repeats (kind 0: key, start, end).
+
+    An anchor with more than ``GROUP`` contexts is solved in runs of as many; what
+    comes first in its run goes on by digest (kind 1: key, start, two halves).
+    """
     names = ["kind", "key", "a", "b", "c"]
     block: list[tuple[int, int, bytes]] = []
     group: list[tuple[int, int, bytes]] = []
     anchor, crowded, held = None, False, 0
 
-    def windows(contexts: list[tuple[int, int, bytes]]) -> list[tuple]:
-        out = []
-        for key, start, data in contexts:
-            for k in range(len(data) - LENGTH + 1):
-                d = xxhash.xxh3_128_intdigest(data[k : k + LENGTH])
-                out.append((1, key, start + k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
-        return out
-
-    def solved() -> list[tuple]:
-        return [(0, *x, 0) for x in repeats(block)] if block else []
+    def solved(contexts: list[tuple[int, int, bytes]], goes_on: bool) -> pa.RecordBatch:
+        if not contexts:
+            return _rows(names, [])
+        found, firsts = repeats(contexts, goes_on)
+        digests = [(key, start, xxhash.xxh3_128_intdigest(x)) for key, start, x in firsts]
+        return _rows(names, [(0, *x, 0) for x in found] + [(1, key, start, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)) for key, start, d in digests])
 
     for batch in batches:
         for this, key, start, data in zip(*(batch[x].to_pylist() for x in ("anchor", "key", "start", "bytes")), strict=True):
             if this != anchor:
-                block += group
-                held += sum(len(x[2]) for x in group)
+                if crowded:
+                    yield solved(group, True)
+                else:
+                    block += group
+                    held += sum(len(x[2]) for x in group)
+                    if held > BLOCK_BYTES:
+                        yield solved(block, False)
+                        block, held = [], 0
                 anchor, group, crowded = this, [], False
-                if held > BLOCK_BYTES:
-                    yield _rows(names, solved())
-                    block, held = [], 0
-            if crowded:
-                yield _rows(names, windows([(key, start, data)]))
-                continue
-            group.append((key, start, data))
-            if len(group) > GROUP:
-                for k in range(0, len(group), 100):
-                    yield _rows(names, windows(group[k : k + 100]))
+            elif len(group) >= GROUP:
+                yield solved(group, True)
                 group, crowded = [], True
-    block += group
-    yield _rows(names, solved())
+            group.append((key, start, data))
+    yield solved(group, True) if crowded else solved(block + group, False)
+    if crowded:
+        yield solved(block, False)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -300,7 +317,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(_block_rows, "kind long, key long, a long, b long, c long")
     solved = saved(blocks, "blocks")
     windows = solved.where("kind = 1").select("key", F.col("a").alias("start"), "b", "c")
-    first = windows.groupBy("b", "c").agg(F.min(F.struct("key", "start")).alias("first"))
+    first = windows.groupBy("b", "c").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("b", "c", "first")
     later = windows.join(first, ["b", "c"]).where(F.struct("key", "start") != F.col("first")).select("key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
     intervals = classes.where("kind = 0").select("key", "a", "b").union(solved.where("kind = 0").select("key", "a", "b")).union(later)
     spans = intervals.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
