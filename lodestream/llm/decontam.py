@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import id_and_text
+from lodestream.llm.common import id_and_text, slices
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("1110110101101", "11011001110111", "1111001011011")
@@ -138,7 +138,7 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def work(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemIndex(block), TokenHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 found = [
                     old + [dict(zip(_OVERLAP.names, (item_id, *x), strict=True)) for item_id, x in index.overlaps(hashes.of(text or "")).items()]
                     for old, text in zip(batch[output].to_pylist(), batch[text_col].to_pylist(), strict=True)

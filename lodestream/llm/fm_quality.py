@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestream.llm.common import id_and_text
+from lodestream.llm.common import id_and_text, slices
 from lodestream.llm.toxicity import training_sample
 
 #: At most so many labelled rows are used to fit the model.
@@ -125,7 +125,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -
     """Features are made on the executors; the bounded sample's hashed words and statistics come to the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(*words_of(x), x) for x in batch["text"].to_pylist()]
             yield pa.record_batch(
                 {
@@ -144,7 +144,7 @@ def quality_scores(docs: DataFrame, model: FactorisationMachine, id_col: str = "
     """doc_id, score: one pass over the texts, no shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             scores = [model.scores(texts[k : k + 256]) for k in range(0, len(texts), 256)]
             yield pa.record_batch({"doc_id": batch["doc_id"], "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lodestream.llm.common import id_and_text
+from lodestream.llm.common import id_and_text, slices
 from lodestream.llm.tokens import END_ID, encoder, public_path
 
 WINDOW = 4096
@@ -152,7 +152,7 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int =
         base, sequences, steps = TaskContext.get().partitionId() << 36, 0, 0
         held: list[tuple[int, bytes]] = []
         tokens = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 held.append((doc_id, encode(text) + end))
                 tokens += len(held[-1][1]) // 4

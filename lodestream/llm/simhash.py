@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import components, id_and_text, saved
+from lodestream.llm.common import components, id_and_text, saved, slices
 
 SEED = 42
 BUCKET = 128
@@ -80,7 +80,7 @@ def simhash_fingerprints(docs: DataFrame, words: int = 4, width: int = 1, id_col
     """doc_id, fp: array of ``width`` longs (the bits of unsigned 64-bit words). No shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.array(fingerprint(x.encode(), words, width), "<u8").view("<i8") for x in batch["text"].to_pylist()]
             flat = np.concatenate(found) if found else np.empty(0, "<i8")
             yield pa.record_batch({"doc_id": batch["doc_id"], "fp": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))})

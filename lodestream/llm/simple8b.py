@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import id_and_text, shared_path, shuffle_partitions
+from lodestream.llm.common import id_and_text, shared_path, shuffle_partitions, slices
 from lodestream.llm.tokens import END_ID, encoder, public_path
 
 #: Fixed values: (values in a word, bits of each), by selector from 1.
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
         def out() -> pa.RecordBatch:
             return pa.record_batch({"block": pa.array([block], pa.int64()), "n_before": pa.array([written], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "has_null": pa.array([None in doc_ids]), "payload": pa.array([encode_block([x or 0 for x in doc_ids], ids)], pa.binary())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 found = encode(text) + end
                 if held and (held + len(found) // 4 > BLOCK_IDS or (doc_id is None) != (doc_ids[0] is None)):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import id_and_text, saved, shuffle_partitions
+from lodestream.llm.common import id_and_text, saved, shuffle_partitions, slices
 
 LENGTH = 100
 GRAM = 32
@@ -181,7 +181,7 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors with their contexts. What repeats within its own document is known here: merged to intervals (size < 0), dealt by a hash of their own."""
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in slices(batches):
         parts = []
         for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
             data = text.encode()
@@ -239,7 +239,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for key, text, places in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
             data = text.encode()
@@ -323,7 +323,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = intervals.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text, found in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 data, kept, at, runs = text.encode(), [], 0, 0

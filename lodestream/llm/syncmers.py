@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import bounds, bucket_of, id_and_text, shuffle_partitions
+from lodestream.llm.common import bounds, bucket_of, id_and_text, shuffle_partitions, slices
 
 S = 8
 K = 24
@@ -71,7 +71,7 @@ def syncmer_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per anchor: doc_id, position (byte), hash. For positional matching."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 at, h = anchors(text.encode())
                 yield pa.record_batch({"doc_id": pa.array([doc_id] * len(at), pa.int64()), "position": pa.array(at, pa.int64()), "hash": pa.array(h.astype(np.int64))})
@@ -83,7 +83,7 @@ def syncmer_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per document: doc_id, fingerprint. No shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [text_of(sketch(text.encode(), size)) for text in batch["text"].to_pylist()]
             yield pa.record_batch({"doc_id": batch["doc_id"], "fingerprint": pa.array(found, pa.string())})
 
@@ -118,7 +118,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, closed = None, None, False
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for b, is_next, doc_id, text in zip(*(batch[c].to_pylist() for c in ("bucket", "next", "doc_id", "text")), strict=True):
                 if b != bucket:

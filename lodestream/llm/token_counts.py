@@ -20,7 +20,7 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestream.llm.common import id_and_text
+from lodestream.llm.common import id_and_text, slices
 from lodestream.llm.tokens import public_path
 
 MARK = "▁"
@@ -74,7 +74,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", id_co
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TrieCounter(piece_scores(public_path(vocabulary)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             n_words, n_tokens = [], []
             for k in range(0, len(texts), 500):

@@ -17,7 +17,7 @@ from array import array
 import regex
 
 #: Distinct chunks kept by one worker, in two generations of half as many.
-KEPT_CHUNKS = 1_200_000
+KEPT_CHUNKS = 600_000
 END_ID = 2
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Below this character every text is its own NFC form, and all libraries agree which characters are letters.
@@ -103,17 +103,23 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _first(self, chunk: str) -> bytes:
+        """Ids of a chunk that begins a text."""
+        if not chunk.isascii():
+            return self._whole(chunk)
+        return b"".join([self.parts.get(x) or self._part(x) for x in self.find(chunk.lower() if self.lower else chunk)])
+
     def encode(self, text: str) -> bytes:
         first, space, rest = text.partition(" ")
         if not space:
-            return self._whole(text) if text else b""
+            return self._first(text)
         if not first or first[-1].isspace() or (ids := self._joined(rest.split(" "))) is None:
             first, *chunks = _SINGLE_SPACE.split(text)
             parts = [self._whole(first)]
             for chunk in chunks:
                 parts.append(self._whole(" " + chunk) if chunk[0].isspace() or chunk[-1].isspace() else self._joined([chunk]))
             return b"".join(parts)
-        return self._whole(first) + ids
+        return self._first(first) + ids
 
 
 _ENCODERS: dict[str, Encoder] = {}

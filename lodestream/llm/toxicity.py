@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestream.llm.common import id_and_text
+from lodestream.llm.common import id_and_text, slices
 
 #: At most so many labelled rows are used to learn the lexicon and to fit the model.
 LABELLED_ROWS = 12_000
@@ -223,7 +223,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(lexicon)
-            for batch in batches:
+            for batch in slices(batches):
                 found = [scanner.features(x) for x in batch["text"].to_pylist()]
                 yield pa.record_batch({"label": batch["label"], "features": pa.array(found, pa.list_(pa.float64()))})
 
@@ -240,7 +240,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, weights = Scanner(list(model.terms)), np.array(model.weights)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([scanner.features(t or "") for t in batch[text_col].to_pylist()]).reshape(-1, len(FEATURES))
             score = pa.array(1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, output])
