@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import id_and_text, shared_path, shuffle_partitions, slices
+from lodestream.llm.common import bounds, bucket_of, id_and_text, shared_path, shuffle_partitions, slices
 from lodestream.llm.tokens import END_ID, encoder, public_path
 
 #: Fixed values: (values in a word, bits of each), by selector from 1.
@@ -38,6 +37,8 @@ ESCAPE = 15
 MAGIC = b"S8B1"
 #: Token ids gathered for a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
+#: Chunks that a worker remembers; a task here has no other large state.
+KEPT_CHUNKS = 1_200_000
 #: A block row; n_before counts the ids before it in its part.
 BLOCKS = "block long, n_before long, n_tokens long, has_null boolean, payload binary"
 _LIMITS = np.array([1 << bits for _, bits in WIDTHS], np.uint64)
@@ -143,13 +144,14 @@ def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes it, in ascending doc_id order (ties: by text; nulls first), as block files at ``path``.
 
-    One range shuffle of the texts puts them in order; part k of the range holds
-    smaller ids than part k + 1, and numbers its blocks from k << 40.
+    One shuffle deals the texts by ranges of doc_id, whose cuts come from the ids
+    alone; range k holds smaller ids than range k + 1, and numbers its blocks from
+    k << 40.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(public_path(vocabulary)).encode, np.array([END_ID], "<u4").tobytes()
-        block = TaskContext.get().partitionId() << 40
+        encode, end = encoder(public_path(vocabulary), KEPT_CHUNKS).encode, np.array([END_ID], "<u4").tobytes()
+        block = part = -1
         doc_ids: list[int] = []
         ids: list[bytes] = []
         held = written = 0
@@ -158,11 +160,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
             return pa.record_batch({"block": pa.array([block], pa.int64()), "n_before": pa.array([written], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "has_null": pa.array([None in doc_ids]), "payload": pa.array([encode_block([x or 0 for x in doc_ids], ids)], pa.binary())})
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for own, doc_id, text in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 found = encode(text) + end
-                if held and (held + len(found) // 4 > BLOCK_IDS or (doc_id is None) != (doc_ids[0] is None)):
+                if held and (own != part or held + len(found) // 4 > BLOCK_IDS or (doc_id is None) != (doc_ids[0] is None)):
                     yield out()
                     block, doc_ids, ids, written, held = block + 1, [], [], written + held, 0
+                if own != part:
+                    part, block, written = own, own << 40, 0
                 doc_ids.append(doc_id)
                 ids.append(found)
                 held += len(found) // 4
@@ -170,7 +174,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
             yield out()
 
     texts = id_and_text(docs, id_col, text_col)
-    ordered = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    cuts = bounds(texts, "doc_id", shuffle_partitions(docs.sparkSession))
+    dealt = texts.select(bucket_of("doc_id", cuts).alias("part"), "doc_id", "text").repartition(len(cuts) + 1, "part")
+    ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(work, BLOCKS).write.option("compression", "none").parquet(path)
 
 

@@ -27,7 +27,8 @@ _PLAIN = "ɐ"
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, by a tokenizer's own model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -51,7 +52,7 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the model itself."""
-        if len(self.parts) > KEPT_CHUNKS // 2:
+        if len(self.parts) > self.kept // 2:
             self.parts.clear()
         shown = self.space + part[1:] if part[0] == " " else part
         if not (part.isascii() and shown.isalnum()):
@@ -61,7 +62,7 @@ class Encoder:
 
     def _learn(self, chunk: str) -> bytes | None:
         """Puts the ids of ``chunk``, after a space, in the cache; None if white space is at an edge or it is empty."""
-        if len(self.young) > KEPT_CHUNKS // 2:
+        if len(self.young) > self.kept // 2:
             self.old, self.young = self.young, {}
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             ids = None
@@ -125,10 +126,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_CHUNKS) -> Encoder:
     """The worker's own encoder for a vocabulary file; its cache lives as long as the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, kept)
     return _ENCODERS[path]
 
 
