@@ -4,15 +4,297 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from lodestream.operators import geo as G
+from lodestream.operators import table as T
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def kernel(sql: str | None = None):
+    """Registers f(t), where t(name) reads a table, under the function's name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def simple(name: str, table: str, sql: str | None, f) -> None:
+    """A one-table query."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE[name] = sql
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by flag and status of ``lineitem``."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("n"))
-    )
+    return QUERIES["table_aggregate"](spark, sf_dir)
+
+
+c, lit = F.col, F.lit
+#: A column with nulls by rule.
+_NULLED = "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END"
+
+
+def _nulled(df: DataFrame) -> DataFrame:
+    return df.withColumn("seg", F.expr(_NULLED))
+
+
+simple("table_select_columns", "customer", "SELECT c_name, c_custkey FROM customer", lambda d: T.select_columns(d, ["c_name", "c_custkey"]))
+simple("table_drop_columns", "customer", "SELECT * EXCLUDE (c_name) FROM customer", lambda d: T.drop_columns(d, ["c_name"]))
+simple("table_rename", "nation", "SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation", lambda d: T.rename(d, {"n_nationkey": "id", "n_name": "name"}))
+simple("table_reorder_columns", "nation", "SELECT n_name, n_nationkey, n_regionkey FROM nation", lambda d: T.reorder_columns(d, ["n_name"]))
+simple("table_add_row_number", "orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders", lambda d: T.add_row_number(d, "rn", ["o_orderkey"]).select("o_orderkey", "rn"))
+simple("table_concat_columns", "customer", "SELECT c_custkey, concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment) AS joined FROM customer", lambda d: T.concat_columns(d, ["c_custkey", "c_name", "c_mktsegment"], "joined", "|").select("c_custkey", "joined"))
+simple("table_split_column", "customer", "SELECT c_custkey, string_split(c_name, '#')[1] AS a, string_split(c_name, '#')[2] AS b, string_split(c_name, '#')[3] AS z FROM customer", lambda d: T.split_column(d, "c_name", "#", ["a", "b", "z"]).select("c_custkey", "a", "b", "z"))
+simple("table_coalesce", "customer", f"SELECT c_custkey, coalesce({_NULLED}, c_name) AS v FROM customer", lambda d: T.coalesce(_nulled(d), ["seg", "c_name"], "v").select("c_custkey", "v"))
+simple("table_conditional", "customer", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 1000 THEN 'low' ELSE 'high' END AS band FROM customer", lambda d: T.conditional(d, [(c("c_acctbal") < 0, "debt"), (c("c_acctbal") < 1000, "low")], "high", "band").select("c_custkey", "band"))
+simple("table_formula", "lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem", lambda d: T.formula(d, "net", c("l_extendedprice") * (1 - c("l_discount"))).select("l_orderkey", "l_linenumber", "net"))
+simple("table_expression", "part", "SELECT p_partkey, p_size * 2 AS dbl, upper(p_brand) AS brand, p_size > 25 AS big FROM part", lambda d: T.expression(d, {"dbl": c("p_size") * 2, "brand": F.upper("p_brand"), "big": c("p_size") > 25}).select("p_partkey", "dbl", "brand", "big"))
+simple("table_type_cast", "customer", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, TRY_CAST(c_name AS BIGINT) AS c_name FROM customer", lambda d: T.type_cast(d, {"c_custkey": "string", "c_name": "bigint"}, "null").select("c_custkey", "c_name"))
+simple("table_align_schema", "nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(NULL AS DOUBLE) AS area FROM nation", lambda d: T.align_schema(d, StructType([StructField("n_nationkey", LongType()), StructField("n_name", StringType()), StructField("area", DoubleType())])))
+simple("table_filter", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'", lambda d: T.filter(d, (c("l_quantity") > 30) & (c("l_returnflag") == "R")).select("l_orderkey", "l_linenumber"))
+simple("table_sort", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey", lambda d: T.sort(d, [("c_acctbal", "desc"), "c_custkey"]).select("c_custkey", "c_acctbal"))
+simple("table_limit", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 10", lambda d: T.limit(T.sort(d, ["o_orderkey"]).select("o_orderkey"), 50, 10))
+simple("table_top_n", "orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3", lambda d: T.top_n(d, 3, [("o_totalprice", "desc"), "o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey", "o_totalprice"))
+simple("table_sample", "orders", "SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '-7'), 1, 8) AS BIGINT) < 429496729", lambda d: T.sample(d, 0.1, 7, "o_orderkey").select("o_orderkey"))
+
+
+@kernel("SELECT n_nationkey AS k, c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def table_join(t):
+    return T.join(t("customer").withColumnRenamed("c_nationkey", "k"), t("nation").withColumnRenamed("n_nationkey", "k"), "k").select("k", "c_custkey", "n_name")
+
+
+@kernel("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def table_cross_join(t):
+    return T.cross_join(t("region").select("r_name"), t("nation").select("n_name"))
+
+
+_THIN = "SELECT * FROM orders WHERE o_custkey % 5 <> 0"
+
+
+def _thin(t):
+    return t("orders").where("o_custkey % 5 <> 0").select(c("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+
+
+@kernel(f"SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM ({_THIN}))")
+def table_semi_join(t):
+    return T.semi_join(t("customer"), _thin(t), "c_custkey").select("c_custkey")
+
+
+@kernel(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM ({_THIN}) WHERE o_custkey = c_custkey)")
+def table_anti_join(t):
+    return T.anti_join(t("customer"), _thin(t), "c_custkey").select("c_custkey")
+
+
+@kernel(f"SELECT c_custkey, coalesce(v, -1.0) AS o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, min_by(o_totalprice, o_orderkey) AS v FROM ({_THIN}) GROUP BY 1) ON o_custkey = c_custkey")
+def table_lookup(t):
+    return T.lookup(t("customer").select("c_custkey"), _thin(t), "c_custkey", ["o_totalprice"], -1.0, "o_orderkey")
+
+
+@kernel("SELECT l.event_id, l.user_id, r.value AS price, r.ts AS pts_matched FROM (SELECT * FROM events WHERE event_type = 'view') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def table_asof_join(t):
+    e = t("events")
+    left, right = e.where("event_type = 'view'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", c("ts").alias("pts"), c("value").alias("price"))
+    return T.asof_join(left, right, "ts", "pts", ["user_id"], ["price"]).select("event_id", "user_id", "price", "pts_matched")
+
+
+@kernel("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON substr(a.n_name, 1, 1) = substr(b.n_name, 1, 1) AND levenshtein(a.n_name, b.n_name) <= 3")
+def table_fuzzy_join(t):
+    n = t("nation")
+    return T.fuzzy_join(n.select(c("n_name").alias("a")), n.select(c("n_name").alias("b")), "a", "b", 3, 1).withColumn("distance", c("distance").cast("long"))
+
+
+simple("table_aggregate", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT l_suppkey) AS suppliers, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL",
+       lambda d: T.aggregate(d, ["l_returnflag", "l_linestatus"], [("count", lit(1), "n"), ("sum", c("l_extendedprice") * (1 - c("l_discount")), "revenue"), ("count_distinct", "l_suppkey", "suppliers"), ("min", "l_quantity", "lo"), ("max", "l_quantity", "hi")]).withColumn("revenue", F.round("revenue", 2)))
+_STAT = "SELECT '{0}' AS \"column\", count({0}) AS count, CAST(count(*) - count({0}) AS BIGINT) AS nulls, CAST(min({0}) AS DOUBLE) AS min, CAST(max({0}) AS DOUBLE) AS max, round(avg({0}), 4) AS mean, round(stddev_samp({0}), 4) AS std FROM lineitem"
+simple("table_statistics", "lineitem", " UNION ALL ".join(_STAT.format(x) for x in ("l_quantity", "l_discount", "l_tax")), lambda d: T.statistics(d, ["l_quantity", "l_discount", "l_tax"]).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)}))
+simple("table_bin", "part", "SELECT p_partkey, CASE WHEN p_size >= 1 AND p_size < 10 THEN 0 WHEN p_size >= 10 AND p_size < 30 THEN 1 WHEN p_size >= 30 AND p_size < 45 THEN 2 END AS bin FROM part", lambda d: T.bin(d, "p_size", [1, 10, 30, 45], "bin").select("p_partkey", "bin"))
+simple("table_pivot", "orders", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1", lambda d: T.pivot(d, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(lit(1))).fillna(0))
+_CHANGED = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 13 = 0 THEN c_acctbal + 1.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 17 = 0"
+_CUST = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+_DIFF = f"SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'left_only' WHEN a.c_custkey IS NULL THEN 'right_only' WHEN a.c_acctbal = b.c_acctbal THEN 'matched' ELSE 'changed' END AS status FROM ({_CUST}) a FULL JOIN ({_CHANGED}) b ON a.c_custkey = b.c_custkey"
+
+
+def _two(t):
+    d = t("customer").select("c_custkey", "c_name", "c_acctbal")
+    changed = d.where("c_custkey % 11 <> 0").withColumn("c_acctbal", F.when(c("c_custkey") % 13 == 0, c("c_acctbal") + lit(1.0)).otherwise(c("c_acctbal")))
+    return d, changed.union(d.where("c_custkey % 17 = 0").withColumn("c_custkey", c("c_custkey") + 1000000))
+
+
+@kernel(f"SELECT status, count(*) AS n FROM ({_DIFF}) GROUP BY 1")
+def table_reconcile(t):
+    return T.reconcile(*_two(t), ["c_custkey"], ["c_name", "c_acctbal"])
+
+
+@kernel(f"SELECT c_custkey, status, CASE WHEN status = 'changed' THEN 'c_acctbal' END AS changed_columns FROM ({_DIFF})")
+def table_table_diff(t):
+    return T.table_diff(*_two(t), ["c_custkey"], ["c_name", "c_acctbal"])
+
+
+simple("table_window_function", "orders", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders", lambda d: T.window_function(d, F.lag("o_totalprice"), "prev", ["o_custkey"], ["o_orderkey"]).select("o_orderkey", "prev"))
+simple("table_rolling_window", "orders", "SELECT o_orderkey, CASE WHEN count(o_totalprice) OVER w >= 2 THEN max(o_totalprice) OVER w END AS top FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", lambda d: T.rolling_window(d, "o_totalprice", "max", 3, "top", ["o_custkey"], ["o_orderkey"], 2).select("o_orderkey", "top"))
+
+
+@kernel(f"{_CUST} UNION ALL ({_CHANGED})")
+def table_concat(t):
+    return T.concat(_two(t))
+
+
+@kernel("SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS tag FROM customer UNION ALL SELECT s_suppkey, CAST(NULL AS VARCHAR), s_acctbal, 's' FROM supplier")
+def table_concat_by_name(t):
+    return T.concat_by_name([_two(t)[0], t("supplier").select(c("s_suppkey").alias("c_custkey"), c("s_acctbal").alias("c_acctbal"), lit("s").alias("tag"))])
+
+
+@kernel(f"{_CUST} UNION ({_CHANGED})")
+def table_union_distinct(t):
+    return T.union_distinct(_two(t))
+
+
+@kernel(f"{_CUST} INTERSECT ({_CHANGED})")
+def table_intersect(t):
+    return T.intersect(*_two(t))
+
+
+@kernel(f"{_CUST} EXCEPT ({_CHANGED})")
+def table_except(t):
+    return T.except_(*_two(t))
+
+
+simple("table_distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", lambda d: T.distinct(d, ["l_returnflag", "l_linestatus"]))
+simple("table_dedup_advanced", "orders", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1", lambda d: T.dedup_advanced(d, ["o_custkey"], ["o_orderkey"], "last").select("o_custkey", "o_orderkey"))
+simple("table_melt", "part", "SELECT p_partkey, 'p_brand' AS variable, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part", lambda d: T.melt(d, ["p_partkey"], ["p_brand", "p_type"]))
+simple("table_transpose", "region", "SELECT 'r_regionkey' AS key, " + ", ".join(f"max(CASE WHEN r_regionkey = {k} THEN r_regionkey END) AS r{k}" for k in range(5)) + " FROM region", lambda d: T.transpose(d.select(F.concat(lit("r"), c("r_regionkey").cast("string")).alias("name"), "r_regionkey"), "name"))
+simple("table_explode", "embeddings", "SELECT vec_id, unnest(embedding) AS x FROM embeddings", lambda d: T.explode(d.select("vec_id", "embedding"), "embedding", "x"))
+simple("table_unnest", "events", "SELECT event_id, user_id AS s_user_id, value AS s_value FROM events", lambda d: T.unnest(d.select("event_id", F.struct("user_id", "value").alias("s")), "s", "s_"))
+simple("table_flatten_json", "events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS p_k FROM events", lambda d: T.flatten_json(d.select("event_id", "props"), "props", "k bigint", "p_"))
+simple("table_string_extract", "part", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '([0-9])') THEN regexp_extract(p_brand, '([0-9])', 1) END AS d FROM part", lambda d: T.string_extract(d, "p_brand", "([0-9])", 1, "d").select("p_partkey", "d"))
+simple("table_string_length", "documents", "SELECT doc_id, CAST(length(text) AS INT) AS n FROM documents", lambda d: T.string_length(d, "text", "n").select("doc_id", "n"))
+simple("table_string_pad", "nation", "SELECT n_nationkey, CASE WHEN length(n_name) < 10 THEN lpad(n_name, 10, '*') ELSE n_name END AS n_name FROM nation", lambda d: T.string_pad(d, "n_name", 10, "*").select("n_nationkey", "n_name"))
+simple("table_text_normalize", "pages", r"SELECT page_id, regexp_replace(lower(trim(html)), '\s+', ' ', 'g') AS html FROM pages", lambda d: T.text_normalize(d, "html", ["trim", "lower", "collapse_ws"]).select("page_id", "html"))
+simple("table_replace", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders", lambda d: T.replace(d, "o_orderstatus", {"F": "done", "O": "open"}).select("o_orderkey", "o_orderstatus"))
+simple("table_date_extract", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS o_orderdate_year, CAST(quarter(o_orderdate) AS INT) AS o_orderdate_quarter, CAST(week(o_orderdate) AS INT) AS o_orderdate_week, CAST(isodow(o_orderdate) AS INT) AS o_orderdate_dow FROM orders", lambda d: T.date_extract(d, "o_orderdate", ["year", "quarter", "week", "dow"]).select("o_orderkey", "o_orderdate_year", "o_orderdate_quarter", "o_orderdate_week", "o_orderdate_dow"))
+simple("table_date_add", "orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS due FROM orders", lambda d: T.date_add(d, "o_orderdate", 1, "month", "due").select("o_orderkey", "due"))
+simple("table_date_diff", "orders", "SELECT o_orderkey, date_sub('day', o_orderdate, TIMESTAMP '2000-01-01') AS days FROM orders", lambda d: T.date_diff(d.withColumn("e", F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'")), "o_orderdate", "e", "day", "days").select("o_orderkey", "days"))
+simple("table_date_format", "orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS day FROM orders", lambda d: T.date_format(d, "o_orderdate", "yyyy/MM/dd", "day").select("o_orderkey", "day"))
+simple("table_timezone_convert", "events", "SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events", lambda d: T.timezone_convert(d, "ts", "UTC", "America/New_York", "local").select("event_id", "local"))
+simple("table_fill_na", "customer", f"SELECT c_custkey, coalesce({_NULLED}, 'none') AS seg FROM customer", lambda d: T.fill_na(_nulled(d), {"seg": "none"}).select("c_custkey", "seg"))
+simple("table_md5_hash", "customer", "SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR) || chr(31) || c_name) AS h FROM customer", lambda d: T.md5_hash(d, ["c_custkey", "c_name"], "h").select("c_custkey", "h"))
+simple("table_sha256_hash", "customer", f"SELECT c_custkey, sha256(c_name || chr(31) || coalesce({_NULLED}, '\\N')) AS h FROM customer", lambda d: T.sha256_hash(_nulled(d), ["c_name", "seg"], "h").select("c_custkey", "h"))
+simple("table_hmac_sha256", "customer", None, lambda d: T.hmac_sha256(d, ["c_name"], b"key", "h").select("c_custkey", "h"))
+simple("table_uuid_generator", "customer", None, lambda d: T.uuid_generator(d, "id", ["c_name"]).select("c_custkey", "id"))
+simple("table_mask_data", "customer", "SELECT c_custkey, substr(c_name, 1, 2) || repeat('*', length(c_name) - 5) || right(c_name, 3) AS c_name FROM customer", lambda d: T.mask_data(d, "c_name", 2, 3).select("c_custkey", "c_name"))
+simple("table_stable_fingerprint", "customer", "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(CAST(c_custkey AS VARCHAR) || chr(31) || c_name), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM customer", lambda d: T.stable_fingerprint(d, ["c_name", "c_custkey"]))
+simple("table_assert_not_null", "customer", f"SELECT CAST(count(*) FILTER (({_NULLED}) IS NULL) AS BIGINT) AS violations, count(*) AS rows FROM customer", lambda d: T.assert_not_null(_nulled(d), ["seg"]))
+simple("table_assert_range", "lineitem", "SELECT count(*) FILTER (NOT l_quantity BETWEEN 2 AND 40) AS violations, count(*) AS rows FROM lineitem", lambda d: T.assert_range(d, "l_quantity", 2, 40))
+simple("table_assert_regex", "part", "SELECT count(*) FILTER (NOT regexp_full_match(p_brand, 'Brand#[1-3][0-9]*')) AS violations, count(*) AS rows FROM part", lambda d: T.assert_regex(d, "p_brand", "Brand#[1-3][0-9]*"))
+simple("table_assert_unique", "lineitem", "SELECT count(*) AS repeated_keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_of_repeated_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)", lambda d: T.assert_unique(d, ["l_orderkey", "l_linenumber"]))
+simple("table_assert_cardinality", "orders", "SELECT count(DISTINCT o_orderpriority) AS n, count(DISTINCT o_orderpriority) BETWEEN 1 AND 10 AS holds FROM orders", lambda d: T.assert_cardinality(d, ["o_orderpriority"], 1, 10))
+simple("table_assert_schema", "region", "SELECT * FROM region", lambda d: T.assert_schema(d, {"r_name": StringType()}))
+simple("table_assert_metadata", "region", "SELECT r_regionkey FROM region", lambda d: T.assert_metadata(d.select(c("r_regionkey").alias("r_regionkey", metadata={"field_id": "0"})), "r_regionkey", {"field_id": "0"}))
+simple("table_validate_rules", "lineitem", "SELECT 'cheap' AS rule, count(*) FILTER (NOT l_discount <= 0.09) AS violations, count(*) FILTER (NOT l_discount <= 0.09) = 0 AS passed FROM lineitem UNION ALL SELECT 'positive', count(*) FILTER (NOT l_quantity > 0), count(*) FILTER (NOT l_quantity > 0) = 0 FROM lineitem", lambda d: T.validate_rules(d, {"cheap": c("l_discount") <= 0.09, "positive": c("l_quantity") > 0}))
+
+
+@kernel(f"SELECT count(*) AS orphans FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ({_THIN}))")
+def table_assert_foreign_key(t):
+    return T.assert_foreign_key(t("customer"), _thin(t), "c_custkey")
+
+
+# --- geometry: rectangles and points by rule, so that plain arithmetic is the expected result
+_X, _Y = "((c_custkey * 37) % 3600) / CAST(10 AS DOUBLE) - 180", "((c_custkey * 17) % 1700) / CAST(10 AS DOUBLE) - 85"
+_RX, _RY = "((p_partkey * 37) % 3600) / CAST(10 AS DOUBLE) - 180", "((p_partkey * 17) % 1700) / CAST(10 AS DOUBLE) - 85"
+_PTS = f"(SELECT c_custkey, {_X} AS x, {_Y} AS y FROM customer)"
+_RECTS = f"(SELECT p_partkey, {_RX} AS x0, {_RY} AS y0, 1 + p_size % 10 AS w, 1 + p_partkey % 7 AS h FROM part)"
+
+
+def _pts(d: DataFrame) -> DataFrame:
+    return d.select("c_custkey", G.point(F.expr(_X), F.expr(_Y)).alias("p"))
+
+
+def _rects(d: DataFrame) -> DataFrame:
+    d = d.select("p_partkey", F.expr(_RX).alias("x0"), F.expr(_RY).alias("y0"), (1 + c("p_size") % 10).alias("w"), (1 + c("p_partkey") % 7).alias("h"))
+    return d.withColumn("ring", G.rectangle(c("x0"), c("y0"), c("x0") + c("w"), c("y0") + c("h")))
+
+
+def _rect_query(name: str, sql: str, columns) -> None:
+    simple(name, "part", f"SELECT p_partkey, {sql} FROM {_RECTS}", lambda d: _rects(d).select("p_partkey", *columns()))
+
+
+simple("geo_from_coords", "customer", f"SELECT c_custkey, x, y FROM {_PTS}", lambda d: _pts(d).select("c_custkey", "p.x", "p.y"))
+simple("geo_to_wkt", "region", "SELECT r_regionkey, 'POINT (' || CAST(CAST(r_regionkey AS DOUBLE) AS VARCHAR) || ' 0.5)' AS wkt FROM region", lambda d: d.select("r_regionkey", G.point_wkt(G.point("r_regionkey", lit(0.5))).alias("wkt")))
+simple("geo_from_wkt", "customer", f"SELECT c_custkey, x, y FROM {_PTS}", lambda d: _pts(d).select("c_custkey", F.get(G.path_from_wkt(G.point_wkt(c("p"))), 0).alias("q")).select("c_custkey", "q.x", "q.y"))
+_rect_query("geo_geometry_accessors", "5 AS num_points, true AS is_closed, x0 AS start_x", lambda: [G.accessors(c("ring"))["num_points"].alias("num_points"), G.accessors(c("ring"))["is_closed"].alias("is_closed"), G.accessors(c("ring"))["start_x"].alias("start_x")])
+_rect_query("geo_bounds_extractor", "x0 AS minx, y0 AS miny, x0 + w AS maxx, y0 + h AS maxy", lambda: [*(G.bounds(c("ring"))[k].alias(k) for k in ("minx", "miny", "maxx", "maxy"))])
+_rect_query("geo_envelope", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [F.round(G.area(G.envelope(c("ring"))), 6).alias("area")])
+_rect_query("geo_vertex_count", "5 AS n", lambda: [G.vertex_count(c("ring")).alias("n")])
+_rect_query("geo_area", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [F.round(G.area(c("ring")), 6).alias("area")])
+_rect_query("geo_perimeter", "round(CAST(2 * (w + h) AS DOUBLE), 6) AS perimeter", lambda: [F.round(G.perimeter(c("ring")), 6).alias("perimeter")])
+_rect_query("geo_length", "round(CAST(w + h AS DOUBLE), 6) AS length", lambda: [F.round(G.length(F.slice(c("ring"), 1, 3)), 6).alias("length")])
+_rect_query("geo_centroid", "round(x0 + w / 2.0, 4) AS x, round(y0 + h / 2.0, 4) AS y", lambda: [F.round(G.centroid(c("ring"))["x"], 4).alias("x"), F.round(G.centroid(c("ring"))["y"], 4).alias("y")])
+_rect_query("geo_translate", "x0 + 1.5 AS x, y0 - 2.5 AS y", lambda: [F.get(G.translate(c("ring"), 1.5, -2.5), 0)["x"].alias("x"), F.get(G.translate(c("ring"), 1.5, -2.5), 0)["y"].alias("y")])
+_rect_query("geo_scale", "round(CAST(w * h * 6 AS DOUBLE), 6) AS area", lambda: [F.round(G.area(G.scale(c("ring"), 2.0, 3.0)), 6).alias("area")])
+_rect_query("geo_rotate", "round(-y0, 6) + 0.0 AS x, round(x0, 6) + 0.0 AS y", lambda: [(F.round(F.get(G.rotate(c("ring"), 90.0), 0)["x"], 6) + 0.0).alias("x"), (F.round(F.get(G.rotate(c("ring"), 90.0), 0)["y"], 6) + 0.0).alias("y")])
+_rect_query("geo_affine_transform", "round(2 * x0 + y0 + 1, 6) AS x, round(3 * y0 - x0, 6) AS y", lambda: [F.round(F.get(G.affine_transform(c("ring"), 2.0, 1.0, -1.0, 3.0, 1.0, 0.0), 0)["x"], 6).alias("x"), F.round(F.get(G.affine_transform(c("ring"), 2.0, 1.0, -1.0, 3.0, 1.0, 0.0), 0)["y"], 6).alias("y")])
+_rect_query("geo_snap_to_grid", "floor(x0 / 0.5 + 0.5) * 0.5 AS x, floor(y0 / 0.5 + 0.5) * 0.5 AS y", lambda: [F.get(G.snap_to_grid(c("ring"), 0.5), 0)["x"].alias("x"), F.get(G.snap_to_grid(c("ring"), 0.5), 0)["y"].alias("y")])
+_rect_query("geo_densify", "CAST(2 * w + 2 * h + 1 AS INT) AS n", lambda: [F.size(G.densify(G.translate(c("ring"), -c("x0"), -c("y0")), 1.0)).alias("n")])
+_rect_query("geo_line_interpolate_point", "round(x0 + least(w, 1.5), 6) AS x", lambda: [F.round(G.line_interpolate_point(F.slice(c("ring"), 1, 2), lit(1.5))["x"], 6).alias("x")])
+_rect_query("geo_line_locate_point", "round(w / 2.0, 6) AS at", lambda: [F.round(G.line_locate_point(F.slice(c("ring"), 1, 2), G.point(c("x0") + c("w") / 2, c("y0") + 9.0)), 6).alias("at")])
+_rect_query("geo_hausdorff_distance", "round(2.0, 6) AS d", lambda: [F.round(G.hausdorff_distance(F.slice(c("ring"), 1, 2), G.translate(F.slice(c("ring"), 1, 2), 0.0, 2.0)), 6).alias("d")])
+_rect_query("geo_predicate_covers", "x0 + w / 2.0 <= 0 AND x0 + w >= 0 AND y0 <= 0 AND y0 + h >= 0 OR (x0 <= 0 AND x0 + w >= 0 AND y0 <= 0 AND y0 + h >= 0) AS hit", lambda: [G.covers_point(c("ring"), G.point(lit(0.0), lit(0.0))).alias("hit")])
+_rect_query("geo_predicate_contains", "x0 < 5 AND x0 + w > 5 AND y0 < 5 AND y0 + h > 5 AS hit", lambda: [G.covers_point(c("ring"), G.point(lit(5.0), lit(5.0)), boundary=False).alias("hit")])
+_rect_query("geo_predicate_within", "true AS hit", lambda: [G.covers_point(c("ring"), G.centroid(c("ring"))).alias("hit")])
+_PAIR = f"SELECT a.c_custkey, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {_PTS} a JOIN {_PTS} b ON b.c_custkey = a.c_custkey + 1"
+
+
+def _pairs(d: DataFrame) -> DataFrame:
+    a = _pts(d)
+    return a.join(a.select((c("c_custkey") - 1).alias("c_custkey"), c("p").alias("q")), "c_custkey")
+
+
+def _ll() -> tuple:
+    return c("p.x"), c("p.y"), c("q.x"), c("q.y")
+
+
+simple("geo_distance", "customer", f"SELECT c_custkey, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS d FROM ({_PAIR})", lambda d: _pairs(d).select("c_custkey", F.round(G.distance(c("p"), c("q")), 6).alias("d")))
+simple("geo_haversine_distance", "customer", f"SELECT c_custkey, round(2 * 6371008.8 * asin(sqrt(least(1.0, sin(radians(y2 - y1) / 2) ** 2 + cos(radians(y1)) * cos(radians(y2)) * sin(radians(x2 - x1) / 2) ** 2))), 2) AS d FROM ({_PAIR})", lambda d: _pairs(d).select("c_custkey", F.round(G.haversine(*_ll()), 2).alias("d")))
+simple("geo_bearing", "customer", f"SELECT c_custkey, round(fmod(degrees(atan2(sin(radians(x2 - x1)) * cos(radians(y2)), cos(radians(y1)) * sin(radians(y2)) - sin(radians(y1)) * cos(radians(y2)) * cos(radians(x2 - x1)))) + 360, 360), 5) AS b FROM ({_PAIR})", lambda d: _pairs(d).select("c_custkey", F.round(G.bearing(*_ll()), 5).alias("b")))
+simple("geo_line_builder", "events", "SELECT user_id, CAST(count(*) AS INT) AS n FROM events GROUP BY 1 HAVING count(*) >= 2", lambda d: G.line_builder(d.withColumn("m", c("event_id") % 100), ["user_id"], "ts", "value", "m").where("path IS NOT NULL").select("user_id", F.size("path").alias("n")))
+simple("geo_polygon_builder", "events", "SELECT user_id, CAST(count(*) + 1 AS INT) AS n FROM events GROUP BY 1 HAVING count(*) >= 3", lambda d: G.polygon_builder(d.withColumn("m", c("event_id") % 100), ["user_id"], "ts", "value", "m").where("ring IS NOT NULL").select("user_id", F.size("ring").alias("n")))
+simple("geo_generate_grid", "region", "SELECT a.range AS col, b.range AS row, 10.0::DOUBLE * 10.0::DOUBLE AS area FROM range(36) a, range(17) b", lambda d: G.generate_grid(d.sparkSession, -180.0, -85.0, 180.0, 85.0, 10.0).select("col", "row", G.area(c("ring")).alias("area")))
+_IN = "x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h"
+
+
+@kernel(f"SELECT p_partkey, count(x) AS n FROM {_RECTS} LEFT JOIN {_PTS} ON {_IN} GROUP BY 1")
+def geo_count_points_in_polygons(t):
+    return G.count_points_in_polygons(_rects(t("part")).select("p_partkey", "ring"), _pts(t("customer")), "p_partkey", "ring", "p", 5.0).select("p_partkey", "n")
+
+
+@kernel(f"SELECT p_partkey, c_custkey FROM {_RECTS} JOIN {_PTS} ON {_IN}")
+def geo_sjoin(t):
+    return G.sjoin_points(_rects(t("part")).select("p_partkey", "ring"), _pts(t("customer")), "ring", "p", 5.0).select("p_partkey", "c_custkey")
+
+
+_SUP = "(SELECT s_suppkey, ((s_suppkey * 37) % 3600) / CAST(10 AS DOUBLE) - 180 AS sx, ((s_suppkey * 17) % 1700) / CAST(10 AS DOUBLE) - 85 AS sy FROM supplier)"
+
+
+@kernel(f"SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey, round(min(d), 6) AS distance FROM (SELECT c_custkey, s_suppkey, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS d FROM {_PTS}, {_SUP}) WHERE d <= 20 GROUP BY 1")
+def geo_nearest(t):
+    s = t("supplier").select("s_suppkey", G.point(F.expr("((s_suppkey * 37) % 3600) / CAST(10 AS DOUBLE) - 180"), F.expr("((s_suppkey * 17) % 1700) / CAST(10 AS DOUBLE) - 85")).alias("q"))
+    return G.nearest(_pts(t("customer")), s, "c_custkey", "s_suppkey", "p", "q", 20.0).withColumn("distance", F.round("distance", 6))
+
+
+simple("geo_collect", "customer", "SELECT c_nationkey, CAST(count(*) AS INT) AS n FROM customer GROUP BY 1", lambda d: G.collect(d.select("c_nationkey", G.point(F.expr(_X), F.expr(_Y)).alias("p")), ["c_nationkey"], "p").select("c_nationkey", F.size("points").alias("n")))
+simple("geo_explode", "part", "SELECT p_partkey, unnest(range(5)) AS k FROM part", lambda d: _rects(d).select("p_partkey", F.posexplode("ring").alias("k", "v")).select("p_partkey", c("k").cast("long").alias("k")))
