@@ -174,8 +174,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
             yield out()
 
     texts = id_and_text(docs, id_col, text_col)
-    cuts = bounds(texts, "doc_id", shuffle_partitions(docs.sparkSession))
-    dealt = texts.select(bucket_of("doc_id", cuts).alias("part"), "doc_id", "text").repartition(len(cuts) + 1, "part")
+    parts = shuffle_partitions(docs.sparkSession)
+    cuts = bounds(texts, "doc_id", 4 * parts)  # several ranges to a task, so that hashing evens them out
+    dealt = texts.select(bucket_of("doc_id", cuts).alias("part"), "doc_id", "text").repartition(parts, "part")
     ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(work, BLOCKS).write.option("compression", "none").parquet(path)
 
@@ -192,7 +193,7 @@ def token_file_digest(spark: SparkSession, path: str) -> DataFrame:
 
 def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    # ids before each part: one number per written part, at most as many as shuffle partitions
+    # ids before each part: one number per range, at most four times as many as shuffle partitions
     parts = sorted((r.part, r.n) for r in blocks.groupBy(F.shiftright("block", 40).alias("part")).agg(F.sum("n_tokens").alias("n")).collect())
     before, total = {}, 0
     for part, n in parts:

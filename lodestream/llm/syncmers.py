@@ -103,16 +103,17 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
-    cuts = bounds(docs, "doc_id", shuffle_partitions(spark))
+    parts = shuffle_partitions(spark)
+    cuts = bounds(docs, "doc_id", 4 * parts)  # several ranges to a task, so that hashing evens them out
     dealt = docs.withColumn("bucket", bucket_of("doc_id", cuts))
-    # one row per range, at most as many as shuffle partitions
+    # one row per range, at most four times as many as shuffle partitions
     firsts = sorted((r.bucket, r.has_null, r.least) for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect())
     heads = [(here[0], before[0], None if here[1] else here[2]) for before, here in zip([firsts[-1], *firsts[:-1]], firsts, strict=True)] if firsts else []
     rows = dealt.select("bucket", F.lit(False).alias("next"), "doc_id", "text")
     if heads:
-        is_head = F.lit(None).cast("int")
-        for here, before, least in heads:
-            is_head = F.when((F.col("bucket") == here) & F.col("doc_id").eqNullSafe(F.lit(least)), before).otherwise(is_head)
+        to = F.create_map(*(F.lit(x) for here, before, _ in heads for x in (here, before)))
+        least = F.create_map(*(x for here, _, first in heads for x in (F.lit(here), F.lit(first).cast("long"))))
+        is_head = F.when(F.col("doc_id").eqNullSafe(F.element_at(least, F.col("bucket"))), F.element_at(to, F.col("bucket")))
         copies = dealt.withColumn("to", is_head).where("to IS NOT NULL").select(F.col("to").alias("bucket"), F.lit(True).alias("next"), "doc_id", "text")
         rows = rows.union(copies)
 
@@ -137,5 +138,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names=[x.split()[0] for x in EDITED.split(", ")])
 
-    sorted_rows = rows.repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), "text")
+    sorted_rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), "text")
     return sorted_rows.mapInArrow(work, EDITED)
