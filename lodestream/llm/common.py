@@ -58,13 +58,31 @@ def bucket_of(key: str, cuts: list[int]) -> Column:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a long, b long): node, root = smallest node reachable.
 
-    Each round takes, for every node, the least label among its neighbours and
-    then the label's own label, so labels travel in doubling steps. Rounds are
-    written to the shared folder; only a count comes to the driver. A hub is no
-    hot spot: labels are aggregated map-side, and the joins are plain equi-joins
-    that adaptive execution can split.
+    First every node hooks to its least neighbour and to that one's, and the edges
+    are contracted to the nodes hooked to: a dense group becomes a few nodes, so
+    its many links are read once. Over the rest, each round takes for every node
+    the least label among its neighbours and then the label's own label, so labels
+    travel in doubling steps. Rounds are written to the shared folder; only a
+    count comes to the driver. A hub is no hot spot: labels are aggregated
+    map-side, and the joins are plain equi-joins that adaptive execution can split.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), name)
+    once = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
+    least = _both(once).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("hook"))
+    least = saved(least, name)
+    up = least.select(F.col("node").alias("up_node"), F.col("hook").alias("up_hook"))
+    hooks = saved(least.join(up, least.hook == up.up_node).select("node", F.col("up_hook").alias("hook")), name)
+    to_a, to_b = (hooks.select(F.col("node").alias(c), F.col("hook").alias(f"hook_{c}")) for c in ("a", "b"))
+    rest = once.join(to_a, "a").join(to_b, "b").select(F.least("hook_a", "hook_b").alias("a"), F.greatest("hook_a", "hook_b").alias("b"))
+    labels = _spread(_both(saved(rest.where("a < b").distinct(), name)), name).select(F.col("node").alias("hook"), "root")
+    return hooks.join(labels, "hook", "left").select("node", F.coalesce("root", "hook").alias("root"))
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _spread(both: DataFrame, name: str) -> DataFrame:
+    """node, root of the components of edges given in both directions."""
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), name)
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
