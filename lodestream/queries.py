@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lodestream.operators import geo as G
+from lodestream.operators import overlay as O
+from lodestream.operators import spatial as S
 from lodestream.operators import table as T
 
 QUERIES: dict = {}
@@ -298,3 +300,121 @@ def geo_nearest(t):
 
 simple("geo_collect", "customer", "SELECT c_nationkey, CAST(count(*) AS INT) AS n FROM customer GROUP BY 1", lambda d: G.collect(d.select("c_nationkey", G.point(F.expr(_X), F.expr(_Y)).alias("p")), ["c_nationkey"], "p").select("c_nationkey", F.size("points").alias("n")))
 simple("geo_explode", "part", "SELECT p_partkey, unnest(range(5)) AS k FROM part", lambda d: _rects(d).select("p_partkey", F.posexplode("ring").alias("k", "v")).select("p_partkey", c("k").cast("long").alias("k")))
+
+
+# --- predicates and overlays: each rectangle against the next one, or against a shape made from itself
+_W, _H = "greatest(0, least(x0 + w, u0 + w2) - greatest(x0, u0))", "greatest(0, least(y0 + h, v0 + h2) - greatest(y0, v0))"
+_RPAIR = f"(SELECT p_partkey, x0, y0, w, h, w * h AS own, w2 * h2 AS its, {_W} * {_H} AS both_, x0 <= u0 + w2 AND u0 <= x0 + w AND y0 <= v0 + h2 AND v0 <= y0 + h AS meet FROM (SELECT a.*, b.x0 AS u0, b.y0 AS v0, b.w AS w2, b.h AS h2 FROM {_RECTS} a JOIN {_RECTS} b ON b.p_partkey = a.p_partkey + 1))"
+
+
+def _pair_query(name: str, sql: str, output: str, column) -> None:
+    def f(d: DataFrame) -> DataFrame:
+        a = _rects(d)
+        both = a.join(a.select((c("p_partkey") - 1).alias("p_partkey"), c("ring").alias("other")), "p_partkey")
+        return both.select("p_partkey", column(c("ring"), c("other")).alias(output))
+
+    simple(name, "part", f"SELECT p_partkey, {sql} AS {output} FROM {_RPAIR}", f)
+
+
+_rounded = lambda v: F.round(v, 6)
+_pair_query("geo_intersection", "round(CAST(both_ AS DOUBLE), 6)", "area", lambda a, b: _rounded(G.area(O.intersection(a, b))))
+_pair_query("geo_difference", "round(CAST(own - both_ AS DOUBLE), 6)", "area", lambda a, b: _rounded(O.areas(O.difference(a, b))))
+_pair_query("geo_union", "round(CAST(own + its - both_ AS DOUBLE), 6)", "area", lambda a, b: _rounded(O.areas(O.union(a, b))))
+_pair_query("geo_symmetric_difference", "round(CAST(own + its - 2 * both_ AS DOUBLE), 6)", "area", lambda a, b: _rounded(O.areas(O.symmetric_difference(a, b))))
+_pair_query("geo_predicate_intersects", "meet", "hit", O.intersects)
+_pair_query("geo_predicate_disjoint", "NOT meet", "hit", O.disjoint)
+_pair_query("geo_predicate_overlaps", "both_ > 1e-9 AND both_ < least(own, its) - 1e-9", "hit", O.overlaps)
+
+
+def _box(dx0: float, dy0: float, dx1: float, dy1: float):
+    """A rectangle around the own lower left corner."""
+    return G.rectangle(c("x0") + dx0, c("y0") + dy0, c("x0") + dx1, c("y0") + dy1)
+
+
+def _corners(*order: int):
+    return F.array(*(F.get(c("ring"), k) for k in order))
+
+
+def _path(*points):
+    return F.array(*(G.point(x, y) for x, y in points))
+
+
+_rect_query("geo_predicate_covered_by", "w <= 5 AND h <= 5 AS hit", lambda: [O.covered_by(c("ring"), _box(-1, -1, 5, 5)).alias("hit")])
+_rect_query("geo_predicate_contains_properly", "w < 5 AND h < 5 AS hit", lambda: [O.contains_properly(_box(-1, -1, 5, 5), c("ring")).alias("hit")])
+_rect_query("geo_predicate_equals_topo", "p_partkey % 2 = 0 AS hit", lambda: [O.equals_topo(c("ring"), F.when(c("p_partkey") % 2 == 0, _corners(2, 1, 0, 3, 2)).otherwise(G.translate(c("ring"), 1.0, 0.0))).alias("hit")])
+_rect_query("geo_predicate_touches", "p_partkey % 2 = 0 AS hit", lambda: [O.touches(c("ring"), G.translate(c("ring"), c("w") + c("p_partkey") % 2, 0.0)).alias("hit")])
+_rect_query("geo_predicate_crosses", "w < 5 AS hit", lambda: [O.crosses(_path((c("x0") + 0.5, c("y0") + 0.5), (c("x0") + 5, c("y0") + 0.5)), c("ring")).alias("hit")])
+_rect_query("geo_boundary", "x0 AS x, y0 + h AS y", lambda: [F.get(O.boundary(F.slice(c("ring"), 1, 3)), 0)["x"].alias("x"), F.get(O.boundary(F.slice(c("ring"), 1, 3)), 1)["y"].alias("y")])
+_rect_query("geo_buffer", "round(w * h + 2 * (w + h) + 16 * sin(pi() / 16), 6) AS area", lambda: [_rounded(G.area(O.buffer(c("ring"), 1.0))).alias("area")])
+_rect_query("geo_convex_hull", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [_rounded(G.area(O.convex_hull(F.concat(c("ring"), F.array(G.centroid(c("ring"))))))).alias("area")])
+_rect_query("geo_point_on_surface", "round(x0 + w / 2.0, 4) AS x, round(y0 + h / 2.0, 4) AS y", lambda: [F.round(O.point_on_surface(c("ring"))[k], 4).alias(k) for k in ("x", "y")])
+_rect_query("geo_clean_topology", "5 AS n", lambda: [F.size(O.clean_topology(G.densify(G.translate(c("ring"), -c("x0"), -c("y0")), 1.0))).alias("n")])
+_rect_query("geo_simplify", "5 AS n", lambda: [F.size(O.simplify(G.densify(c("ring"), 1.0), 0.01)).alias("n")])
+_rect_query("geo_geometry_diagnostics", "p_partkey % 2 = 0 AS is_valid, CASE WHEN p_partkey % 2 <> 0 THEN 'crosses itself' END AS reason", lambda: [O.diagnostics(F.when(c("p_partkey") % 2 == 0, c("ring")).otherwise(_corners(0, 2, 1, 3, 0)))[k].alias(k) for k in ("is_valid", "reason")])
+_rect_query("geo_snap", "x0 + CAST(0.05 AS DOUBLE) AS x", lambda: [F.get(O.snap(c("ring"), _path((c("x0") + 0.05, c("y0"))), 0.1), 0)["x"].alias("x")])
+_rect_query("geo_split", "round(w * h / CAST(4 AS DOUBLE), 6) AS lo, round(3 * w * h / CAST(4 AS DOUBLE), 6) AS hi", lambda: [_rounded(f(F.transform(O.split(c("ring"), G.point(c("x0") + c("w") / 4, c("y0")), G.point(c("x0") + c("w") / 4, c("y0") + 1)), G.area))).alias(k) for k, f in (("lo", F.array_min), ("hi", F.array_max))])
+_rect_query("geo_shared_paths", "round(w - CAST(0.5 AS DOUBLE), 6) AS length, false AS forward", lambda: [_rounded(G.distance(z["p"], z["q"])).alias("length") for z in [F.get(O.shared_paths(F.slice(c("ring"), 1, 2), _path((c("x0") + c("w"), c("y0")), (c("x0") + 0.5, c("y0")))), 0)]] + [F.get(O.shared_paths(F.slice(c("ring"), 1, 2), _path((c("x0") + c("w"), c("y0")), (c("x0") + 0.5, c("y0")))), 0)["forward"].alias("forward")])
+_rect_query("geo_line_substring", "CAST(1 AS DOUBLE) AS length", lambda: [_rounded(G.length(O.line_substring(F.slice(c("ring"), 1, 3), lit(0.5), lit(1.5)))).alias("length")])
+_rect_query("geo_frechet_distance", "CAST(2 AS DOUBLE) AS d", lambda: [_rounded(O.frechet_distance(F.slice(c("ring"), 1, 3), G.translate(F.slice(c("ring"), 1, 3), 0.0, 2.0))).alias("d")])
+_rect_query("geo_geodesic_distance", "round(6378137 * radians(w), 3) AS d", lambda: [F.round(O.geodesic_distance(G.point(c("x0"), lit(0.0)), G.point(c("x0") + c("w"), lit(0.0))), 3).alias("d")])
+_rect_query("geo_geodesic_line_length", "round(6378137 * radians(w + h), 3) AS length", lambda: [F.round(O.geodesic_line_length(_path((c("x0"), lit(0.0)), (c("x0") + c("w"), lit(0.0)), (c("x0") + c("w") + c("h"), lit(0.0)))), 3).alias("length")])
+simple("geo_geodesic_area", "part", None, lambda d: _rects(d).select("p_partkey", F.round(O.geodesic_area(G.scale(c("ring"), 0.9, 0.9)), 0).alias("area")))
+simple("geo_reproject", "customer", f"SELECT c_custkey, round(6378137 * radians(x), 3) AS x, round(6378137 * ln(tan(pi() / 4 + radians(y) / 2)), 3) AS y FROM {_PTS}", lambda d: _pts(d).select("c_custkey", F.get(O.to_web_mercator(F.array("p")), 0).alias("q")).select("c_custkey", F.round("q.x", 3).alias("x"), F.round("q.y", 3).alias("y")))
+
+# --- whole tables
+_WORLD = (-180.0, -85.0, 180.0, 85.0)
+
+
+def _grid(t, size: float) -> DataFrame:
+    return G.generate_grid(t("region").sparkSession, *_WORLD, size)
+
+
+def _sites(t) -> DataFrame:
+    return t("supplier").select("s_suppkey", G.point(F.expr("((s_suppkey * 37) % 3600) / CAST(10 AS DOUBLE) - 180"), F.expr("((s_suppkey * 17) % 1700) / CAST(10 AS DOUBLE) - 85")).alias("p"))
+
+
+@kernel(f"SELECT p_partkey FROM {_RECTS} WHERE x0 >= -90 AND x0 + w <= 90 AND y0 >= -45 AND y0 + h <= 45")
+def geo_within(t):
+    return S.within(_rects(t("part")), "ring", G.rectangle(lit(-90.0), lit(-45.0), lit(90.0), lit(45.0))).select("p_partkey")
+
+
+@kernel(f"SELECT p_partkey, round((least(x0 + w, 180) - x0) * (least(y0 + h, 85) - y0), 5) AS area FROM {_RECTS}")
+def geo_clip(t):
+    cut = S.clip(_rects(t("part")).select("p_partkey", "ring"), _grid(t, 10.0), "ring", "ring", 10.0)
+    return cut.groupBy("p_partkey").agg(F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
+
+
+@kernel(f"SELECT p_partkey, round(CAST(w * h AS DOUBLE), 5) AS area FROM {_RECTS}")
+def geo_overlay(t):
+    cut = S.overlay(_rects(t("part")), _grid(t, 10.0).withColumn("cell", c("col") * 17 + c("row")), "p_partkey", "cell", "ring", "ring", 10.0, "identity")
+    return cut.groupBy("p_partkey").agg(F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
+
+
+@kernel(f"SELECT a.p_partkey, b.p_partkey AS other, round(greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)), 6) AS common FROM {_RECTS} a JOIN {_RECTS} b ON a.p_partkey < b.p_partkey AND least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0) > 1e-6 AND least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0) > 1e-6")
+def geo_coverage_validate(t):
+    return S.coverage_validate(_rects(t("part")), "p_partkey", "ring", 5.0).withColumn("common", F.round("common", 6))
+
+
+@kernel("SELECT range AS band, CAST(10200 AS DOUBLE) AS area, CAST(102 AS BIGINT) AS n, CAST(460 AS DOUBLE) AS perimeter FROM range(6)")
+def geo_dissolve(t):
+    return S.dissolve(_grid(t, 10.0).withColumn("band", F.floor(c("col") / 6)), ["band"], "ring", F.count("*").alias("n"))
+
+
+@kernel(f"SELECT p_partkey, round(CAST(w * h AS DOUBLE), 5) AS area FROM {_RECTS}")
+def geo_subdivide(t):
+    return S.subdivide(_rects(t("part")).select("p_partkey", "ring"), "ring", 4.0).groupBy("p_partkey").agg(F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
+
+
+@kernel()
+def geo_cluster_dbscan(t):
+    return S.cluster_dbscan(_pts(t("customer")), "c_custkey", "p", 4.1, 3)
+
+
+@kernel()
+def geo_voronoi(t):
+    return S.voronoi(_sites(t), "s_suppkey", "p", _WORLD, 10.0).select("s_suppkey", F.round(G.area(c("cell")), 5).alias("area"))
+
+
+@kernel()
+def geo_delaunay(t):
+    return S.delaunay_edges(_sites(t), "s_suppkey", "p", _WORLD, 10.0).select("s_suppkey", c("q.x").alias("x"), c("q.y").alias("y"))
