@@ -302,33 +302,34 @@ def diagnostics(ring: Column) -> Column:
 
 
 def simplify(path: Column, tolerance: float) -> Column:
-    """Douglas-Peucker: no dropped point is further than ``tolerance`` from the path kept."""
-    @F.pandas_udf(PATH)
-    def kept(xs, ys):
-        import numpy as np
-        import pandas as pd
-
-        def one(x, y):
-            if x is None or len(x) < 3:
-                return None if x is None else [{"x": u, "y": v} for u, v in zip(x, y, strict=True)]
-            keep, todo = {0, len(x) - 1}, [(0, len(x) - 1)]
-            while todo:
-                i, j = todo.pop()
-                if j - i < 2:
-                    continue
-                dx, dy, px, py = x[j] - x[i], y[j] - y[i], x[i + 1 : j] - x[i], y[i + 1 : j] - y[i]
-                far = dx * dx + dy * dy
-                t = np.clip((px * dx + py * dy) / far, 0, 1) if far else np.zeros(len(px))
-                away = np.hypot(px - t * dx, py - t * dy)
-                k = int(away.argmax())
-                if away[k] > tolerance:
-                    keep.add(i + 1 + k)
-                    todo += [(i, i + 1 + k), (i + 1 + k, j)]
-            return [{"x": x[k], "y": y[k]} for k in sorted(keep)]
-
-        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)])
-
-    return kept(F.transform(path, lambda p: p["x"]), F.transform(path, lambda p: p["y"]))
+    """Douglas-Peucker: no dropped point is further than ``tolerance`` from the path kept.
+
+    Each round adds the furthest point of every stretch that needs one; rounds after the last change cost nothing.
+    """
+    def away(points: Column, i: Column, j: Column, k: Column) -> Column:
+        a, b, p = F.get(points, i), F.get(points, j), F.get(points, k)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        far = dx * dx + dy * dy
+        t = F.when(far > 0, F.least(F.greatest(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / far, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return F.hypot(p["x"] - a["x"] - t * dx, p["y"] - a["y"] - t * dy)
+
+    def furthest(points: Column, i: Column, j: Column) -> Column:
+        inner = F.transform(F.sequence(i + 1, F.greatest(j - 1, i + 1)), lambda k: F.struct(away(points, i, j, k).alias("d"), (-k).alias("k")))
+        return F.when(j - i > 1, F.array_max(inner))
+
+    def kept(points: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            keep = s["keep"]
+            found = F.zip_with(F.slice(keep, F.lit(1), F.size(keep) - 1), F.slice(keep, F.lit(2), F.size(keep) - 1), lambda i, j: furthest(points, i, j))
+            add = F.transform(F.filter(found, lambda z: z["d"] > tolerance), lambda z: -z["k"])
+            more = _let(add, lambda new: F.struct(F.array_sort(F.concat(keep, new)).alias("keep"), (F.size(new) == 0).alias("done")))
+            return F.when(s["done"], s).otherwise(more)
+
+        start = F.struct(F.array(F.lit(0), F.size(points) - 1).alias("keep"), F.lit(False).alias("done"))
+        rounds = F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1)))
+        return F.when(F.size(points) < 3, points).otherwise(F.aggregate(rounds, start, step, lambda s: F.transform(s["keep"], lambda k: F.get(points, k))))
+
+    return _let(path, lambda points: F.when(points.isNotNull(), kept(points)))
 
 
 # --- the earth

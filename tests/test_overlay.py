@@ -85,3 +85,24 @@ def test_the_earth(spark):
     back = value(spark, O.from_web_mercator(O.to_web_mercator(shape([(12.5, 41.9)]))))
     assert tuple(back[0]) == pytest.approx((12.5, 41.9))
     assert value(spark, F.get(O.to_web_mercator(shape([(180, 0)])), 0)["x"]) == pytest.approx(20037508.342789244)
+
+
+def _simplified(points, tolerance):
+    """Douglas-Peucker by recursion."""
+    if len(points) < 3:
+        return points
+    a, b = np.array(points[0], float), np.array(points[-1], float)
+    p = np.array(points[1:-1], float) - a
+    far = ((b - a) ** 2).sum()
+    t = np.clip(p @ (b - a) / far, 0, 1) if far else np.zeros(len(p))
+    away = np.hypot(*(p - t[:, None] * (b - a)).T)
+    k = int(away.argmax())
+    return [points[0], points[-1]] if away[k] <= tolerance else _simplified(points[: k + 2], tolerance)[:-1] + _simplified(points[k + 1 :], tolerance)
+
+
+def test_simplify_against_recursion(spark):
+    rng = np.random.default_rng(11)
+    for n in (2, 3, 40, 120):
+        pts = [(float(x), float(y)) for x, y in zip(np.arange(n), rng.normal(0, 2, n).round(3))]
+        assert [tuple(p) for p in value(spark, O.simplify(shape(pts), 1.5))] == _simplified(pts, 1.5)
+    assert [tuple(p) for p in value(spark, O.simplify(G.densify(shape([(0, 0), (4, 0), (4, 4)]), 1.0), 0.01))] == [(0, 0), (4, 0), (4, 4)]
