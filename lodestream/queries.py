@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lodestream.operators import geo as G
+from lodestream.operators import linework as L
 from lodestream.operators import overlay as O
 from lodestream.operators import spatial as S
 from lodestream.operators import table as T
@@ -418,3 +419,26 @@ def geo_voronoi(t):
 @kernel()
 def geo_delaunay(t):
     return S.delaunay_edges(_sites(t), "s_suppkey", "p", _WORLD, 10.0).select("s_suppkey", c("q.x").alias("x"), c("q.y").alias("y"))
+
+
+@kernel("SELECT p_partkey // 10 AS chain, min(p_partkey) AS p_partkey, CAST(count(*) AS DOUBLE) AS length FROM part GROUP BY 1")
+def geo_line_merge(t):
+    k, chain = c("p_partkey"), F.floor(c("p_partkey") / 10)
+    d = t("part").select("p_partkey", chain.alias("chain"), F.when(k % 2 == 0, _path((k, chain), (k + 1, chain))).otherwise(_path((k + 1, chain), (k, chain))).alias("path"))
+    return L.line_merge(d, ["chain"], "p_partkey", "path").select("chain", "p_partkey", G.length(c("path")).alias("length"))
+
+
+@kernel("SELECT r_regionkey, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS area FROM region, range(3) a(i), range(2) b(j)")
+def geo_polygonize(t):
+    n = F.explode(F.sequence(lit(0), lit(3))).alias
+    at = t("region").select("r_regionkey", n("i")).select("r_regionkey", "i", n("j"))
+    across, up = _path((c("i"), c("j")), (c("i") + 1, c("j"))), _path((c("i"), c("j")), (c("i"), c("j") + 1))
+    lines = at.where("i < 3 AND j < 3").select("r_regionkey", (c("i") * 8 + c("j") * 2).alias("k"), across.alias("path")).union(at.where("j < 2").select("r_regionkey", (c("i") * 8 + c("j") * 2 + 1).alias("k"), up.alias("path")))
+    b = G.bounds(c("ring"))
+    return L.polygonize(lines, ["r_regionkey"], "k", "path").select("r_regionkey", b["minx"].alias("x"), b["miny"].alias("y"), G.area(c("ring")).alias("area"))
+
+
+@kernel(f"SELECT p_partkey, CAST(2 AS BIGINT) AS n, round(w * h / CAST(2 AS DOUBLE), 5) AS area FROM {_RECTS}")
+def geo_make_valid(t):
+    bow = _rects(t("part")).select("p_partkey", _corners(0, 2, 1, 3, 0).alias("ring"))
+    return L.make_valid(bow, "p_partkey", "ring").groupBy("p_partkey").agg(F.count("*").alias("n"), F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
