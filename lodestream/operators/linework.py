@@ -4,12 +4,14 @@ Pieces of line are contracted in rounds: a junction of two pieces joins them if
 its random rank in the round is below the ranks at the far ends of both. So no
 piece joins twice in a round, a constant share of the junctions goes in each,
 and a chain of n pieces takes about log n rounds of equi-joins. Only a flag a
-round comes to the driver; lineage is cut with ``checkpoint``. Keys are unique
+round comes to the driver; each round is written to the shared folder. Keys are unique
 within a group. Rows with a null path or fewer than two points have no line.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ from lodestream.operators.geo import _segments, _signed_area, covers_point
 DECIMALS = 9
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` (the warehouse where it is unset) and read back."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/pieces-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _ends(path: Column) -> tuple[Column, Column]:
     return F.get(path, F.lit(0)), F.get(path, F.size(path) - 1)
 
@@ -50,7 +61,7 @@ def _sewn(pieces: DataFrame) -> DataFrame:
         joined = two.select(F.col("u.key").alias("key"), F.col("u.a").alias("a"), F.col("v.b").alias("b"), F.concat("u.path", F.slice("v.path", F.lit(2), F.size("v.path") - 1)).alias("path"), (F.col("u_out") & F.col("v_in")).alias("turned"))
         # where the whole is against both pieces' own directions, it turns
         joined = joined.select("key", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"), F.when(F.col("turned"), F.reverse("path")).otherwise(F.col("path")).alias("path"))
-        pieces = marked.where("j IS NULL").select("key", "a", "b", "path").union(joined).checkpoint()
+        pieces = _cut(marked.where("j IS NULL").select("key", "a", "b", "path").union(joined))
 
 
 def _as_pieces(df: DataFrame, by: list[str], key: str, path: str) -> DataFrame:
@@ -68,11 +79,11 @@ def _without_dangles(pieces: DataFrame) -> DataFrame:
     """Sewn pieces; those that end where nothing else does go, until there are none."""
     while True:
         pieces = _sewn(pieces)
-        loose = pieces.select(F.explode(F.array("a", "b")).alias("j")).groupBy("j").count().where("count = 1").select("j").checkpoint()
+        loose = _cut(pieces.select(F.explode(F.array("a", "b")).alias("j")).groupBy("j").count().where("count = 1").select("j"))
         if loose.isEmpty():
             return pieces
         pieces = pieces.join(loose, pieces.a == loose.j, "left_anti")
-        pieces = pieces.join(loose, pieces.b == loose.j, "left_anti").checkpoint()
+        pieces = _cut(pieces.join(loose, pieces.b == loose.j, "left_anti"))
 
 
 def polygonize(df: DataFrame, by: list[str], key: str, path: str) -> DataFrame:
@@ -90,7 +101,7 @@ def polygonize(df: DataFrame, by: list[str], key: str, path: str) -> DataFrame:
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = walks.select(F.col("twin").alias("before"), F.coalesce(F.lag("id").over(around), F.last("id").over(whole)).alias("id"))
     walks = walks.select("id", F.struct(*(F.col(f"a.{c}").alias(c) for c in by), F.lit(0).alias("_")).alias("group"), "path").join(following, "id")
-    pieces = walks.select(F.struct("id", "group").alias("key"), F.col("before").alias("a"), F.col("id").alias("b"), "path").checkpoint()
+    pieces = _cut(walks.select(F.struct("id", "group").alias("key"), F.col("before").alias("a"), F.col("id").alias("b"), "path"))
     faces = _sewn(pieces).where(_signed_area(F.col("path")) > O.EPS)
     return faces.select(*(F.col(f"key.group.{c}").alias(c) for c in by), F.col("key.id.key._k").alias(key), F.col("path").alias("ring"))
 
