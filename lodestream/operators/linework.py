@@ -142,5 +142,5 @@ def make_valid(df: DataFrame, key: str, ring: str) -> DataFrame:
     lines = df.select(F.col(key).alias("_of"), F.posexplode(_noded(F.col(ring))).alias("_k", "_s")).where("_s.a <> _s.b")
     lines = lines.select("_of", F.struct("_of", "_k").alias("_id"), F.array("_s.a", "_s.b").alias("_path"))
     faces = polygonize(lines, ["_of"], "_id", "_path").select("_of", F.col("ring").alias("_face"))
-    inside = faces.join(df.select(F.col(key).alias("_of"), F.col(ring).alias("_ring")), "_of").where(covers_point(F.col("_ring"), O.point_on_surface(F.col("_face"))))
+    inside = faces.join(df.select(F.col(key).alias("_of"), F.col(ring).alias("_ring")), "_of").where(O._let(O.point_on_surface(F.col("_face")), lambda p: covers_point(F.col("_ring"), p)))
     return inside.select(F.col("_of").alias(key), F.col("_face").alias(ring))
