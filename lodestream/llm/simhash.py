@@ -181,7 +181,7 @@ def near_links(distinct: DataFrame, radius: int, width: int = 1) -> DataFrame:
         least = ball.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
         more = ball.join(least, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
         return links.union(more)
-    # wide: bounded runs of a bucket in id order are compared inside and with the least of the bucket
+    # wide: in a crowded bucket each is compared with the least only; two others may still meet in a smaller bucket
     hot_keys = rows.join(crowded, "id", "left_semi")
     least = hot_keys.groupBy("key").agg(F.min(F.struct("id", *(f"w{k}" for k in range(width)))).alias("least"), F.count("*").alias("n")).where(f"n > {BUCKET}").select("key", "least")
     close = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"least.w{k}"))) for k in range(width)), F.lit(0)) <= radius
