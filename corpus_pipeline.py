@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import saved
 from lodestream.llm.decontam import with_overlaps
+from lodestream.llm.jaccard import first_of_each_group
 from lodestream.llm.packing import packed
 from lodestream.llm.pii import redacted
-from lodestream.llm.simhash import first_of_each_group
 from lodestream.llm.toxicity import fit_toxicity, with_toxicity
 
 #: Documents that score at least this go.

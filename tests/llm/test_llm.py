@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestream.llm import decontam, fm_quality, packing, pii, queries, simhash, simple8b, suffix_dedup, syncmers, token_counts, tokens, toxicity
+from lodestream.llm import decontam, fm_quality, jaccard, packing, pii, queries, simhash, simple8b, suffix_dedup, syncmers, token_counts, tokens, toxicity
 from lodestream.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -346,3 +346,54 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in out.collect()} == before
         docs = out
     assert {r.doc_id for r in docs.collect()} == before
+
+
+def near_copies(seed=3):
+    """Pairs around similarity 0.8, a family of 150 edited copies of one text, and texts that share a long passage."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+
+    def words(n):
+        return [rnd.choice(vocabulary) for _ in range(n)]
+
+    def edited(source, edits):
+        out = list(source)
+        for k in rnd.sample(range(len(out)), edits):
+            out[k] = rnd.choice(vocabulary)
+        return out
+
+    found = []
+    for _ in range(60):
+        one = words(rnd.randint(40, 160))
+        found += [one, edited(one, rnd.randint(0, max(1, len(one) // 40)))]
+    template, passage = words(120), words(60)
+    found += [edited(template, rnd.randint(1, 5)) for _ in range(150)]
+    found += [words(3) + passage + words(rnd.randint(3, 12)) for _ in range(60)]
+    found += [["a", "b"], ["A", "b"], [], []]
+    return [(k, " ".join(x)) for k, x in enumerate(found)]
+
+
+def exact_groups(docs):
+    """Least doc_id of each doc_id's group: links are Jaccard similarities of at least 0.8, over all pairs."""
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in sets}
+
+
+def test_near_duplicates_are_exact(spark):
+    import corpus_pipeline as P
+
+    docs = near_copies()
+    kept = {r.doc_id for r in P.near_duplicates(spark, frame(spark, docs), SF).collect()}
+    assert kept == set(exact_groups(docs).values())
