@@ -16,9 +16,8 @@ whole ball of radius 2 instead: those that share such a variant are all within
 4 bits of each other, so each is linked to the least of them, with no comparing.
 
 Wide fingerprints (several 64-bit words, from independent mixes of one shingle
-hash) estimate similarity with less variance. Their 32-bit blocks emit variants
-in the same way; a near pair meets in at least one of many blocks with high
-probability, and the whole width verifies it.
+hash) have no linking: their blocks would find near pairs with some probability
+only. Similarity of shingle sets is found exactly in ``jaccard``.
 
 Nulls and empty texts have the zero fingerprint and link like any other.
 """
@@ -31,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import components, id_and_text, saved, slices
@@ -115,9 +114,11 @@ def _masks(bits: int, radius: int) -> list[int]:
 def near_links(distinct: DataFrame, radius: int, width: int = 1) -> DataFrame:
     """Links a, b (ids) among ``distinct`` (id long, fp array<long>, one row per fingerprint) within ``radius`` bits.
 
-    Every two linked fingerprints are connected by the rows returned (for a width
-    of 1 and a radius of 4; wider ones by the blocks that they share).
+    Every two linked fingerprints are connected by the rows returned. That holds for
+    one word and 4 bits; anything wider is refused.
     """
+    if width != 1 or radius > 4:
+        raise ValueError("links are complete for one word and a radius of at most 4 bits only")
     halves = []
     for k in range(width):
         halves += [F.get("fp", k).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.get("fp", k), 32)]
@@ -175,18 +176,11 @@ def near_links(distinct: DataFrame, radius: int, width: int = 1) -> DataFrame:
     found = saved(dealt.mapInArrow(buckets, "a long, b long").distinct(), "links")
     links = found.where("a <> b")
     crowded = found.where("a = b").select(F.col("a").alias("id"))
-    if width == 1 and radius <= 4:
-        whole = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _masks(64, radius // 2)))
-        ball = crowded.join(distinct, "id").select("id", F.explode(F.transform(whole, lambda m: F.get("fp", 0).bitwiseXOR(m))).alias("key"))
-        least = ball.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-        more = ball.join(least, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        return links.union(more)
-    # wide: in a crowded bucket each is compared with the least only; two others may still meet in a smaller bucket
-    hot_keys = rows.join(crowded, "id", "left_semi")
-    least = hot_keys.groupBy("key").agg(F.min(F.struct("id", *(f"w{k}" for k in range(width)))).alias("least"), F.count("*").alias("n")).where(f"n > {BUCKET}").select("key", "least")
-    close = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"least.w{k}"))) for k in range(width)), F.lit(0)) <= radius
-    star = hot_keys.join(least, "key").where(close & (F.col("id") != F.col("least.id"))).select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
-    return links.union(star)
+    whole = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _masks(64, radius // 2)))
+    ball = crowded.join(distinct, "id").select("id", F.explode(F.transform(whole, lambda m: F.get("fp", 0).bitwiseXOR(m))).alias("key"))
+    least = ball.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    more = ball.join(least, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    return links.union(more)
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,21 +201,3 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, width:
     of_fp = labelled.join(least, "root").select("id", "component_id")
     hexed = F.lower(F.concat(*(F.lpad(F.hex(F.get("fp", k)), 16, "0") for k in range(width))))
     return fps.withColumn("id", ident).join(of_fp, "id").select("doc_id", hexed.alias("fingerprint"), "component_id")
-
-
-#: The near-duplicate contract of stages: shingles of five words, similarity of 0.8 or more. The share of differing
-#: bits of two fingerprints estimates the angle between their shingle counts; at Jaccard 0.8 it is 38.7 of 256 bits.
-STAGE = {"words": 5, "width": 4, "radius": 38}
-
-
-def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies, the row of the least doc_id; columns stay. Repeated rows of that id leave one row.
-
-    Rows without an id cannot be told apart and all stay.
-    """
-    kept = simhash_components(docs, **STAGE).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    if docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        named = named.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
-    rest = named.join(kept, named.doc_id == kept._kept, "left_semi")
-    return rest.union(docs.where("doc_id IS NULL"))

@@ -397,3 +397,16 @@ def test_near_duplicates_are_exact(spark):
     docs = near_copies()
     kept = {r.doc_id for r in P.near_duplicates(spark, frame(spark, docs), SF).collect()}
     assert kept == set(exact_groups(docs).values())
+
+
+@pytest.mark.parametrize("block", [2000, 1 << 18])
+def test_crowded_buckets_lose_no_link(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 1)  # every bucket goes by blocks; the smaller size: by many
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    docs = near_copies()
+    least = exact_groups(docs)
+    label = {r.doc_id: r.component for r in jaccard.near_duplicate_components(frame(spark, docs)).collect()}
+    assert len({label[i] for i in label}) == len(set(least.values()))
+    assert all(label[i] == label[least[i]] for i in label)
+    with pytest.raises(ValueError):
+        simhash.near_links(spark.createDataFrame([], "id long, fp array<long>"), 38, 4)
