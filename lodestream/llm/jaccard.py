@@ -262,15 +262,19 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies, the row of the least doc_id; columns stay. Repeated rows of that id leave one row.
+    """Of each group of near copies, the row of the least doc_id (ties: the least text); columns stay.
 
+    Rows of one doc_id that are no near copies of each other are in groups of their own.
     Rows without an id cannot be told apart and all stay.
     """
-    kept = near_duplicate_components(docs).where("doc_id IS NOT NULL")
-    least = kept.groupBy("component").agg(F.min("doc_id").alias("_kept"))
-    kept = kept.join(least, "component").where("doc_id = _kept").select("_kept").distinct()
+    rows = near_duplicate_components(docs).where("doc_id IS NOT NULL")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("_kept"))
+    kept = saved(rows.join(least, "component").where("doc_id = _kept").select("_kept", F.col("text_hash").alias("_hash"), F.col("component").alias("_component")).distinct(), "kept")
     named = docs.where("doc_id IS NOT NULL")
-    if docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        named = named.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
-    rest = named.join(kept, named.doc_id == kept._kept, "left_semi")
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        at = (F.col("doc_id").cast("long") == F.col("_kept")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_hash"))
+        order = Window.partitionBy("_kept", "_component").orderBy("text")
+        rest = named.join(kept, at).withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    else:
+        rest = named.join(kept, named.doc_id == kept._kept, "left_semi")
     return rest.union(docs.where("doc_id IS NULL"))

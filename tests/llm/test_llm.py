@@ -410,3 +410,12 @@ def test_crowded_buckets_lose_no_link(spark, block, monkeypatch):
     assert all(label[i] == label[least[i]] for i in label)
     with pytest.raises(ValueError):
         simhash.near_links(spark.createDataFrame([], "id long, fp array<long>"), 38, 4)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    one, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"z{k}" for k in range(60))
+    rows = [(1, one), (2, one + " more"), (2, other), (3, other + " more"), (4, other.upper()), (5, one), (6, "b"), (6, "b"), (6, "c"), (None, one), (8, None), (9, "")]
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, frame(spark, rows), SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (2, other), (6, "b"), (6, "c"), (None, one), (8, None)], key=str)
