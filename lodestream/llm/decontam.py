@@ -4,7 +4,14 @@ A seed is a fixed mask over a window of tokens; the positions it ignores may
 differ. Every window of every text and of every benchmark item is hashed under
 each mask. Where the hashes meet, the two are aligned and the overlap is
 extended both ways, with a penalty for substitutions, and kept if it is long and
-alike enough. An item shorter than the masks is one window of its own length.
+alike enough; where the best-scoring stretch is not, the longest one that is.
+
+No overlap of 13 tokens or more with 80% agreement escapes the two masks. With k
+substitutions it has L >= 5k tokens; if no four agree in a row, L <= 4k + 3, so
+k = 3, L = 15 and the substitutions leave runs of three, which the second mask
+hits. An item of 5 to 12 tokens must agree over its whole length but for one in
+five: of k + 2 blocks k substitutions leave two whole, so there is a mask for
+each two blocks.
 
 Tokens are runs of letters and digits, lower-cased, so case and punctuation do
 not matter. Benchmark items go to the tasks in blocks of at most
@@ -20,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +38,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import id_and_text, slices
 
 #: Fixed masks: 1 counts, 0 is ignored.
-MASKS = ("1110110101101", "11011001110111", "1111001011011")
+MASKS = ("1111", "1110111")
 #: Tokens of an overlap, and the share of them that must agree.
 LEAST_OVERLAP, LEAST_AGREEMENT = 13, 0.8
 LEAST_TOKENS = 5
@@ -78,6 +86,20 @@ def extended(same: np.ndarray, at: int, span: int) -> tuple[int, int]:
     return start, end
 
 
+def longest(same: np.ndarray) -> tuple[int, int]:
+    """The longest stretch of an alignment that agrees in LEAST_AGREEMENT (four of five) of its places."""
+    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int((np.arange(len(total)) - first).argmax())
+    return int(first[end]), end
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Places of an item of ``n`` tokens such that any n // 5 substitutions leave one of the masks whole."""
+    parts = np.array_split(np.arange(n), n // 5 + 2)
+    return [tuple(np.concatenate(two).tolist()) for two in combinations(parts, 2)]
+
+
 class ItemIndex:
     """Seeds of a block of benchmark items, ready to look up."""
 
@@ -85,7 +107,7 @@ class ItemIndex:
         hashes = TokenHashes()
         self.items = [(item_id, tokens) for item_id, text in items if len(tokens := hashes.of(text)) >= LEAST_TOKENS]
         self.shapes = [(tuple(k for k, c in enumerate(m) if c == "1"), len(m)) for m in MASKS]
-        self.shapes += [(tuple(range(n)), n) for n in sorted({len(t) for _, t in self.items if len(t) < max(s for _, s in self.shapes)})]
+        self.shapes += [(places, n) for n in sorted({len(t) for _, t in self.items if len(t) < LEAST_OVERLAP}) for places in short_masks(n)]
         self.tables: list[tuple[tuple[int, ...], int, np.ndarray, dict[int, list[tuple[int, int]]]]] = []
         for k, (places, span) in enumerate(self.shapes):
             found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -110,10 +132,17 @@ class ItemIndex:
                     item_id, own = self.items[n]
                     back, ahead = min(i, j), min(len(tokens) - i, len(own) - j)
                     same = tokens[i - back : i + ahead] == own[j - back : j + ahead]
+                    least = min(LEAST_OVERLAP, len(own))
+                    if len(same) < least or int(same.sum()) < LEAST_AGREEMENT * least:
+                        seen[n, i - j] = len(tokens)
+                        continue
                     a, b = extended(same, back, span)
                     seen[n, i - j] = i - back + b
                     agree = int(same[a:b].sum())
-                    if b - a >= min(LEAST_OVERLAP, len(own)) and agree >= LEAST_AGREEMENT * (b - a) and agree > best.get(item_id, (0, 0))[1]:
+                    if b - a < least or agree < LEAST_AGREEMENT * (b - a):
+                        a, b = longest(same)
+                        agree = int(same[a:b].sum())
+                    if b - a >= least and agree > best.get(item_id, (0, 0))[1]:
                         best[item_id] = (b - a, agree, i - back + a, j - back + a)
         return best
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -419,3 +420,15 @@ def test_near_duplicates_with_repeated_ids(spark):
     rows = [(1, one), (2, one + " more"), (2, other), (3, other + " more"), (4, other.upper()), (5, one), (6, "b"), (6, "b"), (6, "c"), (None, one), (8, None), (9, "")]
     got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, frame(spark, rows), SF).collect()]
     assert sorted(got, key=str) == sorted([(1, one), (2, other), (6, "b"), (6, "c"), (None, one), (8, None)], key=str)
+
+
+def test_masks_hit_every_pattern():
+    for n in range(decontam.LEAST_TOKENS, 21):
+        item = [f"t{k}" for k in range(n)]
+        index = decontam.ItemIndex([(1, " ".join(item))])
+        hashes = decontam.TokenHashes()
+        for places in combinations(range(n), n // 5):
+            text = ["x" if k in places else t for k, t in enumerate(item)]
+            found = index.overlaps(hashes.of(" ".join(["p", "q", *text, "r"])))
+            stretch = found[1]
+            assert stretch[0] >= min(13, n) and 5 * stretch[1] >= 4 * stretch[0]
