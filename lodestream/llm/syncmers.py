@@ -6,7 +6,9 @@ two texts that share a passage select the same anchors in it. A fingerprint is
 the ``size`` least anchor hashes (a bottom sketch), written as hexadecimal.
 
 Nulls and empty texts have the empty fingerprint; a text shorter than k bytes
-has one anchor, the hash of the whole text. Equal texts have equal fingerprints.
+has one anchor, the hash of the whole text. A longer one without a closed syncmer
+(only below 2k - s - 1 bytes) has one for the fingerprint: the k-mer that holds
+the least s-mer. Equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -52,7 +54,15 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(data: bytes, size: int = SIZE) -> np.ndarray:
     """The ``size`` least distinct anchor hashes, ascending."""
-    return np.unique(anchors(data)[1])[:size]
+    found = anchors(data)[1]
+    if data and not len(found):
+        eight = np.ndarray(len(data) - S + 1, "<u8", data, strides=(1,))
+        h = eight * _A
+        h ^= h >> _32
+        h *= _B
+        at = min(int(h.argmin()), len(data) - K)  # the k-mer that starts at the least s-mer, or the last
+        found = np.array([xxhash.xxh32_intdigest(data[at : at + K])], np.uint32)
+    return np.unique(found)[:size]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:

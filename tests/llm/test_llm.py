@@ -432,3 +432,12 @@ def test_masks_hit_every_pattern():
             found = index.overlaps(hashes.of(" ".join(["p", "q", *text, "r"])))
             stretch = found[1]
             assert stretch[0] >= min(13, n) and 5 * stretch[1] >= 4 * stretch[0]
+
+
+def test_every_short_text_has_an_anchor():
+    rnd = np.random.default_rng(4)
+    for n in range(1, 61):
+        for _ in range(40):
+            data, other = (rnd.integers(97, 123, n).astype(np.uint8).tobytes() for _ in range(2))
+            assert len(syncmers.sketch(data)) and (data == other or syncmers.likeness(syncmers.sketch(data), syncmers.sketch(other)) < 1 or n < 4)
+    assert not len(syncmers.sketch(b""))
