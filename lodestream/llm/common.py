@@ -33,6 +33,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes for no column of ``df`` to have it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a task holds few texts as Python strings at a time."""
     for batch in batches:
@@ -73,7 +81,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     hooks = saved(least.join(up, least.hook == up.up_node).select("node", F.col("up_hook").alias("hook")), name)
     to_a, to_b = (hooks.select(F.col("node").alias(c), F.col("hook").alias(f"hook_{c}")) for c in ("a", "b"))
     rest = once.join(to_a, "a").join(to_b, "b").select(F.least("hook_a", "hook_b").alias("a"), F.greatest("hook_a", "hook_b").alias("b"))
-    labels = _spread(_both(saved(rest.where("a < b").distinct(), name)), name).select(F.col("node").alias("hook"), "root")
+    rest = saved(rest.where("a < b").distinct(), name)
+    if not rest.limit(1).count():
+        return hooks.select("node", F.col("hook").alias("root"))
+    labels = _spread(_both(rest), name).select(F.col("node").alias("hook"), "root")
     return hooks.join(labels, "hook", "left").select("node", F.coalesce("root", "hook").alias("root"))
 
 

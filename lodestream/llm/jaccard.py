@@ -1,20 +1,32 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-Under one order of all shingles, two sets of similarity 0.8 or more share one of
-their first n - ceil(0.8 n) + 1 shingles: their prefixes. So each distinct set
-emits its prefix alone, and every pair that meets on a shingle of both prefixes
-is a candidate; none is lost, whatever the order. The order is: shingles that are
-frequent in a sample last, so that a passage which many texts share is in no
-prefix, then by hash. The sample decides only the cost.
-
-A bucket of at most ``BUCKET`` sets yields its pairs. A pair that meets only in
-such buckets shares as many shingles of the prefixes as it has meetings; that
-bounds its overlap, and only pairs that can reach 0.8 are verified on their
-whole sets. A larger bucket is cut into blocks by size of set, and each two
-blocks that hold sets of like sizes are compared whole, as a product of their
-incidence matrices; it yields a spanning forest of its links, never all pairs.
-
-Sets are of 64-bit hashes; texts without words have the empty set and are alike.
+"""Near-duplicates: SimHash balls and shingle prefixes propose, exact Jaccard decides.
+
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity
+of 0.8 or more. Pairs are proposed in two ways, and every link is verified on the
+whole sets:
+
+1. SimHash fingerprints within 4 bits, by the meet-in-the-middle ball hashing of
+   ``simhash``. That joins large families of near copies cheaply, but at a
+   similarity of 0.8 fingerprints lie some 10 of 64 bits apart: balls of that
+   radius have too many variants.
+2. Prefixes. Under one order of all shingles, two sets of similarity 0.8 or more
+   share one of their first n - ceil(0.8 n) + 1 shingles, whatever the order; so
+   each set emits its prefix alone, and no link is lost. The order is: shingles
+   that are frequent in a sample last, so that a passage which many texts share is
+   in no prefix, then by hash. The sample decides only the cost.
+
+A prefix bucket of at most ``BUCKET`` sets yields its pairs. A pair that meets only
+in such buckets shares as many shingles of the prefixes as it has meetings; that
+bounds its overlap, and only pairs that can reach 0.8 are verified. The sets of a
+larger bucket that the links so far do not join are compared whole: the bucket is
+cut into blocks by component and size, and each two blocks that could link are
+compared as a product of their incidence matrices. They yield a spanning forest of
+their links, never all pairs.
+
+Sets are of 64-bit hashes; texts without words (null, empty or white space) have the
+empty set and are alike. Texts of any length are taken whole. Repeated rows are exact
+copies of each other. Ties and null ids: see each function. Other columns of the
+input are never read by name, so their names cannot clash. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import components, id_and_text, saved, slices
-from lodestream.llm.simhash import shingle_hashes
+from lodestream.llm import simhash
+from lodestream.llm.common import components, free_name, id_and_text, saved, slices
+from lodestream.llm.simhash import majority, shingle_hashes
 
 WORDS = 5
+#: Bits by which fingerprints of a proposed pair differ, at most.
+RADIUS = 4
 BUCKET = 32
 #: Shingles (and 128 for each set) in a block of a larger bucket.
 BLOCK = 1 << 18
@@ -52,60 +67,69 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, id (hash of the set), n, shingles. No shuffle."""
+def frequent_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of the distinct texts, ascending, and their counts."""
+    texts = id_and_text(docs, id_col, text_col)
+    every = -(-texts.count() // SAMPLE) or 1
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(x) for x in batch["text"].to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "<u8").view("<i8")
-            flat = np.concatenate(sets) if sets else np.empty(0, "<i8")
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "id": pa.array(ids), "n": pa.array(sizes), "shingles": lists})
+            yield pa.record_batch({"s": pa.array(np.concatenate(sets) if sets else np.empty(0, "<i8"), pa.int64())})
 
-    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(work, "doc_id long, text_hash long, id long, n long, shingles array<long>")
-
-
-def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of the distinct sets, ascending, and their counts."""
-    every = -(-sets.count() // SAMPLE) or 1
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", F.explode("shingles").alias("s"))
-    # repeated sets of one id count once for each file partition at most: the order they give is as good
-    counts = sample.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
+    counts = sample.mapInArrow(work, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
     found = counts.orderBy(F.desc("c"), "s").limit(_HELD).toArrow()
     s, c = found["s"].to_numpy(), found["c"].to_numpy()
     order = np.argsort(s)
     return s[order], c[order]
 
 
-def prefix_rows(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key (a shingle of the prefix), n, id."""
+def in_order(s: np.ndarray, often: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """An ascending set with its frequent shingles last, by frequency."""
+    if not len(often) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+    return s[np.lexsort((s, np.where(often[at] == s, count[at], 0)))]
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, "<i8"), pa.int64()))
+
+
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, id (hash of the set), n (its size), fp (SimHash of the text), prefix. No shuffle.
+
+    Of equal sets that a task has seen lately only the first has its prefix, so that
+    a large group of copies is not shuffled row by row.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, count = frequent
+        seen: set[int] = set()
         for batch in slices(batches):
-            lists = batch["shingles"]
-            flat, cut = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            keys = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                s = flat[a:b]
-                if len(often) and len(s):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    s = s[np.lexsort((s, np.where(often[at] == s, count[at], 0)))]
-                keys.append(s[: prefix_size(len(s))] if len(s) else s)
-            sizes = [len(k) for k in keys]
+            ids, sizes, prints, heads = [], [], [], []
+            for text in batch["text"].to_pylist():
+                hashes = shingle_hashes(text.encode(), WORDS)
+                s = np.unique(hashes.view("<i8"))
+                own = xxhash.xxh64_intdigest(s.tobytes())
+                ids.append(own)
+                sizes.append(len(s))
+                prints.append(majority(hashes))
+                heads.append(in_order(s, *frequent)[: prefix_size(len(s))] if len(s) and own not in seen else s[:0])
+                if len(seen) > _HELD:
+                    seen.clear()
+                seen.add(own)
             yield pa.record_batch({
-                "key": pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64()),
-                "n": pa.array(np.repeat(batch["n"].to_numpy(), sizes), pa.int64()),
-                "id": pa.array(np.repeat(batch["id"].to_numpy(), sizes), pa.int64()),
+                "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "id": pa.array(np.array(ids, "<u8").view("<i8")),
+                "n": pa.array(sizes, pa.int32()), "fp": pa.array(np.array(prints, "<u8").view("<i8")), "prefix": lists(heads),
             })
 
-    return sets.select("id", "n", "shingles").mapInArrow(work, "key long, n long, id long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(work, "doc_id long, text_hash long, id long, n int, fp long, prefix array<long>")
 
 
-_MET = "crowded boolean, key long, a long, n_a long, b long, n_b long"
+_MET = "crowded boolean, key long, a long, n_a int, b long, n_b int"
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -125,7 +149,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         def flushed() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 6
             out.clear()
-            types = [pa.bool_()] + [pa.int64()] * 5
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _MET.split(", ")])
 
         for batch in batches:
@@ -222,59 +246,99 @@ def block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([ids[x] for x, _ in pairs], pa.int64()), "b": pa.array([ids[y] for _, y in pairs], pa.int64())})
 
 
-def near_links(rows: DataFrame) -> DataFrame:
-    """Links a, b (ids) that connect every two sets of similarity 0.8 or more. ``rows``: as shingle_sets gives them, saved."""
-    sets = rows.where("n > 0")
-    met = saved(meetings(prefix_rows(sets, frequent_shingles(sets))), "meetings")
+def ball_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: ids of sets whose fingerprints are equal or within ``RADIUS`` bits, enough of them to connect all such."""
+    of = sets.select("id", "fp").distinct()
+    first = saved(of.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    equal = of.join(first, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    near = simhash.near_links(first.select(F.col("fp").alias("id"), F.array("fp").alias("fp")), RADIUS)
+    of_a, of_b = (first.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
+    return equal.union(near.join(of_a, "a").join(of_b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
+def prefix_pairs(met: DataFrame) -> DataFrame:
+    """a, b: pairs that can reach 0.8 by the meetings of their prefixes."""
     # a pair without a crowded meeting shares exactly as many shingles of the prefixes as it has meetings
     pairs = met.where("NOT crowded").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
     after = F.greatest(*(F.floor((4 * F.col(n) + 4) / 5) - 1 for n in ("n_a", "n_b")))  # shingles behind the prefix
-    pairs = saved(pairs.where(alike(F.col("c") + after, F.col("n_a"), F.col("n_b"))), "pairs")
-    crowd = met.where("crowded").select("key", F.col("a").alias("id"), F.col("n_a").alias("n"))
-    before = Window.partitionBy("key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
-    crowd = saved(crowd.withColumn("block", F.floor(F.sum(F.col("n") + 128).over(before) / BLOCK)), "crowd")
+    return pairs.where(alike(F.col("c") + after, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowd.select("id")).distinct()
-    at = rows.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(wanted, "id").select(F.col("id").alias("_id"), "one")
-    found = rows.join(at, (rows.id == F.col("_id")) & rows.doc_id.eqNullSafe(F.col("one.doc_id")) & (rows.text_hash == F.col("one.text_hash")))
-    found = saved(found.select("id", "shingles").dropDuplicates(["id"]), "wanted")
 
-    set_a, set_b = (found.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    links = pairs.join(set_a, "a").join(set_b, "b").where(alike(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles of the ``wanted`` ids, from one text each."""
+    one = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("id", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("_doc"))
+    texts = id_and_text(docs, id_col, text_col).withColumn("_hash", F.xxhash64("text"))
+    found = texts.join(one, (texts._hash == one.text_hash) & texts.doc_id.eqNullSafe(one._doc)).select("id", "text")
 
-    ranges = crowd.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (ranges.select("key", F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in ("i", "j"))
-    both = x.join(y, "key").where("i <= j AND 4 * least_j <= 5 * most_i").select("key", "i", "j")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            yield pa.record_batch({"id": batch["id"], "shingles": lists([shingle_set(x) for x in batch["text"].to_pylist()])})
+
+    return found.mapInArrow(work, "id long, shingles array<long>").dropDuplicates(["id"])
+
+
+def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: links across components (``roots``: node, root) among the members (key, id, n) of crowded buckets."""
+    crowd = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    of = F.coalesce("root", "id")
+    mixed = crowd.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x < y").select("key")
+    # large components come in blocks of their own; sets that nothing is linked to follow by size
+    before = Window.partitionBy("key").orderBy(F.col("root").isNull(), "root", "n", "id").rowsBetween(Window.unboundedPreceding, 0)
+    crowd = crowd.join(mixed, "key").withColumn("block", F.floor(F.sum(F.col("n") + 128).over(before) / BLOCK))
+    crowd = saved(crowd.select("key", "block", "id", "n", of.alias("root")), "crowd")
+    ranges = crowd.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = (ranges.select("key", F.col("block").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("least", "most", "low", "high"))) for c in ("i", "j"))
+    both = x.join(y, "key").where("i <= j AND 4 * least_j <= 5 * most_i AND 4 * least_i <= 5 * most_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)").select("key", "i", "j")
     sides = [
         crowd.join(both.where(w).withColumn("block", F.col(c)), ["key", "block"]).select("key", "i", "j", F.lit(k).alias("side"), "id", "n")
         for k, (c, w) in enumerate((("i", "true"), ("j", "i < j")))
     ]
     blocks = sides[0].union(sides[1]).join(found, "id").select("key", "i", "j", "side", "id", "n", "shingles")
-    return links.union(blocks.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long"))
+    return blocks.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, component (long): texts linked by similarities of 0.8 or more. One row for each row of ``docs``."""
-    rows = saved(shingle_sets(docs, id_col, text_col), "shingles")
-    roots = components(near_links(rows), "components")
-    return rows.select("doc_id", "text_hash", "id").join(roots, F.col("id") == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("component"))
+    """doc_id, text_hash, component (long): texts linked by similarities of 0.8 or more. One row for each row of ``docs``, null ids too."""
+    rows = saved(prefixes(docs, frequent_shingles(docs, id_col, text_col), id_col, text_col), "prefixes")
+    sets = rows.where("n > 0")
+    met = saved(meetings(sets.select(F.explode("prefix").alias("key"), "n", "id")), "meetings")
+    proposed = ball_pairs(sets).union(prefix_pairs(met)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    proposed = saved(proposed.where("a < b").distinct(), "pairs")
+    crowd = met.where("crowded").select("key", F.col("a").alias("id"), F.col("n_a").alias("n"))
+    wanted = proposed.select(F.col("a").alias("id")).union(proposed.select("b")).union(crowd.select("id")).distinct()
+    found = saved(sets_of(docs, rows, wanted, id_col, text_col), "sets")
+
+    set_a, set_b = (found.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    links = proposed.join(set_a, "a").join(set_b, "b").where(alike(shared, F.size("of_a"), F.size("of_b"))).select("a", "b")
+    roots = saved(components(links, "components"), "roots")
+    more = crowded_pairs(crowd, found, roots)
+    at_a, at_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    across = more.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    last = components(across, "components").select(F.col("node").alias("upper"), F.col("root").alias("last"))
+    labelled = rows.select("doc_id", "text_hash", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("upper", F.coalesce("root", "id"))
+    return labelled.join(last, "upper", "left").select("doc_id", "text_hash", F.coalesce("last", "upper").alias("component"))
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
     """Of each group of near copies, the row of the least doc_id (ties: the least text); columns stay.
 
-    Rows of one doc_id that are no near copies of each other are in groups of their own.
-    Rows without an id cannot be told apart and all stay.
+    Of equal rows one stays. Rows of one doc_id that are no near copies of each
+    other are in groups of their own. Rows without an id cannot be told apart and
+    all stay.
     """
     rows = near_duplicate_components(docs).where("doc_id IS NOT NULL")
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("_kept"))
-    kept = saved(rows.join(least, "component").where("doc_id = _kept").select("_kept", F.col("text_hash").alias("_hash"), F.col("component").alias("_component")).distinct(), "kept")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    kept = rows.join(least, ["component", "doc_id"]).distinct()
+    # names that no column of docs has
+    key, mark, group, place = (free_name(docs, x) for x in ("_key", "_hash", "_group", "_place"))
+    kept = saved(kept.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), F.col("component").alias(group)), "kept")
     named = docs.where("doc_id IS NOT NULL")
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        at = (F.col("doc_id").cast("long") == F.col("_kept")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_hash"))
-        order = Window.partitionBy("_kept", "_component").orderBy("text")
-        rest = named.join(kept, at).withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if kept.groupBy(key).count().where("count > 1").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        order = Window.partitionBy(key, group).orderBy("text")
+        rest = named.join(kept, (F.col("doc_id").cast("long") == F.col(key)) & (text_hash == F.col(mark)))
+        rest = rest.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
     else:
-        rest = named.join(kept, named.doc_id == kept._kept, "left_semi")
+        rest = named.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
     return rest.union(docs.where("doc_id IS NULL"))

@@ -55,7 +55,7 @@ def shingle_hashes(data: bytes, words: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), "<u8", len(starts))
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), _STEP):
         part = hashes[k : k + _STEP]
@@ -66,12 +66,12 @@ def _majority(hashes: np.ndarray) -> int:
 def fingerprint(data: bytes, words: int, width: int = 1) -> list[int]:
     """``width`` 64-bit words; the first is the plain SimHash, the others come from mixes of the same hashes."""
     h = shingle_hashes(data, words)
-    out = [_majority(h)]
+    out = [majority(h)]
     for k in range(1, width):
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append(_majority(mixed ^ (mixed >> np.uint64(32))))
+        out.append(majority(mixed ^ (mixed >> np.uint64(32))))
     return out
 
 
