@@ -42,10 +42,15 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a task holds few texts as Python strings at a time."""
+    """The same rows in smaller batches, so that a task holds few texts as Python strings at a time.
+
+    At the end Arrow gives its free memory back: workers outlive their tasks.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def bounds(df: DataFrame, key: str, parts: int) -> list[int]:

@@ -266,7 +266,7 @@ def prefix_pairs(met: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, shingles of the ``wanted`` ids, from one text each."""
-    one = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("id", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("_doc"))
+    one = rows.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).join(wanted, "id", "left_semi").select("id", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("_doc"))
     texts = id_and_text(docs, id_col, text_col).withColumn("_hash", F.xxhash64("text"))
     found = texts.join(one, (texts._hash == one.text_hash) & texts.doc_id.eqNullSafe(one._doc)).select("id", "text")
 
@@ -297,8 +297,8 @@ def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame) -> DataF
     return blocks.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, component (long): texts linked by similarities of 0.8 or more. One row for each row of ``docs``, null ids too."""
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows doc_id, text_hash, id of set; and id, component of the sets that are linked to others."""
     rows = saved(prefixes(docs, frequent_shingles(docs, id_col, text_col), id_col, text_col), "prefixes")
     sets = rows.where("n > 0")
     met = saved(meetings(sets.select(F.explode("prefix").alias("key"), "n", "id")), "meetings")
@@ -316,29 +316,34 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     at_a, at_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
     across = more.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     last = components(across, "components").select(F.col("node").alias("upper"), F.col("root").alias("last"))
-    labelled = rows.select("doc_id", "text_hash", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("upper", F.coalesce("root", "id"))
-    return labelled.join(last, "upper", "left").select("doc_id", "text_hash", F.coalesce("last", "upper").alias("component"))
+    labels = roots.join(last, F.col("root") == F.col("upper"), "left").select(F.col("node").alias("id"), F.coalesce("last", "root").alias("component"))
+    alone = across.select(F.col("a").alias("id")).union(across.select("b")).distinct().join(roots.select(F.col("node").alias("id")), "id", "left_anti")
+    alone = alone.join(last, F.col("id") == F.col("upper")).select("id", F.col("last").alias("component"))
+    return rows.select("doc_id", "text_hash", "id"), saved(labels.union(alone), "labels")
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, component (long): texts linked by similarities of 0.8 or more. One row for each row of ``docs``, null ids too."""
+    rows, labels = _groups(docs, id_col, text_col)
+    return rows.join(labels, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component"))
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies, the row of the least doc_id (ties: the least text); columns stay.
+    """Of each group of near copies, the row of the least doc_id (ties: the text of the least hash); columns stay.
 
     Of equal rows one stays. Rows of one doc_id that are no near copies of each
     other are in groups of their own. Rows without an id cannot be told apart and
     all stay.
     """
-    rows = near_duplicate_components(docs).where("doc_id IS NOT NULL")
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    kept = rows.join(least, ["component", "doc_id"]).distinct()
-    # names that no column of docs has
-    key, mark, group, place = (free_name(docs, x) for x in ("_key", "_hash", "_group", "_place"))
-    kept = saved(kept.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), F.col("component").alias(group)), "kept")
+    rows, labels = _groups(docs, "doc_id", "text")
+    # copies of a text meet before the join, so that a large group of them is one row
+    firsts = rows.where("doc_id IS NOT NULL").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    firsts = firsts.join(labels, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("first"))
+    key, mark, place = (free_name(docs, x) for x in ("_key", "_hash", "_place"))  # names that no column of docs has
+    kept = saved(firsts.select(F.col("first.doc_id").alias(key), F.col("first.text_hash").alias(mark)).distinct(), "kept")
     named = docs.where("doc_id IS NOT NULL")
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    if kept.groupBy(key).count().where("count > 1").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy(key, group).orderBy("text")
-        rest = named.join(kept, (F.col("doc_id").cast("long") == F.col(key)) & (text_hash == F.col(mark)))
-        rest = rest.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
-    else:
-        rest = named.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
+    rest = named.join(kept, (F.col("doc_id").cast("long") == F.col(key)) & (text_hash == F.col(mark)), "left_semi")
+    if rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
+        rest = rest.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy("doc_id"))).where(F.col(place) == 1).drop(place)
     return rest.union(docs.where("doc_id IS NULL"))
