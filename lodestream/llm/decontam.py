@@ -2,51 +2,60 @@
 
 A seed is a fixed mask over a window of tokens; the positions it ignores may
 differ. Every window of every text and of every benchmark item is hashed under
-each mask. Where the hashes meet, the two are aligned and the overlap is
-extended both ways, with a penalty for substitutions, and kept if it is long and
-alike enough; where the best-scoring stretch is not, the longest one that is.
-
-No overlap of 13 tokens or more with 80% agreement escapes the two masks. With k
-substitutions it has L >= 5k tokens; if no four agree in a row, L <= 4k + 3, so
-k = 3, L = 15 and the substitutions leave runs of three, which the second mask
-hits. An item of 5 to 12 tokens must agree over its whole length but for one in
-five: of k + 2 blocks k substitutions leave two whole, so there is a mask for
-each two blocks.
+each mask, and the two sides are joined on the hash. Each meeting gives an
+alignment, which is verified: an overlap is its longest stretch that agrees in
+four of five tokens, if that has 13 tokens or more (an item of 5 to 12 tokens: all
+of its own).
+
+No overlap escapes the masks. Of 13 tokens or more with 80% agreement, every one
+has six agreeing tokens in the shape of one of six masks (a test tries the
+patterns). An item of 5 to 12 tokens must agree over its whole length but for one
+token in five: of k + 2 blocks k substitutions leave two whole, so there is a mask
+for each two blocks.
+
+What is joined: a filter of the items' hashes, of a size bounded by ``_MOST_BITS``
+whatever the benchmark, goes to the tasks that read the texts; they keep the
+windows that it lets through, and the tokens within an item's length around them.
+So clean passages are not shuffled. A filter that is too full for its benchmark
+lets more through, and the join sorts that out; nothing is lost. Nothing else of
+the benchmark or the corpus comes to the driver. A seed that many items or texts
+share meets once for each text and item that have it, with all its places.
 
 Tokens are runs of letters and digits, lower-cased, so case and punctuation do
-not matter. Benchmark items go to the tasks in blocks of at most
-``BLOCK_TOKENS`` tokens (their size is counted first), one pass over the texts
-for each block; nothing of the corpus is shuffled.
-
-Null texts and items are empty and match nothing; items below ``LEAST_TOKENS``
-tokens say too little and match nothing; repeated rows are repeated results.
+not matter. Equal texts, and equal items, are compared once. Null texts and items
+are empty and match nothing; items below ``LEAST_TOKENS`` tokens say too little,
+and items without an id cannot be named: neither match. Texts of any length are
+read whole. Repeated rows are repeated results. Of several overlaps of one text
+and item the one with the most agreeing tokens counts (ties: the first in the
+text, then in the item). Empty tables give no overlaps. Other columns of the
+tables pass through or are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import id_and_text, slices
+from lodestream.llm.common import free_name, id_and_text, saved, slices
 
 #: Fixed masks: 1 counts, 0 is ignored.
-MASKS = ("1111", "1110111")
+MASKS = ("111111", "1111011", "1101111", "1110111", "1111101", "1011111")
 #: Tokens of an overlap, and the share of them that must agree.
 LEAST_OVERLAP, LEAST_AGREEMENT = 13, 0.8
 LEAST_TOKENS = 5
-#: Tokens of benchmark items that a task holds at a time.
-BLOCK_TOKENS = 1_000_000
-MISMATCH = -3.0
-_BITS = 20
-_KEPT_WORDS = 400_000
+#: Bits of the filter, as a power of two: 16 for each seed, between these.
+_LEAST_BITS, _MOST_BITS = 16, 27
+#: Places of one seed in one row of the join.
+_PLACES = 256
+#: Tokens that a worker remembers, and their letters.
+_KEPT_WORDS, _KEPT_LETTERS = 300_000, 40
 _WORD = re.compile(r"[^\W_]+")
 _PRIMES = [np.uint64(0x9E3779B97F4A7C15 ^ (0x2545F4914F6CDD1D * k & 0xFFFFFFFFFFFFFFFE)) for k in range(64)]
 
@@ -55,9 +64,11 @@ class TokenHashes(dict):
     """Hash of a token, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > _KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= _KEPT_LETTERS:
+            if len(self) > _KEPT_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, text: str) -> np.ndarray:
@@ -69,7 +80,7 @@ def seeds(tokens: np.ndarray, places: tuple[int, ...], span: int) -> np.ndarray:
     n = len(tokens) - span + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, sum(1 << p for p in places), np.uint64)
     for k, p in enumerate(places):
         out += tokens[p : p + n] * _PRIMES[k]
     out ^= out >> np.uint64(31)
@@ -77,15 +88,6 @@ def seeds(tokens: np.ndarray, places: tuple[int, ...], span: int) -> np.ndarray:
     return out
 
 
-def extended(same: np.ndarray, at: int, span: int) -> tuple[int, int]:
-    """The best-scoring stretch of an alignment around the seed at ``at``: agreeing tokens count 1, others ``MISMATCH``."""
-    right = np.cumsum(np.where(same[at:], 1.0, MISMATCH))
-    left = np.cumsum(np.where(same[:at][::-1], 1.0, MISMATCH))
-    end = at + max(span, int(right.argmax()) + 1)
-    start = at - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
-    return start, end
-
-
 def longest(same: np.ndarray) -> tuple[int, int]:
     """The longest stretch of an alignment that agrees in LEAST_AGREEMENT (four of five) of its places."""
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
@@ -100,85 +102,173 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
     return [tuple(np.concatenate(two).tolist()) for two in combinations(parts, 2)]
 
 
-class ItemIndex:
-    """Seeds of a block of benchmark items, ready to look up."""
+def shapes_of(lengths: list[int]) -> list[tuple[tuple[int, ...], int]]:
+    """Places and span of each mask: the fixed ones, and those for items of the given ``lengths`` below LEAST_OVERLAP."""
+    fixed = [(tuple(k for k, c in enumerate(m) if c == "1"), len(m)) for m in MASKS]
+    return fixed + [(places, n) for n in sorted(lengths) if LEAST_TOKENS <= n < LEAST_OVERLAP for places in short_masks(n)]
+
+
+def placed(hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, list[int]]]:
+    """(hash, places) of hits, at most ``_PLACES`` places each."""
+    order = np.lexsort((at, hashes))
+    hashes, at = hashes[order].view(np.int64), at[order]
+    cuts = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
+    out = []
+    for h, part in zip(hashes[np.append(0, cuts)].tolist() if len(hashes) else (), np.split(at, cuts), strict=False):
+        out += [(h, part[k : k + _PLACES].tolist()) for k in range(0, len(part), _PLACES)]
+    return out
+
+
+def overlap(text: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int] | None:
+    """(agreeing tokens, tokens, first in the text, first in the item) of the best overlap on alignments text - item = diagonal."""
+    least, best = min(LEAST_OVERLAP, len(item)), None
+    for d in sorted(diagonals):
+        a, b = max(0, d), min(len(text), d + len(item))
+        same = text[a:b] == item[a - d : b - d]
+        if len(same) < least or int(same.sum()) < LEAST_AGREEMENT * least:
+            continue
+        start, end = longest(same)
+        if end - start >= least:
+            x = (int(same[start:end].sum()), end - start, a + start, a + start - d)
+            if best is None or (x[0], -x[2], -x[3]) > (best[0], -best[2], -best[3]):
+                best = x
+    return best
+
 
-    def __init__(self, items: list[tuple[int, str]]):
+def _key(text: str | Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))))
+
+
+_HITS = "array<struct<seed:long,at:array<int>>>"
+_HIT = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.list_(pa.int32()))]))
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item (key), tokens: each different text of the benchmark with enough tokens."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
-        self.items = [(item_id, tokens) for item_id, text in items if len(tokens := hashes.of(text)) >= LEAST_TOKENS]
-        self.shapes = [(tuple(k for k, c in enumerate(m) if c == "1"), len(m)) for m in MASKS]
-        self.shapes += [(places, n) for n in sorted({len(t) for _, t in self.items if len(t) < LEAST_OVERLAP}) for places in short_masks(n)]
-        self.tables: list[tuple[tuple[int, ...], int, np.ndarray, dict[int, list[tuple[int, int]]]]] = []
-        for k, (places, span) in enumerate(self.shapes):
-            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for n, (_, tokens) in enumerate(self.items):
-                if k < len(MASKS) or len(tokens) == span:
-                    for j, h in enumerate(seeds(tokens, places, span).tolist()):
-                        found[h].append((n, j))
-            near = np.zeros(1 << _BITS, bool)
-            near[np.array([*found], np.uint64) >> np.uint64(64 - _BITS)] = True
-            self.tables.append((places, span, near, dict(found)))
-
-    def overlaps(self, tokens: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-        """For each item found: (tokens, agreeing tokens, first token in the text, first in the item) of its longest overlap."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        seen: dict[tuple[int, int], int] = {}  # how far an alignment has been read
-        for places, span, near, table in self.tables:
-            h = seeds(tokens, places, span)
-            for i in np.flatnonzero(near[h >> np.uint64(64 - _BITS)]).tolist():
-                for n, j in table.get(int(h[i]), ()):
-                    if seen.get((n, i - j), -1) > i:
-                        continue
-                    item_id, own = self.items[n]
-                    back, ahead = min(i, j), min(len(tokens) - i, len(own) - j)
-                    same = tokens[i - back : i + ahead] == own[j - back : j + ahead]
-                    least = min(LEAST_OVERLAP, len(own))
-                    if len(same) < least or int(same.sum()) < LEAST_AGREEMENT * least:
-                        seen[n, i - j] = len(tokens)
-                        continue
-                    a, b = extended(same, back, span)
-                    seen[n, i - j] = i - back + b
-                    agree = int(same[a:b].sum())
-                    if b - a < least or agree < LEAST_AGREEMENT * (b - a):
-                        a, b = longest(same)
-                        agree = int(same[a:b].sum())
-                    if b - a >= least and agree > best.get(item_id, (0, 0))[1]:
-                        best[item_id] = (b - a, agree, i - back + a, j - back + a)
-        return best
-
-
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about ``most`` tokens, one at a time."""
-    items = id_and_text(benchmark, "item_id").where("doc_id IS NOT NULL")
-    total = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
-    parts = -(-int(total) // most)
-    for k in range(parts):
-        yield [(r.doc_id, r.text) for r in items.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k).orderBy("doc_id", "text").collect()]
-
-
-OVERLAPS = "array<struct<item_id:long,overlap_tokens:long,agreeing_tokens:long,text_token:long,item_token:long>>"
-_OVERLAP = pa.struct([(n, pa.int64()) for n in ("item_id", "overlap_tokens", "agreeing_tokens", "text_token", "item_token")])
+        for batch in slices(batches):
+            found = [hashes.of(x).view(np.int64) for x in batch["text"].to_pylist()]
+            yield pa.record_batch({"item": batch["item"], "tokens": pa.array(found, pa.list_(pa.int64()))})
+
+    items = id_and_text(benchmark, "item_id").where("doc_id IS NOT NULL").select("text").distinct().select(_key("text").alias("item"), "text")
+    return items.mapInArrow(work, "item binary, tokens array<long>").where(F.size("tokens") >= LEAST_TOKENS)
+
+
+def item_seeds(items: DataFrame, shapes: list) -> DataFrame:
+    """seed, item, item_at: places of each seed of each item."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for item, tokens in zip(batch["item"].to_pylist(), batch["tokens"], strict=True):
+                tokens = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                hashes = [seeds(tokens, places, span) for k, (places, span) in enumerate(shapes) if k < len(MASKS) or len(tokens) == span]
+                rows = placed(np.concatenate(hashes), np.concatenate([np.arange(len(h)) for h in hashes]))
+                yield pa.record_batch({"seed": pa.array([h for h, _ in rows], pa.int64()), "item": pa.array([item] * len(rows), pa.binary()), "item_at": pa.array([x for _, x in rows], pa.list_(pa.int32()))})
+
+    return items.mapInArrow(work, "seed long, item binary, item_at array<int>")
+
+
+def seed_filter(found: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for the leading bits of each seed, in 64-bit words; of bounded size."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * found.count()).bit_length()))
+    bit = F.shiftrightunsigned("seed", 64 - bits)
+    words = found.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64), bits
+
+
+def passages(docs: DataFrame, shapes: list, reach: int, held: tuple[np.ndarray, int]) -> DataFrame:
+    """text (key), start, tokens, hits: the passages of each text around windows that the filter lets through. No shuffle."""
+    words = docs.sparkSession.sparkContext.broadcast(held[0])
+    bits = np.uint64(held[1])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bitmap = TokenHashes(), words.value
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                tokens = hashes.of(text)
+                found, at = [], []
+                for places, span in shapes:
+                    h = seeds(tokens, places, span)
+                    bit = h >> (np.uint64(64) - bits)
+                    hit = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                    found.append(h[hit])
+                    at.append(hit)
+                found, at = np.concatenate(found), np.concatenate(at)
+                if not len(at):
+                    continue
+                order = np.argsort(at, kind="stable")
+                found, at = found[order], at[order]
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
+                    start, end = max(0, int(at[part[0]]) - reach), int(at[part[-1]]) + reach
+                    out.append((key, start, tokens[start:end].view(np.int64), [{"seed": h, "at": x} for h, x in placed(found[part], at[part] - start)]))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.list_(pa.int64()), _HIT), strict=True)], names=["text", "start", "tokens", "hits"])
+
+    texts = docs.select(_key("text").alias("key"), "text")
+    return texts.mapInArrow(work, f"text binary, start int, tokens array<long>, hits {_HITS}")
+
+
+FOUND = ("overlap_tokens", "agreeing_tokens", "text_token", "item_token")
+
+
+def overlapping_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """key (of a text), item_id and FOUND: the best overlap of each different text with each item it overlaps. Saved."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    items = saved(benchmark_items(benchmark), "items")
+    sizes = items.groupBy(F.least(F.size("tokens"), F.lit(LEAST_OVERLAP)).alias("n")).agg(F.max(F.size("tokens")).alias("most")).collect()  # one row per length up to 13
+    shapes, reach = shapes_of([r.n for r in sizes]), max((r.most for r in sizes), default=0)
+    own = saved(item_seeds(items, shapes), "seeds")
+    here = saved(passages(texts, shapes, reach, seed_filter(own)), "passages")
+
+    # copies of a text meet before the join
+    hits = here.select("text", "start", F.explode("hits").alias("x")).select("text", "start", F.col("x.seed").alias("seed"), F.col("x.at").alias("at")).distinct()
+    lines = F.array_distinct(F.flatten(F.transform("at", lambda i: F.transform("item_at", lambda j: i - j))))
+    met = hits.join(own, "seed").select("text", "start", "item", F.explode(lines).alias("diagonal"))
+    met = met.groupBy("text", "start", "item").agg(F.collect_set("diagonal").alias("diagonals"))
+    tokens = here.select("text", "start", "tokens").dropDuplicates(["text", "start"])
+    pairs = met.join(items.withColumnRenamed("tokens", "item_tokens"), "item").join(tokens, ["text", "start"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for text, start, item, diagonals, tokens, own in zip(*(batch[c].to_pylist() for c in ("text", "start", "item", "diagonals")), batch["tokens"], batch["item_tokens"], strict=True):
+                if x := overlap(tokens.values.to_numpy(zero_copy_only=False), own.values.to_numpy(zero_copy_only=False), diagonals):
+                    out.append((text, item, x[1], x[0], start + x[2], x[3]))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), *[pa.int64()] * 4), strict=True)], names=["key", "item", *FOUND])
+
+    best = pairs.mapInArrow(verify, "key binary, item binary, " + ", ".join(f"{c} long" for c in FOUND))
+    ids = id_and_text(benchmark, "item_id").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("item_id"), _key("text").alias("item")).distinct()
+    order = F.struct("agreeing_tokens", -F.col("text_token"), -F.col("item_token"))
+    best = best.join(ids, "item").groupBy("key", "item_id").agg(F.max_by(F.struct(*FOUND), order).alias("x"))
+    return saved(best.select("key", "item_id", "x.*"), "overlaps")
 
 
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", output: str = "overlaps") -> DataFrame:
-    """``docs`` with ``output``: for each benchmark item that a text overlaps, its longest overlap. No shuffle; all other columns pass through."""
-    out = docs.withColumn(output, F.array().cast(OVERLAPS))
-    for block in blocks_of(benchmark):
-
-        def work(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            index, hashes = ItemIndex(block), TokenHashes()
-            for batch in slices(batches):
-                found = [
-                    old + [dict(zip(_OVERLAP.names, (item_id, *x), strict=True)) for item_id, x in index.overlaps(hashes.of(text or "")).items()]
-                    for old, text in zip(batch[output].to_pylist(), batch[text_col].to_pylist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_OVERLAP))], names=batch.schema.names)
-
-        out = out.mapInArrow(work, out.schema)
-    return out
+    """``docs`` with ``output``: an array of (item_id and FOUND), by item_id, of each benchmark item that a text overlaps.
+
+    All other columns pass through; a column named ``output`` is replaced.
+    """
+    key = free_name(docs, "_key")
+    rows = overlapping_texts(docs, benchmark, text_col).groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("item_id", *FOUND))).alias(f"{key}_found"))
+    kept = docs.drop(output).withColumn(key, _key(text_col)).join(rows, key, "left")
+    return kept.withColumn(output, F.coalesce(f"{key}_found", F.array().cast(rows.schema[f"{key}_found"].dataType))).drop(key, f"{key}_found")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text overlaps no benchmark item; columns stay."""
+    key = free_name(docs, "_key")
+    found = overlapping_texts(docs, benchmark, text_col).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, _key(text_col)).join(found, key, "left_anti").select(*docs.columns)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item that overlap: doc_id, item_id, overlap_tokens, agreeing_tokens, text_token, item_token."""
-    found = with_overlaps(id_and_text(docs, id_col, text_col), benchmark)
-    return found.select("doc_id", F.explode("overlaps").alias("x")).select("doc_id", "x.*")
+    """One row per document and benchmark item that overlap: doc_id, item_id and FOUND."""
+    texts = id_and_text(docs, id_col, text_col)
+    return texts.select("doc_id", _key("text").alias("key")).join(overlapping_texts(texts, benchmark), "key").select("doc_id", "item_id", *FOUND)

@@ -261,8 +261,60 @@ def test_contaminations_tolerate_substitutions(spark, odd):
     assert set(got) == {(20, 1), (21, 1), (23, 2)}
     assert got[20, 1].agreeing_tokens == 30 and got[21, 1].agreeing_tokens == 28 and got[20, 1].text_token == 50
     assert decontam.contaminations(docs, bench.limit(0)).count() == 0
-    blocks = list(decontam.blocks_of(bench, 10))
-    assert sorted(i for b in blocks for i, _ in b) == [1, 2, 3, 4] and len(blocks) > 1
+
+
+def brute_overlaps(text, item):
+    """Best (agreeing, tokens, text_token, item_token) over all alignments and all stretches, or None."""
+    words = [[xxhash.xxh64_intdigest(w) for w in re.findall(r"[^\W_]+", x.lower())] for x in (text, item)]
+    least, best = min(13, len(words[1])), None
+    if len(words[1]) < 5:
+        return None
+    for d in range(-len(words[1]), len(words[0])):
+        a, b = max(0, d), min(len(words[0]), d + len(words[1]))
+        same = [words[0][k] == words[1][k - d] for k in range(a, b)]
+        stretches = [(y - x, -x) for x in range(len(same)) for y in range(x + 1, len(same) + 1) if 5 * sum(same[x:y]) >= 4 * (y - x)]
+        if stretches and max(stretches)[0] >= least:
+            n, x = max(stretches)
+            got = (sum(same[-x : n - x]), n, a - x, a - x - d)
+            if best is None or (got[0], -got[2], -got[3]) > (best[0], -best[2], -best[3]):
+                best = got
+    return best
+
+
+def test_contaminations_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(12)]  # few words, so that seeds repeat within and across texts
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([4, 5, 8, 12, 13, 20, 40]))) for _ in range(15)] + ["w1 " * 30, None]
+    rows = []
+    for k in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40))]
+        if k % 2:
+            own = (rnd.choice(items) or "").split()
+            for _ in range(rnd.randint(0, len(own) // 4)):
+                own[rnd.randrange(len(own))] = "zz"
+            cut = rnd.randint(0, len(words))
+            words = words[:cut] + own + words[cut:]
+        rows.append((k, " ".join(words)))
+    rows += [(100, "w1 " * 700), (101, rows[1][1]), (102, None), (103, "")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, j, *((x[1], x[0], x[2], x[3]))) for i, t in rows if i != 100 for j, item in enumerate(items) if (x := brute_overlaps(t or "", item or ""))}
+    for places in (256, 3):
+        monkeypatch.setattr(decontam, "_PLACES", places)
+        got = {tuple(r) for r in decontam.contaminations(frame(spark, rows), bench).collect()}
+        assert {x for x in got if x[0] != 100} == want
+        assert (100, 15, 30, 30, 0, 0) in got
+
+
+def test_decontamination_keeps_columns_and_rows(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item + " more")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {item} b", "x", "y"), (2, "clean", "x", "y"), (2, "clean", "x", "y"), (None, None, None, None)], "doc_id long, text string, _key string, overlaps string")
+    out = decontam.uncontaminated(docs, bench)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(2, "clean", "x", "y"), (2, "clean", "x", "y"), (None, None, None, None)], key=str)
+    found = {r.doc_id: r.found for r in decontam.with_overlaps(docs, bench, output="found").collect()}
+    assert [x.item_id for x in found[1]] == [1, 2] and found[2] == found[None] == []
+    assert decontam.with_overlaps(docs, bench).columns == docs.columns
+    assert decontam.uncontaminated(docs, bench.limit(0)).count() == 4 and decontam.contaminations(docs.limit(0), bench).count() == 0
 
 
 # --- 9
@@ -424,14 +476,24 @@ def test_near_duplicates_with_repeated_ids(spark):
 
 def test_masks_hit_every_pattern():
     for n in range(decontam.LEAST_TOKENS, 21):
-        item = [f"t{k}" for k in range(n)]
-        index = decontam.ItemIndex([(1, " ".join(item))])
-        hashes = decontam.TokenHashes()
-        for places in combinations(range(n), n // 5):
-            text = ["x" if k in places else t for k, t in enumerate(item)]
-            found = index.overlaps(hashes.of(" ".join(["p", "q", *text, "r"])))
-            stretch = found[1]
-            assert stretch[0] >= min(13, n) and 5 * stretch[1] >= 4 * stretch[0]
+        shapes = decontam.shapes_of([n])[len(decontam.MASKS) :] if n < 13 else decontam.shapes_of([])
+        for gone in combinations(range(n), n // 5):
+            assert any(not any(at + p in gone for p in places) for places, span in shapes for at in range(n - span + 1))
+
+
+def test_masks_hit_every_long_overlap():
+    """The fewest substitutions of a stretch that no mask hits are more than a fifth of it, for every length to 150."""
+    masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
+    fewest = {(): 0}
+    for n in range(1, 151):
+        after = {}
+        for tail, gone in fewest.items():
+            for agrees in (0, 1):
+                new = (*tail, agrees)[-7:]
+                if not any(len(new) >= len(m) and all(new[len(new) - len(m) + p] for p in places) for m, places in zip(decontam.MASKS, masks, strict=True)):
+                    after[new] = min(after.get(new, n), gone + 1 - agrees)
+        fewest = after
+        assert n < 13 or min(fewest.values()) > n // 5
 
 
 def test_every_short_text_has_an_anchor():
