@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import saved
-from lodestream.llm.decontam import with_overlaps
+from lodestream.llm.common import free_name, saved
+from lodestream.llm.decontam import uncontaminated
 from lodestream.llm.jaccard import first_of_each_group
 from lodestream.llm.packing import packed
 from lodestream.llm.pii import redacted
@@ -23,7 +23,8 @@ TOXIC = 0.5
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_toxicity(docs, model, output="_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    score = free_name(docs, "_toxicity")
+    return with_toxicity(docs, model, output=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = with_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), output="_overlaps")
-    return found.where(F.size("_overlaps") == 0).drop("_overlaps")
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
