@@ -50,8 +50,8 @@ MASKS = ("111111", "1111011", "1101111", "1110111", "1111101", "1011111")
 #: Tokens of an overlap, and the share of them that must agree.
 LEAST_OVERLAP, LEAST_AGREEMENT = 13, 0.8
 LEAST_TOKENS = 5
-#: Bits of the filter, as a power of two: 16 for each seed, between these.
-_LEAST_BITS, _MOST_BITS = 16, 27
+#: Bits of the filter, as a power of two: 32 for each seed, between these; and bits that each seed sets.
+_LEAST_BITS, _MOST_BITS, _PROBES = 16, 28, 4
 #: Places of one seed in one row of the join.
 _PLACES = 256
 #: Tokens that a worker remembers, and their letters.
@@ -85,6 +85,7 @@ def seeds(tokens: np.ndarray, places: tuple[int, ...], span: int) -> np.ndarray:
         out += tokens[p : p + n] * _PRIMES[k]
     out ^= out >> np.uint64(31)
     out *= _PRIMES[0]
+    out ^= out >> np.uint64(32)
     return out
 
 
@@ -172,41 +173,54 @@ def item_seeds(items: DataFrame, shapes: list) -> DataFrame:
 
 
 def seed_filter(found: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for the leading bits of each seed, in 64-bit words; of bounded size."""
-    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * found.count()).bit_length()))
-    bit = F.shiftrightunsigned("seed", 64 - bits)
-    words = found.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    """A Bloom filter of the seeds, in 64-bit words; its size is bounded."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (32 * found.count()).bit_length()))
+    one, two = F.shiftrightunsigned("seed", 32), F.col("seed").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1))
+    probes = F.explode(F.array(*((one + two * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(_PROBES))))
+    set_bit = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    words = found.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(set_bit).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64), bits
 
 
+def let_through(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """Places in ``h`` of the seeds that are in the filter."""
+    at = np.arange(len(h))
+    one, two = h >> np.uint64(32), h & np.uint64(0xFFFFFFFF) | np.uint64(1)
+    for k in range(_PROBES):
+        bit = (one[at] + two[at] * np.uint64(k)) & np.uint64((1 << bits) - 1)
+        at = at[(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
 def passages(docs: DataFrame, shapes: list, reach: int, held: tuple[np.ndarray, int]) -> DataFrame:
     """text (key), start, tokens, hits: the passages of each text around windows that the filter lets through. No shuffle."""
-    words = docs.sparkSession.sparkContext.broadcast(held[0])
-    bits = np.uint64(held[1])
+    sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bitmap = TokenHashes(), words.value
-        for batch in slices(batches):
+        hashes, (words, bits) = TokenHashes(), sent.value
+        for batch in slices(batches, 128):
+            keys = batch["key"].to_pylist()
+            found = [hashes.of(x) for x in batch["text"].to_pylist()]
+            flat, ends = np.concatenate(found or [np.empty(0, np.uint64)]), np.cumsum([len(x) for x in found])
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            seen, at = [], []
+            for places, span in shapes:  # windows over the texts in a row; those that cross two texts do not count
+                h = seeds(flat, places, span)
+                hit = let_through(h, words, bits)
+                hit = hit[owner[hit] == owner[hit + span - 1]]
+                seen.append(h[hit])
+                at.append(hit)
+            seen, at = np.concatenate(seen), np.concatenate(at)
+            order = np.argsort(at, kind="stable")
+            seen, at = seen[order], at[order]
             out: list[tuple] = []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                tokens = hashes.of(text)
-                found, at = [], []
-                for places, span in shapes:
-                    h = seeds(tokens, places, span)
-                    bit = h >> (np.uint64(64) - bits)
-                    hit = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-                    found.append(h[hit])
-                    at.append(hit)
-                found, at = np.concatenate(found), np.concatenate(at)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                found, at = found[order], at[order]
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                    start, end = max(0, int(at[part[0]]) - reach), int(at[part[-1]]) + reach
-                    out.append((key, start, tokens[start:end].view(np.int64), [{"seed": h, "at": x} for h, x in placed(found[part], at[part] - start)]))
+            for part in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > 2 * reach) | (np.diff(owner[at]) > 0)) + 1) if len(at) else ():
+                doc = int(owner[at[part[0]]])
+                base, end = int(ends[doc]) - len(found[doc]), int(ends[doc])
+                start, end = max(base, int(at[part[0]]) - reach), min(end, int(at[part[-1]]) + reach)
+                out.append((keys[doc], start - base, flat[start:end].view(np.int64), [{"seed": h, "at": x} for h, x in placed(seen[part], at[part] - start)]))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.list_(pa.int64()), _HIT), strict=True)], names=["text", "start", "tokens", "hits"])
 
