@@ -7,21 +7,26 @@ Sorting every suffix of a corpus would move each text many times over. So:
    bytes, the one with the least hash (the last of equal ones). Equal windows
    pick equal anchors at equal offsets, so strings that repeat meet on an anchor.
 2. Anchors are shuffled by hash with a digest of their context, all that a
-   window around them can hold. Occurrences with one and the same context are
-   repeats of the first as a whole. Of each context the first goes on, if its
-   anchor has several contexts.
+   window around them can hold. Occurrences with one and the same context (128
+   bits agree: the anchor's and the context's) are repeats of the first as a
+   whole. Of those in one batch of texts only the first is shuffled, so that a
+   line of every text is some rows a task. Of each context the first goes on, if
+   its anchor has several contexts.
 3. Those contexts are gathered by anchor into blocks of bounded size, and each
    block is suffix-sorted in two stages: only suffixes smaller than their
    successors are sorted directly; the rest are induced by scanning the buckets
    in order. Common prefixes of neighbours of ``LENGTH`` bytes or more are equal
-   strings, and all but the first of them are repeats. An anchor with more than
-   ``GROUP`` contexts is sorted in runs of as many, and the strings that come
-   first in their run are compared across runs by Spark, by 128-bit digest.
+   strings, and all but the first of them are repeats. The contexts of an anchor
+   with more than ``GROUP`` of them are dealt to several tasks and sorted in runs
+   of as many, and the strings that come first in their run are compared across
+   runs by Spark, by 128-bit digest.
 
 Texts are written once, bucketed by order key, so that the two later joins do
 not shuffle them. Strings never cross documents. A null or empty text has no
-bytes. Rows of equal doc_id are ordered by text (null ids first) and counted as
-separate documents, in that order.
+bytes. Texts of any length are read whole, ``STEP`` bytes at a time. Rows of equal
+doc_id are ordered by text (null ids first) and counted as separate documents, in
+that order. Other columns are not read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,12 +50,25 @@ BEFORE = LENGTH - GRAM
 #: Contexts of one anchor that are sorted in one block, at most; and bytes of a block.
 GROUP = 2_000
 BLOCK_BYTES = 1 << 20
+#: Texts among which a task looks for repeats before it shuffles.
+ROWS = 512
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_PLACE_BITS = 28
+#: Bytes of a text whose anchors are found at a time; places in them take ``_PLACE_BITS``.
+STEP = 1 << 22
+_PLACE_BITS = 24
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text (none below ``LENGTH`` bytes; texts up to 256 MiB)."""
+    """Places and hashes of the anchors of a text (none below ``LENGTH`` bytes)."""
+    if len(data) <= STEP + LENGTH:
+        return _anchors(data)
+    # every window of LENGTH bytes lies in one of the overlapping parts, and picks its anchor by itself
+    parts = [(k, *_anchors(data[k : k + STEP + LENGTH - 1])) for k in range(0, len(data) - LENGTH + 1, STEP)]
+    at, first = np.unique(np.concatenate([k + x for k, x, _ in parts]), return_index=True)
+    return at, np.concatenate([h for _, _, h in parts])[first]
+
+
+def _anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) - GRAM + 1
     if len(data) < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -179,33 +197,39 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with their contexts. What repeats within its own document is known here: merged to intervals (size < 0), dealt by a hash of their own."""
+    """Anchors with their contexts. What repeats within its batch of texts is known here: merged to intervals (size < 0), dealt by a hash of their own."""
     digest = xxhash.xxh3_64_intdigest
-    for batch in slices(batches):
+    for batch in slices(batches, ROWS):
         parts = []
-        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for key, text in sorted(zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True)):
             data = text.encode()
             at, h = anchors(data)
-            if not len(at):
-                continue
-            context = np.fromiter((digest(data[max(0, a - BEFORE) : a + LENGTH], min(a, BEFORE)) for a in at.tolist()), np.uint64, len(at))
-            size = np.minimum(at, BEFORE) + np.minimum(len(data) - at, LENGTH)
-            _, first = np.unique(context, return_index=True)
-            if len(first) < len(at):
-                again = np.ones(len(at), bool)
-                again[first] = False
-                start = np.maximum(at[again] - BEFORE, 0)
-                end = start + size[again]
-                cut = np.flatnonzero(start[1:] > np.maximum.accumulate(end)[:-1]) + 1
-                start, end = start[np.append(0, cut)], np.maximum.accumulate(end)[np.append(cut - 1, -1)]
-                own = np.array([digest(f"{key}:{x}") for x in start.tolist()], np.uint64)
-                parts.append((own, np.zeros(len(start), np.uint64), np.full(len(start), key), start, start - end))
-                first.sort()
-                at, h, context, size = at[first], h[first], context[first], size[first]
-            parts.append((h, context, np.full(len(at), key), at, size))
-        if parts:
-            h, context, key, at, size = map(np.concatenate, zip(*parts, strict=True))
-            yield pa.record_batch({"anchor": h.view(np.int64), "context": context.view(np.int64), "key": key.astype(np.int64), "at": at.astype(np.int32), "size": size.astype(np.int32)})
+            if len(at):
+                context = np.fromiter((digest(data[max(0, a - BEFORE) : a + LENGTH], min(a, BEFORE)) for a in at.tolist()), np.uint64, len(at))
+                parts.append((h, context, np.full(len(at), key), at, np.minimum(at, BEFORE) + np.minimum(len(data) - at, LENGTH)))
+        if not parts:
+            continue
+        h, context, key, at, size = map(np.concatenate, zip(*parts, strict=True))
+        # rows are in the order of documents and places, so the first of equal ones is the earliest
+        order = np.argsort(h ^ (context * _MULT[0]), kind="stable")
+        again = np.zeros(len(h), bool)
+        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+        if again.any():
+            own, start = key[again], np.maximum(at[again] - BEFORE, 0)
+            end = start + size[again]
+            row = np.cumsum(np.concatenate(([0], own[1:] != own[:-1])))  # the running maximum of ends begins anew with each document
+            reach = np.maximum.accumulate(end + (row << 33)) - (row << 33)
+            cut = np.flatnonzero((own[1:] != own[:-1]) | (start[1:] > reach[:-1])) + 1
+            first, last = np.append(0, cut), np.append(cut - 1, -1)
+            own, start, size_of = own[first], start[first], start[first] - reach[last]
+            at, size = np.concatenate((at[~again], start)), np.concatenate((size[~again], size_of))
+            key, h, context = np.concatenate((key[~again], own)), np.concatenate((h[~again], _mixed(own, start))), np.concatenate((context[~again], np.zeros(len(own), np.uint64)))
+        yield pa.record_batch({"anchor": h.view(np.int64), "context": context.view(np.int64), "key": key.astype(np.int64), "at": at.astype(np.int32), "size": size.astype(np.int32)})
+
+
+def _mixed(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    h = key.astype(np.uint64) * _MULT[0] + start.astype(np.uint64) * _MULT[1]
+    return (h ^ (h >> np.uint64(32))) * _MULT[2]
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,21 +269,22 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = text.encode()
             for x in places:
                 start = max(0, x["a"] - BEFORE)
-                out.append((x["b"], key, start, data[start : x["a"] + LENGTH]))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "key", "start", "bytes"])
+                out.append((x["b"], x["run"], key, start, data[start : x["a"] + LENGTH]))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "run", "key", "start", "bytes"])
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by anchor, in document order: repeats (kind 0: key, start, end).
+    """From contexts sorted by anchor and run, in document order: repeats (kind 0: key, start, end).
 
-    An anchor with more than ``GROUP`` contexts is solved in runs of as many; what
-    comes first in its run goes on by digest (kind 1: key, start, two halves).
+    The anchors of runs from 0 on have more than ``GROUP`` contexts. They are solved
+    ``GROUP`` at a time; what comes first there goes on by digest (kind 1: key, start,
+    two halves).
     """
     names = ["kind", "key", "a", "b", "c"]
     block: list[tuple[int, int, bytes]] = []
     group: list[tuple[int, int, bytes]] = []
-    anchor, crowded, held = None, False, 0
+    anchor, held = None, 0
 
     def solved(contexts: list[tuple[int, int, bytes]], goes_on: bool) -> pa.RecordBatch:
         if not contexts:
@@ -269,9 +294,9 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(names, [(0, *x, 0) for x in found] + [(1, key, start, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)) for key, start, d in digests])
 
     for batch in batches:
-        for this, key, start, data in zip(*(batch[x].to_pylist() for x in ("anchor", "key", "start", "bytes")), strict=True):
-            if this != anchor:
-                if crowded:
+        for *this, key, start, data in zip(*(batch[x].to_pylist() for x in ("anchor", "run", "key", "start", "bytes")), strict=True):
+            if this != anchor or len(group) >= GROUP:
+                if anchor and anchor[1] >= 0:
                     yield solved(group, True)
                 else:
                     block += group
@@ -279,14 +304,12 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if held > BLOCK_BYTES:
                         yield solved(block, False)
                         block, held = [], 0
-                anchor, group, crowded = this, [], False
-            elif len(group) >= GROUP:
-                yield solved(group, True)
-                group, crowded = [], True
+                anchor, group = this, []
             group.append((key, start, data))
-    yield solved(group, True) if crowded else solved(block + group, False)
-    if crowded:
-        yield solved(block, False)
+    if anchor and anchor[1] >= 0:
+        yield solved(group, True)
+        group = []
+    yield solved(block + group, False)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -306,15 +329,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = shuffle_partitions(spark)
     ordered = _ordered(id_and_text(docs, id_col, text_col), parts)
     table = f"suffix_dedup_{uuid.uuid4().hex}"
-    ordered.repartition(parts, "key").write.bucketBy(parts, "key").option("compression", "zstd").saveAsTable(table)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the files of the finished shuffle
-    texts = spark.table(table)
+    try:
+        ordered.repartition(parts, "key").write.bucketBy(parts, "key").option("compression", "zstd").saveAsTable(table)
+        return _deduplicated(spark.table(table), parts, with_text)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _deduplicated(texts: DataFrame, parts: int, with_text: bool) -> DataFrame:
+    """``deduplicated`` over a table of texts that is bucketed by key."""
     found = texts.select("key", "text").mapInArrow(_anchor_rows, "anchor long, context long, key long, at int, size int")
     found = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "key", "at")
     classes = saved(found.mapInArrow(_classes, "kind long, key long, a long, b long"), "classes")
-    places = classes.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("places"))
-    contexts = texts.join(places, "key").select("key", "text", "places").mapInArrow(_context_rows, "anchor long, key long, start long, bytes binary")
-    blocks = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(_block_rows, "kind long, key long, a long, b long, c long")
+    first = classes.where("kind = 1")
+    crowded = first.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    run = F.coalesce(F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / GROUP)), F.lit(-1))
+    places = first.join(crowded, "b", "left").withColumn("run", run).groupBy("key").agg(F.collect_list(F.struct("a", "b", "run")).alias("places"))
+    contexts = texts.join(places, "key").select("key", "text", "places").mapInArrow(_context_rows, "anchor long, run long, key long, start long, bytes binary")
+    blocks = contexts.repartition(parts, "anchor", "run").sortWithinPartitions("anchor", "run", "key", "start").mapInArrow(_block_rows, "kind long, key long, a long, b long, c long")
     solved = saved(blocks, "blocks")
     windows = solved.where("kind = 1").select("key", F.col("a").alias("start"), "b", "c")
     first = windows.groupBy("b", "c").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("b", "c", "first")
@@ -339,6 +371,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)][: 6 if with_text else 5], names=names[: 6 if with_text else 5])
 
-    result = saved(texts.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, KEPT + (", kept binary" if with_text else "")), "kept")
-    spark.sql(f"DROP TABLE {table}")
-    return result
+    return saved(texts.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, KEPT + (", kept binary" if with_text else "")), "kept")

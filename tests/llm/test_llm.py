@@ -503,3 +503,10 @@ def test_every_short_text_has_an_anchor():
             data, other = (rnd.integers(97, 123, n).astype(np.uint8).tobytes() for _ in range(2))
             assert len(syncmers.sketch(data)) and (data == other or syncmers.likeness(syncmers.sketch(data), syncmers.sketch(other)) < 1 or n < 4)
     assert not len(syncmers.sketch(b""))
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8).tobytes()
+    whole = suffix_dedup.anchors(data)
+    monkeypatch.setattr(suffix_dedup, "STEP", 150)
+    assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(data), strict=True))
