@@ -49,7 +49,7 @@ GRAM = 32
 BEFORE = LENGTH - GRAM
 #: Contexts of one anchor that are sorted in one block, at most; and bytes of a block.
 GROUP = 2_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Texts among which a task looks for repeats before it shuffles.
 ROWS = 512
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
