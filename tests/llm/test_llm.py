@@ -242,13 +242,48 @@ def test_pii_base_spans(spark, odd):
 def test_pii_added_kinds_and_redaction(spark):
     docs = frame(spark, [(1, "my iban GB82 WEST 1234 5698 7654 32, mail a@b.co"), (2, None), (3, "iban GB82 WEST 1234 5698 7654 33"), (4, "security number 078-05-1120; 078-05-1120")])
     got = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
-    assert "iban:8:35" in got[1] and "iban" not in got[3] and got[2] == "" and got[4].startswith("ssn:16:27")
+    assert "iban:8:35" in got[1] and "iban" not in got[3] and got[2] == "" and got[4] == "ssn:16:27,ssn:29:40"
     out = pii.redacted(docs)
     assert out.columns == docs.columns
     cleaned = {r.doc_id: r.text for r in out.collect()}
     assert cleaned[1] == "my iban [IBAN], mail [EMAIL]" and cleaned[2] is None
 
 
+def test_pii_lists_and_what_follows(spark):
+    many = ", ".join(f"123-45-{k}" for k in range(1000, 1060))
+    rows = [
+        ("iban GB82 WEST 1234 5698 7654 32 Thanks", "iban [IBAN] Thanks"),
+        ("iban DE89370400440532013000 BIC COBADEFF", "iban [IBAN] BIC COBADEFF"),
+        ("iban GB82WEST12345698765432 2024", "iban [IBAN] 2024"),
+        ("social security numbers 078-05-1120 and 219-09-9999 and 123-45-6789", "social security numbers [SSN] and [SSN] and [SSN]"),
+        (f"SSNs: {many}", "SSNs: " + ", ".join(["[SSN]"] * 60)),
+        ("order 123-45-6789 shipped", "order 123-45-6789 shipped"),
+        ("x" * 3000 + " a@b.co " + "y" * 3000 + " 10.0.0.1", "x" * 3000 + " [EMAIL] " + "y" * 3000 + " [IP]"),
+        ("+1.2.3.4.5.6.7.8.9 a@1.2.3.4", "[PHONE] [EMAIL]"),
+    ]
+    docs = spark.createDataFrame([(k, t, "mine", "also") for k, (t, _) in enumerate(rows)], "doc_id long, text string, _spans string, spans string")
+    out = pii.redacted(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert (r.text, r["_spans"], r["spans"]) == (rows[r.doc_id][1], "mine", "also")
+    assert pii.redacted(docs.limit(0)).count() == pii.pii_digest(docs.limit(0)).count() == 0
+
+
+def test_redaction_of_many_spans(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["a@b.co ", "10.0.0.1, ", "é😀 ", "+1 555 010 2345;", "word ", "4111111111111111 "]) for _ in range(n)) for n in (63, 64, 65, 300, 1500)]
+    docs = frame(spark, list(enumerate(texts)))
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",")] for r in pii.pii_digest(docs).collect()}
+    for r in pii.redacted(docs).collect():
+        out, at = [], 0
+        for a, b, kind in sorted((int(a), -int(b), k) for k, a, b in spans[r.doc_id]):
+            if a >= at:
+                out += [texts[r.doc_id][at:a], f"[{kind.upper()}]"]
+            at = max(at, -b)
+        assert r.text == "".join(out) + texts[r.doc_id][at:]
+        assert [x for x in spans[r.doc_id] if x[0] in pii.BASE] == [[k, str(a), str(b)] for k, a, b in brute_spans(texts[r.doc_id])]
+
+
 # --- 8
 def test_contaminations_tolerate_substitutions(spark, odd):
     rnd = random.Random(4)
