@@ -281,7 +281,8 @@ def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame) -> DataF
     """a, b: links across components (``roots``: node, root) among the members (key, id, n) of crowded buckets."""
     crowd = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left")
     of = F.coalesce("root", "id")
-    mixed = crowd.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x < y").select("key")
+    mixed = crowd.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("v"))
+    mixed = mixed.where("x < y").groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key")  # of buckets with the same members, one
     # large components come in blocks of their own; sets that nothing is linked to follow by size
     before = Window.partitionBy("key").orderBy(F.col("root").isNull(), "root", "n", "id").rowsBetween(Window.unboundedPreceding, 0)
     crowd = crowd.join(mixed, "key").withColumn("block", F.floor(F.sum(F.col("n") + 128).over(before) / BLOCK))
@@ -315,6 +316,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     more = crowded_pairs(crowd, found, roots)
     at_a, at_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
     across = more.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    across = saved(across.where("a <> b").distinct(), "across")
     last = components(across, "components").select(F.col("node").alias("upper"), F.col("root").alias("last"))
     labels = roots.join(last, F.col("root") == F.col("upper"), "left").select(F.col("node").alias("id"), F.coalesce("last", "root").alias("component"))
     alone = across.select(F.col("a").alias("id")).union(across.select("b")).distinct().join(roots.select(F.col("node").alias("id")), "id", "left_anti")
