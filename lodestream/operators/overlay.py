@@ -1,9 +1,10 @@
 """Predicates, overlays and further shapes on coordinate arrays, as built-in expressions.
 
 Shapes are those of ``geo``; a closed ring counts as an area. Areas of common
-parts are exact for any simple rings (signed triangles); overlays that return
-shapes need a convex second ring and return rings whose interiors do not meet.
-Areas up to ``EPS`` count as none. Null in, null out.
+parts are exact for any simple rings (signed triangles). Overlays that return
+shapes take any simple rings, cut them into convex pieces where they are not
+convex, and return arrays of rings whose interiors do not meet. Areas up to
+``EPS`` count as none. Null in, null out.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from math import cos, pi, sin
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestream.operators.geo import PATH, _segments, _signed_area, _total, area, centroid, covers_point, distance, line_interpolate_point
+from lodestream.operators.geo import PATH, _segments, _signed_area, _total, area, centroid, covers_point, distance, length, line_interpolate_point
 
 EPS = 1e-9
 #: WGS 84: equatorial radius in metres, flattening.
@@ -66,22 +67,67 @@ def _sound(points: Column) -> Column:
     return _let(_closed(points), lambda r: F.when(area(r) <= EPS, _none()).otherwise(r))
 
 
-def intersection(ring: Column, mask: Column) -> Column:
-    """The area both cover (``mask`` convex); an empty array where they only touch."""
+def is_convex(ring: Column) -> Column:
+    at = lambda r, i: F.get(r, F.pmod(i, F.size(r)))
+    return _let(_open(_ccw(ring)), lambda r: F.forall(F.transform(r, lambda p, i: _cross(at(r, i - 1), p, at(r, i + 1))), lambda turn: turn >= 0))
+
+
+def pieces(ring: Column) -> Column:
+    """Convex rings that make up a ring: itself, or upright trapezoids between neighbouring corners."""
+    return F.when(F.size(ring) == 0, _none(f"array<{PATH}>")).when(is_convex(ring), F.array(ring)).otherwise(pieces_of(F.array(ring)))
+
+
+def pieces_of(rings: Column) -> Column:
+    """Convex rings that make up the area of several rings by the even-odd rule: an outline and its holes, or many outlines."""
+    def slabs(z: Column) -> Column:
+        xs = F.array_sort(F.array_distinct(F.transform(z, lambda s: s["a"]["x"])))
+        spans = F.zip_with(xs, F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+        return F.flatten(F.transform(F.filter(spans, lambda w: w["v"].isNotNull()), lambda w: between(z, w["u"], w["v"])))
+
+    def between(z: Column, u: Column, v: Column) -> Column:
+        over = F.filter(z, lambda s: (F.least(s["a"]["x"], s["b"]["x"]) <= u) & (F.greatest(s["a"]["x"], s["b"]["x"]) >= v))
+        y = lambda s, x: s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * ((x - s["a"]["x"]) / (s["b"]["x"] - s["a"]["x"]))
+        heights = F.array_sort(F.transform(over, lambda s: F.struct(y(s, (u + v) / 2).alias("middle"), y(s, u).alias("at_u"), y(s, v).alias("at_v"))))
+
+        def paired(h: Column) -> Column:
+            both = F.filter(F.transform(h, lambda low, i: F.struct(low.alias("low"), F.get(h, i + 1).alias("high"), (i % 2 == 0).alias("opens"))), lambda w: w["opens"] & w["high"].isNotNull())
+            return F.transform(both, lambda w: F.array_distinct(F.array(_xy(u, w["low"]["at_u"]), _xy(v, w["low"]["at_v"]), _xy(v, w["high"]["at_v"]), _xy(u, w["high"]["at_u"]))))
+
+        return _let(heights, paired)
+
+    edges = F.filter(F.flatten(F.transform(rings, _segments)), lambda s: s["a"]["x"] != s["b"]["x"])
+    return F.filter(F.transform(_let(edges, slabs), _sound), lambda r: F.size(r) > 0)
+
+
+def clip_convex(ring: Column, mask: Column) -> Column:
+    """One ring: the area both cover (``mask`` convex); no points where they only touch."""
     start = F.when(F.size(mask) == 0, _none()).otherwise(_open(ring))
     return F.aggregate(_segments(_ccw(mask)), start, lambda r, s: _left(r, s["a"], s["b"]), _sound)
 
 
-def difference(ring: Column, mask: Column) -> Column:
-    """``ring`` without a convex ``mask``: array of rings."""
+def _without(ring: Column, mask: Column) -> Column:
+    """A convex ring without a convex one: array of convex rings."""
     start = F.struct(_open(ring).alias("rest"), _none(f"array<{PATH}>").alias("out"))
     step = lambda s, e: F.struct(_left(s["rest"], e["a"], e["b"]).alias("rest"), F.concat(s["out"], F.array(_left(s["rest"], e["b"], e["a"]))).alias("out"))
-    cut = F.aggregate(_segments(_ccw(mask)), start, step, lambda s: F.filter(F.transform(s["out"], _sound), lambda r: F.size(r) > 0))
-    return F.when(F.size(mask) == 0, F.array(ring)).otherwise(cut)
+    return F.aggregate(_segments(_ccw(mask)), start, step, lambda s: F.filter(F.transform(s["out"], _sound), lambda r: F.size(r) > 0))
+
+
+def _without_all(rings: Column, masks: Column) -> Column:
+    return F.aggregate(masks, rings, lambda rest, m: F.flatten(F.transform(rest, lambda r: _without(r, m))))
+
+
+def intersection(ring: Column, mask: Column) -> Column:
+    """The area both cover: array of convex rings."""
+    return _let(pieces(ring), lambda own: F.filter(F.flatten(F.transform(pieces(mask), lambda m: F.transform(own, lambda r: clip_convex(r, m)))), lambda r: F.size(r) > 0))
+
+
+def difference(ring: Column, mask: Column) -> Column:
+    """``ring`` without ``mask``: array of convex rings."""
+    return _without_all(pieces(ring), pieces(mask))
 
 
 def union(a: Column, b: Column) -> Column:
-    """``b`` (convex) and what ``a`` has beside it: array of rings."""
+    """``b`` and what ``a`` has beside it: array of rings."""
     return F.concat(F.array(b), difference(a, b))
 
 
@@ -90,8 +136,9 @@ def symmetric_difference(a: Column, b: Column) -> Column:
 
 
 def split(ring: Column, a: Column, b: Column) -> Column:
-    """A convex ring cut along the line through a and b: array of rings."""
-    return F.filter(_let(_open(ring), lambda r: F.array(_sound(_left(r, a, b)), _sound(_left(r, b, a)))), lambda r: F.size(r) > 0)
+    """A ring cut along the line through a and b: array of rings, a concave one in convex pieces."""
+    halves = lambda p: _let(_open(p), lambda r: F.array(_sound(_left(r, a, b)), _sound(_left(r, b, a))))
+    return F.filter(F.flatten(F.transform(pieces(ring), halves)), lambda r: F.size(r) > 0)
 
 
 def areas(rings: Column) -> Column:
@@ -138,8 +185,32 @@ def disjoint(a: Column, b: Column, a_is_area: bool = True, b_is_area: bool = Tru
     return ~intersects(a, b, a_is_area, b_is_area)
 
 
+def is_area(shape: Column) -> Column:
+    return (F.size(shape) >= 4) & (F.get(shape, F.lit(0)) == F.get(shape, F.size(shape) - 1))
+
+
+def _near(path: Column, p: Column) -> Column:
+    """Whether ``p`` is on a path, up to ``EPS``."""
+    def near(s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        long = dx * dx + dy * dy
+        f = F.when(long > 0, F.least(F.greatest(((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy) / long, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return F.hypot(s["a"]["x"] + dx * f - p["x"], s["a"]["y"] + dy * f - p["y"]) <= EPS
+
+    return F.exists(_segments(path), near)
+
+
+def _shared_length(a: Column, b: Column) -> Column:
+    return _total(F.transform(shared_paths(a, b), lambda z: distance(z["p"], z["q"])))
+
+
 def covers(a: Column, b: Column) -> Column:
-    return common_area(a, b) >= area(b) - EPS
+    """No part of ``b`` (an area, a path or one point) lies outside ``a`` (an area or a path that does not run over itself)."""
+    point = F.get(b, F.lit(0))
+    line = F.forall(_inside_flags(b, a, boundary=True), lambda inside: inside)
+    of_area = F.when(is_area(b), common_area(a, b) >= area(b) - EPS).when(F.size(b) == 1, covers_point(a, point)).otherwise(line & covers_point(a, point))
+    of_line = F.when(is_area(b), F.lit(False)).when(F.size(b) == 1, _near(a, point)).otherwise(_shared_length(a, b) >= length(b) - EPS)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(is_area(a), of_area).otherwise(of_line))
 
 
 def covered_by(a: Column, b: Column) -> Column:
@@ -151,12 +222,25 @@ def contains_properly(a: Column, b: Column) -> Column:
 
 
 def overlaps(a: Column, b: Column) -> Column:
-    both = common_area(a, b)
-    return (both > EPS) & (both < F.least(area(a), area(b)) - EPS)
+    """Two areas, or two lines, that share a part of their own kind, each with more besides."""
+    both, shared = common_area(a, b), _shared_length(a, b)
+    of_areas = (both > EPS) & (both < F.least(area(a), area(b)) - EPS)
+    of_lines = (shared > EPS) & (shared < F.least(length(a), length(b)) - EPS)
+    return F.when(is_area(a) & is_area(b), of_areas).when(~is_area(a) & ~is_area(b), of_lines).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(False)))
 
 
 def touches(a: Column, b: Column) -> Column:
-    return intersects(a, b) & (common_area(a, b) <= EPS)
+    """They meet, but not inside each other (the inside of a line: all but its ends)."""
+    ends = lambda p: F.array(F.get(p, F.lit(0)), F.get(p, F.size(p) - 1))
+    met = F.concat(F.filter(a, lambda p: _near(b, p)), F.filter(b, lambda p: _near(a, p)))
+    of_lines = (F.size(met) > 0) & (_shared_length(a, b) <= EPS) & ~crosses(a, b, False) & F.forall(met, lambda p: F.exists(F.concat(ends(a), ends(b)), lambda q: distance(p, q) <= EPS))
+    beside = lambda line, ring: intersects(line, ring, False, True) & ~F.array_contains(_inside_flags(line, ring), True)
+    return (
+        F.when(is_area(a) & is_area(b), intersects(a, b) & (common_area(a, b) <= EPS))
+        .when(is_area(a), beside(b, a))
+        .when(is_area(b), beside(a, b))
+        .otherwise(of_lines)
+    )
 
 
 def clean_topology(ring: Column) -> Column:
@@ -178,14 +262,16 @@ def equals_topo(a: Column, b: Column) -> Column:
     return _canonical(a) == _canonical(b)
 
 
-def _inside_flags(line: Column, ring: Column) -> Column:
-    """For each stretch of a line between places where it passes the ring: is its middle inside?"""
+def _inside_flags(line: Column, ring: Column, boundary: bool = False) -> Column:
+    """For each stretch of a line between places where it passes the ring: is its middle inside, or (with ``boundary``) on the ring?"""
     def flags(s: Column) -> Column:
         at = lambda t: _cross(t["a"], t["b"], s["a"]) / (_cross(t["a"], t["b"], s["a"]) - _cross(t["a"], t["b"], s["b"]))
         cuts = F.transform(F.filter(_segments(ring), lambda t: _meet(s, t) & (_cross(t["a"], t["b"], s["a"]) != _cross(t["a"], t["b"], s["b"]))), at)
         ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
         spans = F.filter(F.zip_with(ends, F.slice(ends, F.lit(2), F.size(ends) - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v"))), lambda z: z["v"] - z["u"] > EPS)
-        return F.transform(spans, lambda z: covers_point(ring, _xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (z["u"] + z["v"]) / 2, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * (z["u"] + z["v"]) / 2), boundary=False))
+        middle = lambda z: _xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (z["u"] + z["v"]) / 2, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * (z["u"] + z["v"]) / 2)
+        inside = lambda p: (covers_point(ring, p) | _near(ring, p)) if boundary else (covers_point(ring, p, boundary=False) & ~_near(ring, p))
+        return F.transform(spans, lambda z: _let(middle(z), inside))
 
     return F.flatten(F.transform(_segments(line), flags))
 
@@ -216,7 +302,7 @@ def convex_hull(points: Column) -> Column:
     return F.concat(_open(chain(ordered)), chain(F.reverse(ordered)))
 
 
-def buffer(shape: Column, by: float, quad_segs: int = 8) -> Column:
+def hull_buffer(shape: Column, by: float, quad_segs: int = 8) -> Column:
     """All within ``by`` of a shape's convex hull (a point, segment or convex ring itself), circles having 4 x ``quad_segs`` corners.
 
     The sum of two convex rings: the edges of both, in order of direction, from the sum of their lowest points.
@@ -236,6 +322,19 @@ def buffer(shape: Column, by: float, quad_segs: int = 8) -> Column:
     return _let(convex_hull(shape), lambda ring: F.when(F.size(ring) == 0, _none()).otherwise(add(ring)))
 
 
+def buffer(shape: Column, by: float, quad_segs: int = 8) -> Column:
+    """All within ``by`` of a point, path or ring: array of rings whose interiors do not meet, circles having 4 x ``quad_segs`` corners.
+
+    One ring around a point, a segment or a convex ring; else the ring's pieces and
+    what each side's own surroundings add to them.
+    """
+    around = F.transform(_segments(shape), lambda s: hull_buffer(F.array(s["a"], s["b"]), by, quad_segs))
+    start = F.when(is_area(shape), pieces(shape)).otherwise(_none(f"array<{PATH}>"))
+    parts = F.aggregate(around, start, lambda out, m: F.concat(out, _without_all(F.array(m), out)))
+    one = (F.size(shape) <= 2) | (is_area(shape) & is_convex(shape))
+    return F.when(F.size(shape) == 0, _none(f"array<{PATH}>")).when(one, F.array(hull_buffer(shape, by, quad_segs))).otherwise(parts)
+
+
 def point_on_surface(ring: Column) -> Column:
     """The middle of the widest stretch inside, halfway between the two middle heights of its points."""
     ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))

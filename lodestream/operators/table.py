@@ -169,22 +169,54 @@ def lookup(df, right, key, values, default=None, order_by=None):
     return out if default is None else out.withColumns({v: F.coalesce(v, F.lit(default)) for v in values})
 
 
-def asof_join(df, right, left_time, right_time, by, values, direction="backward"):
-    """One sorted pass over both sides together, by key: no range join."""
-    t, sign = "_t", 1 if direction == "backward" else -1
-    left = df.select("*", F.col(left_time).alias(t), F.lit(sign).alias("_side"), F.lit(None).cast(right.select(F.struct(*values, right_time)).schema[0].dataType).alias("_r"))
+def asof_join(df, right, left_time, right_time, by, values, direction="backward", tolerance=None, allow_exact=True):
+    """One sorted pass over both sides together, by key: no range join.
+
+    ``direction``: backward, forward or nearest (ties go back). ``tolerance``: the most that the times may
+    differ, in seconds or in the unit of a number.
+    """
+    if direction not in ("backward", "forward", "nearest"):
+        raise KernelError("table.asof_join", f"unknown direction: {direction}")
+    t, matched = "_t", f"{right_time}_matched"
+    found = right.select(F.struct(*values, right_time)).schema[0].dataType
+    left = df.select("*", F.col(left_time).alias(t), F.lit(1).alias("_side"), F.lit(None).cast(found).alias("_r"))
     other = right.select(*by, F.col(right_time).alias(t), F.lit(0).alias("_side"), F.struct(*values, right_time).alias("_r"))
+    # the right rows of one time count as earlier, or as later, as exact matches allow
+    rank = lambda before: (F.col("_side") if before == allow_exact else -F.col("_side")).asc()
+    before = Window.partitionBy(*by).orderBy(F.col(t).asc(), rank(True)).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(F.col(t).desc(), rank(True)).rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(other, allowMissingColumns=True)
-    order = [F.col(t).asc(), F.col("_side").asc()] if sign == 1 else [F.col(t).desc(), F.col("_side").desc()]
-    last = F.last("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_last", last).where(F.col("_side") == sign)
-    return out.select(*df.columns, *(F.col(f"_last.{v}").alias(v) for v in values), F.col(f"_last.{right_time}").alias(f"{right_time}_matched"))
-
-
-def fuzzy_join(df, right, left_on, right_on, max_distance, block: int):
-    """Pairs within an edit distance whose first ``block`` characters agree."""
-    cond = (F.substring(left_on, 1, block) == F.substring(right_on, 1, block)) & (F.levenshtein(F.col(left_on), F.col(right_on), max_distance) >= 0)
-    return df.join(right, cond).withColumn("distance", F.levenshtein(left_on, right_on))
+    for name, window in (("_back", before), ("_ahead", after)):
+        both = both.withColumn(name, F.last("_r", ignorenulls=True).over(window) if direction in ("nearest", {"_back": "backward", "_ahead": "forward"}[name]) else F.lit(None).cast(found))
+    number = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6 if dict(df.dtypes)[left_time].startswith(("timestamp", "date")) else c.cast("double")
+    apart = lambda name: F.abs(number(F.col(left_time)) - number(F.col(f"{name}.{right_time}")))
+    best = F.when(F.col("_ahead").isNull() | (apart("_back") <= apart("_ahead")), F.col("_back")).otherwise(F.col("_ahead"))
+    out = both.where("_side = 1").withColumn("_best", best)
+    if tolerance is not None:
+        out = out.withColumn("_best", F.when(apart("_best") <= tolerance, F.col("_best")))
+    return out.select(*df.columns, *(F.col(f"_best.{v}").alias(v) for v in values), F.col(f"_best.{right_time}").alias(matched))
+
+
+def fuzzy_join(df, right, left_on, right_on, max_distance):
+    """All pairs within an edit distance, without comparing all pairs.
+
+    A string cut into ``max_distance`` + 1 parts keeps one of them whole within so many edits, at most as many places
+    away. So the right side is keyed by its parts, the left side by what could be those parts in strings of like
+    length, and pairs of different values that meet are verified once.
+    """
+    d = max_distance
+    cut = lambda n, i: F.floor(i * n / (d + 1)).cast("int")
+    parts, shifts = F.sequence(F.lit(0), F.lit(d)), F.sequence(F.lit(-d), F.lit(d))
+    lefts = df.select(F.col(left_on).alias("_a")).where("_a IS NOT NULL").distinct().withColumn("_n", F.length("_a"))
+    rights = right.select(F.col(right_on).alias("_b")).where("_b IS NOT NULL").distinct().withColumn("_size", F.length("_b"))
+    rights = rights.select("_b", "_size", F.explode(parts).alias("_i"))
+    rights = rights.withColumn("_key", F.substring("_b", cut(F.col("_size"), F.col("_i")) + 1, cut(F.col("_size"), F.col("_i") + 1) - cut(F.col("_size"), F.col("_i"))))
+    lefts = lefts.select("_a", "_n", F.explode(F.sequence(F.greatest(F.col("_n") - d, F.lit(0)), F.col("_n") + d)).alias("_size"))
+    lefts = lefts.select("_a", "_n", "_size", F.explode(parts).alias("_i")).select("*", F.explode(shifts).alias("_s"))
+    start, size = cut(F.col("_size"), F.col("_i")) + F.col("_s"), cut(F.col("_size"), F.col("_i") + 1) - cut(F.col("_size"), F.col("_i"))
+    lefts = lefts.where((start >= 0) & (start + size <= F.col("_n"))).select("_a", "_size", "_i", F.substring("_a", start + 1, size).alias("_key")).distinct()
+    pairs = lefts.join(rights, ["_size", "_i", "_key"]).select("_a", "_b").distinct().withColumn("distance", F.levenshtein("_a", "_b", d)).where("distance >= 0")
+    return df.join(pairs, df[left_on] == F.col("_a")).join(right, F.col("_b") == right[right_on]).select(*(df[c] for c in df.columns), *(right[c] for c in right.columns), "distance")
 
 
 # --- aggregation

@@ -28,7 +28,7 @@ def value(spark, *columns):
 def test_common_area_of_rings_that_are_not_convex(spark):
     a, b = shape(CUP), shape(moved(SQUARE, 1, 1))
     assert value(spark, O.common_area(a, b), O.common_area(b, a), O.common_area(a, a)) == pytest.approx((10, 10, 28))
-    assert value(spark, O.areas(O.difference(a, b)), O.area(O.intersection(a, b)), O.areas(O.union(a, b)), O.areas(O.symmetric_difference(shape(SQUARE), b))) == pytest.approx((18, 10, 34, 14))
+    assert value(spark, O.areas(O.difference(a, b)), O.areas(O.intersection(a, b)), O.areas(O.union(a, b)), O.areas(O.symmetric_difference(shape(SQUARE), b))) == pytest.approx((18, 10, 34, 14))
 
 
 def test_predicates(spark):
@@ -54,7 +54,7 @@ def test_hull_buffer_and_inner_point(spark):
     assert hull[0] == hull[-1] and set(hull) <= {(float(x), float(y)) for x, y in pts}
     for (ax, ay), (bx, by) in zip(hull, hull[1:]):
         assert all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 for x, y in pts)
-    assert value(spark, O.area(O.buffer(shape([(0, 0)]), 2.0, 64)), O.area(O.buffer(shape(SQUARE), 1.0, 64))) == pytest.approx((4 * np.pi, 32 + np.pi), rel=1e-3)
+    assert value(spark, O.areas(O.buffer(shape([(0, 0)]), 2.0, 64)), O.areas(O.buffer(shape(SQUARE), 1.0, 64))) == pytest.approx((4 * np.pi, 32 + np.pi), rel=1e-3)
     assert value(spark, G.covers_point(shape(CUP), O.point_on_surface(shape(CUP)), False))
 
 
@@ -106,3 +106,33 @@ def test_simplify_against_recursion(spark):
         pts = [(float(x), float(y)) for x, y in zip(np.arange(n), rng.normal(0, 2, n).round(3))]
         assert [tuple(p) for p in value(spark, O.simplify(shape(pts), 1.5))] == _simplified(pts, 1.5)
     assert [tuple(p) for p in value(spark, O.simplify(G.densify(shape([(0, 0), (4, 0), (4, 4)]), 1.0), 0.01))] == [(0, 0), (4, 0), (4, 4)]
+
+
+ELL = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4), (0, 0)]
+
+
+def test_overlays_of_concave_rings(spark):
+    box, ell, cup = shape(SQUARE), shape(ELL), shape(CUP)
+    turned = shape(list(reversed(ELL)))
+    assert value(spark, *(O.areas(x) for x in (O.intersection(box, ell), O.difference(box, ell), O.union(box, ell), O.symmetric_difference(box, ell), O.intersection(box, turned), O.difference(ell, box)))) == pytest.approx((7, 9, 16, 9, 7, 0))
+    for a, b in ((cup, ell), (ell, cup), (cup, shape(moved(ELL, 1.5, 1.25)))):
+        assert value(spark, O.areas(O.intersection(a, b)), O.areas(O.difference(a, b)), O.areas(O.union(a, b))) == pytest.approx(value(spark, O.common_area(a, b), O.area(a) - O.common_area(a, b), O.area(a) + O.area(b) - O.common_area(a, b)))
+    outline_and_hole = F.array(box, shape(moved([(0, 0), (1, 0), (1, 2), (0, 2), (0, 0)], 1, 1)))
+    assert value(spark, O.areas(O.pieces_of(outline_and_hole)), O.areas(O.pieces(ell)), F.size(O.pieces(box))) == pytest.approx((14, 7, 1))
+    assert value(spark, O.areas(O.split(ell, F.get(shape([(2, 0)]), 0), F.get(shape([(2, 1)]), 0)))) == pytest.approx(7)
+
+
+def test_buffers_of_concave_shapes(spark):
+    assert value(spark, O.areas(O.buffer(shape(ELL), 0.001))) == pytest.approx(7.016, abs=1e-4)
+    # a corner: two strips of 4 x 2, the square where they meet once, three quarters of a circle there and half a circle at each end
+    corner = shape([(0, 0), (4, 0), (4, 4)])
+    assert value(spark, O.areas(O.buffer(corner, 1.0, 32))) == pytest.approx(16 - 1 + np.pi / 4 + np.pi, rel=1e-3)
+
+
+def test_predicates_of_lines(spark):
+    box, ell = shape(SQUARE), shape(ELL)
+    inside, away, along, out = shape([(1, 1), (2, 3)]), shape([(90, 90), (91, 91)]), shape([(0, 0), (4, 0)]), shape([(2, 2), (5, 2)])
+    notch = shape([(0.5, 3.5), (3.5, 0.5)])  # both ends in the L, its middle not
+    assert value(spark, *(O.covers(a, b) for a, b in ((box, inside), (box, away), (box, along), (box, out), (ell, notch), (along, shape([(1, 0), (2, 0)])), (along, inside), (inside, box), (box, shape([(4, 4)]))))) == (True, False, True, False, False, True, False, False, True)
+    assert value(spark, *(O.touches(a, b) for a, b in ((box, along), (box, inside), (out, box), (shape([(4, 1), (9, 1)]), box), (along, shape([(4, 0), (5, 5)])), (along, shape([(2, -1), (2, 1)])), (along, shape([(2, 0), (2, 1)])), (along, away)))) == (True, False, False, True, True, False, True, False)
+    assert value(spark, *(O.overlaps(a, b) for a, b in ((along, shape([(2, 0), (6, 0)])), (along, shape([(1, 0), (2, 0)])), (along, box)))) == (True, False, False)
