@@ -55,7 +55,7 @@ _LEAST_BITS, _MOST_BITS, _PROBES = 16, 28, 4
 #: Places of one seed in one row of the join.
 _PLACES = 256
 #: Tokens that a worker remembers, and their letters.
-_KEPT_WORDS, _KEPT_LETTERS = 300_000, 40
+_KEPT_WORDS, _KEPT_LETTERS = 200_000, 40
 _WORD = re.compile(r"[^\W_]+")
 _PRIMES = [np.uint64(0x9E3779B97F4A7C15 ^ (0x2545F4914F6CDD1D * k & 0xFFFFFFFFFFFFFFFE)) for k in range(64)]
 

@@ -11,7 +11,10 @@ a text is scored in time linear in its active features.
 
 The model is fitted on a bounded, hashed sample of labelled rows of the training
 folds. A null text is the empty text: no words, and the lowest bins. Null labels
-do not count; repeated rows are scored alike.
+do not count; repeated rows are scored alike. Texts of any length are read whole.
+Without labels every score is one half. A value on a bin's limit is in the upper
+bin. Empty tables give empty results; other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations

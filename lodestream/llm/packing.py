@@ -12,7 +12,9 @@ Sequences are then dealt to step groups of equal token counts.
 
 Packing groups are bounded runs of one input partition, so there is no shuffle
 and memory is bounded. Nulls and empty texts are one end token; equal rows are
-packed separately. A sequence id is (partition, running number), one long.
+packed separately. Of pieces of one length the last put goes first. Texts of any
+length are cut into windows; an empty table gives no pieces; other columns are
+not read, whatever their names. A sequence id is (partition, running number), one long.
 """
 
 from __future__ import annotations
@@ -148,7 +150,8 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int =
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES), sequences, steps + max(step_of, default=-1) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(public_path(vocabulary)).encode, np.array([END_ID], "<u4").tobytes()
+        own = encoder(public_path(vocabulary))
+        encode, end = own.encode, np.array([END_ID], "<u4").tobytes()
         base, sequences, steps = TaskContext.get().partitionId() << 36, 0, 0
         held: list[tuple[int, bytes]] = []
         tokens = 0
@@ -160,6 +163,7 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int =
                     out, sequences, steps = pack(held, base, sequences, steps)
                     held, tokens = [], 0
                     yield out
+        own.forget()
         if held:
             yield pack(held, base, sequences, steps)[0]
 

@@ -19,7 +19,10 @@ Wide fingerprints (several 64-bit words, from independent mixes of one shingle
 hash) have no linking: their blocks would find near pairs with some probability
 only. Similarity of shingle sets is found exactly in ``jaccard``.
 
-Nulls and empty texts have the zero fingerprint and link like any other.
+Nulls and empty texts have the zero fingerprint and link like any other. Bits set
+in exactly half of the shingles (ties) are 0. Texts of any length are read whole;
+repeated rows are repeated results; an empty table gives an empty one; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ that table, so that frequent ids take few bits), and the words. ``payload`` is
     magic "S8B1" | documents u32 | table u32 | words u32 | values u32
     | doc_id i64 each | tokens u32 each | table u32 each | words u64 each
 
-all little-endian. Blocks have consecutive numbers in ascending doc_id order, so
+all little-endian. Nulls and empty texts have the end token alone; texts of any
+length are read whole; repeated rows are repeated results; an empty table gives
+no blocks; other columns are not read, whatever their names. Blocks have consecutive numbers in ascending doc_id order, so
 a reader can start at any block and decode all its words at once.
 """
 

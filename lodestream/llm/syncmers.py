@@ -8,7 +8,9 @@ the ``size`` least anchor hashes (a bottom sketch), written as hexadecimal.
 Nulls and empty texts have the empty fingerprint; a text shorter than k bytes
 has one anchor, the hash of the whole text. A longer one without a closed syncmer
 (only below 2k - s - 1 bytes) has one for the fingerprint: the k-mer that holds
-the least s-mer. Equal texts have equal fingerprints.
+the least s-mer. Equal texts have equal fingerprints. Texts of any length are
+read whole; repeated rows are repeated results; an empty table gives an empty one;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

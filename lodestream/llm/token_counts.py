@@ -10,6 +10,9 @@ each occurrence.
 Piece log-probabilities follow Zipf's law over the public vocabulary's own order
 (the file has no unigram probabilities). A character that no piece covers costs
 one byte token for each of its UTF-8 bytes. A null or empty text has no tokens.
+Texts of any length are read whole. Of segmentations as probable, the one whose
+last piece is longest counts. Repeated rows are repeated results; an empty table
+gives an empty one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from lodestream.llm.tokens import public_path
 MARK = "▁"
 #: Log-probability of a byte token, below that of any piece.
 BYTE_SCORE = -25.0
-_KEPT = 400_000
+#: Pre-tokens that a task remembers, and their letters.
+_KEPT, _KEPT_LETTERS = 400_000, 64
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -68,6 +72,12 @@ class TrieCounter:
             known[word] = count[len(word)]
             before = word
 
+    def forget(self, words: set[str]) -> None:
+        """Drops words too long to keep; so the cache is bounded in bytes too."""
+        for word in words:
+            if len(word) > _KEPT_LETTERS:
+                del self.known[word]
+
 
 def token_counts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens. One pass over the texts, no shuffle."""
@@ -87,6 +97,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", id_co
                 get = counter.known.__getitem__
                 n_words += map(len, split)
                 n_tokens += [sum(map(get, words)) for words in split]
+                counter.forget(new)
             yield pa.record_batch({"doc_id": batch["doc_id"], "n_pretokens": pa.array(n_words, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())})
 
     return id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_pretokens long, n_tokens long")

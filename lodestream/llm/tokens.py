@@ -18,6 +18,8 @@ import regex
 
 #: Distinct chunks kept by one worker, in two generations of half as many.
 KEPT_CHUNKS = 600_000
+#: Characters of a chunk or pre-token that is kept; longer ones are encoded each time, so that the caches are bounded in bytes too.
+LONGEST_KEPT = 64
 END_ID = 2
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Below this character every text is its own NFC form, and all libraries agree which characters are letters.
@@ -57,7 +59,9 @@ class Encoder:
         shown = self.space + part[1:] if part[0] == " " else part
         if not (part.isascii() and shown.isalnum()):
             shown = part.encode().decode("latin-1").translate(self.bytes_as)
-        self.parts[part] = ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        if len(part) <= LONGEST_KEPT:
+            self.parts[part] = ids
         return ids
 
     def _learn(self, chunk: str) -> bytes | None:
@@ -79,7 +83,8 @@ class Encoder:
                 ids = b"".join([known.get(x) or self._part(x) for x in self.find(" " + text)])
         else:
             ids = self._whole(" " + chunk)
-        self.young[chunk] = ids
+        if len(chunk) <= LONGEST_KEPT:
+            self.young[chunk] = ids
         return ids
 
     def _joined(self, chunks: list[str]) -> bytes | None:
@@ -110,6 +115,10 @@ class Encoder:
             return self._whole(chunk)
         return b"".join([self.parts.get(x) or self._part(x) for x in self.find(chunk.lower() if self.lower else chunk)])
 
+    def forget(self) -> None:
+        """Drops the chunks: a worker outlives its task, and pre-tokens are enough to learn them again."""
+        self.young, self.old = {}, {}
+
     def encode(self, text: str) -> bytes:
         first, space, rest = text.partition(" ")
         if not space:

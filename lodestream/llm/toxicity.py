@@ -10,8 +10,11 @@ person, no quotation marks) from quotation (quotation marks, verbs of speech).
 A logistic model over these hits, fitted on the labelled rows of the training
 folds, gives the score.
 
-A null text is the empty text; it gets the score of a text without hits. Labels
-that are null do not count; repeated rows are scored alike.
+A null text is the empty text; it gets the score of a text without hits. Texts of
+any length are read whole. Labels that are null do not count; repeated rows are
+scored alike; of terms as near, the first counts. Without labels, or with one kind
+of them, the score is the share of toxic rows. Empty tables give empty results.
+Other columns pass through; a column with the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -42,7 +45,10 @@ DENSE_WINDOW = 50
 QUOTING = {"said", "says", "say", "quote", "quoted", "quotes", "called", "wrote", "word", "words", "term", "phrase", "insult", "insults", "slur", "dit", "sagte", "dijo"}
 ADDRESSING = {"you", "your", "youre", "yourself", "u", "ur", "du", "tu", "vous", "ihr", "sie", "usted", "they", "he", "she"}
 MARKS = "\"“”«»„‘’"
-_KEPT_WORDS = 400_000
+#: Chunks that a task remembers, and their letters; longer ones are read each time.
+_KEPT_WORDS, _KEPT_LETTERS = 200_000, 40
+#: Steps of the automaton that a task remembers.
+_KEPT_STEPS = 1_000_000
 
 
 def allowed(length: int) -> int:
@@ -69,6 +75,10 @@ class LexiconAutomaton:
             self.term_at[node] = k
         self.limit = [allowed(len(t)) for t in terms]
         self.most = max(self.limit, default=0)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins with no states but the first."""
         self.states: list[dict[int, int]] = []
         self.index: dict[frozenset, int] = {}
         self.steps: dict[tuple[int, str], int] = {}
@@ -131,9 +141,12 @@ class Scanner:
 
     def _chunk(self, chunk: str) -> tuple[int, int] | bool:
         found = min((m for w in re.findall(r"[^\W_]+", chunk) if (m := self.automaton.match(w))), key=lambda m: m[1], default=False)
-        if len(self.known) > _KEPT_WORDS:
-            self.known.clear()
-        self.known[chunk] = found
+        if len(chunk) <= _KEPT_LETTERS:
+            if len(self.known) > _KEPT_WORDS:
+                self.known.clear()
+            self.known[chunk] = found
+        if len(self.automaton.steps) > _KEPT_STEPS:
+            self.automaton.forget()
         return found
 
     def features(self, text: str) -> list[float]:
@@ -180,10 +193,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """text and label of at most ``rows`` labelled rows of the training folds, chosen by a hash of the id.
 
     The chosen ids are a bounded table, so they are broadcast to the scan of the texts.
+    Of rows that repeat an id the least text counts.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).where(in_training_folds())
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return id_and_text(docs).join(F.broadcast(chosen), "doc_id")
+    return id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray, float]:
@@ -236,6 +250,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", output: str = "toxicity") -> DataFrame:
     """``docs`` with ``output``: the score of each text. One pass, no shuffle; all other columns pass through."""
+    docs = docs.drop(output)
     schema = StructType([*docs.schema.fields, StructField(output, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
