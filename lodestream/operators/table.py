@@ -216,7 +216,8 @@ def fuzzy_join(df, right, left_on, right_on, max_distance):
     start, size = cut(F.col("_size"), F.col("_i")) + F.col("_s"), cut(F.col("_size"), F.col("_i") + 1) - cut(F.col("_size"), F.col("_i"))
     lefts = lefts.where((start >= 0) & (start + size <= F.col("_n"))).select("_a", "_size", "_i", F.substring("_a", start + 1, size).alias("_key")).distinct()
     pairs = lefts.join(rights, ["_size", "_i", "_key"]).select("_a", "_b").distinct().withColumn("distance", F.levenshtein("_a", "_b", d)).where("distance >= 0")
-    return df.join(pairs, df[left_on] == F.col("_a")).join(right, F.col("_b") == right[right_on]).select(*(df[c] for c in df.columns), *(right[c] for c in right.columns), "distance")
+    found = right.withColumn("_b", F.col(right_on)).join(pairs, "_b")
+    return df.withColumn("_a", F.col(left_on)).join(found, "_a").drop("_a", "_b")
 
 
 # --- aggregation

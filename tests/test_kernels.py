@@ -73,3 +73,35 @@ def test_wkt_round_trip_and_bad_text(spark):
     df = spark.createDataFrame([("POLYGON ((0.0 0.0, 2.0 0.0, 2.0 2.0, 0.0 0.0))",), ("nonsense",), (None,)], "w string")
     got = [r.a for r in df.select(G.area(G.path_from_wkt(F.col("w"))).alias("a")).collect()]
     assert got == [2.0, None, None]
+
+
+def test_fuzzy_join_finds_every_pair(spark):
+    import random
+
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    rnd = random.Random(1)
+    left, right = ([("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))),) for _ in range(60)] + [(None,), (w,)] for w in ("smith", "zmith"))
+    a, b = spark.createDataFrame(left, "name string"), spark.createDataFrame(right, "name string")
+    for d in (0, 1, 3):
+        got = sorted(map(tuple, T.fuzzy_join(a, b, "name", "name", d).collect()))
+        assert got == sorted((x, y, n) for x, in left for y, in right if x is not None and y is not None and (n := edits(x, y)) <= d)
+
+
+def test_asof_join_directions(spark):
+    left = spark.createDataFrame([(1, 10.0), (1, 20.0), (2, 5.0)], "k int, at double")
+    right = spark.createDataFrame([(1, 9.0, "a"), (1, 10.0, "b"), (1, 14.0, "c"), (1, 23.0, "d")], "k int, seen double, v string")
+    found = lambda **how: {(r.k, r.at): r.v for r in T.asof_join(left, right, "at", "seen", ["k"], ["v"], **how).collect()}
+    assert found() == {(1, 10.0): "b", (1, 20.0): "c", (2, 5.0): None}
+    assert found(direction="forward", allow_exact=False) == {(1, 10.0): "c", (1, 20.0): "d", (2, 5.0): None}
+    assert found(allow_exact=False) == {(1, 10.0): "a", (1, 20.0): "c", (2, 5.0): None}
+    assert found(direction="nearest") == {(1, 10.0): "b", (1, 20.0): "d", (2, 5.0): None}
+    assert found(direction="nearest", tolerance=2) == {(1, 10.0): "b", (1, 20.0): None, (2, 5.0): None}
+    with pytest.raises(T.KernelError):
+        found(direction="sideways")
