@@ -8,7 +8,7 @@ or join rows. Null in, null out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PATH = "array<struct<x:double,y:double>>"
@@ -222,11 +222,12 @@ def _cell(v: Column, size: float) -> Column:
 
 
 def sjoin_points(polygons: DataFrame, points: DataFrame, ring: str, p: str, size: float, how: str = "inner") -> DataFrame:
-    """Polygons with the points they cover: an equi-join on grid cells, then the exact test. ``size``: of a cell, about a polygon's extent."""
+    """Polygons with the points they cover: an equi-join on grid cells, the test of the box, then the exact one. ``size``: of a cell, about a polygon's extent."""
     b = bounds(F.col(ring))
-    cells = polygons.withColumn("_b", b).withColumn("_cx", F.explode(F.sequence(_cell(F.col("_b.minx"), size), _cell(F.col("_b.maxx"), size)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_b.miny"), size), _cell(F.col("_b.maxy"), size)))).drop("_b")
+    inside = lambda: F.col(f"{p}.x").between(F.col("_b.minx"), F.col("_b.maxx")) & F.col(f"{p}.y").between(F.col("_b.miny"), F.col("_b.maxy"))
+    cells = polygons.withColumn("_b", b).withColumn("_cx", F.explode(F.sequence(_cell(F.col("_b.minx"), size), _cell(F.col("_b.maxx"), size)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_b.miny"), size), _cell(F.col("_b.maxy"), size))))
     placed = points.withColumns({"_cx": _cell(F.col(f"{p}.x"), size), "_cy": _cell(F.col(f"{p}.y"), size)})
-    return cells.join(placed, ["_cx", "_cy"], how).where(covers_point(F.col(ring), F.col(p))).drop("_cx", "_cy")
+    return cells.join(placed, ["_cx", "_cy"], how).where(inside() & covers_point(F.col(ring), F.col(p))).drop("_cx", "_cy", "_b")
 
 
 def count_points_in_polygons(polygons: DataFrame, points: DataFrame, key: str, ring: str, p: str, size: float, output: str = "n") -> DataFrame:
@@ -242,9 +243,17 @@ def within_distance(left: DataFrame, right: DataFrame, p: str, q: str, most: flo
     return a.join(b, ["_cx", "_cy"]).withColumn("distance", distance(F.col(p), F.col(q))).where(F.col("distance") <= most).drop("_cx", "_cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, p: str, q: str, most: float) -> DataFrame:
-    """The nearest right point within ``most`` of each left point; ties go to the least right key."""
-    return within_distance(left, right, p, q, most).groupBy(key).agg(F.min(F.struct("distance", right_key)).alias("_m")).select(key, F.col(f"_m.{right_key}").alias(right_key), F.col("_m.distance").alias("distance"))
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, p: str, q: str, most: float, k: int = 1, how: str = "inner") -> DataFrame:
+    """The ``k`` nearest right points within ``most`` of each left point; ties go to the least right key.
+
+    With ``k`` above 1, ``rank`` counts them from 1. ``how="left"`` keeps left points with nothing near, with nulls.
+    """
+    pairs = within_distance(left.select(key, p), right.select(right_key, q), p, q, most).select(key, right_key, "distance")
+    if k == 1:
+        found = pairs.groupBy(key).agg(F.min(F.struct("distance", right_key)).alias("_m")).select(key, F.col(f"_m.{right_key}").alias(right_key), F.col("_m.distance").alias("distance"))
+    else:
+        found = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", right_key))).where(F.col("rank") <= k)
+    return left.select(key).join(found, key, "left") if how == "left" else found
 
 
 def collect(df: DataFrame, by: list[str], p: str, output: str = "points") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lodestream.operators import geo as G
+from lodestream.operators import hull as H
 from lodestream.operators import linework as L
 from lodestream.operators import overlay as O
 from lodestream.operators import spatial as S
@@ -86,26 +87,27 @@ def table_cross_join(t):
     return T.cross_join(t("region").select("r_name"), t("nation").select("n_name"))
 
 
-_THIN = "SELECT * FROM orders WHERE o_custkey % 5 <> 0"
+#: Not every customer has an urgent order.
+_URGENT = "SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
-def _thin(t):
-    return t("orders").where("o_custkey % 5 <> 0").select(c("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+def _urgent(t):
+    return t("orders").where("o_orderpriority = '1-URGENT'").select(c("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
 
 
-@kernel(f"SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM ({_THIN}))")
+@kernel(f"SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM ({_URGENT}))")
 def table_semi_join(t):
-    return T.semi_join(t("customer"), _thin(t), "c_custkey").select("c_custkey")
+    return T.semi_join(t("customer"), _urgent(t), "c_custkey").select("c_custkey")
 
 
-@kernel(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM ({_THIN}) WHERE o_custkey = c_custkey)")
+@kernel(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM ({_URGENT}) WHERE o_custkey = c_custkey)")
 def table_anti_join(t):
-    return T.anti_join(t("customer"), _thin(t), "c_custkey").select("c_custkey")
+    return T.anti_join(t("customer"), _urgent(t), "c_custkey").select("c_custkey")
 
 
-@kernel(f"SELECT c_custkey, coalesce(v, -1.0) AS o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, min_by(o_totalprice, o_orderkey) AS v FROM ({_THIN}) GROUP BY 1) ON o_custkey = c_custkey")
+@kernel(f"SELECT c_custkey, coalesce(v, -1.0) AS o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, min_by(o_totalprice, o_orderkey) AS v FROM ({_URGENT}) GROUP BY 1) ON o_custkey = c_custkey")
 def table_lookup(t):
-    return T.lookup(t("customer").select("c_custkey"), _thin(t), "c_custkey", ["o_totalprice"], -1.0, "o_orderkey")
+    return T.lookup(t("customer").select("c_custkey"), _urgent(t), "c_custkey", ["o_totalprice"], -1.0, "o_orderkey")
 
 
 @kernel("SELECT l.event_id, l.user_id, r.value AS price, r.ts AS pts_matched FROM (SELECT * FROM events WHERE event_type = 'view') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts")
@@ -127,15 +129,17 @@ _STAT = "SELECT '{0}' AS \"column\", count({0}) AS count, CAST(count(*) - count(
 simple("table_statistics", "lineitem", " UNION ALL ".join(_STAT.format(x) for x in ("l_quantity", "l_discount", "l_tax")), lambda d: T.statistics(d, ["l_quantity", "l_discount", "l_tax"]).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)}))
 simple("table_bin", "part", "SELECT p_partkey, CASE WHEN p_size >= 1 AND p_size < 10 THEN 0 WHEN p_size >= 10 AND p_size < 30 THEN 1 WHEN p_size >= 30 AND p_size < 45 THEN 2 END AS bin FROM part", lambda d: T.bin(d, "p_size", [1, 10, 30, 45], "bin").select("p_partkey", "bin"))
 simple("table_pivot", "orders", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1", lambda d: T.pivot(d, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(lit(1))).fillna(0))
-_CHANGED = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 13 = 0 THEN c_acctbal + 1.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 17 = 0"
+#: A later state of the customers: debtors are gone, one segment got a bonus, another has branches under new keys.
+_CHANGED = "SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT -c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY'"
 _CUST = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 _DIFF = f"SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'left_only' WHEN a.c_custkey IS NULL THEN 'right_only' WHEN a.c_acctbal = b.c_acctbal THEN 'matched' ELSE 'changed' END AS status FROM ({_CUST}) a FULL JOIN ({_CHANGED}) b ON a.c_custkey = b.c_custkey"
 
 
 def _two(t):
-    d = t("customer").select("c_custkey", "c_name", "c_acctbal")
-    changed = d.where("c_custkey % 11 <> 0").withColumn("c_acctbal", F.when(c("c_custkey") % 13 == 0, c("c_acctbal") + lit(1.0)).otherwise(c("c_acctbal")))
-    return d, changed.union(d.where("c_custkey % 17 = 0").withColumn("c_custkey", c("c_custkey") + 1000000))
+    d = t("customer")
+    changed = d.where("c_acctbal >= 0").withColumn("c_acctbal", F.when(c("c_mktsegment") == "BUILDING", c("c_acctbal") + lit(1.0)).otherwise(c("c_acctbal")))
+    branches = d.where("c_mktsegment = 'MACHINERY'").withColumn("c_custkey", -c("c_custkey"))
+    return d.select("c_custkey", "c_name", "c_acctbal"), changed.union(branches).select("c_custkey", "c_name", "c_acctbal")
 
 
 @kernel(f"SELECT status, count(*) AS n FROM ({_DIFF}) GROUP BY 1")
@@ -197,8 +201,10 @@ simple("table_timezone_convert", "events", "SELECT event_id, timezone('America/N
 simple("table_fill_na", "customer", f"SELECT c_custkey, coalesce({_NULLED}, 'none') AS seg FROM customer", lambda d: T.fill_na(_nulled(d), {"seg": "none"}).select("c_custkey", "seg"))
 simple("table_md5_hash", "customer", "SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR) || chr(31) || c_name) AS h FROM customer", lambda d: T.md5_hash(d, ["c_custkey", "c_name"], "h").select("c_custkey", "h"))
 simple("table_sha256_hash", "customer", f"SELECT c_custkey, sha256(c_name || chr(31) || coalesce({_NULLED}, '\\N')) AS h FROM customer", lambda d: T.sha256_hash(_nulled(d), ["c_name", "seg"], "h").select("c_custkey", "h"))
-simple("table_hmac_sha256", "customer", None, lambda d: T.hmac_sha256(d, ["c_name"], b"key", "h").select("c_custkey", "h"))
-simple("table_uuid_generator", "customer", None, lambda d: T.uuid_generator(d, "id", ["c_name"]).select("c_custkey", "id"))
+_PADS = tuple(bytes(b ^ pad for b in b"key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+simple("table_hmac_sha256", "customer", f"SELECT c_custkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(c_name)))) AS h FROM customer", lambda d: T.hmac_sha256(d, ["c_name"], b"key", "h").select("c_custkey", "h"))
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', h[17]), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+simple("table_uuid_generator", "customer", f"SELECT c_custkey, {_UUID} AS id FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)", lambda d: T.uuid_generator(d, "id", ["c_name"]).select("c_custkey", "id"))
 simple("table_mask_data", "customer", "SELECT c_custkey, substr(c_name, 1, 2) || repeat('*', length(c_name) - 5) || right(c_name, 3) AS c_name FROM customer", lambda d: T.mask_data(d, "c_name", 2, 3).select("c_custkey", "c_name"))
 simple("table_stable_fingerprint", "customer", "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(CAST(c_custkey AS VARCHAR) || chr(31) || c_name), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM customer", lambda d: T.stable_fingerprint(d, ["c_name", "c_custkey"]))
 simple("table_assert_not_null", "customer", f"SELECT CAST(count(*) FILTER (({_NULLED}) IS NULL) AS BIGINT) AS violations, count(*) AS rows FROM customer", lambda d: T.assert_not_null(_nulled(d), ["seg"]))
@@ -211,9 +217,9 @@ simple("table_assert_metadata", "region", "SELECT r_regionkey FROM region", lamb
 simple("table_validate_rules", "lineitem", "SELECT 'cheap' AS rule, count(*) FILTER (NOT l_discount <= 0.09) AS violations, count(*) FILTER (NOT l_discount <= 0.09) = 0 AS passed FROM lineitem UNION ALL SELECT 'positive', count(*) FILTER (NOT l_quantity > 0), count(*) FILTER (NOT l_quantity > 0) = 0 FROM lineitem", lambda d: T.validate_rules(d, {"cheap": c("l_discount") <= 0.09, "positive": c("l_quantity") > 0}))
 
 
-@kernel(f"SELECT count(*) AS orphans FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ({_THIN}))")
+@kernel(f"SELECT count(*) AS orphans FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ({_URGENT}))")
 def table_assert_foreign_key(t):
-    return T.assert_foreign_key(t("customer"), _thin(t), "c_custkey")
+    return T.assert_foreign_key(t("customer"), _urgent(t), "c_custkey")
 
 
 # --- geometry: rectangles and points by rule, so that plain arithmetic is the expected result
@@ -299,6 +305,13 @@ def geo_nearest(t):
     return G.nearest(_pts(t("customer")), s, "c_custkey", "s_suppkey", "p", "q", 20.0).withColumn("distance", F.round("distance", 6))
 
 
+def _square_ell(d: DataFrame) -> DataFrame:
+    """The outline of an L in a square, with points a quarter of the square's side apart."""
+    quarters = F.array(*(F.struct(lit(x).alias("x"), lit(y).alias("y")) for x, y in ((0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2), (3, 2), (2, 2), (2, 3), (2, 4), (1, 4), (0, 4), (0, 3), (0, 2), (0, 1))))
+    return d.withColumn("points", F.transform(quarters, lambda q: G.point(c("x0") + q["x"] * c("w") / 4, c("y0") + q["y"] * c("w") / 4)))
+
+
+simple("geo_concave_hull", "part", f"SELECT p_partkey, CAST(w * w * 0.75 AS DOUBLE) AS area, 17 AS points FROM {_RECTS}", lambda d: _square_ell(_rects(d)).withColumn("hull", H.concave_hull(c("points"), ratio=0.15)).select("p_partkey", F.round(G.area(c("hull")), 6).alias("area"), F.size("hull").alias("points")))
 simple("geo_collect", "customer", "SELECT c_nationkey, CAST(count(*) AS INT) AS n FROM customer GROUP BY 1", lambda d: G.collect(d.select("c_nationkey", G.point(F.expr(_X), F.expr(_Y)).alias("p")), ["c_nationkey"], "p").select("c_nationkey", F.size("points").alias("n")))
 simple("geo_explode", "part", "SELECT p_partkey, unnest(range(5)) AS k FROM part", lambda d: _rects(d).select("p_partkey", F.posexplode("ring").alias("k", "v")).select("p_partkey", c("k").cast("long").alias("k")))
 
@@ -426,7 +439,11 @@ def geo_subdivide(t):
     return S.subdivide(_rects(t("part")).select("p_partkey", "ring"), "ring", 4.0).groupBy("p_partkey").agg(F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
 
 
-@kernel()
+_NEAR = f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_PTS} a JOIN {_PTS} b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 4.1"
+_REACHED = "SELECT k AS node, k AS label FROM core UNION SELECT b, label FROM reached JOIN near ON a = node JOIN core ON k = b"
+
+
+@kernel(f"WITH RECURSIVE near AS ({_NEAR}), core AS (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 3), reached AS ({_REACHED}), named AS (SELECT node, min(label) AS label FROM reached GROUP BY node) SELECT c_custkey, min(label) AS cluster FROM customer LEFT JOIN near ON a = c_custkey LEFT JOIN named ON node = b GROUP BY c_custkey")
 def geo_cluster_dbscan(t):
     return S.cluster_dbscan(_pts(t("customer")), "c_custkey", "p", 4.1, 3)
 
