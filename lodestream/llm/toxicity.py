@@ -1,14 +1,16 @@
 """Toxicity from a lexicon that also matches misspelt terms.
 
-The lexicon is learned from labelled documents: words that are frequent among
-toxic ones, rare elsewhere, and found in many different surroundings (so that
+The lexicon is learned from labelled documents: words more of whose rows are
+toxic than chance explains, and found in many different surroundings (so that
 copies of one document do not make a term of each of its words). Its trie is
 intersected with Levenshtein automata: a word is read once, letter by letter,
 through the lazily determinised product, and is a hit if it ends within the
-distance its term's length allows. The words around a hit tell abuse (second
-person, no quotation marks) from quotation (quotation marks, verbs of speech).
-A logistic model over these hits, fitted on the labelled rows of the training
-folds, gives the score.
+distance its term allows: by its length, and none for a term whose neighbours in
+the sample are mostly words of clean texts. The words around a hit tell abuse
+(second person, no quotation marks) from quotation (quotation marks, verbs of
+speech). A logistic model over these hits, fitted on the labelled rows of the
+training folds, gives the score; a misspelt hit counts as an exact one, but for
+what the labels say against it.
 
 A null text is the empty text; it gets the score of a text without hits. Texts of
 any length are read whole. Labels that are null do not count; repeated rows are
@@ -35,8 +37,8 @@ from lodestream.llm.common import id_and_text, slices
 LABELLED_ROWS = 12_000
 #: Terms of the lexicon, at most.
 TERMS = 400
-#: A term is in at least this share of the toxic rows, and so many of them, and at least this share of its rows is toxic.
-LEAST_SHARE, LEAST_ROWS, LEAST_PRECISION = 0.03, 4, 0.75
+#: At least this share of a term's rows is toxic, and by chance so many were with a probability of e^-12 at most (Chernoff's bound).
+LEAST_PRECISION, LEAST_EVIDENCE = 0.75, 12.0
 #: Different words before a term, as a share of its rows.
 LEAST_CONTEXTS = 0.4
 WINDOW = 8
@@ -62,7 +64,7 @@ class LexiconAutomaton:
     A state is a set of (trie node, edits so far), the least edits for each node.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], limits: list[int] | None = None):
         self.children: list[dict[str, int]] = [{}]
         self.term_at: dict[int, int] = {}
         for k, term in enumerate(terms):
@@ -73,8 +75,12 @@ class LexiconAutomaton:
                     self.children.append({})
                 node = self.children[node][c]
             self.term_at[node] = k
-        self.limit = [allowed(len(t)) for t in terms]
-        self.most = max(self.limit, default=0)
+        self.limit = [allowed(len(t)) for t in terms] if limits is None else limits
+        self.most = [-1] * len(self.children)  # edits that any term below a node allows; children come after their parents
+        for node, k in self.term_at.items():
+            self.most[node] = self.limit[k]
+        for node in reversed(range(len(self.children))):
+            self.most[node] = max([self.most[node], *(self.most[child] for child in self.children[node].values())])
         self.forget()
 
     def forget(self) -> None:
@@ -88,11 +94,11 @@ class LexiconAutomaton:
         queue = list(nodes)
         while queue:  # letters of a term left out
             node = queue.pop()
-            if (e := nodes[node] + 1) <= self.most:
-                for child in self.children[node].values():
-                    if nodes.get(child, self.most + 1) > e:
-                        nodes[child] = e
-                        queue.append(child)
+            e = nodes[node] + 1
+            for child in self.children[node].values():
+                if e <= self.most[child] and nodes.get(child, e + 1) > e:
+                    nodes[child] = e
+                    queue.append(child)
         key = frozenset(nodes.items())
         if key not in self.index:
             self.index[key] = len(self.states)
@@ -104,28 +110,32 @@ class LexiconAutomaton:
         for node, e in self.states[state].items():
             for letter, child in self.children[node].items():
                 cost = e + (letter != c)
-                if cost <= self.most and nodes.get(child, self.most + 1) > cost:
+                if cost <= self.most[child] and nodes.get(child, cost + 1) > cost:
                     nodes[child] = cost
-            if e + 1 <= self.most and nodes.get(node, self.most + 1) > e + 1:
+            if e + 1 <= self.most[node] and nodes.get(node, e + 2) > e + 1:
                 nodes[node] = e + 1
         to = self._state(nodes) if nodes else -1
         self.steps[state, c] = to
         return to
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term within its limit; ties go to the first term."""
+    def matches(self, word: str) -> list[tuple[int, int]]:
+        """(edits, term) of every term within its limit."""
         state, steps = self.start, self.steps
         for c in word:
             to = steps.get((state, c))
             state = self._step(state, c) if to is None else to
             if state < 0:
-                return None
-        found = [(e, self.term_at[n]) for n, e in self.states[state].items() if n in self.term_at and e <= self.limit[self.term_at[n]]]
+                return []
+        return [(e, self.term_at[n]) for n, e in self.states[state].items() if n in self.term_at and e <= self.limit[self.term_at[n]]]
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(term, edits) of the nearest term within its limit; ties go to the first term."""
+        found = self.matches(word)
         return min(found)[::-1] if found else None
 
 
 #: What the model sees of a text, in this order.
-FEATURES = ("exact", "exact_quoted", "misspelt", "misspelt_quoted", "addressed", "density", "densest")
+FEATURES = ("hits", "quoted", "misspelt", "misspelt_quoted", "addressed", "density", "densest")
 
 
 @dataclass
@@ -133,11 +143,12 @@ class Scanner:
     """Finds hits in texts; remembers what it has found for each chunk between spaces."""
 
     terms: list[str]
+    limits: list[int] | None = None
     automaton: LexiconAutomaton = field(init=False)
     known: dict = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.automaton = LexiconAutomaton(self.terms)
+        self.automaton = LexiconAutomaton(self.terms, self.limits)
 
     def _chunk(self, chunk: str) -> tuple[int, int] | bool:
         found = min((m for w in re.findall(r"[^\W_]+", chunk) if (m := self.automaton.match(w))), key=lambda m: m[1], default=False)
@@ -166,7 +177,8 @@ class Scanner:
             around = chunks[max(0, k - WINDOW) : k + WINDOW + 1]
             words = {re.sub(r"\W+", "", w) for w in around}
             quoted = bool(words & QUOTING) or (chunks[k][0] in MARKS or chunks[k][-1] in MARKS) or (any(m in w for w in chunks[max(0, k - WINDOW) : k] for m in MARKS) and any(m in w for w in chunks[k + 1 : k + WINDOW + 1] for m in MARKS))
-            out[2 * (found[k][1] > 0) + quoted] += 1
+            out[quoted] += 1
+            out[2 + quoted] += found[k][1] > 0
             out[4] += bool(words & ADDRESSING)
         out = [float(np.log1p(x)) for x in out]
         out[5] = 20 * len(hits) / (len(chunks) + 20)
@@ -180,6 +192,7 @@ class ToxicityModel:
     """Learned terms and logistic weights; its size does not depend on the corpus."""
 
     terms: tuple[str, ...]
+    limits: tuple[int, ...]
     weights: tuple[float, ...]
     bias: float
 
@@ -214,13 +227,44 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[np.ndarray,
     return w[:-1], float(w[-1])
 
 
+def tolerances(sample: DataFrame, lexicon: list[str]) -> list[int]:
+    """Edits that each term allows: none where words that near it are mostly in clean texts of the sample (label, text)."""
+    first = [allowed(len(t)) for t in lexicon]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, near = LexiconAutomaton(lexicon, first), {}
+        seen = np.zeros((2, len(lexicon)), np.int64)
+        for batch in slices(batches):
+            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                met: set[int] = set()
+                for word in set(re.findall(r"[^\W_]+", text.lower())):
+                    terms = near.get(word)
+                    if terms is None:
+                        found = automaton.matches(word)
+                        terms = () if found and min(found)[0] == 0 else tuple(k for _, k in found)
+                        if len(word) <= _KEPT_LETTERS:
+                            if len(near) > _KEPT_WORDS:
+                                near.clear()
+                            near[word] = terms
+                        if len(automaton.steps) > _KEPT_STEPS:
+                            automaton.forget()
+                    met.update(terms)
+                seen[int(label > 0), list(met)] += 1
+        at = np.flatnonzero(seen.sum(axis=0))
+        yield pa.record_batch({"term": pa.array(at, pa.int32()), "clean": pa.array(seen[0, at]), "toxic": pa.array(seen[1, at])})
+
+    counts = sample.select("label", "text").mapInArrow(work, "term int, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    bad = {r.term for r in counts.collect() if r.toxic < LEAST_PRECISION * (r.toxic + r.clean)}  # a row for each term at most
+    return [0 if k in bad else n for k, n in enumerate(first)]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> ToxicityModel:
     """Learns the lexicon (a Spark aggregation over the sample's words) and fits the weights."""
     sample = training_sample(docs, labels, "toxic", rows).persist()
     try:
         toxic, total = sample.agg(F.coalesce(F.sum(F.col("label")), F.lit(0)), F.count("*")).first()
         if not toxic or toxic == total:
-            return ToxicityModel((), (0.0,) * len(FEATURES), float(np.log((toxic + 0.5) / (total - toxic + 0.5))))
+            return ToxicityModel((), (), (0.0,) * len(FEATURES), float(np.log((toxic + 0.5) / (total - toxic + 0.5))))
         words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
         pairs = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.struct(w.alias("word"), before.alias("before")))
         counted = (
@@ -231,12 +275,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
             .groupBy("word")
             .agg(F.sum("label").alias("toxic"), F.count("*").alias("rows"), F.approx_count_distinct("before").alias("contexts"))
         )
-        least = max(LEAST_ROWS, LEAST_SHARE * toxic)
-        terms = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * F.col("rows")) & (F.col("contexts") >= LEAST_CONTEXTS * F.col("rows")))
-        lexicon = sorted(r.word for r in terms.orderBy(F.desc("toxic"), "word").limit(TERMS).collect())
+        share, base = F.col("toxic") / F.col("rows"), toxic / total
+        clean = 1 - share
+        evidence = F.col("rows") * (share * F.log(share / base) + F.when(clean > 0, clean * F.log(clean / (1 - base))).otherwise(0.0))
+        terms = counted.where("toxic > 0").where((share >= max(LEAST_PRECISION, base)) & (evidence >= LEAST_EVIDENCE) & (F.col("contexts") >= LEAST_CONTEXTS * F.col("rows")))
+        lexicon = sorted(r.word for r in terms.orderBy(F.desc(evidence), "word").limit(TERMS).collect())
+        limits = tolerances(sample, lexicon)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(lexicon)
+            scanner = Scanner(lexicon, limits)
             for batch in slices(batches):
                 found = [scanner.features(x) for x in batch["text"].to_pylist()]
                 yield pa.record_batch({"label": batch["label"], "features": pa.array(found, pa.list_(pa.float64()))})
@@ -245,7 +292,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     finally:
         sample.unpersist()
     weights, bias = logistic(np.array([r.features for r in seen]), np.array([r.label for r in seen], float))
-    return ToxicityModel(tuple(lexicon), tuple(weights.tolist()), bias)
+    return ToxicityModel(tuple(lexicon), tuple(limits), tuple(weights.tolist()), bias)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", output: str = "toxicity") -> DataFrame:
@@ -254,7 +301,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     schema = StructType([*docs.schema.fields, StructField(output, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, weights = Scanner(list(model.terms)), np.array(model.weights)
+        scanner, weights = Scanner(list(model.terms), list(model.limits)), np.array(model.weights)
         for batch in slices(batches):
             x = np.array([scanner.features(t or "") for t in batch[text_col].to_pylist()]).reshape(-1, len(FEATURES))
             score = pa.array(1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -30, 30))))

@@ -177,6 +177,48 @@ def test_lexicon_automaton():
         assert (got and got[::-1]) == want
 
 
+def test_lexicon_automaton_with_limits():
+    rnd, terms, limits = random.Random(6), ["trash", "trasher", "idiot", "scum", "pathetic"], [0, 2, 1, 0, 2]
+    automaton = toxicity.LexiconAutomaton(terms, limits)
+    for _ in range(2000):
+        w = list(rnd.choice(terms))
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(w) + 1)
+            w[k : k + rnd.randint(0, 1)] = rnd.choice(["", "a", "r", "i"])
+        w = "".join(w)
+        assert sorted(automaton.matches(w)) == sorted((lev(w, t), i) for i, t in enumerate(terms) if lev(w, t) <= limits[i])
+
+
+def test_toxicity_of_misspelt_and_quoted_terms(spark):
+    rnd = random.Random(7)
+    plain = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nt", "rd", "st", "lk")]
+    some = lambda n: [rnd.choice(plain) for _ in range(n)]
+    rows, marks = [], []
+    for k in range(300):
+        words = some(30)
+        if k % 4 == 0:
+            for _ in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(["worthless", "disgusting"]))
+        elif k % 4 == 1:
+            words[7:7] = ["he", "called", "the", "plan", '"disgusting"']  # clean texts quote the term
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(k % 4 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(frame(spark, rows), labels)
+    assert "worthless" in model.terms
+    words = some(30)
+    probes = [(1, [*words, "worthless", "worthless"]), (2, [*words, "worthles", "wortless"]), (3, [*words, "they", "said", '"worthless"']), (4, words)]
+    score = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, [(i, " ".join(w)) for i, w in probes]), model).collect()}
+    assert min(score[1], score[2]) >= 0.5 > max(score[3], score[4])
+
+
+def test_terms_near_clean_words_allow_no_edits(spark):
+    rows = [(k, "worthless mountain" if k % 2 else "fountain walks by") for k in range(40)]
+    sample = frame(spark, rows).selectExpr("int(doc_id % 2) AS label", "text")
+    assert toxicity.tolerances(sample, ["mountain", "worthless"]) == [0, 2]
+    assert toxicity.tolerances(sample.limit(0), ["mountain", "worthless"]) == [1, 2] and toxicity.tolerances(sample, []) == []
+
+
 # --- 5
 def brute_fingerprint(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
@@ -436,6 +478,47 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in docs.collect()} == before
 
 
+CLASHING = ("_toxicity", "toxicity", "_key", "_hash", "_place", "_row", "_kept", "_overlaps", "overlaps", "_spans", "spans", "sequence_id", "id", "n", "component", "text_hash")
+
+
+def test_stages_take_odd_tables(spark, odd):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing names; then no rows at all."""
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [*odd, (3, "a b c d e f g"), (None, None), (None, "mail a@b.co"), (20, f"x {item} y"), (21, "mail a@b.co and 10.0.0.1"), (22, "no spaces " + "z" * 300_000)]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t), *(["own", None] * len(CLASHING))[: len(CLASHING)]) for i, t in rows], schema)
+    empty = docs.limit(0)
+    for name, stage in P.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, empty, SF)
+        assert none.columns == out.columns and none.collect() == []
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            continue
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert all(r["_toxicity"] == "own" and r["toxicity"] is None and r["_spans"] is None for r in got)
+        left = {r.doc_id for r in got}
+        if name == "near_duplicates":  # 10 repeats 3, 9 is as empty as 1 and 2, 8 differs from 5 in three letters, 7 repeats it
+            assert left == {1, 3, 5, 11, 12, 20, 21, 22, None} and len(got) == 10
+        elif name == "decontamination":
+            assert left == {1, 3, 5, 11, 12, 21, 22, None} and len(got) == 9
+        else:
+            assert len(got) == docs.count()
+        if name == "personal_data":
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+            assert {r.text for r in got if r.doc_id in (21, None)} == {"mail [EMAIL] and [IP]", "mail [EMAIL]", None}
+        docs = out
+
+
+def test_counts_and_packing_of_no_rows_and_repeats(spark):
+    none, twice = frame(spark, []), frame(spark, [(1, "a b"), (1, "a b"), (None, None), (2, "")])
+    assert token_counts.token_counts(none).collect() == packing.packed(none).collect() == []
+    assert sorted(((r.doc_id or 0), r.n_pretokens) for r in token_counts.token_counts(twice).collect()) == [(0, 0), (1, 2), (1, 2), (2, 0)]
+    assert sorted((r.doc_id or 0) for r in packing.packed(twice).collect() if r.start == 0) == [0, 1, 1, 2]
+
+
 def near_copies(seed=3):
     """Pairs around similarity 0.8, a family of 150 edited copies of one text, and texts that share a long passage."""
     rnd = random.Random(seed)
