@@ -5,6 +5,9 @@ two characters that are not white space always begins a new pre-token. So a text
 may be cut at such spaces, each distinct chunk encoded once, and the ids joined:
 the result is the one of encoding the whole text. Texts with other white space
 beside a space are cut by a regular expression at exactly those spaces.
+
+The library takes the contents of added tokens (``<|endoftext|>``) out of a text
+before anything else and encodes what lies between them by itself; so do we.
 """
 
 from __future__ import annotations
@@ -36,10 +39,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path) as f:
             spec = json.load(f)
+        if odd := [x["content"] for x in spec["added_tokens"] if x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"]]:
+            raise ValueError(f"added tokens with conditions: {odd}")
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in spec["added_tokens"]}
+        self.at_added = re.compile("|".join(f"({re.escape(x)})" for x in sorted(self.added, key=len, reverse=True)))
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         given = [x["pattern"]["Regex"] for x in steps if x["type"] == "Split"]
         self.find = regex.compile(given[0] if given else public_tokenizers.PATTERN).findall
@@ -120,6 +126,12 @@ class Encoder:
         self.young, self.old = {}, {}
 
     def encode(self, text: str) -> bytes:
+        if not any(x in text for x in self.added):
+            return self._plain(text)
+        return b"".join([self.added.get(x) or self._plain(x) for x in self.at_added.split(text) if x])
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         first, space, rest = text.partition(" ")
         if not space:
             return self._first(text)

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small fixtures with nulls, empties, long texts, ties, repeats and clashing columns."""
 
+import functools
 import hashlib
 import random
 import re
@@ -7,8 +8,10 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from lodestream.llm import decontam, fm_quality, jaccard, packing, pii, queries, simhash, simple8b, suffix_dedup, syncmers, token_counts, tokens, toxicity
 from lodestream.llm.common import components
@@ -27,10 +30,20 @@ def odd(spark):
     rnd = random.Random(5)
     words = ["the", "cat", "sat", "on", "mat", "Über", "naïve", "x1", "日本", "end."]
     long = " ".join(rnd.choice(words) for _ in range(4000))
-    rows = [(3, "a b c d e f g"), (1, None), (2, ""), (5, long), (7, long), (8, long[:-3] + "zzz"), (9, " \n\t "), (10, "a b c d e f g"), (11, "word"), (12, long[100:900])]
+    rows = [(3, "a b c d e f g"), (1, None), (2, ""), (5, long), (7, long), (8, long[:-3] + "zzz"), (9, " \n\t "), (10, "a b c d e f g"), (11, "word"), (12, long[100:900]), (13, "a <|endoftext|> b<|startoftext|>C"), (14, "<|endoftext|>")]
     return rows
 
 
+@functools.cache
+def library_tokenizer(name):
+    """A tokenizer of the library alone, as the file says."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def library_ids(name, text):
+    return np.array(library_tokenizer(name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def texts(rows):
     return [(i, t or "") for i, t in sorted(rows)]
 
@@ -63,9 +76,8 @@ def test_syncmers_are_context_free():
 # --- 2
 def test_packing_keeps_every_token_once(spark, odd):
     rows = packing.packed(frame(spark, odd)).collect()
-    encode = tokens.Encoder(tokens.public_path("word_bpe_49k.json")).encode
     for i, t in texts(odd):
-        ids, own = encode(t) + b"\2\0\0\0", sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        ids, own = library_ids("word_bpe_49k.json", t) + b"\2\0\0\0", sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
         assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist()
         assert b"".join(r.ids for r in own) == ids and all(r.ids_crc32 == zlib.crc32(r.ids) and r.doc_tokens == len(ids) // 4 for r in own)
     sequences = {}
@@ -106,9 +118,9 @@ def test_simple8b_round_trip(high):
 
 def test_token_files(spark, odd):
     got = {r.doc_id: r for r in simple8b.stored_digest(frame(spark, odd)).collect()}
-    encode, start = tokens.Encoder(tokens.public_path("byte_bpe_50k.json")).encode, 0
+    start = 0
     for i, t in texts(odd):
-        ids = encode(t) + b"\2\0\0\0"
+        ids = library_ids("byte_bpe_50k.json", t) + b"\2\0\0\0"
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
     assert simple8b.stored_digest(frame(spark, [])).collect() == []
@@ -121,7 +133,10 @@ def test_chunked_encoding_is_the_tokenizers(name):
     bits = [" ", " ", "  ", "\n", "\t", "a", "Bc", "'s", "é", "É", "\x1c", "\xa0", "ª", "1", "23", "!", "w.", "<|endoftext|>", "　", "́", "ß", "Σ", "한"]
     for _ in range(4000):
         t = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
-        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+        assert e.encode(t) == library_ids(name, t), repr(t)
+    for token in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end oftext|>", "<|endoftext|"):
+        for t in (token, f"{token}a", f"a{token}", f"a{token}b", f"a {token} b", f" {token} ", f"a  {token}\n{token}{token} É b", f"don{token}'t", f"<|{token}|>"):
+            assert e.encode(t) == library_ids(name, t), repr(t)
 
 
 # --- 4 and 7
