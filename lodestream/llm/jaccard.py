@@ -18,7 +18,7 @@ A prefix bucket of at most ``BUCKET`` sets yields its pairs. A pair that meets o
 in such buckets shares as many shingles of the prefixes as it has meetings; that
 bounds its overlap, and only pairs that can reach 0.8 are verified. The sets of a
 larger bucket that the links so far do not join are compared whole: the bucket is
-cut into blocks by component and size, and each two blocks that could link are
+dealt to blocks by component and size, and each two blocks that could link are
 compared as a product of their incidence matrices. They yield a spanning forest of
 their links, never all pairs.
 
@@ -58,9 +58,13 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text.encode(), WORDS).view("<i8"))
 
 
-def alike(overlap, n_a, n_b):
-    """Jaccard similarity of 0.8 or more, in whole numbers (also of columns and arrays)."""
-    return 9 * overlap >= 4 * (n_a + n_b)
+#: A similarity of 0.8, as numerator and denominator.
+LEAST = (4, 5)
+
+
+def alike(overlap, n_a, n_b, least: tuple[int, int] = LEAST):
+    """Jaccard similarity of ``least`` or more, in whole numbers (also of columns and arrays)."""
+    return sum(least) * overlap >= least[0] * (n_a + n_b)
 
 
 def prefix_size(n: int) -> int:
@@ -231,7 +235,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(table: pa.Table) -> pa.Table:
+def block_links(table: pa.Table, least: tuple[int, int] = LEAST) -> pa.Table:
     """Links among the members of two blocks (side 0 and 1), or inside the one block (side 0 alone)."""
     side, ids, n = (table[c].to_numpy() for c in ("side", "id", "n"))
     sets = [x.values.to_numpy() for x in table["shingles"]]
@@ -241,7 +245,7 @@ def block_links(table: pa.Table) -> pa.Table:
     rows, cols = at if len(at[1]) else (at[0], at[0])
     if len(rows):
         found = overlaps([sets[k] for k in rows], [sets[k] for k in cols])
-        linked[np.ix_(rows, cols)] = alike(found, n[rows][:, None], n[cols][None, :])
+        linked[np.ix_(rows, cols)] = alike(found, n[rows][:, None], n[cols][None, :], least)
     pairs = forest(linked | linked.T)
     return pa.table({"a": pa.array([ids[x] for x, _ in pairs], pa.int64()), "b": pa.array([ids[y] for _, y in pairs], pa.int64())})
 
@@ -277,25 +281,48 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, te
     return found.mapInArrow(work, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: links across components (``roots``: node, root) among the members (key, id, n) of crowded buckets."""
+def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame, similarity: tuple[int, int] = LEAST) -> DataFrame:
+    """a, b: links across components (``roots``: node, root) among the members (key, id, n) of crowded buckets.
+
+    A bucket is cut into blocks without bringing it together: its weight is summed by component and by size, and members
+    are dealt by hash to as many blocks as that takes. A component that fills half a block has blocks of its own; all
+    other members share blocks with those of like size.
+    """
     crowd = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left")
     of = F.coalesce("root", "id")
     mixed = crowd.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("u"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("v"))
     mixed = mixed.where("x < y").groupBy("n", "u", "v").agg(F.min("key").alias("key")).select("key")  # of buckets with the same members, one
-    # large components come in blocks of their own; sets that nothing is linked to follow by size
-    before = Window.partitionBy("key").orderBy(F.col("root").isNull(), "root", "n", "id").rowsBetween(Window.unboundedPreceding, 0)
-    crowd = crowd.join(mixed, "key").withColumn("block", F.floor(F.sum(F.col("n") + 128).over(before) / BLOCK))
-    crowd = saved(crowd.select("key", "block", "id", "n", of.alias("root")), "crowd")
+    crowd = saved(crowd.join(mixed, "key").select("key", "id", "n", "root", of.alias("own")), "crowd")
+    weight = F.sum(F.col("n") + 128)
+    large = crowd.where("root IS NOT NULL").groupBy("key", "root").agg(weight.alias("w")).where(F.col("w") >= BLOCK // 2).select("key", "root", F.lit(True).alias("large"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(similarity[1] / similarity[0])))
+    crowd = crowd.join(large, ["key", "root"], "left").withColumn("kind", F.when(F.col("large"), F.xxhash64(F.lit(1), "root")).otherwise(F.xxhash64(F.lit(2), size)))
+    kinds = crowd.groupBy("key", "kind").agg(F.ceil(weight / BLOCK).alias("parts"))
+    crowd = crowd.join(kinds, ["key", "kind"]).withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "parts")))
+    crowd = saved(crowd.select("key", "block", "id", "n", F.col("own").alias("root")), "crowd")
     ranges = crowd.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
     x, y = (ranges.select("key", F.col("block").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("least", "most", "low", "high"))) for c in ("i", "j"))
-    both = x.join(y, "key").where("i <= j AND 4 * least_j <= 5 * most_i AND 4 * least_i <= 5 * most_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)").select("key", "i", "j")
+    small, whole = similarity
+    both = x.join(y, "key").where(f"i <= j AND {small} * least_j <= {whole} * most_i AND {small} * least_i <= {whole} * most_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)").select("key", "i", "j")
     sides = [
         crowd.join(both.where(w).withColumn("block", F.col(c)), ["key", "block"]).select("key", "i", "j", F.lit(k).alias("side"), "id", "n")
         for k, (c, w) in enumerate((("i", "true"), ("j", "i < j")))
     ]
     blocks = sides[0].union(sides[1]).join(found, "id").select("key", "i", "j", "side", "id", "n", "shingles")
-    return blocks.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
+    return blocks.groupBy("key", "i", "j").applyInArrow(lambda table: block_links(table, similarity), "a long, b long")
+
+
+def joined_components(links: DataFrame, more) -> DataFrame:
+    """node, root over ``links``, then over what ``more(roots)`` links across their components. Saved."""
+    roots = saved(components(links, "components"), "roots")
+    at_a, at_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    across = more(roots).join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    across = saved(across.where("a <> b").distinct(), "across")
+    last = components(across, "components").select(F.col("node").alias("upper"), F.col("root").alias("last"))
+    labels = roots.join(last, F.col("root") == F.col("upper"), "left").select("node", F.coalesce("last", "root").alias("root"))
+    alone = across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(roots.select("node"), "node", "left_anti")
+    alone = alone.join(last, F.col("node") == F.col("upper")).select("node", F.col("last").alias("root"))
+    return saved(labels.union(alone), "labels")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -312,16 +339,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     set_a, set_b = (found.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     links = proposed.join(set_a, "a").join(set_b, "b").where(alike(shared, F.size("of_a"), F.size("of_b"))).select("a", "b")
-    roots = saved(components(links, "components"), "roots")
-    more = crowded_pairs(crowd, found, roots)
-    at_a, at_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    across = more.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    across = saved(across.where("a <> b").distinct(), "across")
-    last = components(across, "components").select(F.col("node").alias("upper"), F.col("root").alias("last"))
-    labels = roots.join(last, F.col("root") == F.col("upper"), "left").select(F.col("node").alias("id"), F.coalesce("last", "root").alias("component"))
-    alone = across.select(F.col("a").alias("id")).union(across.select("b")).distinct().join(roots.select(F.col("node").alias("id")), "id", "left_anti")
-    alone = alone.join(last, F.col("id") == F.col("upper")).select("id", F.col("last").alias("component"))
-    return rows.select("doc_id", "text_hash", "id"), saved(labels.union(alone), "labels")
+    labels = joined_components(links, lambda roots: crowded_pairs(crowd, found, roots))
+    return rows.select("doc_id", "text_hash", "id"), labels.select(F.col("node").alias("id"), F.col("root").alias("component"))
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

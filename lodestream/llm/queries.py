@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm.decontam import contaminations
 from lodestream.llm.fm_quality import fit_quality, quality_scores
+from lodestream.llm.minhash import minhash_components
 from lodestream.llm.packing import packed
 from lodestream.llm.pii import pii_digest
+from lodestream.llm.product_codes import product_codes
 from lodestream.llm.simhash import simhash_components
 from lodestream.llm.simple8b import stored_digest
 from lodestream.llm.suffix_dedup import deduplicated
 from lodestream.llm.syncmers import edited_likeness
 from lodestream.llm.token_counts import token_counts
 from lodestream.llm.toxicity import fit_toxicity, scored_with_folds, toxicity_scores
+from lodestream.llm.whitening import whitened
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -80,3 +83,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir))
+
+
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(documents(spark, sf_dir))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from lodestream.llm import decontam, fm_quality, jaccard, packing, pii, queries, simhash, simple8b, suffix_dedup, syncmers, token_counts, tokens, toxicity
+from lodestream.llm import decontam, fm_quality, jaccard, minhash, packing, pii, product_codes, queries, simhash, simple8b, suffix_dedup, syncmers, token_counts, tokens, toxicity, whitening
 from lodestream.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -643,3 +643,221 @@ def test_anchors_of_long_texts(monkeypatch):
     whole = suffix_dedup.anchors(data)
     monkeypatch.setattr(suffix_dedup, "STEP", 150)
     assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(data), strict=True))
+
+
+# --- 11
+def brute_components(rows, alike):
+    """component of each row: the least id (null: none) reachable over pairs of sets that are alike."""
+    sets = [tuple(jaccard.shingle_set(t or "").tolist()) for _, t in rows]
+    distinct = sorted(set(sets))
+    own = [set(s) for s in distinct]
+    at = list(range(len(distinct)))
+
+    def root(k):
+        while at[k] != k:
+            k = at[k]
+        return k
+
+    for a, b in combinations(range(len(distinct)), 2):
+        if own[a] and own[b] and alike(len(own[a] & own[b]), len(own[a] | own[b])):
+            at[root(b)] = root(a)
+    groups = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        if s:
+            groups.setdefault(root(distinct.index(s)), []).append(i)
+    named = {k: min((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    return [(i, len(s), named[root(distinct.index(s))] if s else i) for (i, _), s in zip(rows, sets, strict=True)]
+
+
+def family(rnd, base, copies, edits):
+    out = []
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(rnd.randint(0, edits)):
+            w[rnd.randrange(len(w))] = f"w{rnd.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.fixture(scope="module")
+def copied(odd):
+    """Odd rows, families around similarities of 0.6 to 1 and many rows that share a passage."""
+    rnd = random.Random(11)
+    rows = [*odd, (None, "lonely words without an id that nothing else has at all"), (None, None), (3, "a b c d e f g"), (200, "A B c d\te  f g"), (201, "one two three"), (202, "one two THREE")]
+    at = 300
+    for size, copies, edits in ((60, 12, 2), (300, 60, 12), (300, 50, 5), (40, 5, 1)):
+        for text in family(rnd, [f"v{rnd.randrange(10**6)}" for _ in range(size)], copies, edits):
+            rows.append((at, text))
+            at += 1
+    passage = " ".join(f"p{k}" for k in range(40))
+    return rows + [(at + k, passage + " " + " ".join(f"q{rnd.randrange(10**6)}" for _ in range(8))) for k in range(45)]
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_minhash_components(spark, copied, bucket):
+    got = minhash.minhash_components(frame(spark, copied), bucket=bucket).collect()
+    want = brute_components(copied, lambda both, either: 100 * both >= 85 * either)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert 40 < sum(not r.kept for r in got)
+
+
+def test_minhash_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.QUERIES["op11_minhash"](spark, "/root/testdata/sf0.01").collect()
+    want = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], lambda both, either: 100 * both >= 85 * either)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    assert minhash.minhash_components(docs.limit(0)).collect() == []
+
+
+def test_posterior_bounds():
+    rng, limits = np.random.default_rng(4), minhash.fewest()
+    for least, end in ((m, n) for n, m in limits):
+        grid = np.linspace(0, 1, 200_001)
+        density = grid ** (least) * (1 - grid) ** (end - least)
+        share = density[grid >= 0.85].sum() / density.sum()
+        assert minhash.chance(least, end) == pytest.approx(share, rel=1e-2) and share >= minhash.MISS
+        assert minhash.chance(least - 1, end) < minhash.MISS
+    a = rng.integers(0, 4, (500, minhash.BANDS * minhash.ROWS)).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < rng.random((500, 1)), a, 9).astype(np.uint32)
+    agreeing = np.cumsum(a == b, axis=1)
+    assert minhash.likely(a, b, limits).tolist() == [k for k in range(500) if all(agreeing[k, n - 1] >= m for n, m in limits)]
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(5)
+    multipliers, errors = minhash._multipliers(), []
+    for _ in range(100):
+        union = np.unique(rng.integers(-(2**63), 2**63, 400))
+        a, b = union[: rng.integers(150, 400)], union[rng.integers(0, 150) :]
+        errors.append(np.mean(minhash.signature(a, multipliers) == minhash.signature(b, multipliers)) - len(np.intersect1d(a, b)) / len(union))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+# --- 12
+VECTORS = "vec_id long, embedding array<float>, label string, n long, x double, component int"
+
+
+def vector_frame(spark, rows):
+    return spark.createDataFrame([(i, v, label, 1, 1.0, 1) for i, v, label in rows], VECTORS)
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(7)
+    rows = [(int(k), [float(x) for x in v], str(k % 3) if k % 5 else None) for k, v in enumerate(rng.normal(0, 1, (700, 8)) * np.arange(1, 9))]
+    odd = [(900, None, "a"), (901, [1.0] * 7 + [None], "a"), (902, [float("nan")] * 8, "a"), (903, [float("inf")] + [0.0] * 7, "b"), (904, [], "b"), (905, [1.0, 2.0], "b"), (None, rows[3][1], None), (3, rows[3][1], "0"), (906, rows[4][1], "1")]
+    return rows + odd
+
+
+def usable(rows):
+    return [(i, np.array(v, np.float32).astype(float), label) for i, v, label in rows if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
+
+
+def test_whitening(spark, vectors):
+    kept = usable(vectors)
+    got = whitening.whitened(vector_frame(spark, vectors)).collect()
+    assert len(got) == 8 * len(kept)
+    x = np.array([[int(np.floor(64 * c)) + 1_000_000 for c in v] for _, v, _ in kept])
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    cov = centred.T @ centred / n
+    e, u = np.linalg.eigh(cov)
+    e, u = e[::-1], u[:, ::-1]
+    want = {}
+    for (i, _, _), row in zip(kept, x, strict=True):
+        want.setdefault(i, []).append((int(((n * row - sums) ** 2).sum()), (row - sums / n) @ u / np.sqrt(e)))
+    sign = {}
+    for r in got:
+        deviation, white = want[r.vec_id][0]
+        assert (r.n, r.deviation) == (n, deviation) and r.explained == pytest.approx(e[r.component - 1] / np.trace(cov), rel=1e-9) and r.identity_error < 1e-9
+        if abs(white[r.component - 1]) > 1e-6:
+            assert sign.setdefault(r.component, np.sign(r.whitened * white[r.component - 1])) == np.sign(r.whitened * white[r.component - 1])
+        assert abs(r.whitened) == pytest.approx(abs(white[r.component - 1]), abs=1e-8)
+    assert {r.component for r in got} == set(range(1, 9))
+
+
+def test_whitening_of_odd_tables(spark, vectors):
+    assert whitening.whitened(vector_frame(spark, [])).collect() == []
+    assert whitening.whitened(vector_frame(spark, [(1, None, None), (2, [], None)])).collect() == []
+    assert whitening.whitened(vector_frame(spark, [(1, [1.0, 2.0], None), (2, [1.0, 2.0], None)])).collect() == []  # no variance
+    flat = whitening.whitened(vector_frame(spark, [(k, [float(k), 2.0 * k, 5.0], None) for k in range(10)])).collect()
+    assert {r.component for r in flat} == {1} and flat[0].explained == pytest.approx(1.0)
+    few = whitening.whitened(vector_frame(spark, vectors), components=3).collect()
+    assert {r.component for r in few} == {1, 2, 3} and few[0].identity_error < 1e-9
+    big = np.array([[2**40, -(2**40)], [0, 5]])
+    with pytest.raises(OverflowError):
+        whitening.deviations(big, 1, np.array([0, 0]))
+
+
+# --- 13
+def lloyd(rows, parts=4, entries=256, rounds=4):
+    """(id, label, code, error) and the digest of the final codebooks, by scanning everything."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tuple(np.floor(1024 * r[1]))))
+    x = np.floor(1024 * np.array([v for _, v, _ in order])).astype(np.int64)
+    cut = np.stack(np.split(x, parts, axis=1))
+    books = cut[:, :entries].copy()
+
+    def nearest():
+        d = ((cut[:, :, None, :] - books[:, None, :, :]) ** 2).sum(axis=3)
+        return d.argmin(axis=2), d.min(axis=2)
+
+    for _ in range(rounds):
+        at, _ = nearest()
+        for q in range(parts):
+            for e in range(books.shape[1]):
+                own = cut[q][at[q] == e]
+                if len(own):
+                    books[q, e] = own.sum(axis=0) // len(own)
+    at, d = nearest()
+    return [(i, label, bytes(at[:, k].astype(np.uint8)).hex(), int(d[:, k].sum())) for k, (i, _, label) in enumerate(order)], hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("entries, block", [(256, 4096), (20, 64), (1, 4096)])
+def test_product_codes(spark, vectors, entries, block, monkeypatch):
+    monkeypatch.setattr(product_codes, "BLOCK", block)
+    want, digest = lloyd(usable(vectors), entries=entries)
+    total = {}
+    for _, label, _, error in want:
+        total[label] = total.get(label, 0) + error
+    got = product_codes.product_codes(vector_frame(spark, vectors), entries=entries).collect()
+    assert {r.codebooks_sha256 for r in got} == {digest}
+    assert sorted(((r.vec_id, r.code, r.error, r.label_error) for r in got), key=str) == sorted(((i, c, e, total[label]) for i, label, c, e in want), key=str)
+
+
+def test_product_codes_of_odd_tables(spark, vectors):
+    assert product_codes.product_codes(vector_frame(spark, [])).collect() == []
+    assert product_codes.product_codes(vector_frame(spark, [(1, None, "a"), (2, [], "b")])).collect() == []
+    few = [(1, [1.0] * 8, None), (1, [1.0] * 8, None), (2, [2.0] * 8, "z")]
+    got = product_codes.product_codes(vector_frame(spark, few)).collect()
+    assert len(got) == 3 and {r.error for r in got} == {0} and {r.code for r in got} == {"00000000", "02020202"}
+    with pytest.raises(ValueError):
+        product_codes.product_codes(vector_frame(spark, [(1, [1.0, 2.0, 3.0], "a")]))
+
+
+def test_heaps_pop_exactly_what_drift_has_reached():
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-2000, 2000, (600, 8))
+    books = product_codes.Codebooks(np.stack(np.split(vectors[:30], 4, axis=1)))
+    heaps = [product_codes.Heaps.empty(30) for _ in range(4)]
+    assigned, _ = product_codes.assign(vectors, None, heaps, books)
+    for step in (300, 40, 3, 0):
+        books.moved_to(books.at + rng.integers(-step, step + 1, books.at.shape))
+        heaps = [product_codes.Heaps(*h.arrays()) for h in heaps]
+        assert all((np.sort(h.members) == np.arange(600)).all() for h in heaps)
+        assigned, _ = product_codes.assign(vectors, assigned, heaps, books)
+        for q in range(4):
+            d = ((vectors[:, None, 2 * q : 2 * q + 2] - books.at[q][None]) ** 2).sum(axis=2)
+            assert (assigned[:, q] == d.argmin(axis=1)).all()
+    heaps = [product_codes.Heaps(*h.arrays()) for h in heaps]
+    assert sum(len(h.violated(books.margin()[q])) for q, h in enumerate(heaps)) < 300  # nothing moved: only ties within the margin
+
+
+@pytest.mark.parametrize("most", [1 << 24, 1 << 28])
+def test_scan_is_exact(most):
+    rng = np.random.default_rng(most % 13)
+    points, entries = rng.integers(-most, most, (50, 4)), rng.integers(-most, most, (9, 4))
+    near, first, second = product_codes.scan(points, np.concatenate([entries, entries]))
+    d = [[sum((int(a) - int(b)) ** 2 for a, b in zip(p, e, strict=True)) for e in entries] for p in points]
+    assert near.tolist() == [int(np.argmin(row)) for row in d] and first.tolist() == [min(row) for row in d] and second.tolist() == first.tolist()
