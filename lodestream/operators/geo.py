@@ -46,7 +46,8 @@ def path_from_wkt(wkt: Column) -> Column:
     """POINT, LINESTRING or a POLYGON of one ring; other text gives null."""
     body = F.regexp_extract(wkt, r"^\s*(?i:POINT|LINESTRING|POLYGON)\s*\(+([^()]*)\)+\s*$", 1)
     pairs = F.transform(F.split(body, ","), lambda s: F.split(F.trim(s), r"\s+"))
-    return F.when(body != "", F.transform(pairs, lambda p: F.struct(F.get(p, 0).try_cast("double").alias("x"), F.get(p, 1).try_cast("double").alias("y"))))
+    points = F.transform(pairs, lambda p: F.struct(F.when(F.size(p) == 2, F.get(p, 0).try_cast("double")).alias("x"), F.get(p, 1).try_cast("double").alias("y")))
+    return F.get(F.transform(F.array(points), lambda z: F.when((body != "") & F.forall(z, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), z)), 0)
 
 
 # --- accessors and measures
@@ -222,12 +223,25 @@ def _cell(v: Column, size: float) -> Column:
 
 
 def sjoin_points(polygons: DataFrame, points: DataFrame, ring: str, p: str, size: float, how: str = "inner") -> DataFrame:
-    """Polygons with the points they cover: an equi-join on grid cells, the test of the box, then the exact one. ``size``: of a cell, about a polygon's extent."""
+    """Polygons with the points they cover: an equi-join on grid cells, the test of the box, then the exact one. ``size``: of a cell, about a polygon's extent.
+
+    ``how``: inner; left (polygons that cover none have a row of nulls); semi or anti (polygons that cover any, or none).
+    """
+    if how not in ("inner", "left", "semi", "anti"):
+        raise ValueError(f"unknown how: {how}")
     b = bounds(F.col(ring))
     inside = lambda: F.col(f"{p}.x").between(F.col("_b.minx"), F.col("_b.maxx")) & F.col(f"{p}.y").between(F.col("_b.miny"), F.col("_b.maxy"))
     cells = polygons.withColumn("_b", b).withColumn("_cx", F.explode(F.sequence(_cell(F.col("_b.minx"), size), _cell(F.col("_b.maxx"), size)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_b.miny"), size), _cell(F.col("_b.maxy"), size))))
     placed = points.withColumns({"_cx": _cell(F.col(f"{p}.x"), size), "_cy": _cell(F.col(f"{p}.y"), size)})
-    return cells.join(placed, ["_cx", "_cy"], how).where(inside() & covers_point(F.col(ring), F.col(p))).drop("_cx", "_cy", "_b")
+    met = cells.join(placed, ["_cx", "_cy"]).where(inside() & covers_point(F.col(ring), F.col(p))).drop("_cx", "_cy", "_b")
+    if how == "inner":
+        return met
+    same = lambda df: [F.col(c).eqNullSafe(df[f"_own_{c}"]) for c in polygons.columns]
+    found = met.select(*(F.col(c).alias(f"_own_{c}") for c in polygons.columns)).distinct()
+    if how == "semi":
+        return polygons.join(found, same(found), "left_semi")
+    none = polygons.join(found, same(found), "left_anti")
+    return none if how == "anti" else met.unionByName(none, allowMissingColumns=True)
 
 
 def count_points_in_polygons(polygons: DataFrame, points: DataFrame, key: str, ring: str, p: str, size: float, output: str = "n") -> DataFrame:

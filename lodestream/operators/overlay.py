@@ -21,6 +21,14 @@ EPS = 1e-9
 MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
+def free_name(df, name: str) -> str:
+    """``name``, with as many underscores before it as it takes for no column of ``df`` to have it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 

@@ -6,11 +6,13 @@ whole plan. Kernels that check something raise ``KernelError`` with a category.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType, DateType, StringType, StructType, TimestampNTZType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DateType, MapType, StringType, StructType, TimestampNTZType, TimestampType
 
 
 class KernelError(ValueError):
@@ -31,6 +33,24 @@ def _keys(keys) -> list[Column]:
     return [F.col(k).asc_nulls_last() if isinstance(k, str) else (F.col(k[0]).desc_nulls_last() if k[1] == "desc" else F.col(k[0]).asc_nulls_last()) for k in keys]
 
 
+def _free(*frames: DataFrame):
+    """A function that gives names no column of ``frames`` has; equal requests give equal names."""
+    taken = {c.lower() for df in frames for c in df.columns}
+
+    def name(wanted: str) -> str:
+        while wanted.lower() in taken:
+            wanted = f"_{wanted}"
+        return wanted
+
+    return name
+
+
+def _reversed(keys) -> list[Column]:
+    """The opposite order of ``_keys``, nulls first."""
+    pairs = [(k, "asc") if isinstance(k, str) else k for k in keys]
+    return [F.col(c).asc_nulls_first() if way == "desc" else F.col(c).desc_nulls_first() for c, way in pairs]
+
+
 # --- columns
 def select_columns(df, columns):
     _known(df, columns)
@@ -81,8 +101,15 @@ def concat_columns(df, columns, output, sep="", null="skip"):
     return df.withColumn(output, F.concat_ws(sep, *parts) if null == "skip" else F.concat(*[x for p in parts for x in (F.lit(sep), p)][1:]))
 
 
-def split_column(df, column, sep, into, regex=False):
-    pieces = F.split(column, sep if regex else "\\Q" + sep + "\\E")
+def split_column(df, column, sep, into, regex=False, extra="error"):
+    """Pieces by position, null where there are fewer. ``extra``: with more pieces than columns, error, drop the surplus, or merge it into the last column."""
+    if extra not in ("error", "drop", "merge"):
+        raise KernelError("plan", f"unknown extra: {extra}")
+    pattern = sep if regex else "\\Q" + sep + "\\E"
+    pieces = F.split(column, pattern, len(into) if extra == "merge" else -1)
+    if extra == "error":
+        message = F.concat(F.lit(f"{column}: more than {len(into)} pieces in "), F.to_json(F.struct(F.col(column).alias("value"))))
+        pieces = F.when(F.size(pieces) > len(into), F.raise_error(message).cast("array<string>")).otherwise(pieces)
     return df.withColumns({name: F.get(pieces, k) for k, name in enumerate(into)})
 
 
@@ -126,10 +153,30 @@ def limit(df, count, offset=0):
 
 
 def top_n(df, n, keys, partition_by=(), ties="row"):
-    if not partition_by:
+    """The first ``n`` rows by ``keys`` (of each partition). ``ties``: row (n rows), rank (all that tie with the n-th) or dense (n different keys).
+
+    Without a partition no task ranks the whole table: the key of the last rank that counts is found from ``n`` rows, and a filter keeps what is not behind it.
+    """
+    if ties not in ("row", "rank", "dense"):
+        raise KernelError("plan", f"unknown ties: {ties}")
+    if partition_by:
+        rank, order = {"row": F.row_number, "rank": F.rank, "dense": F.dense_rank}[ties](), _free(df)("_rank")
+        return df.withColumn(order, rank.over(Window.partitionBy(*partition_by).orderBy(*_keys(keys)))).where(F.col(order) <= n).drop(order)
+    if ties == "row":
         return df.orderBy(*_keys(keys)).limit(n)
-    rank = {"row": F.row_number, "rank": F.rank, "dense": F.dense_rank}[ties]()
-    return df.withColumn("_rank", rank.over(Window.partitionBy(*partition_by).orderBy(*_keys(keys)))).where(F.col("_rank") <= n).drop("_rank")
+    names = [k if isinstance(k, str) else k[0] for k in keys]
+    ranked = df.select(*names)
+    first = (ranked.distinct() if ties == "dense" else ranked).orderBy(*_keys(keys)).limit(n)
+    name = _free(df)
+    last = first.orderBy(*_reversed(keys)).limit(1).select(*(F.col(c).alias(name(f"_last_{c}")) for c in names))
+    # not behind the last one: before it at the first key that differs, or equal throughout
+    kept, equal = F.lit(False), F.lit(True)
+    for k in keys:
+        column, down = (k, False) if isinstance(k, str) else (k[0], k[1] == "desc")
+        own, its = F.col(column), F.col(name(f"_last_{column}"))
+        before = F.coalesce(own > its if down else own < its, own.isNotNull() & its.isNull())  # nulls come last
+        kept, equal = kept | (equal & before), equal & own.eqNullSafe(its)
+    return df.join(F.broadcast(last), kept | equal, "left_semi").select(*df.columns)
 
 
 def sample(df, fraction, seed, key):
@@ -162,11 +209,28 @@ def anti_join(df, right, on):
     return df.join(right, on, "left_anti")
 
 
-def lookup(df, right, key, values, default=None, order_by=None):
-    """Left-preserving: each key of ``right`` counts once, the first by ``order_by``."""
-    one = right.groupBy(key).agg(*(F.min_by(v, order_by or v).alias(v) for v in values))
-    out = df.join(one, key, "left")
-    return out if default is None else out.withColumns({v: F.coalesce(v, F.lit(default)) for v in values})
+def lookup(df, right, key, values, default=None, order_by=None, on_duplicate="first"):
+    """Left-preserving: each key of ``right`` counts once, with the values of one of its rows.
+
+    ``on_duplicate``: first (the row of the least ``order_by``, then of the least values; nulls last), last (of the greatest), or error.
+    Without ``order_by`` the values alone decide, so the row is the same on every run.
+    """
+    if on_duplicate not in ("first", "last", "error"):
+        raise KernelError("plan", f"unknown on_duplicate: {on_duplicate}")
+    keys = [key] if isinstance(key, str) else list(key)
+    if on_duplicate == "error" and not right.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).count().where("count > 1").isEmpty():
+        raise KernelError("data_mapping", "keys of the right side repeat")
+    one = _free(right, df)("_one")
+    order = ([order_by] if isinstance(order_by, str) else list(order_by or ())) + list(values)
+    # structs compare field by field with nulls first; a flag before each field puts them last
+    row = F.struct(*(x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"null_{k}"), F.col(c).alias(f"by_{k}"))))
+    first = right.groupBy(*keys).agg((F.max if on_duplicate == "last" else F.min)(row).alias(one))
+    at = len(order) - len(values)
+    found = first.select(*keys, *(F.col(f"{one}.by_{at + k}").alias(v) for k, v in enumerate(values)), F.lit(True).alias(one))
+    out = df.join(found, keys, "left")
+    if default is not None:  # for a key that is not there; a null that was looked up stays
+        out = out.withColumns({v: F.when(F.col(one), F.col(v)).otherwise(F.lit(default)) for v in values})
+    return out.drop(one)
 
 
 def asof_join(df, right, left_time, right_time, by, values, direction="backward", tolerance=None, allow_exact=True):
@@ -176,25 +240,27 @@ def asof_join(df, right, left_time, right_time, by, values, direction="backward"
     differ, in seconds or in the unit of a number.
     """
     if direction not in ("backward", "forward", "nearest"):
-        raise KernelError("table.asof_join", f"unknown direction: {direction}")
-    t, matched = "_t", f"{right_time}_matched"
+        raise KernelError("plan", f"unknown direction: {direction}")
+    name = _free(df, right)
+    t, side, of_right, back, ahead, chosen = map(name, ("_t", "_side", "_r", "_back", "_ahead", "_best"))
+    matched = f"{right_time}_matched"
     found = right.select(F.struct(*values, right_time)).schema[0].dataType
-    left = df.select("*", F.col(left_time).alias(t), F.lit(1).alias("_side"), F.lit(None).cast(found).alias("_r"))
-    other = right.select(*by, F.col(right_time).alias(t), F.lit(0).alias("_side"), F.struct(*values, right_time).alias("_r"))
+    left = df.select("*", F.col(left_time).alias(t), F.lit(1).alias(side), F.lit(None).cast(found).alias(of_right))
+    other = right.select(*by, F.col(right_time).alias(t), F.lit(0).alias(side), F.struct(*values, right_time).alias(of_right))
     # the right rows of one time count as earlier, or as later, as exact matches allow
-    rank = lambda before: (F.col("_side") if before == allow_exact else -F.col("_side")).asc()
+    rank = lambda before: (F.col(side) if before == allow_exact else -F.col(side)).asc()
     before = Window.partitionBy(*by).orderBy(F.col(t).asc(), rank(True)).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*by).orderBy(F.col(t).desc(), rank(True)).rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(other, allowMissingColumns=True)
-    for name, window in (("_back", before), ("_ahead", after)):
-        both = both.withColumn(name, F.last("_r", ignorenulls=True).over(window) if direction in ("nearest", {"_back": "backward", "_ahead": "forward"}[name]) else F.lit(None).cast(found))
+    for column, way, window in ((back, "backward", before), (ahead, "forward", after)):
+        both = both.withColumn(column, F.last(of_right, ignorenulls=True).over(window) if direction in ("nearest", way) else F.lit(None).cast(found))
     number = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6 if dict(df.dtypes)[left_time].startswith(("timestamp", "date")) else c.cast("double")
-    apart = lambda name: F.abs(number(F.col(left_time)) - number(F.col(f"{name}.{right_time}")))
-    best = F.when(F.col("_ahead").isNull() | (apart("_back") <= apart("_ahead")), F.col("_back")).otherwise(F.col("_ahead"))
-    out = both.where("_side = 1").withColumn("_best", best)
+    apart = lambda column: F.abs(number(F.col(left_time)) - number(F.col(f"{column}.{right_time}")))
+    best = F.when(F.col(ahead).isNull() | (apart(back) <= apart(ahead)), F.col(back)).otherwise(F.col(ahead))
+    out = both.where(F.col(side) == 1).withColumn(chosen, best)
     if tolerance is not None:
-        out = out.withColumn("_best", F.when(apart("_best") <= tolerance, F.col("_best")))
-    return out.select(*df.columns, *(F.col(f"_best.{v}").alias(v) for v in values), F.col(f"_best.{right_time}").alias(matched))
+        out = out.withColumn(chosen, F.when(apart(chosen) <= tolerance, F.col(chosen)))
+    return out.select(*df.columns, *(F.col(f"{chosen}.{v}").alias(v) for v in values), F.col(f"{chosen}.{right_time}").alias(matched))
 
 
 def fuzzy_join(df, right, left_on, right_on, max_distance):
@@ -216,8 +282,10 @@ def fuzzy_join(df, right, left_on, right_on, max_distance):
     start, size = cut(F.col("_size"), F.col("_i")) + F.col("_s"), cut(F.col("_size"), F.col("_i") + 1) - cut(F.col("_size"), F.col("_i"))
     lefts = lefts.where((start >= 0) & (start + size <= F.col("_n"))).select("_a", "_size", "_i", F.substring("_a", start + 1, size).alias("_key")).distinct()
     pairs = lefts.join(rights, ["_size", "_i", "_key"]).select("_a", "_b").distinct().withColumn("distance", F.levenshtein("_a", "_b", d)).where("distance >= 0")
-    found = right.withColumn("_b", F.col(right_on)).join(pairs, "_b")
-    return df.withColumn("_a", F.col(left_on)).join(found, "_a").drop("_a", "_b")
+    a, b = map(_free(df, right), ("_a", "_b"))
+    pairs = pairs.select(F.col("_a").alias(a), F.col("_b").alias(b), "distance")
+    found = right.withColumn(b, F.col(right_on)).join(pairs, b)
+    return df.withColumn(a, F.col(left_on)).join(found, a).drop(a, b)
 
 
 # --- aggregation
@@ -298,12 +366,17 @@ def distinct(df, columns=()):
     return df.select(*columns).distinct() if columns else df.distinct()
 
 
-def dedup_advanced(df, keys, order_by, keep="first"):
-    w = Window.partitionBy(*keys)
+def dedup_advanced(df, keys, order_by, keep="first", flag=None):
+    """``keep``: first or last by ``order_by`` (nulls count as last), none (rows whose key repeats go) or all_flagged (all rows stay, with ``flag``: whether a row is not the first)."""
+    if keep not in ("first", "last", "none", "all_flagged"):
+        raise KernelError("plan", f"unknown keep: {keep}")
+    w, n = Window.partitionBy(*keys), _free(df)("_n")
     if keep == "none":
-        return df.withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_n")
-    order = _keys(order_by) if keep == "first" else [F.col(k if isinstance(k, str) else k[0]).desc_nulls_first() for k in order_by]
-    return df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n")
+        return df.withColumn(n, F.count("*").over(w)).where(F.col(n) == 1).drop(n)
+    place = F.row_number().over(w.orderBy(*(_reversed(order_by) if keep == "last" else _keys(order_by))))
+    if keep == "all_flagged":
+        return df.withColumn(flag or "is_duplicate", place > 1)
+    return df.withColumn(n, place).where(F.col(n) == 1).drop(n)
 
 
 # --- shapes
@@ -344,10 +417,33 @@ def string_pad(df, column, width, fill=" ", side="left"):
     return df.withColumn(column, F.when(F.length(column) < width, (F.lpad if side == "left" else F.rpad)(column, width, fill)).otherwise(F.col(column)))
 
 
-_STEPS = {"trim": F.trim, "lower": F.lower, "upper": F.upper, "collapse_ws": lambda c: F.regexp_replace(c, r"\s+", " "), "strip_punct": lambda c: F.regexp_replace(c, r"[^\w\s]", "")}
+def _nfd_stripped(texts: pd.Series) -> pd.Series:
+    """Letters without their marks."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))))
+
+
+def _normal_form(form: str):
+    """Spark has no normal forms; texts in ASCII are all of them already."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t)), "string")
+
+
+_STEPS = {
+    "trim": F.trim,
+    "lower": F.lower,
+    "upper": F.upper,
+    "title": F.initcap,
+    "collapse_ws": lambda c: F.regexp_replace(c, r"(?U)\s+", " "),
+    "strip_punct": lambda c: F.regexp_replace(c, r"[\p{P}\p{S}]", ""),
+    "nfc": lambda c: _normal_form("NFC")(c),
+    "nfkc": lambda c: _normal_form("NFKC")(c),
+    "strip_accents": lambda c: F.pandas_udf(_nfd_stripped, "string")(c),
+}
 
 
 def text_normalize(df, column, steps):
+    """``steps`` in order. Punctuation and symbols are those of Unicode, so letters of every script stay."""
+    if unknown := [x for x in steps if x not in _STEPS]:
+        raise KernelError("plan", f"unknown steps: {unknown}")
     return df.withColumn(column, reduce(lambda c, s: _STEPS[s](c), steps, F.col(column)))
 
 
@@ -429,9 +525,26 @@ def mask_data(df, column, keep_first=0, keep_last=0, char="*"):
     return df.withColumn(column, F.when(n > keep_first + keep_last, masked).otherwise(F.repeat(F.lit(char), n)))
 
 
+def _encoded(df, columns):
+    """A row's values as one text that gives them back: type, length and text of each, so that no two rows share one. Times are in UTC."""
+    def one(field):
+        c, kind = F.col(field.name), field.dataType
+        if isinstance(kind, (StructType, ArrayType, MapType)):
+            text = F.to_json(F.struct(c.alias("v")), {"timeZone": "UTC"})
+        elif isinstance(kind, TimestampType):
+            text = F.unix_micros(c).cast("string")
+        elif isinstance(kind, BinaryType):
+            text = F.hex(c)
+        else:
+            text = c.cast("string")
+        return F.when(c.isNull(), F.lit("n;")).otherwise(F.concat(F.lit(f"{kind.simpleString()}:"), F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";")))
+
+    return F.concat(*(one(df.schema[c]) for c in columns))
+
+
 def stable_fingerprint(df, columns):
-    """One row: count, and the sum of the first 15 hex digits of each row's SHA-256. The same for any order and partitioning."""
-    part = F.conv(F.substring(F.sha2(_canonical(sorted(columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    """One row: count, and the sum of the first 15 hex digits of each row's SHA-256. The same for any order, partitioning and time zone of the session."""
+    part = F.conv(F.substring(F.sha2(_encoded(df, sorted(columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
 
 

@@ -63,6 +63,7 @@ simple("table_rename", "nation", "SELECT n_nationkey AS id, n_name AS name, n_re
 simple("table_reorder_columns", "nation", "SELECT n_name, n_nationkey, n_regionkey FROM nation", lambda d: T.reorder_columns(d, ["n_name"]))
 simple("table_add_row_number", "orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders", lambda d: T.add_row_number(d, "rn", ["o_orderkey"]).select("o_orderkey", "rn"))
 simple("table_concat_columns", "customer", "SELECT c_custkey, concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment) AS joined FROM customer", lambda d: T.concat_columns(d, ["c_custkey", "c_name", "c_mktsegment"], "joined", "|").select("c_custkey", "joined"))
+simple("table_split_column_merge", "orders", "SELECT o_orderkey, string_split(o_orderpriority, '-')[1] AS a, CASE WHEN contains(o_orderpriority, '-') THEN substr(o_orderpriority, strpos(o_orderpriority, '-') + 1) END AS b FROM orders", lambda d: T.split_column(d, "o_orderpriority", "-", ["a", "b"], extra="merge").select("o_orderkey", "a", "b"))
 simple("table_split_column", "customer", "SELECT c_custkey, string_split(c_name, '#')[1] AS a, string_split(c_name, '#')[2] AS b, string_split(c_name, '#')[3] AS z FROM customer", lambda d: T.split_column(d, "c_name", "#", ["a", "b", "z"]).select("c_custkey", "a", "b", "z"))
 simple("table_coalesce", "customer", f"SELECT c_custkey, coalesce({_NULLED}, c_name) AS v FROM customer", lambda d: T.coalesce(_nulled(d), ["seg", "c_name"], "v").select("c_custkey", "v"))
 simple("table_conditional", "customer", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 1000 THEN 'low' ELSE 'high' END AS band FROM customer", lambda d: T.conditional(d, [(c("c_acctbal") < 0, "debt"), (c("c_acctbal") < 1000, "low")], "high", "band").select("c_custkey", "band"))
@@ -73,6 +74,8 @@ simple("table_align_schema", "nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_
 simple("table_filter", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'", lambda d: T.filter(d, (c("l_quantity") > 30) & (c("l_returnflag") == "R")).select("l_orderkey", "l_linenumber"))
 simple("table_sort", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey", lambda d: T.sort(d, [("c_acctbal", "desc"), "c_custkey"]).select("c_custkey", "c_acctbal"))
 simple("table_limit", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 10", lambda d: T.limit(T.sort(d, ["o_orderkey"]).select("o_orderkey"), 50, 10))
+simple("table_top_n_ties", "lineitem", "SELECT l_orderkey, l_quantity, l_discount FROM lineitem QUALIFY rank() OVER (ORDER BY l_quantity DESC, l_discount) <= 100", lambda d: T.top_n(d, 100, [("l_quantity", "desc"), "l_discount"], ties="rank").select("l_orderkey", "l_quantity", "l_discount"))
+simple("table_top_n_dense", "lineitem", "SELECT l_orderkey, l_quantity FROM lineitem QUALIFY dense_rank() OVER (ORDER BY l_quantity DESC) <= 3", lambda d: T.top_n(d, 3, [("l_quantity", "desc")], ties="dense").select("l_orderkey", "l_quantity"))
 simple("table_top_n", "orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3", lambda d: T.top_n(d, 3, [("o_totalprice", "desc"), "o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey", "o_totalprice"))
 simple("table_sample", "orders", "SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '-7'), 1, 8) AS BIGINT) < 429496729", lambda d: T.sample(d, 0.1, 7, "o_orderkey").select("o_orderkey"))
 
@@ -110,6 +113,12 @@ def table_lookup(t):
     return T.lookup(t("customer").select("c_custkey"), _urgent(t), "c_custkey", ["o_totalprice"], -1.0, "o_orderkey")
 
 
+@kernel("SELECT c_custkey, o_totalprice, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_custkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_totalprice) = 1) ON o_custkey = c_custkey")
+def table_lookup_whole_rows(t):
+    orders = t("orders").where("o_custkey % 5 <> 0").withColumnRenamed("o_custkey", "c_custkey")
+    return T.lookup(t("customer").select("c_custkey"), orders, "c_custkey", ["o_orderstatus", "o_totalprice"]).select("c_custkey", "o_totalprice", "o_orderstatus")
+
+
 @kernel("SELECT l.event_id, l.user_id, r.value AS price, r.ts AS pts_matched FROM (SELECT * FROM events WHERE event_type = 'view') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts")
 def table_asof_join(t):
     e = t("events")
@@ -182,6 +191,8 @@ def table_except(t):
 
 
 simple("table_distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", lambda d: T.distinct(d, ["l_returnflag", "l_linestatus"]))
+simple("table_dedup_advanced_last_descending", "orders", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey DESC) = 1", lambda d: T.dedup_advanced(d, ["o_custkey"], [("o_totalprice", "desc"), "o_orderkey"], "last").select("o_custkey", "o_orderkey"))
+simple("table_dedup_advanced_flagged", "orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS is_duplicate FROM orders", lambda d: T.dedup_advanced(d, ["o_custkey"], ["o_orderkey"], "all_flagged").select("o_orderkey", "is_duplicate"))
 simple("table_dedup_advanced", "orders", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1", lambda d: T.dedup_advanced(d, ["o_custkey"], ["o_orderkey"], "last").select("o_custkey", "o_orderkey"))
 simple("table_melt", "part", "SELECT p_partkey, 'p_brand' AS variable, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part", lambda d: T.melt(d, ["p_partkey"], ["p_brand", "p_type"]))
 simple("table_transpose", "region", "SELECT 'r_regionkey' AS key, " + ", ".join(f"max(CASE WHEN r_regionkey = {k} THEN r_regionkey END) AS r{k}" for k in range(5)) + " FROM region", lambda d: T.transpose(d.select(F.concat(lit("r"), c("r_regionkey").cast("string")).alias("name"), "r_regionkey"), "name"))
@@ -191,6 +202,8 @@ simple("table_flatten_json", "events", "SELECT event_id, CAST(json_extract(props
 simple("table_string_extract", "part", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '([0-9])') THEN regexp_extract(p_brand, '([0-9])', 1) END AS d FROM part", lambda d: T.string_extract(d, "p_brand", "([0-9])", 1, "d").select("p_partkey", "d"))
 simple("table_string_length", "documents", "SELECT doc_id, CAST(length(text) AS INT) AS n FROM documents", lambda d: T.string_length(d, "text", "n").select("doc_id", "n"))
 simple("table_string_pad", "nation", "SELECT n_nationkey, CASE WHEN length(n_name) < 10 THEN lpad(n_name, 10, '*') ELSE n_name END AS n_name FROM nation", lambda d: T.string_pad(d, "n_name", 10, "*").select("n_nationkey", "n_name"))
+simple("table_text_normalize_strip_punct", "documents", r"SELECT doc_id, regexp_replace(text, '[\p{P}\p{S}]', '', 'g') AS text FROM documents", lambda d: T.text_normalize(d, "text", ["strip_punct"]).select("doc_id", "text"))
+simple("table_text_normalize_forms", "documents", "SELECT doc_id, strip_accents(nfc_normalize(text)) AS text FROM documents", lambda d: T.text_normalize(d, "text", ["nfc", "strip_accents"]).select("doc_id", "text"))
 simple("table_text_normalize", "pages", r"SELECT page_id, regexp_replace(lower(trim(html)), '\s+', ' ', 'g') AS html FROM pages", lambda d: T.text_normalize(d, "html", ["trim", "lower", "collapse_ws"]).select("page_id", "html"))
 simple("table_replace", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders", lambda d: T.replace(d, "o_orderstatus", {"F": "done", "O": "open"}).select("o_orderkey", "o_orderstatus"))
 simple("table_date_extract", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS o_orderdate_year, CAST(quarter(o_orderdate) AS INT) AS o_orderdate_quarter, CAST(week(o_orderdate) AS INT) AS o_orderdate_week, CAST(isodow(o_orderdate) AS INT) AS o_orderdate_dow FROM orders", lambda d: T.date_extract(d, "o_orderdate", ["year", "quarter", "week", "dow"]).select("o_orderkey", "o_orderdate_year", "o_orderdate_quarter", "o_orderdate_week", "o_orderdate_dow"))
@@ -206,7 +219,8 @@ simple("table_hmac_sha256", "customer", f"SELECT c_custkey, sha256(unhex('{_PADS
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', h[17]), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 simple("table_uuid_generator", "customer", f"SELECT c_custkey, {_UUID} AS id FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)", lambda d: T.uuid_generator(d, "id", ["c_name"]).select("c_custkey", "id"))
 simple("table_mask_data", "customer", "SELECT c_custkey, substr(c_name, 1, 2) || repeat('*', length(c_name) - 5) || right(c_name, 3) AS c_name FROM customer", lambda d: T.mask_data(d, "c_name", 2, 3).select("c_custkey", "c_name"))
-simple("table_stable_fingerprint", "customer", "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(CAST(c_custkey AS VARCHAR) || chr(31) || c_name), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM customer", lambda d: T.stable_fingerprint(d, ["c_name", "c_custkey"]))
+_ENCODED = " || ".join(f"'{t}:' || strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) || ';'" for x, t in (("c_custkey", "bigint"), ("c_name", "string")))
+simple("table_stable_fingerprint", "customer", f"SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256({_ENCODED}), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM customer", lambda d: T.stable_fingerprint(d, ["c_name", "c_custkey"]))
 simple("table_assert_not_null", "customer", f"SELECT CAST(count(*) FILTER (({_NULLED}) IS NULL) AS BIGINT) AS violations, count(*) AS rows FROM customer", lambda d: T.assert_not_null(_nulled(d), ["seg"]))
 simple("table_assert_range", "lineitem", "SELECT count(*) FILTER (NOT l_quantity BETWEEN 2 AND 40) AS violations, count(*) AS rows FROM lineitem", lambda d: T.assert_range(d, "l_quantity", 2, 40))
 simple("table_assert_regex", "part", "SELECT count(*) FILTER (NOT regexp_full_match(p_brand, 'Brand#[1-3][0-9]*')) AS violations, count(*) AS rows FROM part", lambda d: T.assert_regex(d, "p_brand", "Brand#[1-3][0-9]*"))
@@ -418,6 +432,20 @@ def geo_clip(t):
     return cut.groupBy("p_partkey").agg(F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
 
 
+@kernel(f"SELECT p_partkey, round((x1 - x0) * (least(y1, 40) - greatest(y0, -40)), 5) AS area FROM (SELECT p_partkey, greatest(x0, -120) AS x0, least(x0 + w, 120) AS x1, y0, y0 + h AS y1 FROM {_RECTS}) WHERE x1 - x0 > 1e-6 AND least(y1, 40) - greatest(y0, -40) > 1e-6")
+def geo_clip_overlapping_masks(t):
+    # one mask a region, each overlapping the next ones; together from -120 to 120 and -40 to 40
+    x = c("r_regionkey") * 40 - 120
+    masks = t("region").select(G.rectangle(x, lit(-40.0), x + 80, lit(40.0)).alias("mask"))
+    cut = S.clip(_rects(t("part")).select("p_partkey", "ring"), masks, "ring", "mask", 20.0)
+    return cut.groupBy("p_partkey").agg(F.round(F.sum(G.area(c("ring"))), 5).alias("area"))
+
+
+@kernel(f"SELECT p_partkey, c_custkey FROM {_RECTS} LEFT JOIN {_PTS} ON {_IN}")
+def geo_sjoin_left(t):
+    return G.sjoin_points(_rects(t("part")).select("p_partkey", "ring"), _pts(t("customer")), "ring", "p", 5.0, how="left").select("p_partkey", "c_custkey")
+
+
 @kernel(f"SELECT p_partkey, round(CAST(w * h AS DOUBLE), 5) AS area FROM {_RECTS}")
 def geo_overlay(t):
     cut = S.overlay(_rects(t("part")), _grid(t, 10.0).withColumn("cell", c("col") * 17 + c("row")), "p_partkey", "cell", "ring", "ring", 10.0, "identity")

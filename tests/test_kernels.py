@@ -105,3 +105,71 @@ def test_asof_join_directions(spark):
     assert found(direction="nearest", tolerance=2) == {(1, 10.0): "b", (1, 20.0): None, (2, 5.0): None}
     with pytest.raises(T.KernelError):
         found(direction="sideways")
+
+
+def test_lookup_takes_whole_rows(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    right = spark.createDataFrame([(1, "x", 9), (1, "y", 1), (2, None, 5), (2, "z", 4)], "k int, a string, b int")
+    rows_of = lambda **how: {r.k: (r.a, r.b) for r in T.lookup(left, right, "k", ["a", "b"], **how).collect()}
+    assert rows_of() == {1: ("x", 9), 2: ("z", 4), 3: (None, None)}
+    assert rows_of(order_by="b") == {1: ("y", 1), 2: ("z", 4), 3: (None, None)}
+    assert rows_of(order_by="b", on_duplicate="last") == {1: ("x", 9), 2: (None, 5), 3: (None, None)}
+    with pytest.raises(T.KernelError):
+        rows_of(on_duplicate="error")
+    assert T.lookup(left, right.where("b in (1, 4)"), "k", ["a"], on_duplicate="error").count() == 3
+    assert T.lookup(left.withColumn("_one", F.lit(7)), right, "k", ["b"], -1, "b").where("k = 3").first().asDict() == {"k": 3, "_one": 7, "b": -1}
+
+
+def test_dedup_top_n_and_working_names(spark):
+    df = spark.createDataFrame([(1, 5, "a", 0), (1, 7, "b", 0), (1, None, "c", 0), (2, 3, "d", 0), (2, 3, "e", 0)], "k int, v int, t string, _rank int").withColumn("_n", F.lit(1)).withColumn("_a", F.lit(2))
+    kept = lambda keep: {r.k: r.t for r in T.dedup_advanced(df, ["k"], [("v", "desc"), "t"], keep).collect()}
+    assert kept("first") == {1: "b", 2: "d"} and kept("last") == {1: "c", 2: "e"}
+    assert sorted(r.t for r in T.dedup_advanced(df, ["k"], ["t"], "all_flagged").where("is_duplicate").collect()) == ["b", "c", "e"]
+    ranked = T.top_n(df, 1, ["v"], ties="rank")
+    assert ranked.columns == df.columns and sorted(r.t for r in ranked.collect()) == ["d", "e"]
+    assert sorted(r.t for r in T.top_n(df, 2, [("v", "desc")], ties="dense").collect()) == ["a", "b"]
+    assert sorted(r.t for r in T.top_n(df, 4, [("v", "desc")], ties="dense").collect()) == ["a", "b", "c", "d", "e"]
+    assert T.top_n(df, 0, ["v"], ties="rank").count() == 0
+    assert T.top_n(df, 1, ["v"], ["k"]).columns == df.columns
+    names = spark.createDataFrame([("smith", 1)], "name string, _a int")
+    assert T.fuzzy_join(names, spark.createDataFrame([("smyth",)], "other string"), "name", "other", 1).columns == ["name", "_a", "other", "distance"]
+    left, right = spark.createDataFrame([(1, 5.0, 3)], "k int, at double, _t int"), spark.createDataFrame([(1, 4.0, "v")], "k int, seen double, v string")
+    assert T.asof_join(left, right, "at", "seen", ["k"], ["v"]).first().asDict() == {"k": 1, "at": 5.0, "_t": 3, "v": "v", "seen_matched": 4.0}
+
+
+def test_text_normalize_keeps_letters(spark):
+    df = spark.createDataFrame([("Café, naïve 你好! a\u0301",), (None,)], "t string")
+    one = lambda *steps: T.text_normalize(df, "t", steps).first().t
+    assert one("strip_punct") == "Café naïve 你好 a\u0301"
+    assert one("nfc") == "Café, naïve 你好! á" and one("strip_accents") == "Cafe, naive 你好! a" and one("title").startswith("Café, Naïve")
+    with pytest.raises(T.KernelError):
+        one("shout")
+
+
+def test_fingerprints_tell_rows_apart(spark):
+    def print_of(*rows):
+        return T.stable_fingerprint(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first().fingerprint
+
+    rows = [(None, "x"), ("\\N", "x"), ("a\x1f", "b"), ("a", "\x1fb"), ("a;string:1:b", ""), ("", None)]
+    assert len({print_of(r) for r in rows}) == len(rows)
+    assert print_of(*rows) == print_of(*rows[::-1])
+    times = spark.sql("SELECT timestamp_millis(5) AS t")
+    before = T.stable_fingerprint(times, ["t"]).first().fingerprint
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert T.stable_fingerprint(times, ["t"]).first().fingerprint == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_split_column_says_what_is_left_over(spark):
+    df = spark.createDataFrame([("a,b,c",), ("a",), (None,)], "v string")
+    assert [tuple(r)[1:] for r in T.split_column(df, "v", ",", ["x", "y"], extra="merge").collect()] == [("a", "b,c"), ("a", None), (None, None)]
+    assert [tuple(r)[1:] for r in T.split_column(df, "v", ",", ["x", "y"], extra="drop").collect()] == [("a", "b"), ("a", None), (None, None)]
+    with pytest.raises(Exception, match="more than 2 pieces"):
+        T.split_column(df, "v", ",", ["x", "y"]).collect()
+
+
+def test_path_from_bad_wkt_is_null(spark):
+    df = spark.createDataFrame([("POINT (a b)",), ("POINT (1 2 3)",), ("POINT (1)",), ("POINT (1 2)",)], "w string")
+    assert [r.p for r in df.select(G.path_from_wkt(F.col("w")).isNull().alias("p")).collect()] == [True, True, True, False]
