@@ -10,6 +10,7 @@ from lodestream.operators import geo as G
 from lodestream.operators import hull as H
 from lodestream.operators import linework as L
 from lodestream.operators import overlay as O
+from lodestream.operators import shapes as P
 from lodestream.operators import spatial as S
 from lodestream.operators import table as T
 
@@ -260,6 +261,45 @@ simple("geo_from_coords", "customer", f"SELECT c_custkey, x, y FROM {_PTS}", lam
 simple("geo_to_wkt", "region", "SELECT r_regionkey, 'POINT (' || CAST(CAST(r_regionkey AS DOUBLE) AS VARCHAR) || ' 0.5)' AS wkt FROM region", lambda d: d.select("r_regionkey", G.point_wkt(G.point("r_regionkey", lit(0.5))).alias("wkt")))
 simple("geo_from_wkt", "customer", f"SELECT c_custkey, x, y FROM {_PTS}", lambda d: _pts(d).select("c_custkey", F.get(G.path_from_wkt(G.point_wkt(c("p"))), 0).alias("q")).select("c_custkey", "q.x", "q.y"))
 _rect_query("geo_geometry_accessors", "5 AS num_points, true AS is_closed, x0 AS start_x", lambda: [G.accessors(c("ring"))["num_points"].alias("num_points"), G.accessors(c("ring"))["is_closed"].alias("is_closed"), G.accessors(c("ring"))["start_x"].alias("start_x")])
+
+
+# shapes with holes and parts, by rule: a frame around a hole of half its sides for odd keys, and for every third key a second part, a square of 1 beside it
+_HOLE = f"(SELECT *, p_partkey % 2 = 1 AS holed, p_partkey % 3 = 0 AS two FROM {_RECTS})"
+
+
+def _wkt_ring(x0, y0, x1, y1):
+    return F.concat(lit("("), F.array_join(F.array(*(F.concat_ws(" ", x.cast("string"), y.cast("string")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)))), ", "), lit(")"))
+
+
+def _texts(d: DataFrame) -> DataFrame:
+    """WKT of such shapes."""
+    d = _rects(d).withColumns({"x1": c("x0") + c("w"), "y1": c("y0") + c("h")})
+    hole = _wkt_ring(c("x0") + c("w") / 4, c("y0") + c("h") / 4, c("x0") + 3 * c("w") / 4, c("y0") + 3 * c("h") / 4)
+    body = F.concat(lit("("), _wkt_ring(c("x0"), c("y0"), c("x1"), c("y1")), F.when(c("p_partkey") % 2 == 1, F.concat(lit(", "), hole)).otherwise(""), lit(")"))
+    beside = F.concat(lit("("), _wkt_ring(c("x1") + 1, c("y0"), c("x1") + 2, c("y0") + 1), lit(")"))
+    return d.withColumn("wkt", F.when(c("p_partkey") % 3 == 0, F.concat(lit("MULTIPOLYGON ("), body, lit(", "), beside, lit(")"))).otherwise(F.concat(lit("POLYGON "), body)))
+
+
+def _holed(d: DataFrame) -> DataFrame:
+    return _texts(d).select("p_partkey", P.from_wkt(c("wkt")).alias("shape"))
+
+
+def _holed_query(name: str, sql: str, columns) -> None:
+    simple(name, "part", f"SELECT p_partkey, {sql} FROM {_HOLE}", lambda d: _holed(d).select("p_partkey", *columns()))
+
+
+_holed_query("geo_area_holes", "round(w * h * (CASE WHEN holed THEN 0.75 ELSE 1 END) + (CASE WHEN two THEN 1 ELSE 0 END), 6)::DOUBLE AS area", lambda: [F.round(P.area(c("shape")), 6).alias("area")])
+_holed_query("geo_perimeter_holes", "round(2 * (w + h) * (CASE WHEN holed THEN 1.5 ELSE 1 END) + (CASE WHEN two THEN 4 ELSE 0 END), 6)::DOUBLE AS perimeter", lambda: [F.round(P.perimeter(c("shape")), 6).alias("perimeter")])
+_holed_query("geo_geometry_accessors_parts", "CASE WHEN two THEN 'MULTIPOLYGON' ELSE 'POLYGON' END AS type, 2 AS dim, 5 + holed::INT * 5 + two::INT * 5 AS num_points, 1 + two::INT AS num_parts, holed::INT AS num_holes", lambda: [P.accessors(c("shape"))[k].alias(k) for k in ("type", "dim", "num_points", "num_parts", "num_holes")])
+_holed_query("geo_boundary_holes", "CASE WHEN holed OR two THEN 'MULTILINESTRING' ELSE 'LINESTRING' END AS kind, round(2 * (w + h) * (CASE WHEN holed THEN 1.5 ELSE 1 END) + (CASE WHEN two THEN 4 ELSE 0 END), 6)::DOUBLE AS length", lambda: [P.boundary(c("shape"))["kind"].alias("kind"), F.round(P.length(P.boundary(c("shape"))), 6).alias("length")])
+_holed_query("geo_predicate_contains_holes", "x0 <= 0 AND x0 + w >= 0 AND y0 <= 0 AND y0 + h >= 0 AND NOT (holed AND x0 + w / 4.0 < 0 AND x0 + 3 * w / 4.0 > 0 AND y0 + h / 4.0 < 0 AND y0 + 3 * h / 4.0 > 0) OR (two AND x0 + w + 1 <= 0 AND x0 + w + 2 >= 0 AND y0 <= 0 AND y0 + 1 >= 0) AS hit", lambda: [P.contains_point(c("shape"), G.point(lit(0.0), lit(0.0))).alias("hit")])
+simple("geo_explode_parts", "part", f"SELECT p_partkey, k::INT AS k, round(CASE WHEN k = 1 THEN 1 ELSE w * h * (CASE WHEN holed THEN 0.75 ELSE 1 END) END, 6)::DOUBLE AS area FROM {_HOLE}, range(2) r(k) WHERE k = 0 OR two", lambda d: P.explode_parts(_holed(d), "shape", "part", "k").select("p_partkey", "k", F.round(P.area(c("part")), 6).alias("area")))
+simple("geo_collect_parts", "part", f"SELECT p_size, CASE WHEN bool_or(two) THEN 'GEOMETRYCOLLECTION' ELSE 'MULTIPOLYGON' END AS kind, CAST(sum(1 + two::INT) AS INT) AS n FROM {_HOLE} JOIN (SELECT p_partkey, p_size FROM part) USING (p_partkey) GROUP BY 1", lambda d: P.collected(_holed(d).join(d.select("p_partkey", "p_size"), "p_partkey"), ["p_size"], "shape").select("p_size", c("shape.kind").alias("kind"), F.size(P.parts(c("shape"))).alias("n")))
+# the text of every fifth key lacks its last parenthesis, that of every seventh is no geometry
+_BROKEN = "CASE WHEN p_partkey % 5 = 0 THEN 'bad nesting' WHEN p_partkey % 7 = 0 THEN 'unknown kind' END"
+simple("geo_from_wkt_reasons", "part", f"SELECT p_partkey, {_BROKEN} AS reason, CASE WHEN {_BROKEN} IS NULL THEN 1 + two::INT END AS parts FROM {_HOLE}", lambda d: _texts(d).withColumn("r", P.read_wkt(F.when(c("p_partkey") % 5 == 0, F.regexp_replace("wkt", r"\)\)$", ") )))")).when(c("p_partkey") % 7 == 0, lit("no shape")).otherwise(c("wkt")))).select("p_partkey", "r.reason", F.when(c("r.shape").isNotNull(), F.size(P.parts(c("r.shape")))).alias("parts")))
+simple("geo_to_wkt_parts", "part", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'POINT Z (' || p_partkey || ' 0.5 ' || p_size || ')' WHEN 1 THEN 'MULTIPOINT ((' || p_partkey || ' 1), (2 ' || p_size || '))' WHEN 2 THEN 'POLYGON ((0 0, ' || p_size || ' 0, ' || p_size || ' 9.25, 0 0))' ELSE 'GEOMETRYCOLLECTION (POINT (' || p_partkey || ' 1), LINESTRING EMPTY)' END AS wkt FROM part", lambda d: d.select("p_partkey", P.to_wkt(P.from_wkt(F.expr("CASE p_partkey % 4 WHEN 0 THEN 'point z(' || p_partkey || '.0 .5 ' || p_size || ')' WHEN 1 THEN 'MULTIPOINT(' || p_partkey || ' 1,2 ' || p_size || ')' WHEN 2 THEN 'Polygon (( 0 0,' || p_size || '.00 0,' || p_size || ' 9.250, 0 0))' ELSE 'GEOMETRYCOLLECTION(POINT(' || p_partkey || ' 1),LINESTRING EMPTY)' END"))).alias("wkt")))
+
 _rect_query("geo_bounds_extractor", "x0 AS minx, y0 AS miny, x0 + w AS maxx, y0 + h AS maxy", lambda: [*(G.bounds(c("ring"))[k].alias(k) for k in ("minx", "miny", "maxx", "maxy"))])
 _rect_query("geo_envelope", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [F.round(G.area(G.envelope(c("ring"))), 6).alias("area")])
 _rect_query("geo_vertex_count", "5 AS n", lambda: [G.vertex_count(c("ring")).alias("n")])
