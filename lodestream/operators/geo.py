@@ -218,6 +218,18 @@ def generate_grid(spark, x0: float, y0: float, x1: float, y1: float, size: float
     return cells.withColumn("ring", rectangle(x0 + F.col("col") * size, y0 + F.col("row") * size, x0 + (F.col("col") + 1) * size, y0 + (F.col("row") + 1) * size))
 
 
+def grid_over(df: DataFrame, path: str, size: float, max_cells: int = 10_000_000) -> DataFrame:
+    """(col, row, ring): the square cells, counted from the origin, that cover the extent of all paths of ``df``."""
+    b = bounds(F.col(path))
+    ends = df.select(*(f(b[k]).alias(k) for k, f in (("minx", F.min), ("miny", F.min), ("maxx", F.max), ("maxy", F.max))))
+    one = ends.select(*(_cell(F.col(k), size).alias(k) for k in ends.columns)).where("minx IS NOT NULL")
+    n = (F.col("maxx") - F.col("minx") + 1) * (F.col("maxy") - F.col("miny") + 1)
+    checked = F.when(n > max_cells, F.raise_error(F.concat(F.lit("a grid of more cells than max_cells: "), n.cast("string"))).cast("long")).otherwise(F.col("minx"))
+    columns = one.select(F.explode(F.sequence(checked, "maxx")).alias("col"), "miny", "maxy").repartition("col")  # rows of cells are made where their column is
+    cells = columns.select("col", F.explode(F.sequence("miny", "maxy")).alias("row"))
+    return cells.withColumn("ring", rectangle(F.col("col") * size, F.col("row") * size, (F.col("col") + 1) * size, (F.col("row") + 1) * size))
+
+
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 

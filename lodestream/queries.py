@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from lodestream.operators import geo as G
 from lodestream.operators import hull as H
 from lodestream.operators import linework as L
+from lodestream.operators import outlines as U
 from lodestream.operators import overlay as O
 from lodestream.operators import shapes as P
 from lodestream.operators import spatial as S
@@ -336,7 +337,7 @@ simple("geo_haversine_distance", "customer", f"SELECT c_custkey, round(2 * 63710
 simple("geo_bearing", "customer", f"SELECT c_custkey, round(fmod(degrees(atan2(sin(radians(x2 - x1)) * cos(radians(y2)), cos(radians(y1)) * sin(radians(y2)) - sin(radians(y1)) * cos(radians(y2)) * cos(radians(x2 - x1)))) + 360, 360), 5) AS b FROM ({_PAIR})", lambda d: _pairs(d).select("c_custkey", F.round(G.bearing(*_ll()), 5).alias("b")))
 simple("geo_line_builder", "events", "SELECT user_id, CAST(count(*) AS INT) AS n FROM events GROUP BY 1 HAVING count(*) >= 2", lambda d: G.line_builder(d.withColumn("m", c("event_id") % 100), ["user_id"], "ts", "value", "m").where("path IS NOT NULL").select("user_id", F.size("path").alias("n")))
 simple("geo_polygon_builder", "events", "SELECT user_id, CAST(count(*) + 1 AS INT) AS n FROM events GROUP BY 1 HAVING count(*) >= 3", lambda d: G.polygon_builder(d.withColumn("m", c("event_id") % 100), ["user_id"], "ts", "value", "m").where("ring IS NOT NULL").select("user_id", F.size("ring").alias("n")))
-simple("geo_generate_grid", "region", "SELECT a.range AS col, b.range AS row, 10.0::DOUBLE * 10.0::DOUBLE AS area FROM range(36) a, range(17) b", lambda d: G.generate_grid(d.sparkSession, -180.0, -85.0, 180.0, 85.0, 10.0).select("col", "row", G.area(c("ring")).alias("area")))
+simple("geo_generate_grid", "part", f"SELECT col, row, 64.0::DOUBLE AS area FROM (SELECT unnest(range(floor(min(x0) / 8)::BIGINT, floor(max(x0 + w) / 8)::BIGINT + 1)) AS col FROM {_RECTS}), (SELECT unnest(range(floor(min(y0) / 8)::BIGINT, floor(max(y0 + h) / 8)::BIGINT + 1)) AS row FROM {_RECTS})", lambda d: G.grid_over(_rects(d), "ring", 8.0).select("col", "row", G.area(c("ring")).alias("area")))
 _IN = "x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h"
 
 
@@ -497,9 +498,52 @@ def geo_coverage_validate(t):
     return S.coverage_validate(_rects(t("part")), "p_partkey", "ring", 5.0).withColumn("common", F.round("common", 6))
 
 
-@kernel("SELECT range AS band, CAST(10200 AS DOUBLE) AS area, CAST(102 AS BIGINT) AS n, CAST(460 AS DOUBLE) AS perimeter FROM range(6)")
+# a plot of 1 x 1 for each part, 50 to a row, of the group of its size; plots of a group that share a side lose it
+_PLOTS = "(SELECT p_partkey, p_size % 5 AS g, p_partkey % 50 AS i, p_partkey // 50 AS j FROM part)"
+
+
+@kernel(f"SELECT a.g, CAST(count(*) AS DOUBLE) AS area, count(*) AS n, CAST(sum(4 - (SELECT count(*) FROM {_PLOTS} b WHERE b.g = a.g AND abs(a.i - b.i) + abs(a.j - b.j) = 1)) AS DOUBLE) AS perimeter FROM {_PLOTS} a GROUP BY 1")
 def geo_dissolve(t):
-    return S.dissolve(_grid(t, 10.0).withColumn("band", F.floor(c("col") / 6)), ["band"], "ring", F.count("*").alias("n"))
+    x, y = c("p_partkey") % 50, F.floor(c("p_partkey") / 50)
+    plots = t("part").select((c("p_size") % 5).alias("g"), G.rectangle(x, y, x + 1, y + 1).alias("ring"))
+    return S.dissolve(plots, ["g"], "ring", F.count("*").alias("n"))
+
+
+# six shapes a group, on whole coordinates so that their unit cells can be counted: rectangles, and for odd keys frames of them
+_SHAPES6 = "(SELECT p_partkey // 6 AS g, p_partkey % 7 AS x0, p_partkey % 5 AS y0, 2 + p_size % 6 AS w, 2 + p_partkey % 4 AS h, p_partkey % 2 = 1 AS frame FROM part)"
+_CELLS6 = f"(SELECT DISTINCT g, x0 + i AS i, y0 + j AS j FROM {_SHAPES6}, range(8) a(i), range(6) b(j) WHERE i < w AND j < h AND NOT (frame AND i > 0 AND j > 0 AND i < w - 1 AND j < h - 1))"
+_OUTLINE6 = f"SELECT a.g, CAST(count(*) AS DOUBLE) AS area, CAST(sum(4 - (SELECT count(*) FROM {_CELLS6} b WHERE b.g = a.g AND abs(a.i - b.i) + abs(a.j - b.j) = 1)) AS DOUBLE) AS perimeter FROM {_CELLS6} a GROUP BY 1"
+
+
+def _shapes6(t) -> DataFrame:
+    k = c("p_partkey")
+    x0, y0, w, h = k % 7, k % 5, 2 + c("p_size") % 6, 2 + k % 4
+    hole = F.when((k % 2 == 1) & (w > 2) & (h > 2), F.array(G.rectangle(x0 + 1, y0 + 1, x0 + w - 1, y0 + h - 1)))
+    return t("part").select(F.floor(k / 6).alias("g"), P.polygon_shape(G.rectangle(x0, y0, x0 + w, y0 + h), hole).alias("shape"))
+
+
+@kernel(_OUTLINE6)
+def geo_union_of_groups(t):
+    found = U.union(_shapes6(t), ["g"], "shape", 4.0)
+    return found.select("g", F.round(P.area(c("shape")), 6).alias("area"), F.round(P.perimeter(c("shape")), 6).alias("perimeter"))
+
+
+@kernel(f"SELECT g, n, area FROM ({_OUTLINE6}) JOIN (SELECT g, count(*) AS n FROM {_SHAPES6} GROUP BY 1) USING (g)")
+def geo_dissolve_outlines(t):
+    found = U.dissolve(_shapes6(t), ["g"], "shape", 4.0, F.count("*").alias("n"))
+    return found.select("g", "n", F.round(P.area(c("shape")), 6).alias("area"))
+
+
+def _overlay_outline(how: str, area: str) -> None:
+    def f(d: DataFrame) -> DataFrame:
+        shapes = _rects(d).select("p_partkey", P.polygon_shape(_ell(0.0, 0.0, c("p_partkey") % 2 == 1)).alias("a"), P.polygon_shape(_ell(0.4, 0.3, c("p_partkey") % 3 != 0)).alias("b"))
+        return U.overlay(shapes, "p_partkey", "a", "b", how, 8.0).select("p_partkey", F.round(P.area(c("shape")), 5).alias("area"))
+
+    simple(f"geo_{how}_outline", "part", f"SELECT p_partkey, round(CAST({area} AS DOUBLE), 5) AS area FROM {_RPAIR} WHERE {area} > 1e-6", f)
+
+
+for _how, _area in (("intersection", "both_"), ("difference", "own - both_"), ("union", "own + its - both_"), ("symmetric_difference", "own + its - 2 * both_")):
+    _overlay_outline(_how, _area)
 
 
 @kernel(f"SELECT p_partkey, round(CAST(w * h AS DOUBLE), 5) AS area FROM {_RECTS}")
