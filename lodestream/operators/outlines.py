@@ -7,8 +7,9 @@ the left, so shells run counter-clockwise and holes clockwise, and each hole goe
 the smallest shell around it.
 
 Everything works on rows of edges, keyed by group and grid cell: no group is in one
-row or task before its outline is. Rings are sewn by ``linework``, in about log n
-rounds for rings of n pieces. ``size`` is that of a grid cell, about a shape's extent.
+row before its outline is. The rings of a group whose outline has at most ``WALKED``
+edges are walked by the task that gets them; those of larger ones are sewn by
+``linework``, in about log n rounds for rings of n pieces. ``size`` is that of a grid cell, about a shape's extent.
 Shapes are those of ``shapes``; only polygons have an area, other parts do not count.
 A shape that crosses itself counts by the even-odd rule only away from its own
 edges, so make it valid first. Groups without area have no row. Places are rounded to
@@ -22,12 +23,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestream.operators import overlay as O
 from lodestream.operators import shapes as P
 from lodestream.operators.geo import _cell, _segments, _signed_area, bounds, covers_point
 from lodestream.operators.linework import DECIMALS, _between, _cut, _sewn
 
+#: Outline edges of a group up to which one task walks its rings; larger groups are sewn in rounds.
+WALKED = 200_000
 #: A crossing this near to an end of one of its edges is that end.
 NEAR = 2 * 10.0**-DECIMALS
 
@@ -121,33 +125,89 @@ def _rings(edges: DataFrame) -> DataFrame:
     around = Window.partitionBy("g", "node").orderBy("angle", "comes")
     before, whole = around.rowsBetween(Window.unboundedPreceding, -1), around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = out.union(come).withColumn("next", F.coalesce(F.last("leaves", ignorenulls=True).over(before), F.last("leaves", ignorenulls=True).over(whole))).where("comes IS NOT NULL")
-    pieces = following.select(F.struct(F.col("next.g").alias("g"), F.col("next.a").alias("x"), F.col("next.b").alias("y")).alias("key"), F.col("comes").alias("a"), F.col("next").alias("b"), F.array("next.a", "next.b").alias("path"))
+    steps = _cut(following.select("g", F.col("comes.a").alias("a"), F.col("comes.b").alias("b"), F.col("next.b").alias("n")))
+    large = _cut(steps.groupBy("g").count().where(F.col("count") > WALKED).select("g"))
+    if large.isEmpty():
+        whole = _walked(steps)
+    else:
+        whole = _walked(steps.join(large, "g", "left_anti")).union(_sewn_rings(steps.join(large, "g")))
+    return whole.select("g", _straightened(F.col("ring")).alias("ring"))
+
+
+def _walked(steps: DataFrame) -> DataFrame:
+    """(g, ring) of groups of at most ``WALKED`` edges, each walked in one go by the task that has its edges; a task holds little more than one group at a time."""
+    schema = StructType([steps.schema["g"], StructField("ring", steps.select(F.array("a")).schema[0].dataType)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, after, sample, rings, groups = None, {}, None, [], []
+
+        def close() -> None:
+            while after:
+                edge, n = after.popitem()
+                ring = [edge[:2]]
+                while True:
+                    edge = (*edge[2:], *n)
+                    ring.append(edge[:2])
+                    if (n := after.pop(edge, None)) is None:
+                        break
+                found = list(_split(ring))
+                rings.extend([{"x": x, "y": y} for x, y in r] for r in found)
+                groups.extend([sample] * len(found))
+
+        def out(like: pa.Schema) -> pa.RecordBatch:
+            batch = pa.record_batch([pa.array(groups, like.field("g").type), pa.array(rings, pa.list_(like.field("a").type))], names=["g", "ring"])
+            groups.clear()
+            rings.clear()
+            return batch
+
+        like = None
+        for batch in batches:
+            like = batch.schema
+            ends = [batch[c].field(k).to_pylist() for c in ("a", "b", "n") for k in (0, 1)]
+            for row, (own, ax, ay, bx, by, nx, ny) in enumerate(zip(batch["key"].to_pylist(), *ends, strict=True)):
+                g = None
+                if own != key or sample is None or (g := batch["g"][row].as_py()) != sample:
+                    close()
+                    key, sample = own, batch["g"][row].as_py() if g is None else g
+                after[ax, ay, bx, by] = nx, ny
+            yield out(like)
+        if like is not None:
+            close()
+            yield out(like)
+
+    keyed = steps.withColumn("key", F.xxhash64("g"))
+    return keyed.repartition("g").sortWithinPartitions("key", "g").mapInArrow(work, schema)
+
+
+def _sewn_rings(steps: DataFrame) -> DataFrame:
+    """(g, ring) of groups of any size, sewn from single edges."""
+    edge = lambda a, b: F.struct("g", F.col(a).alias("x"), F.col(b).alias("y"))
+    pieces = steps.select(edge("b", "n").alias("key"), edge("a", "b").alias("a"), edge("b", "n").alias("b"), F.array("b", "n").alias("path"))
     walked = _cut(_sewn(_cut(pieces)).select(F.col("key.g").alias("g"), F.col("path").alias("ring")))
     twice = F.size(F.array_distinct("ring")) < F.size("ring") - 1
-    whole = walked.where(~twice).union(walked.where(twice).mapInArrow(_split_at_touches, walked.schema))
-    return whole.select("g", _straightened(F.col("ring")).alias("ring"))
+    return walked.where(~twice).union(walked.where(twice).mapInArrow(_split_at_touches, walked.schema))
 
 
-def _split_at_touches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(ring: list[tuple[float, float]]) -> Iterator[list[tuple[float, float]]]:
     """A ring that comes by a place twice touches itself there: it is the rings between, each of which comes by once."""
+    walk: list[tuple[float, float]] = []
+    at: dict[tuple[float, float], int] = {}
+    for place in ring:
+        if place in at:
+            start = at[place]
+            yield [*walk[start:], place]
+            for q in walk[start + 1 :]:
+                del at[q]
+            del walk[start + 1 :]
+        else:
+            at[place] = len(walk)
+            walk.append(place)
+
+
+def _split_at_touches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        groups, rings = [], []
-        for k, ring in enumerate(batch["ring"].to_pylist()):
-            walk: list[dict] = []
-            at: dict[tuple[float, float], int] = {}
-            for p in ring:
-                place = (p["x"], p["y"])
-                if place in at:
-                    start = at[place]
-                    rings.append([*walk[start:], p])
-                    groups.append(k)
-                    for q in walk[start + 1 :]:
-                        del at[q["x"], q["y"]]
-                    del walk[start + 1 :]
-                else:
-                    at[place] = len(walk)
-                    walk.append(p)
-        yield pa.record_batch([batch["g"].take(pa.array(groups, pa.int64())), pa.array(rings, batch.schema.field("ring").type)], names=["g", "ring"])
+        found = [(k, [{"x": x, "y": y} for x, y in r]) for k, ring in enumerate(batch["ring"].to_pylist()) for r in _split([(p["x"], p["y"]) for p in ring])]
+        yield pa.record_batch([batch["g"].take(pa.array([k for k, _ in found], pa.int64())), pa.array([r for _, r in found], batch.schema.field("ring").type)], names=["g", "ring"])
 
 
 def _straightened(ring: Column) -> Column:
