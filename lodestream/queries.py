@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from lodestream.operators import geo as G
 from lodestream.operators import hull as H
 from lodestream.operators import linework as L
+from lodestream.operators import neighbours as N
 from lodestream.operators import outlines as U
 from lodestream.operators import overlay as O
 from lodestream.operators import shapes as P
@@ -360,6 +361,66 @@ def geo_nearest(t):
     return G.nearest(_pts(t("customer")), s, "c_custkey", "s_suppkey", "p", "q", 20.0).withColumn("distance", F.round("distance", 6))
 
 
+def _suppliers(t) -> DataFrame:
+    return t("supplier").select("s_suppkey", G.point(F.expr("((s_suppkey * 37) % 3600) / CAST(10 AS DOUBLE) - 180"), F.expr("((s_suppkey * 17) % 1700) / CAST(10 AS DOUBLE) - 85")).alias("q"))
+
+
+_NEAREST = f"SELECT c_custkey, s_suppkey, round(d, 6) AS distance, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS n FROM (SELECT c_custkey, s_suppkey, sqrt((x * 9 - sx) ** 2 + (y * 9 - sy) ** 2) AS d FROM {_PTS}, {_SUP}))"
+
+
+def _outlying(t) -> DataFrame:
+    """Customers far outside the suppliers' extent too."""
+    return _pts(t("customer")).select("c_custkey", G.point(c("p.x") * 9, c("p.y") * 9).alias("p"))
+
+
+@kernel(f"{_NEAREST} WHERE n <= 1")
+def geo_nearest_unlimited(t):
+    return N.nearest(_outlying(t), _suppliers(t), "c_custkey", "s_suppkey", "p", "q").withColumn("distance", F.round("distance", 6))
+
+
+@kernel(f"{_NEAREST} WHERE n <= 4")
+def geo_nearest_k(t):
+    return N.nearest(_outlying(t), _suppliers(t), "c_custkey", "s_suppkey", "p", "q", 4).withColumn("distance", F.round("distance", 6))
+
+
+# rectangles of parts against those of suppliers, 1 x 2: the gaps along both axes give the distance
+_SRECTS = f"(SELECT s_suppkey, sx, sy FROM {_SUP})"
+_GAP = "sqrt(greatest(x0 - sx - 1, sx - x0 - w, 0) ** 2 + greatest(y0 - sy - 2, sy - y0 - h, 0) ** 2)"
+_GAPS = f"SELECT p_partkey, s_suppkey, round({_GAP}, 6) AS distance FROM {_RECTS} JOIN {_SRECTS} ON {_GAP} <= 3.05"
+
+
+def _dwithin(t, how: str) -> DataFrame:
+    boxes = _suppliers(t).select("s_suppkey", G.rectangle(c("q.x"), c("q.y"), c("q.x") + 1, c("q.y") + 2).alias("box"))
+    return N.sjoin(_rects(t("part")).select("p_partkey", "ring"), boxes, "ring", "box", 8.0, within=3.05, how=how, key="p_partkey")
+
+
+@kernel(_GAPS)
+def geo_sjoin_dwithin(t):
+    return _dwithin(t, "inner").select("p_partkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+
+
+@kernel(f"SELECT p_partkey, s_suppkey, distance FROM part LEFT JOIN ({_GAPS}) USING (p_partkey)")
+def geo_sjoin_dwithin_left(t):
+    return _dwithin(t, "left").select("p_partkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+
+
+@kernel(f"SELECT p_partkey FROM part SEMI JOIN ({_GAPS}) USING (p_partkey)")
+def geo_sjoin_dwithin_semi(t):
+    return _dwithin(t, "semi").select("p_partkey")
+
+
+@kernel(f"SELECT p_partkey FROM part ANTI JOIN ({_GAPS}) USING (p_partkey)")
+def geo_sjoin_dwithin_anti(t):
+    return _dwithin(t, "anti").select("p_partkey")
+
+
+@kernel(f"SELECT a.p_partkey, round(sqrt(greatest(a.x0 - b.x0 - b.w, b.x0 - a.x0 - a.w, 0) ** 2 + greatest(a.y0 - b.y0 - b.h, b.y0 - a.y0 - a.h, 0) ** 2), 6) AS d FROM {_RECTS} a JOIN {_RECTS} b ON b.p_partkey = a.p_partkey + 1")
+def geo_distance_shapes(t):
+    a = _rects(t("part")).select("p_partkey", "ring")
+    both = a.join(a.select((c("p_partkey") - 1).alias("p_partkey"), c("ring").alias("other")), "p_partkey")
+    return both.select("p_partkey", F.round(N.shape_distance(c("ring"), c("other")), 6).alias("d"))
+
+
 def _square_ell(d: DataFrame) -> DataFrame:
     """The outline of an L in a square, with points a quarter of the square's side apart."""
     quarters = F.array(*(F.struct(lit(x).alias("x"), lit(y).alias("y")) for x, y in ((0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2), (3, 2), (2, 2), (2, 3), (2, 4), (1, 4), (0, 4), (0, 3), (0, 2), (0, 1))))
