@@ -14,11 +14,10 @@ from math import cos, pi, sin
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.operators.geodesic import MAJOR, geodesic_area, geodesic_distance, geodesic_line_length  # noqa: F401  part of this module's kernels
 from lodestream.operators.geo import PATH, _segments, _signed_area, _total, area, centroid, covers_point, distance, length, line_interpolate_point
 
 EPS = 1e-9
-#: WGS 84: equatorial radius in metres, flattening.
-MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
 def free_name(df, name: str) -> str:
@@ -447,56 +446,3 @@ def to_web_mercator(path: Column) -> Column:
 
 def from_web_mercator(path: Column) -> Column:
     return F.transform(path, lambda p: _xy(F.degrees(p["x"] / MAJOR), F.degrees(2 * F.atan(F.exp(p["y"] / MAJOR)) - pi / 2)))
-
-
-def geodesic_distance(p: Column, q: Column) -> Column:
-    """Metres on WGS 84 by Vincenty's inverse formula; null for nearly antipodal points, where it does not settle."""
-    minor = MAJOR * (1 - FLATTENING)
-    f = FLATTENING
-    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(v["y"]))) for v in (p, q))
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    gap = F.radians(F.pmod(q["x"] - p["x"] + 180, F.lit(360.0)) - 180)
-    sines = F.struct(su1.alias("su1"), cu1.alias("cu1"), su2.alias("su2"), cu2.alias("cu2"), gap.alias("gap"), gap.alias("lam"), F.lit(0.0).alias("sigma"), F.lit(0.0).alias("ss"), F.lit(1.0).alias("cs"), F.lit(0.0).alias("c2"), F.lit(0.0).alias("cm"), F.lit(1.0).alias("move"))
-    names = ("su1", "cu1", "su2", "cu2", "gap")
-
-    def step(s: Column, _: Column) -> Column:
-        lam = s["lam"]
-
-        def move(z: Column) -> Column:
-            new = s["gap"] + (1 - z["c"]) * f * z["sa"] * (z["sigma"] + z["c"] * z["ss"] * (z["cm"] + z["c"] * z["cs"] * (2 * z["cm"] * z["cm"] - 1)))
-            return _let(new, lambda v: F.struct(*(s[n].alias(n) for n in names), v.alias("lam"), *(z[n].alias(n) for n in ("sigma", "ss", "cs", "c2", "cm")), F.abs(v - lam).alias("move")))
-
-        def angles(z: Column) -> Column:
-            sa = F.when(z["ss"] > 0, s["cu1"] * s["cu2"] * F.sin(lam) / z["ss"]).otherwise(0.0)
-            return _let(sa, lambda v: _let(1 - v * v, lambda c2: F.struct(z["ss"].alias("ss"), z["cs"].alias("cs"), F.atan2(z["ss"], z["cs"]).alias("sigma"), v.alias("sa"), c2.alias("c2"), F.when(c2 > 1e-15, z["cs"] - 2 * s["su1"] * s["su2"] / c2).otherwise(0.0).alias("cm"), (f / 16 * c2 * (4 + f * (4 - 3 * c2))).alias("c"))))
-
-        first = F.struct(F.hypot(s["cu2"] * F.sin(lam), s["cu1"] * s["su2"] - s["su1"] * s["cu2"] * F.cos(lam)).alias("ss"), (s["su1"] * s["su2"] + s["cu1"] * s["cu2"] * F.cos(lam)).alias("cs"))
-        return _let(_let(first, angles), move)
-
-    def finish(s: Column) -> Column:
-        u = s["c2"] * (MAJOR**2 - minor**2) / minor**2
-        a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        cm = s["cm"]
-        ds = b * s["ss"] * (cm + b / 4 * (s["cs"] * (2 * cm * cm - 1) - b / 6 * cm * (4 * s["ss"] * s["ss"] - 3) * (4 * cm * cm - 3)))
-        return F.when(s["move"] < 1e-11, minor * a * (s["sigma"] - ds))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(15)), sines, step, finish)
-
-
-def geodesic_line_length(path: Column) -> Column:
-    return _total(F.transform(_segments(path), lambda s: geodesic_distance(s["a"], s["b"])))
-
-
-def geodesic_area(ring: Column) -> Column:
-    """Square metres: great-circle edges on the sphere with the ellipsoid's area, at latitudes of equal area."""
-    e2 = FLATTENING * (2 - FLATTENING)
-    e = e2**0.5
-    q = lambda sine: (1 - e2) * (sine / (1 - e2 * sine * sine) - F.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
-    whole = q(F.lit(1.0))
-    half = lambda p: F.tan(F.asin(F.greatest(F.least(q(F.sin(F.radians(p["y"]))) / whole, F.lit(1.0)), F.lit(-1.0))) / 2)
-    turn = lambda s: F.radians(F.pmod(s["b"]["x"] - s["a"]["x"] + 180, F.lit(360.0)) - 180)
-    excess = F.transform(_segments(ring), lambda s: 2 * F.atan2(F.tan(turn(s) / 2) * (half(s["a"]) + half(s["b"])), 1 + half(s["a"]) * half(s["b"])))
-    return F.abs(_total(excess)) * MAJOR**2 * whole / 2
-
-

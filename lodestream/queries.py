@@ -509,6 +509,11 @@ _rect_query("geo_frechet_distance", "CAST(2 AS DOUBLE) AS d", lambda: [_rounded(
 _rect_query("geo_geodesic_distance", "round(6378137 * radians(w), 3) AS d", lambda: [F.round(O.geodesic_distance(G.point(c("x0"), lit(0.0)), G.point(c("x0") + c("w"), lit(0.0))), 3).alias("d")])
 _rect_query("geo_geodesic_line_length", "round(6378137 * radians(w + h), 3) AS length", lambda: [F.round(O.geodesic_line_length(_path((c("x0"), lit(0.0)), (c("x0") + c("w"), lit(0.0)), (c("x0") + c("w") + c("h"), lit(0.0)))), 3).alias("length")])
 simple("geo_geodesic_area", "part", None, lambda d: _rects(d).select("p_partkey", F.round(O.geodesic_area(G.scale(c("ring"), 0.9, 0.9)), 0).alias("area")))
+# odd keys: along a meridian, whose length Simpson's rule gives; even keys: antipodes, half a meridian ellipse apart
+_RADIUS = "6378137 * (1 - e2) / (1 - e2 * sin(t) ** 2) ** 1.5"
+_ARC = f"SELECT c_custkey, sum((CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {_RADIUS} * abs(radians(z) - radians(y)) / 3000) AS d FROM (SELECT c_custkey, y, z, k, radians(y) + (radians(z) - radians(y)) * k / 1000 AS t, (2 - 1 / 298.257223563::DOUBLE) / 298.257223563::DOUBLE AS e2 FROM (SELECT c_custkey, y, 30 - y / 2 AS z FROM {_PTS}), range(1001) r(k)) GROUP BY 1"
+simple("geo_geodesic_distance_everywhere", "customer", f"SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 1 THEN d ELSE 20003931.458625::DOUBLE END, 2) AS d FROM ({_ARC})", lambda d: _pts(d).select("c_custkey", F.round(O.geodesic_distance(c("p"), F.when(c("c_custkey") % 2 == 1, G.point(c("p.x"), 30 - c("p.y") / 2)).otherwise(G.point(c("p.x") + 180, -c("p.y")))), 2).alias("d")))
+_rect_query("geo_geodesic_area_to_the_pole", "round(510065621.724088::DOUBLE * w / 720, 1) AS area", lambda: [F.round(O.geodesic_area(_path((c("x0"), lit(0.0)), (c("x0") + c("w"), lit(0.0)), (c("x0"), lit(90.0)), (c("x0"), lit(0.0)))) / 1e6, 1).alias("area")])
 simple("geo_reproject", "customer", f"SELECT c_custkey, round(6378137 * radians(x), 3) AS x, round(6378137 * ln(tan(pi() / 4 + radians(y) / 2)), 3) AS y FROM {_PTS}", lambda d: _pts(d).select("c_custkey", F.get(O.to_web_mercator(F.array("p")), 0).alias("q")).select("c_custkey", F.round("q.x", 3).alias("x"), F.round("q.y", 3).alias("y")))
 
 # --- whole tables
