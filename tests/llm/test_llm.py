@@ -140,12 +140,16 @@ def test_chunked_encoding_is_the_tokenizers(name):
 
 
 # --- 4 and 7
-@pytest.mark.parametrize("name, label, least", [("op4_fm_quality", "quality", 0.85), ("op7_toxicity", "toxic", 0.85)])
-def test_held_out_accuracy(spark, name, label, least):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("name, label, recall, precision, area", [("op4_fm_quality", "quality", 0.97, 0.97, 0.99), ("op7_toxicity", "toxic", 0.85, 0.95, 0.93)])
+def test_held_out_rows(spark, name, label, recall, precision, area):
+    """Recall and precision of label 1 and the area under the curve; calling every row the same fails each."""
+    sf = "/root/testdata/sf0.1"
     got = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
-    assert np.mean([r.predicted == r[label] for r in got]) >= least
+    hit = sum(r.predicted == 1 and r[label] == 1 for r in got)
+    assert hit / sum(r[label] == 1 for r in got) >= recall and hit / sum(r.predicted for r in got) >= precision
+    good, bad = (np.array([r.score for r in got if r[label] == k]) for k in (1, 0))
+    assert np.mean((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])) >= area
 
 
 def test_models_without_labels_or_texts(spark):
