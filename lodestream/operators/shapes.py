@@ -17,6 +17,8 @@ out; ``path_of`` leads to the kernels of ``geo`` that take one path.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ _KIND = "|".join((*MULTI, *SINGLE, COLLECTION))
 _HEAD = rf"(?s)^({_KIND})\s*(ZM|Z|M)?\s*(EMPTY|\(.*\))$"
 
 
+def _once(f):
+    """``f`` with its first column computed once, however often it is used."""
+    @wraps(f)
+    def with_value(shape: Column, *more, **named):
+        return _let(shape, lambda s: f(s, *more, **named))
+
+    return with_value
+
+
 # --- reading text
 def _tokens(body: Column) -> Column:
     """A body as JSON: parentheses to brackets, the numbers of a point to one string, EMPTY to an empty array."""
@@ -162,6 +173,7 @@ def from_wkt(wkt: Column) -> Column:
 
 
 # --- writing text
+@_once
 def to_wkt(shape: Column, precision: int | None = None) -> Column:
     """Canonical text: upper case, no trailing zeros; ``precision``: decimals."""
     dims = shape["dims"]
@@ -293,6 +305,7 @@ def dimension(shape: Column) -> Column:
     return F.array_max(F.transform(shape["members"], lambda m: rank(m["kind"])))
 
 
+@_once
 def accessors(shape: Column) -> Column:
     """struct(type, dims, dim, num_points, num_parts, num_holes, x, y, z, is_empty, is_closed, is_ring, start, end).
 
@@ -319,12 +332,14 @@ def bounds(shape: Column) -> Column:
     return of_path(points_of(shape))
 
 
+@_once
 def area(shape: Column) -> Column:
     """Planar area: shells less their holes; no part of another kind counts."""
     of_part = lambda p: F.aggregate(F.transform(p["rings"], lambda r, i: F.when(i == 0, _ring_area(path(r))).otherwise(-_ring_area(path(r)))), F.lit(0.0), lambda s, v: s + v)
     return F.when(shape.isNotNull(), _sum(F.transform(_of_kind(shape, "POLYGON"), of_part)))
 
 
+@_once
 def _total_length(shape: Column, kind: str) -> Column:
     rings = F.flatten(F.transform(_of_kind(shape, kind), lambda p: p["rings"]))
     return F.when(shape.isNotNull(), _sum(F.transform(rings, lambda r: _sum(F.transform(_segments(path(r)), lambda s: distance(s["a"], s["b"]))))))
@@ -340,6 +355,7 @@ def length(shape: Column) -> Column:
     return _total_length(shape, "LINESTRING")
 
 
+@_once
 def boundary(shape: Column) -> Column:
     """Of polygons their rings as lines; of lines the places where an odd number of them end; of points, and of collections, an empty collection."""
     rings = F.flatten(F.transform(_of_kind(shape, "POLYGON"), lambda p: p["rings"]))
@@ -352,6 +368,7 @@ def boundary(shape: Column) -> Column:
     return F.when(shape["kind"].endswith("POLYGON"), of_rings).when(shape["kind"].endswith("LINESTRING"), of_lines).when(shape.isNotNull(), nothing)
 
 
+@_once
 def contains_point(shape: Column, p: Column, on_boundary: bool = True) -> Column:
     """Whether a polygonal shape has ``p`` inside: in a shell and in none of its holes. A hole's edge is the shape's boundary."""
     def of_part(part: Column) -> Column:

@@ -304,7 +304,7 @@ simple("geo_to_wkt_parts", "part", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0
 
 _rect_query("geo_bounds_extractor", "x0 AS minx, y0 AS miny, x0 + w AS maxx, y0 + h AS maxy", lambda: [*(G.bounds(c("ring"))[k].alias(k) for k in ("minx", "miny", "maxx", "maxy"))])
 _rect_query("geo_envelope", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [F.round(G.area(G.envelope(c("ring"))), 6).alias("area")])
-_rect_query("geo_vertex_count", "5 AS n", lambda: [G.vertex_count(c("ring")).alias("n")])
+_rect_query("geo_vertex_count", "CAST(2 * w + 2 * h + 1 AS INT) AS n", lambda: [G.vertex_count(G.densify(G.translate(c("ring"), -c("x0"), -c("y0")), 1.0)).alias("n")])
 _rect_query("geo_area", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [F.round(G.area(c("ring")), 6).alias("area")])
 _rect_query("geo_perimeter", "round(CAST(2 * (w + h) AS DOUBLE), 6) AS perimeter", lambda: [F.round(G.perimeter(c("ring")), 6).alias("perimeter")])
 _rect_query("geo_length", "round(CAST(w + h AS DOUBLE), 6) AS length", lambda: [F.round(G.length(F.slice(c("ring"), 1, 3)), 6).alias("length")])
@@ -317,10 +317,10 @@ _rect_query("geo_snap_to_grid", "floor(x0 / 0.5 + 0.5) * 0.5 AS x, floor(y0 / 0.
 _rect_query("geo_densify", "CAST(2 * w + 2 * h + 1 AS INT) AS n", lambda: [F.size(G.densify(G.translate(c("ring"), -c("x0"), -c("y0")), 1.0)).alias("n")])
 _rect_query("geo_line_interpolate_point", "round(x0 + least(w, 1.5), 6) AS x", lambda: [F.round(G.line_interpolate_point(F.slice(c("ring"), 1, 2), lit(1.5))["x"], 6).alias("x")])
 _rect_query("geo_line_locate_point", "round(w / 2.0, 6) AS at", lambda: [F.round(G.line_locate_point(F.slice(c("ring"), 1, 2), G.point(c("x0") + c("w") / 2, c("y0") + 9.0)), 6).alias("at")])
-_rect_query("geo_hausdorff_distance", "round(2.0, 6) AS d", lambda: [F.round(G.hausdorff_distance(F.slice(c("ring"), 1, 2), G.translate(F.slice(c("ring"), 1, 2), 0.0, 2.0)), 6).alias("d")])
+_rect_query("geo_hausdorff_distance", "round(CAST(h AS DOUBLE), 6) AS d", lambda: [F.round(G.hausdorff_distance(F.slice(c("ring"), 1, 2), G.translate(F.slice(c("ring"), 1, 2), 0.0, c("h"))), 6).alias("d")])
 _rect_query("geo_predicate_covers", "x0 + w / 2.0 <= 0 AND x0 + w >= 0 AND y0 <= 0 AND y0 + h >= 0 OR (x0 <= 0 AND x0 + w >= 0 AND y0 <= 0 AND y0 + h >= 0) AS hit", lambda: [G.covers_point(c("ring"), G.point(lit(0.0), lit(0.0))).alias("hit")])
 _rect_query("geo_predicate_contains", "x0 < 5 AND x0 + w > 5 AND y0 < 5 AND y0 + h > 5 AS hit", lambda: [G.covers_point(c("ring"), G.point(lit(5.0), lit(5.0)), boundary=False).alias("hit")])
-_rect_query("geo_predicate_within", "true AS hit", lambda: [G.covers_point(c("ring"), G.centroid(c("ring"))).alias("hit")])
+_rect_query("geo_predicate_within", "p_partkey % 9 + 0.5 <= h AS hit", lambda: [G.covers_point(c("ring"), G.point(c("x0") + c("w") / 2, c("y0") + c("p_partkey") % 9 + 0.5)).alias("hit")])
 _PAIR = f"SELECT a.c_custkey, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {_PTS} a JOIN {_PTS} b ON b.c_custkey = a.c_custkey + 1"
 
 
@@ -498,14 +498,14 @@ _rect_query("geo_boundary", "x0 AS x, y0 + h AS y", lambda: [F.get(O.boundary(F.
 _rect_query("geo_buffer", "round(w * h + 2 * (w + h) + 16 * sin(pi() / 16), 6) AS area", lambda: [_rounded(O.areas(O.buffer(c("ring"), 1.0))).alias("area")])
 _rect_query("geo_convex_hull", "round(CAST(w * h AS DOUBLE), 6) AS area", lambda: [_rounded(G.area(O.convex_hull(F.concat(c("ring"), F.array(G.centroid(c("ring"))))))).alias("area")])
 _rect_query("geo_point_on_surface", "round(x0 + w / 2.0, 4) AS x, round(y0 + h / 2.0, 4) AS y", lambda: [F.round(O.point_on_surface(c("ring"))[k], 4).alias(k) for k in ("x", "y")])
-_rect_query("geo_clean_topology", "5 AS n", lambda: [F.size(O.clean_topology(G.densify(G.translate(c("ring"), -c("x0"), -c("y0")), 1.0))).alias("n")])
-_rect_query("geo_simplify", "5 AS n", lambda: [F.size(O.simplify(G.densify(c("ring"), 1.0), 0.01)).alias("n")])
+_rect_query("geo_clean_topology", "CASE WHEN p_partkey % 2 = 1 THEN 7 ELSE 5 END AS n", lambda: [F.size(O.clean_topology(G.densify(_ell(0.0, 0.0, c("p_partkey") % 2 == 1), 1.0))).alias("n")])
+_rect_query("geo_simplify", "CASE WHEN p_partkey % 2 = 1 THEN 7 ELSE 5 END AS n", lambda: [F.size(O.simplify(G.densify(_ell(0.0, 0.0, c("p_partkey") % 2 == 1), 1.0), 0.01)).alias("n")])
 _rect_query("geo_geometry_diagnostics", "p_partkey % 2 = 0 AS is_valid, CASE WHEN p_partkey % 2 <> 0 THEN 'crosses itself' END AS reason", lambda: [O.diagnostics(F.when(c("p_partkey") % 2 == 0, c("ring")).otherwise(_corners(0, 2, 1, 3, 0)))[k].alias(k) for k in ("is_valid", "reason")])
 _rect_query("geo_snap", "x0 + CAST(0.05 AS DOUBLE) AS x", lambda: [F.get(O.snap(c("ring"), _path((c("x0") + 0.05, c("y0"))), 0.1), 0)["x"].alias("x")])
 _rect_query("geo_split", "round(w * h / CAST(4 AS DOUBLE), 6) AS lo, round(3 * w * h / CAST(4 AS DOUBLE), 6) AS hi", lambda: [_rounded(f(F.transform(O.split(c("ring"), G.point(c("x0") + c("w") / 4, c("y0")), G.point(c("x0") + c("w") / 4, c("y0") + 1)), G.area))).alias(k) for k, f in (("lo", F.array_min), ("hi", F.array_max))])
 _rect_query("geo_shared_paths", "round(w - CAST(0.5 AS DOUBLE), 6) AS length, false AS forward", lambda: [_rounded(G.distance(z["p"], z["q"])).alias("length") for z in [F.get(O.shared_paths(F.slice(c("ring"), 1, 2), _path((c("x0") + c("w"), c("y0")), (c("x0") + 0.5, c("y0")))), 0)]] + [F.get(O.shared_paths(F.slice(c("ring"), 1, 2), _path((c("x0") + c("w"), c("y0")), (c("x0") + 0.5, c("y0")))), 0)["forward"].alias("forward")])
-_rect_query("geo_line_substring", "CAST(1 AS DOUBLE) AS length", lambda: [_rounded(G.length(O.line_substring(F.slice(c("ring"), 1, 3), lit(0.5), lit(1.5)))).alias("length")])
-_rect_query("geo_frechet_distance", "CAST(2 AS DOUBLE) AS d", lambda: [_rounded(O.frechet_distance(F.slice(c("ring"), 1, 3), G.translate(F.slice(c("ring"), 1, 3), 0.0, 2.0))).alias("d")])
+_rect_query("geo_line_substring", "round(w / 2.0, 6)::DOUBLE AS length", lambda: [_rounded(G.length(O.line_substring(F.slice(c("ring"), 1, 3), lit(0.5), 0.5 + c("w") / 2))).alias("length")])
+_rect_query("geo_frechet_distance", "CAST(h AS DOUBLE) AS d", lambda: [_rounded(O.frechet_distance(F.slice(c("ring"), 1, 3), G.translate(F.slice(c("ring"), 1, 3), 0.0, c("h")))).alias("d")])
 _rect_query("geo_geodesic_distance", "round(6378137 * radians(w), 3) AS d", lambda: [F.round(O.geodesic_distance(G.point(c("x0"), lit(0.0)), G.point(c("x0") + c("w"), lit(0.0))), 3).alias("d")])
 _rect_query("geo_geodesic_line_length", "round(6378137 * radians(w + h), 3) AS length", lambda: [F.round(O.geodesic_line_length(_path((c("x0"), lit(0.0)), (c("x0") + c("w"), lit(0.0)), (c("x0") + c("w") + c("h"), lit(0.0)))), 3).alias("length")])
 simple("geo_geodesic_area", "part", None, lambda d: _rects(d).select("p_partkey", F.round(O.geodesic_area(G.scale(c("ring"), 0.9, 0.9)), 0).alias("area")))
