@@ -285,8 +285,8 @@ def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame, similari
     """a, b: links across components (``roots``: node, root) among the members (key, id, n) of crowded buckets.
 
     A bucket is cut into blocks without bringing it together: its weight is summed by component and by size, and members
-    are dealt by hash to as many blocks as that takes. A component that fills half a block has blocks of its own; all
-    other members share blocks with those of like size.
+    are dealt by hash to as many blocks as that takes. A component that fills half a block has blocks of its own; the
+    others, where they take more than four blocks, share them with members of like size.
     """
     crowd = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left")
     of = F.coalesce("root", "id")
@@ -295,8 +295,12 @@ def crowded_pairs(crowd: DataFrame, found: DataFrame, roots: DataFrame, similari
     crowd = saved(crowd.join(mixed, "key").select("key", "id", "n", "root", of.alias("own")), "crowd")
     weight = F.sum(F.col("n") + 128)
     large = crowd.where("root IS NOT NULL").groupBy("key", "root").agg(weight.alias("w")).where(F.col("w") >= BLOCK // 2).select("key", "root", F.lit(True).alias("large"))
+    crowd = crowd.join(large, ["key", "root"], "left")
+    # what fills few blocks is not cut by size: many small blocks would meet each other more often
+    wide = crowd.where("large IS NULL").groupBy("key").agg(weight.alias("w")).where(F.col("w") > 4 * BLOCK).select("key", F.lit(True).alias("wide"))
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(similarity[1] / similarity[0])))
-    crowd = crowd.join(large, ["key", "root"], "left").withColumn("kind", F.when(F.col("large"), F.xxhash64(F.lit(1), "root")).otherwise(F.xxhash64(F.lit(2), size)))
+    kind = F.when(F.col("large"), F.xxhash64(F.lit(1), "root")).when(F.col("wide"), F.xxhash64(F.lit(2), size)).otherwise(F.lit(0).cast("long"))
+    crowd = crowd.join(wide, "key", "left").withColumn("kind", kind)
     kinds = crowd.groupBy("key", "kind").agg(F.ceil(weight / BLOCK).alias("parts"))
     crowd = crowd.join(kinds, ["key", "kind"]).withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "parts")))
     crowd = saved(crowd.select("key", "block", "id", "n", F.col("own").alias("root")), "crowd")
