@@ -122,7 +122,7 @@ def _rings(edges: DataFrame) -> DataFrame:
     ident = F.struct("g", "a", "b")
     out = edges.select("g", F.col("a").alias("node"), angle("a", "b").alias("angle"), ident.alias("leaves"), F.lit(None).cast(edges.select(ident).schema[0].dataType).alias("comes"))
     come = edges.select("g", F.col("b").alias("node"), angle("b", "a").alias("angle"), F.lit(None).cast(edges.select(ident).schema[0].dataType).alias("leaves"), ident.alias("comes"))
-    around = Window.partitionBy("g", "node").orderBy("angle", "comes")
+    around = Window.partitionBy("g", "node").orderBy("angle", F.asc_nulls_last("comes"))  # the way back itself comes last
     before, whole = around.rowsBetween(Window.unboundedPreceding, -1), around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = out.union(come).withColumn("next", F.coalesce(F.last("leaves", ignorenulls=True).over(before), F.last("leaves", ignorenulls=True).over(whole))).where("comes IS NOT NULL")
     steps = _cut(following.select("g", F.col("comes.a").alias("a"), F.col("comes.b").alias("b"), F.col("next.b").alias("n")))
@@ -224,11 +224,12 @@ def _polygons(rings: DataFrame, size: float) -> DataFrame:
     """(g, shape): a POLYGON for each shell, with the holes that no smaller shell has around them."""
     rings = _cut(rings.withColumn("area", _signed_area(F.col("ring"))).where(F.abs("area") > O.EPS))
     shells = rings.where("area > 0").select("g", "ring", "area")
-    holes = rings.where("area < 0").select("g", F.col("ring").alias("hole"), O.point_on_surface(F.col("ring")).alias("p"))
+    holes = rings.where("area < 0").select("g", F.col("ring").alias("hole"), (-F.col("area")).alias("gap"), O.point_on_surface(F.col("ring")).alias("p"))
     holes = holes.withColumns({"cx": _cell(F.col("p.x"), size), "cy": _cell(F.col("p.y"), size)})
     boxed = shells.withColumn("box", bounds(F.col("ring")))
     boxed = _celled(boxed, F.col("box.minx"), F.col("box.miny"), F.col("box.maxx"), F.col("box.maxy"), size)
-    around = boxed.join(holes, ["g", "cx", "cy"]).where(F.col("p.x").between(F.col("box.minx"), F.col("box.maxx")) & F.col("p.y").between(F.col("box.miny"), F.col("box.maxy")) & covers_point(F.col("ring"), F.col("p")))
+    # a hole that a part fills has that part's ring too: around it is only what is larger
+    around = boxed.join(holes, ["g", "cx", "cy"]).where((F.col("area") > F.col("gap") + O.EPS) & F.col("p.x").between(F.col("box.minx"), F.col("box.maxx")) & F.col("p.y").between(F.col("box.miny"), F.col("box.maxy")) & covers_point(F.col("ring"), F.col("p")))
     owner = around.groupBy("g", "hole").agg(F.min(F.struct("area", "ring")).alias("shell"))
     of_shell = owner.groupBy("g", F.col("shell.ring").alias("ring")).agg(F.array_sort(F.collect_list("hole")).alias("holes"))
     return shells.join(of_shell, ["g", "ring"], "left").select("g", P.polygon_shape(F.col("ring"), F.col("holes")).alias("shape"))
@@ -276,3 +277,24 @@ def overlay(df: DataFrame, key: str, a: str, b: str, how: str, size: float, outp
         raise ValueError(f"unknown overlay: {how}")
     side = lambda k, c: df.select(F.struct(key).alias("g"), F.lit(k).alias("side"), _oriented(F.col(c)).alias("rings"))
     return _one_each(_assembled(side(0, a).union(side(1, b)), size, RULES[how], output), [key], output)
+
+
+def split(df: DataFrame, key: str, shape: str, blade: str, size: float, output: str = "shape") -> DataFrame:
+    """(key, shape): the polygons into which the lines and rings of ``blade`` cut a polygonal shape, a row for each.
+
+    The shape's own edges are walked with its area on the left, the pieces of the blade inside it both ways. A blade that ends inside
+    cuts nothing off there. ``key`` is unique.
+    """
+    rows = _cut(df.select(F.struct(key).alias("g"), _oriented(F.col(shape)).alias("rings"), F.transform(P.rings_of(F.col(blade)), lambda r: F.transform(r, _place)).alias("lines")).where(F.size("rings") > 0))
+    steps = lambda c: rows.select("g", F.explode(F.flatten(F.transform(c, _segments))).alias("e")).where("e.a <> e.b").select("g", (F.col("e.a") < F.col("e.b")).alias("ahead"), F.struct(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).alias("s"))
+    edges, cuts = steps("rings"), steps("lines")
+    pieces = _cut(_noded(edges.select("g", "s").union(cuts.select("g", "s")).distinct(), size))
+    # a piece runs from p to q along s, whose a is the lesser end
+    forward = F.when(F.col("ahead"), F.struct(F.col("p").alias("a"), F.col("q").alias("b"))).otherwise(F.struct(F.col("q").alias("a"), F.col("p").alias("b")))
+    own = edges.join(pieces, ["g", "s"]).select("g", forward.alias("w")).select("g", "w.a", "w.b")
+    undirected = lambda df, a, b: df.select("g", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    across = undirected(cuts.join(pieces, ["g", "s"]), "p", "q").join(undirected(own, "a", "b"), ["g", "a", "b"], "left_anti")
+    middle = O._xy((F.col("a.x") + F.col("b.x")) / 2, (F.col("a.y") + F.col("b.y")) / 2)
+    inside = across.join(rows.select("g", "rings"), "g").where(_parity(F.col("rings"), middle)).select("g", "a", "b")
+    walks = own.union(inside).union(inside.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+    return _polygons(_rings(walks), size).select("g.*", F.col("shape").alias(output))

@@ -503,6 +503,18 @@ _rect_query("geo_simplify", "CASE WHEN p_partkey % 2 = 1 THEN 7 ELSE 5 END AS n"
 _rect_query("geo_geometry_diagnostics", "p_partkey % 2 = 0 AS is_valid, CASE WHEN p_partkey % 2 <> 0 THEN 'crosses itself' END AS reason", lambda: [O.diagnostics(F.when(c("p_partkey") % 2 == 0, c("ring")).otherwise(_corners(0, 2, 1, 3, 0)))[k].alias(k) for k in ("is_valid", "reason")])
 _rect_query("geo_snap", "x0 + CAST(0.05 AS DOUBLE) AS x", lambda: [F.get(O.snap(c("ring"), _path((c("x0") + 0.05, c("y0"))), 0.1), 0)["x"].alias("x")])
 _rect_query("geo_split", "round(w * h / CAST(4 AS DOUBLE), 6) AS lo, round(3 * w * h / CAST(4 AS DOUBLE), 6) AS hi", lambda: [_rounded(f(F.transform(O.split(c("ring"), G.point(c("x0") + c("w") / 4, c("y0")), G.point(c("x0") + c("w") / 4, c("y0") + 1)), G.area))).alias(k) for k, f in (("lo", F.array_min), ("hi", F.array_max))])
+_OWN = "w * h * (CASE WHEN p_partkey % 2 = 1 THEN 0.75 ELSE 1 END)"
+
+
+def _split_corner(d: DataFrame) -> DataFrame:
+    """Each rectangle or L cut by a line that turns in its middle: its lower left half by a quarter comes off."""
+    d = _rects(d)
+    blade = _path((c("x0") - 1, c("y0") + c("h") / 4), (c("x0") + c("w") / 2, c("y0") + c("h") / 4), (c("x0") + c("w") / 2, c("y0") - 1))
+    shapes = d.select("p_partkey", P.polygon_shape(_ell(0.0, 0.0, c("p_partkey") % 2 == 1)).alias("s"), P.line_shape(blade).alias("b"))
+    return U.split(shapes, "p_partkey", "s", "b", 8.0).select("p_partkey", F.round(P.area(c("shape")), 5).alias("area"))
+
+
+simple("geo_split_by_line", "part", f"SELECT p_partkey, round(unnest([w * h / 8.0, {_OWN} - w * h / 8.0]), 5)::DOUBLE AS area FROM {_RECTS}", _split_corner)
 _rect_query("geo_shared_paths", "round(w - CAST(0.5 AS DOUBLE), 6) AS length, false AS forward", lambda: [_rounded(G.distance(z["p"], z["q"])).alias("length") for z in [F.get(O.shared_paths(F.slice(c("ring"), 1, 2), _path((c("x0") + c("w"), c("y0")), (c("x0") + 0.5, c("y0")))), 0)]] + [F.get(O.shared_paths(F.slice(c("ring"), 1, 2), _path((c("x0") + c("w"), c("y0")), (c("x0") + 0.5, c("y0")))), 0)["forward"].alias("forward")])
 _rect_query("geo_line_substring", "round(w / 2.0, 6)::DOUBLE AS length", lambda: [_rounded(G.length(O.line_substring(F.slice(c("ring"), 1, 3), lit(0.5), 0.5 + c("w") / 2))).alias("length")])
 _rect_query("geo_frechet_distance", "CAST(h AS DOUBLE) AS d", lambda: [_rounded(O.frechet_distance(F.slice(c("ring"), 1, 3), G.translate(F.slice(c("ring"), 1, 3), 0.0, c("h")))).alias("d")])
