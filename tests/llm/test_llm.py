@@ -394,13 +394,27 @@ def test_contaminations_against_brute_force(spark, monkeypatch):
     rows += [(100, "w1 " * 700), (101, rows[1][1]), (102, None), (103, "")]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {(i, j, *((x[1], x[0], x[2], x[3]))) for i, t in rows if i != 100 for j, item in enumerate(items) if (x := brute_overlaps(t or "", item or ""))}
-    for places in (256, 3):
+    for places, crowded in ((256, 64), (3, 64), (3, 0), (256, 2)):
         monkeypatch.setattr(decontam, "_PLACES", places)
+        monkeypatch.setattr(decontam, "_CROWDED", crowded)
         got = {tuple(r) for r in decontam.contaminations(frame(spark, rows), bench).collect()}
         assert {x for x in got if x[0] != 100} == want
         assert (100, 15, 30, 30, 0, 0) in got
 
 
+def test_a_common_stem_does_not_bring_all_texts_and_items_together(spark, monkeypatch):
+    stem = "which of the following statements is"
+    texts = [(k, " ".join([*(f"t{k}w{j}" for j in range(9)), stem, *(f"t{k}v{j}" for j in range(9))])) for k in range(300)]
+    items = [" ".join([stem, *(f"i{k}w{j}" for j in range(12))]) for k in range(300)]
+    texts[7] = (7, f"before {items[11]} after")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    met, crowded_meetings = [], decontam.crowded_meetings
+    monkeypatch.setattr(decontam, "crowded_meetings", lambda *a: met.append(crowded_meetings(*a).count()) or crowded_meetings(*a))
+    got = [tuple(r)[:2] for r in decontam.contaminations(frame(spark, texts), bench).collect()]
+    assert got == [(7, 11)]
+    assert len(met) == 1 and met[0] < 1200
+
+
 def test_decontamination_keeps_columns_and_rows(spark):
     item = " ".join(f"q{k}" for k in range(20))
     bench = spark.createDataFrame([(1, item), (1, item), (2, item + " more")], "item_id long, text string")
