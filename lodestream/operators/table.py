@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, DateType, MapType
 
 
 class KernelError(ValueError):
-    """A kernel's typed failure: ``category`` is schema, data_mapping, resource_limit or plan."""
+    """A kernel's typed failure: ``category`` is schema, data_mapping, resource_limit, crs or plan."""
 
     def __init__(self, category: str, message: str):
         super().__init__(message)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from lodestream.operators import crs as C
+from lodestream.operators import fuzzy as Y
 from lodestream.operators import geo as G
 from lodestream.operators import hull as H
 from lodestream.operators import linework as L
@@ -135,6 +137,30 @@ def table_fuzzy_join(t):
     return T.fuzzy_join(n.select(c("n_name").alias("a")), n.select(c("n_name").alias("b")), "a", "b", 3).withColumn("distance", c("distance").cast("long"))
 
 
+# words and letters of part names: each name with its like, and with its two likest
+_NAMES = "SELECT DISTINCT p_name AS a, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) AS s FROM part"
+_GRAMS = "SELECT DISTINCT s_name AS a, list_distinct([s_name[k : k + 2] FOR k IN range(1, len(s_name) - 1)]) AS s FROM supplier"
+_LIKE = "SELECT x.a, y.a AS b, len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(x.s || y.s)) AS similarity FROM n x, n y"
+
+
+@kernel(f"WITH n AS ({_NAMES}), p AS ({_LIKE}) SELECT p_partkey, b, round(similarity, 6) AS similarity FROM p JOIN part ON p_name = a WHERE similarity >= 0.3")
+def table_fuzzy_join_jaccard(t):
+    n = t("part").select("p_partkey", c("p_name").alias("a"))
+    return Y.similar_sets(n, n.select(c("a").alias("b")).distinct(), "a", "b", 0.3).select("p_partkey", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@kernel(f"WITH n AS ({_GRAMS}), p AS ({_LIKE}) SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 3")
+def table_fuzzy_join_nearest_grams(t):
+    n = t("supplier").select(c("s_name").alias("a"))
+    return Y.similar_sets(n, n.select(c("a").alias("b")), "a", "b", 0.7, tokens=Y.grams(3), k=3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@kernel("SELECT x.p_name AS a, y.p_name AS b, round(jaro_winkler_similarity(x.p_name, y.p_name), 6) AS similarity FROM (SELECT DISTINCT p_name FROM part) x, (SELECT DISTINCT p_name FROM part) y WHERE split_part(x.p_name, ' ', 1) = split_part(y.p_name, ' ', 1) AND jaro_winkler_similarity(x.p_name, y.p_name) >= 0.85")
+def table_fuzzy_join_jaro_winkler(t):
+    n = t("part").select(c("p_name").alias("a")).distinct()
+    return Y.jaro_winkler_join(n, n.select(c("a").alias("b")), "a", "b", 0.85, block=lambda v: F.split_part(v, lit(" "), lit(1))).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 simple("table_aggregate", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT l_suppkey) AS suppliers, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL",
        lambda d: T.aggregate(d, ["l_returnflag", "l_linestatus"], [("count", lit(1), "n"), ("sum", c("l_extendedprice") * (1 - c("l_discount")), "revenue"), ("count_distinct", "l_suppkey", "suppliers"), ("min", "l_quantity", "lo"), ("max", "l_quantity", "hi")]).withColumn("revenue", F.round("revenue", 2)))
 _STAT = "SELECT '{0}' AS \"column\", count({0}) AS count, CAST(count(*) - count({0}) AS BIGINT) AS nulls, CAST(min({0}) AS DOUBLE) AS min, CAST(max({0}) AS DOUBLE) AS max, round(avg({0}), 4) AS mean, round(stddev_samp({0}), 4) AS std FROM lineitem"
@@ -527,6 +553,27 @@ _ARC = f"SELECT c_custkey, sum((CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 T
 simple("geo_geodesic_distance_everywhere", "customer", f"SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 1 THEN d ELSE 20003931.458625::DOUBLE END, 2) AS d FROM ({_ARC})", lambda d: _pts(d).select("c_custkey", F.round(O.geodesic_distance(c("p"), F.when(c("c_custkey") % 2 == 1, G.point(c("p.x"), 30 - c("p.y") / 2)).otherwise(G.point(c("p.x") + 180, -c("p.y")))), 2).alias("d")))
 _rect_query("geo_geodesic_area_to_the_pole", "round(510065621.724088::DOUBLE * w / 720, 1) AS area", lambda: [F.round(O.geodesic_area(_path((c("x0"), lit(0.0)), (c("x0") + c("w"), lit(0.0)), (c("x0"), lit(90.0)), (c("x0"), lit(0.0)))) / 1e6, 1).alias("area")])
 simple("geo_reproject", "customer", f"SELECT c_custkey, round(6378137 * radians(x), 3) AS x, round(6378137 * ln(tan(pi() / 4 + radians(y) / 2)), 3) AS y FROM {_PTS}", lambda d: _pts(d).select("c_custkey", F.get(O.to_web_mercator(F.array("p")), 0).alias("q")).select("c_custkey", F.round("q.x", 3).alias("x"), F.round("q.y", 3).alias("y")))
+# zone 32 and the conic of France, each there and back
+_UTM = f"""WITH p AS (SELECT c_custkey, radians(x / 60) AS l, radians(y * 0.9) AS phi, 1 / 298.257223563::DOUBLE AS f FROM {_PTS}),
+e AS (SELECT *, sqrt(f * (2 - f)) AS e, f / (2 - f) AS n FROM p),
+t AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM e),
+s AS (SELECT *, 2 * atan2(t, cos(l)) AS u, 2 * asinh(sin(l) / sqrt(t * t + cos(l) ** 2)) AS v, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS b, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS c, 49561 * n ** 4 / 161280 AS d, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r FROM t)
+SELECT c_custkey, round(500000 + r * (v / 2 + a * cos(u) * sinh(v) + b * cos(2 * u) * sinh(2 * v) + c * cos(3 * u) * sinh(3 * v) + d * cos(4 * u) * sinh(4 * v)), 3) AS x, round(r * (u / 2 + a * sin(u) * cosh(v) + b * sin(2 * u) * cosh(2 * v) + c * sin(3 * u) * cosh(3 * v) + d * sin(4 * u) * cosh(4 * v)), 3) AS y, round(9 + degrees(l), 8) AS lon, round(degrees(phi), 8) AS lat FROM s"""
+_CONIC = f"""WITH p AS (SELECT c_custkey, x / 20 AS l, 46.5 + y / 20 AS lat, sqrt(1 / 298.257222101::DOUBLE * (2 - 1 / 298.257222101::DOUBLE)) AS e FROM {_PTS}),
+q AS (SELECT *, [radians(lat), radians(44), radians(49), radians(46.5)] AS a FROM p),
+r AS (SELECT *, [atanh(sin(z)) - e * atanh(e * sin(z)) FOR z IN a] AS i, [cos(z) / sqrt(1 - (e * sin(z)) ** 2) FOR z IN a] AS m FROM q),
+s AS (SELECT *, ln(m[2] / m[3]) / (i[3] - i[2]) AS n FROM r)
+SELECT c_custkey, round(700000 + 6378137 * m[2] / n * exp(n * (i[2] - i[1])) * sin(n * radians(l)), 3) AS x, round(6600000 + 6378137 * m[2] / n * (exp(n * (i[2] - i[4])) - exp(n * (i[2] - i[1])) * cos(n * radians(l))), 3) AS y, round(3 + l, 8) AS lon, round(lat, 8) AS lat FROM s"""
+
+
+def _there_and_back(d: DataFrame, point, code: str) -> DataFrame:
+    d = d.select("c_custkey", F.array(point).alias("p")).withColumn("q", C.reproject(c("p"), "EPSG:4326", code)).withColumn("back", C.reproject(c("q"), code, "EPSG:4326"))
+    q, back = F.get("q", lit(0)), F.get("back", lit(0))
+    return d.select("c_custkey", F.round(q["x"], 3).alias("x"), F.round(q["y"], 3).alias("y"), F.round(back["x"], 8).alias("lon"), F.round(back["y"], 8).alias("lat"))
+
+
+simple("geo_reproject_utm", "customer", _UTM, lambda d: _there_and_back(_pts(d), G.point(9 + c("p.x") / 60, c("p.y") * 0.9), "EPSG:32632"))
+simple("geo_reproject_conic", "customer", _CONIC, lambda d: _there_and_back(_pts(d), G.point(3 + c("p.x") / 20, 46.5 + c("p.y") / 20), "EPSG:2154"))
 
 # --- whole tables
 _WORLD = (-180.0, -85.0, 180.0, 85.0)
