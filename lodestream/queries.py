@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from lodestream.operators import coverage as V
 from lodestream.operators import crs as C
 from lodestream.operators import fuzzy as Y
 from lodestream.operators import geo as G
@@ -623,6 +624,37 @@ def geo_coverage_validate(t):
     return S.coverage_validate(_rects(t("part")), "p_partkey", "ring", 5.0).withColumn("common", F.round("common", 6))
 
 
+# plots of 1 x 1, 50 to a row: some are missing, some too wide, some have one vertex more, and odd ones a hole
+_FLAWED = "(SELECT p_partkey AS k, p_partkey % 50 AS i, p_partkey // 50 AS j, CASE WHEN p_partkey % 31 = 0 THEN 1.25::DOUBLE ELSE 1::DOUBLE END AS w FROM part WHERE p_partkey % 37 <> 0)"
+_CORNERS = f"(SELECT k, unnest([{{'x': i::DOUBLE, 'y': j::DOUBLE}}, {{'x': i + w, 'y': j::DOUBLE}}, {{'x': i + w, 'y': j + 1::DOUBLE}}, {{'x': i::DOUBLE, 'y': j + 1::DOUBLE}}] || CASE WHEN k % 29 = 0 THEN [{{'x': i::DOUBLE, 'y': j + 0.5::DOUBLE}}] ELSE [] END) AS p FROM {_FLAWED})"
+
+
+def _flawed(t, holes: bool = False) -> DataFrame:
+    k = c("p_partkey")
+    x, y = k % 50, F.floor(k / 50)
+    end = x + F.when(k % 31 == 0, 1.25).otherwise(1.0)
+    more = F.when(k % 29 == 0, F.array(G.point(x, y + 0.5))).otherwise(F.array().cast(G.PATH))
+    shell = F.concat(F.array(G.point(x, y), G.point(end, y), G.point(end, y + 1), G.point(x, y + 1)), more, F.array(G.point(x, y)))
+    hole = F.when(k % 2 == 1, F.array(G.rectangle(x + 0.05, y + 0.25, x + 0.15, y + 0.75))) if holes else None
+    return t("part").where(k % 37 != 0).select(k.alias("k"), P.polygon_shape(shell, hole).alias("shape"))
+
+
+@kernel(f"SELECT a.k AS key, b.k AS other, CASE WHEN b.k % 2 = 1 THEN 0.2::DOUBLE ELSE 0.25::DOUBLE END AS area FROM {_FLAWED} a JOIN {_FLAWED} b ON b.k = a.k + 1 AND b.j = a.j AND a.w > 1")
+def geo_coverage_overlaps(t):
+    return V.overlaps(_flawed(t, True), "k", "shape", 1.0).withColumn("area", F.round("area", 6))
+
+
+@kernel(f"SELECT m.i + l.w - 1 AS x, m.j::DOUBLE AS y, 2 - l.w AS area FROM (SELECT p_partkey AS k, p_partkey % 50 AS i, p_partkey // 50 AS j FROM part WHERE p_partkey % 37 = 0) m JOIN {_FLAWED} l ON l.k = m.k - 1 AND l.j = m.j JOIN {_FLAWED} r ON r.k = m.k + 1 AND r.j = m.j JOIN {_FLAWED} u ON u.k = m.k + 50 JOIN {_FLAWED} d ON d.k = m.k - 50")
+def geo_coverage_gaps(t):
+    place = lambda axis: F.array_min(F.transform("ring", lambda p: p[axis]))
+    return V.gaps(_flawed(t), "shape", 2.0).select(place("x").alias("x"), place("y").alias("y"), F.round("area", 6).alias("area"))
+
+
+@kernel(f"SELECT DISTINCT e.k AS key, v.k AS other, v.p.x AS x, v.p.y AS y FROM {_CORNERS} v JOIN {_FLAWED} e ON v.k <> e.k AND v.p.x BETWEEN e.i AND e.i + e.w AND v.p.y BETWEEN e.j AND e.j + 1 AND (v.p.x IN (e.i, e.i + e.w) OR v.p.y IN (e.j, e.j + 1)) WHERE NOT EXISTS (SELECT 1 FROM {_CORNERS} o WHERE o.k = e.k AND o.p = v.p)")
+def geo_coverage_unmatched(t):
+    return V.unmatched(_flawed(t), "k", "shape", 1.0).select("key", "other", "place.x", "place.y")
+
+
 # a plot of 1 x 1 for each part, 50 to a row, of the group of its size; plots of a group that share a side lose it
 _PLOTS = "(SELECT p_partkey, p_size % 5 AS g, p_partkey % 50 AS i, p_partkey // 50 AS j FROM part)"
 
