@@ -11,7 +11,10 @@ Sorting every suffix of a corpus would move each text many times over. So:
    bits agree: the anchor's and the context's) are repeats of the first as a
    whole. Of those in one batch of texts only the first is shuffled, so that a
    line of every text is some rows a task. Of each context the first goes on, if
-   its anchor has several contexts.
+   its anchor has several contexts. An anchor with more than ``SEVERAL`` contexts
+   in one batch sends as many to the task of the anchor, which so learns that it
+   has several; the others are dealt by anchor and context, so that no task gets
+   all contexts of a frequent anchor. One that goes both ways meets itself in 3.
 3. Those contexts are gathered by anchor into blocks of bounded size, and each
    block is suffix-sorted in two stages: only suffixes smaller than their
    successors are sorted directly; the rest are induced by scanning the buckets
@@ -52,6 +55,8 @@ GROUP = 2_000
 BLOCK_BYTES = 1 << 18
 #: Texts among which a task looks for repeats before it shuffles.
 ROWS = 512
+#: Contexts of an anchor that a batch of so many texts deals by the anchor alone; two or more.
+SEVERAL = 2
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Bytes of a text whose anchors are found at a time; places in them take ``_PLACE_BITS``.
 STEP = 1 << 22
@@ -197,7 +202,10 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with their contexts. What repeats within its batch of texts is known here: merged to intervals (size < 0), dealt by a hash of their own."""
+    """Anchors with their contexts. What repeats within its batch of texts is known here: merged to intervals (size < 0), dealt by a hash of their own.
+
+    The place of an anchor that is dealt by its context too is complemented (at < 0).
+    """
     digest = xxhash.xxh3_64_intdigest
     for batch in slices(batches, ROWS):
         parts = []
@@ -224,6 +232,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, start, size_of = own[first], start[first], start[first] - reach[last]
             at, size = np.concatenate((at[~again], start)), np.concatenate((size[~again], size_of))
             key, h, context = np.concatenate((key[~again], own)), np.concatenate((h[~again], _mixed(own, start))), np.concatenate((context[~again], np.zeros(len(own), np.uint64)))
+        live = np.flatnonzero(size > 0)
+        live = live[np.argsort(h[live], kind="stable")]
+        row = np.arange(len(live))
+        begins = np.concatenate(([True], h[live[1:]] != h[live[:-1]]))
+        far = live[row - np.maximum.accumulate(np.where(begins, row, 0)) >= SEVERAL]
+        at[far] = ~at[far]
         yield pa.record_batch({"anchor": h.view(np.int64), "context": context.view(np.int64), "key": key.astype(np.int64), "at": at.astype(np.int32), "size": size.astype(np.int32)})
 
 
@@ -233,9 +247,9 @@ def _mixed(key: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor, context, key, place: repeats as a whole (kind 0: key, start, end) and first occurrences of the contexts of an anchor with several (kind 1: key, place, anchor)."""
+    """From rows sorted by anchor, way (at < 0), context, key, place: repeats as a whole (kind 0: key, start, end) and first occurrences of the contexts of an anchor with several (kind 1: key, place, anchor)."""
     names = ["kind", "key", "a", "b"]
-    anchor = context = pending = None
+    anchor = context = pending = far = None
     for batch in batches:
         h, c = (batch[x].to_numpy(zero_copy_only=False) for x in ("anchor", "context"))
         if not len(h):
@@ -243,13 +257,20 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.concatenate(([h[0] == anchor], h[1:] == h[:-1]))
         follows = np.concatenate((same[1:], [True]))
         ready = batch["size"].to_numpy(zero_copy_only=False) < 0
-        live = np.flatnonzero(same | follows | ready)  # not alone; the last may go on in the next batch
+        apart = batch["at"].to_numpy(zero_copy_only=False) < 0
+        live = np.flatnonzero(same | follows | ready | apart)  # not alone; the last may go on in the next batch
         rows = []
         for this, ctx, key, at, size in zip(h[live].tolist(), c[live].tolist(), *(batch[x].to_numpy(zero_copy_only=False)[live].tolist() for x in ("key", "at", "size")), strict=True):
             if size < 0:
                 rows.append((0, key, at, at - size))
-            elif this != anchor:
-                anchor, context, pending = this, ctx, (1, key, at, this)
+                continue
+            goes_on = at < 0  # its anchor is known to have several contexts
+            at = ~at if goes_on else at
+            if this != anchor or goes_on != far:
+                anchor, context, far, pending = this, ctx, goes_on, (1, key, at, this)
+                if goes_on:
+                    rows.append(pending)
+                    pending = None
             elif ctx == context:
                 start = max(0, at - BEFORE)
                 rows.append((0, key, start, start + size))
@@ -339,7 +360,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _deduplicated(texts: DataFrame, parts: int, with_text: bool) -> DataFrame:
     """``deduplicated`` over a table of texts that is bucketed by key."""
     found = texts.select("key", "text").mapInArrow(_anchor_rows, "anchor long, context long, key long, at int, size int")
-    found = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "context", "key", "at")
+    far = F.col("at") < 0
+    found = found.repartition(parts, F.col("anchor"), F.when(far, F.col("context"))).sortWithinPartitions("anchor", far, "context", "key", F.greatest(F.col("at"), F.bitwise_not("at")))
     classes = saved(found.mapInArrow(_classes, "kind long, key long, a long, b long"), "classes")
     first = classes.where("kind = 1")
     crowded = first.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)

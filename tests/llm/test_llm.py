@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestream.llm import decontam, fm_quality, jaccard, minhash, packing, pii, product_codes, queries, simhash, simple8b, suffix_dedup, syncmers, token_counts, tokens, toxicity, whitening
@@ -458,6 +459,28 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert suffix_dedup.deduplicated(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("group", [50, 2000])
+def test_a_frequent_line_is_dealt_to_many_tasks(spark, group, monkeypatch):
+    """One line of 66 bytes in every text: its surroundings differ, are those of some other text, or are alike on one side only."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, sides = word(66), [word(120) for _ in range(40)]
+    docs = []
+    for k in range(1600):
+        before = rnd.choice(sides) if rnd.random() < 0.2 else word(120)
+        after = rnd.choice(sides) if rnd.random() < 0.2 else word(120)
+        docs.append((k, f"{before}{line}{after}" + (f"{line}{before}" if k % 97 == 0 else "")))
+    docs += [(2000, line), (2001, line * 3), (2002, None), (2003, docs[5][1])]
+    df = frame(spark, docs).repartition(8)
+    rows = df.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(suffix_dedup._anchor_rows, "anchor long, context long, key long, at int, size int")
+    by_anchor = rows.groupBy("anchor").count().agg(F.max("count")).first()[0]
+    by_both = rows.groupBy("anchor", F.when(F.col("at") < 0, F.col("context"))).count().agg(F.max("count")).first()[0]
+    assert by_anchor > 400 and by_both <= 40
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(suffix_dedup.deduplicated(df).collect(), key=lambda r: r.doc_id)]
+    assert got == brute_removed([t for _, t in texts(docs)])
+
+
 def test_suffix_array_is_the_sorted_one():
     rnd = random.Random(2)
     for _ in range(200):
