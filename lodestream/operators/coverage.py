@@ -1,4 +1,4 @@
-"""What keeps polygons from being a coverage: overlaps, gaps, and edges that neighbours do not share vertex by vertex.
+"""What keeps polygons from being a coverage: overlaps, gaps, and edges that neighbours do not share vertex by vertex; and coverages simplified as one.
 
 Shapes are those of ``shapes``; only polygons count. Everything is joined by grid
 cells of ``size``, about the extent of a shape (for ``unmatched``, the length of an
@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import outlines as U
 from lodestream.operators import overlay as O
-from lodestream.operators.geo import _cell, _segments, _signed_area, bounds, length
+from lodestream.operators.geo import _cell, _segments, _signed_area, bounds, covers_point, length
+from lodestream.operators.linework import _between, _cut, _sewn
+
+#: Times that the tolerance of an arc is halved before it stays as it is.
+HALVINGS = 5
 
 
 def _rows(df: DataFrame, key: str, shape: str) -> DataFrame:
@@ -79,3 +83,106 @@ def faults(df: DataFrame, key: str, shape: str, size: float, tolerance: float =
     open_ = gaps(df, shape, size).select(F.lit("gap"), F.lit(None).cast(kind), F.lit(None).cast(kind), "ring", "area")
     loose = unmatched(df, key, shape, size, tolerance).select(F.lit("vertex"), "key", "other", F.array("place"), "distance")
     return over.union(open_).union(loose)
+
+
+# --- simplification
+def _arcs(rows: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """The edges of each shape, cut where shapes meet (key, a, b: its area on the left), and the arcs that they make together (arc, path).
+
+    An arc runs between places where other than two pieces end, or around; all shapes along it are the same.
+    """
+    steps = rows.select("key", F.lit(0).alias("g"), F.explode(F.flatten(F.transform("rings", _segments))).alias("e")).where("e.a <> e.b")
+    steps = steps.select("key", "g", (F.col("e.a") < F.col("e.b")).alias("ahead"), F.struct(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).alias("s"))
+    pieces = _cut(U._noded(steps.select("g", "s").distinct(), size))
+    along = lambda p, q: F.when(F.col("ahead"), F.col(p)).otherwise(F.col(q))
+    edges = _cut(steps.join(pieces, ["g", "s"]).select("key", along("p", "q").alias("a"), along("q", "p").alias("b")).distinct())
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sewn = _sewn(_cut(once.select(F.struct("a", "b").alias("key"), "a", "b", F.array("a", "b").alias("path"))))
+    return edges, _cut(sewn.select(F.col("key").alias("arc"), "path"))
+
+
+def _thinned(path: Column, tolerance: Column) -> Column:
+    """Douglas-Peucker with the ends of an arc fixed; one that runs around also keeps the place furthest from its start."""
+    def around(p: Column) -> Column:
+        start = F.get(p, F.lit(0))
+        far = F.array_max(F.transform(p, lambda v, i: F.struct(F.hypot(v["x"] - start["x"], v["y"] - start["y"]).alias("d"), i.alias("i"))))["i"]
+
+        def halves(k: Column) -> Column:
+            back = O.simplify(F.slice(p, k + 1, F.size(p) - k), tolerance)
+            return F.concat(O.simplify(F.slice(p, F.lit(1), k + 1), tolerance), O._let(back, lambda z: F.slice(z, F.lit(2), F.size(z) - 1)))
+
+        return O._let(far, halves)
+
+    return O._let(path, lambda p: F.when(F.get(p, F.lit(0)) == F.get(p, F.size(p) - 1), around(p)).otherwise(O.simplify(p, tolerance)))
+
+
+def _strays(s: Column, t: Column) -> Column:
+    """Whether two edges share more than one end."""
+    ends = lambda e: (e["a"], e["b"])
+    same = (F.least(*ends(s)) == F.least(*ends(t))) & (F.greatest(*ends(s)) == F.greatest(*ends(t)))
+    one = (s["a"] == t["a"]) | (s["a"] == t["b"]) | (s["b"] == t["a"]) | (s["b"] == t["b"])
+    in_line = (O._cross(s["a"], s["b"], t["a"]) == 0) & (O._cross(s["a"], s["b"], t["b"]) == 0)
+    within = F.lit(False)
+    for e, f in ((s, t), (t, s)):
+        for v in ends(e):
+            within |= _between(f, v) & (v != f["a"]) & (v != f["b"])
+    return same | F.when(one, in_line & within).otherwise(O._meet(s, t))
+
+
+def _stretches(path: Column, thin: Column) -> Column:
+    """A ring for each edge of ``thin`` that left places out: that stretch of the path, and back."""
+    def stretch(e: Column) -> Column:
+        i = F.array_position(path, e["a"]).cast("int")
+        return O._let(i, lambda k: F.concat(F.slice(path, k, F.array_position(F.slice(path, k + 1, F.size(path)), e["b"]).cast("int") + 1), F.array(e["a"])))
+
+    return F.filter(F.transform(_segments(thin), stretch), lambda r: F.size(r) > 3)
+
+
+def _entangled(arcs: DataFrame, size: float) -> DataFrame:
+    """(arc): those that were thinned and now meet an edge they had not met, or have left a place on their other side."""
+    low, high = (lambda k: F.least(f"s.a.{k}", f"s.b.{k}")), (lambda k: F.greatest(f"s.a.{k}", f"s.b.{k}"))
+    edges = arcs.select("arc", "live", F.posexplode(_segments(F.col("thin"))).alias("i", "s"))
+    edges = edges.select("arc", "live", "i", "s", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    celled = _cut(U._celled(edges, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size))
+    other = celled.select("cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("arc", "i", "s", "x0", "y0", "x1", "y1")))
+    first = (F.col("cx") == _cell(F.greatest("x0", "o_x0"), size)) & (F.col("cy") == _cell(F.greatest("y0", "o_y0"), size))
+    near = (F.col("x1") >= F.col("o_x0")) & (F.col("o_x1") >= F.col("x0")) & (F.col("y1") >= F.col("o_y0")) & (F.col("o_y1") >= F.col("y0"))
+    apart = (F.col("arc") != F.col("o_arc")) | (F.col("i") != F.col("o_i"))
+    met = celled.where("live").join(other, ["cx", "cy"]).where(first & near & apart & _strays(F.col("s"), F.col("o_s"))).select("arc")
+    places = arcs.select(F.explode("thin").alias("p")).distinct()
+    places = places.withColumns({"cx": _cell(F.col("p.x"), size), "cy": _cell(F.col("p.y"), size)})
+    left = arcs.where("live").select("arc", F.explode(_stretches(F.col("path"), F.col("thin"))).alias("ring")).withColumn("box", bounds(F.col("ring")))
+    left = U._celled(left, F.col("box.minx"), F.col("box.miny"), F.col("box.maxx"), F.col("box.maxy"), size)
+    inside = F.col("p.x").between(F.col("box.minx"), F.col("box.maxx")) & F.col("p.y").between(F.col("box.miny"), F.col("box.maxy"))
+    passed = left.join(places, ["cx", "cy"]).where(inside & ~F.array_contains("ring", F.col("p")) & covers_point(F.col("ring"), F.col("p"), boundary=False)).select("arc")
+    return met.union(passed).distinct()
+
+
+def simplify(df: DataFrame, key: str, shape: str, size: float, tolerance: float) -> DataFrame:
+    """(key, shape): the polygons of a coverage simplified as one, so that neighbours still share their borders: no gap, no overlap.
+
+    Borders are cut into arcs where shapes meet, and each arc is thinned once, for all shapes along it, by Douglas-Peucker. An arc that
+    would then cross or touch what it did not, or would pass by a place (a small island), gets half the tolerance, up to ``HALVINGS`` times,
+    then stays as it is; so no shape, hole or part vanishes, and what was apart stays apart. Places where a neighbour has a vertex on an
+    edge are vertices of both. Each round is a job; the driver gets only whether any arc is left. Shapes without area have no row.
+    ``key`` is unique. Shapes that overlap are each simplified, but crossings of their borders stay.
+    """
+    edges, arcs = _arcs(_cut(_rows(df, key, shape)), size)
+    # a tolerance beyond the extent of an arc does what the extent does
+    box = bounds(F.col("path"))
+    most = F.least(F.lit(float(tolerance)), F.hypot(box["maxx"] - box["minx"], box["maxy"] - box["miny"]))
+    arcs = arcs.withColumn("most", most).withColumns({"turn": F.lit(0), "thin": _thinned(F.col("path"), F.col("most"))})
+    while True:
+        arcs = _cut(arcs.withColumn("live", F.size("thin") < F.size("path")))
+        bad = _cut(_entangled(arcs, size))
+        if bad.isEmpty():
+            break
+        turned = arcs.join(bad.withColumn("bad", F.lit(True)), "arc", "left").withColumns({"again": F.coalesce("bad", F.lit(False)), "turn": F.col("turn") + F.coalesce(F.col("bad").cast("int"), F.lit(0))})
+        thin = F.when(~F.col("again"), F.col("thin")).when(F.col("turn") > HALVINGS, F.col("path")).otherwise(_thinned(F.col("path"), F.col("most") / F.pow(F.lit(2.0), F.col("turn"))))
+        arcs = turned.withColumn("thin", thin).select("arc", "path", "most", "turn", "thin")
+    # a shape has an arc forwards or backwards, as it has the arc's first edge
+    p, q = F.get("path", F.lit(0)), F.get("path", F.lit(1))
+    ways = arcs.select(p.alias("a"), q.alias("b"), "thin").union(arcs.select(q, p, F.reverse("thin")))
+    walks = edges.join(ways, ["a", "b"]).select(F.struct("key").alias("g"), F.explode(_segments(F.col("thin"))).alias("e")).select("g", "e.a", "e.b")
+    found = U._polygons(U._rings(walks, straighten=False), size).select("g.key", "shape")
+    return U._one_each(found, ["key"], "shape").select(F.col("key").alias(key), F.col("shape").alias(shape))

@@ -115,8 +115,8 @@ def _outline_edges(shapes: DataFrame, size: float, covered) -> DataFrame:
     return kept.select("g", F.when(F.col("l"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("l"), F.col("q")).otherwise(F.col("p")).alias("b"))
 
 
-def _rings(edges: DataFrame) -> DataFrame:
-    """(g, ring): outline edges walked to rings; where several meet, the next one is the first clockwise from the way back, so that rings that only touch stay apart."""
+def _rings(edges: DataFrame, straighten: bool = True) -> DataFrame:
+    """(g, ring): outline edges walked to rings, with or without the points in line between their neighbours; where several meet, the next one is the first clockwise from the way back, so that rings that only touch stay apart."""
     edges = _cut(edges)
     angle = lambda p, q: F.atan2(F.col(f"{q}.y") - F.col(f"{p}.y"), F.col(f"{q}.x") - F.col(f"{p}.x"))
     ident = F.struct("g", "a", "b")
@@ -131,7 +131,7 @@ def _rings(edges: DataFrame) -> DataFrame:
         whole = _walked(steps)
     else:
         whole = _walked(steps.join(large, "g", "left_anti")).union(_sewn_rings(steps.join(large, "g")))
-    return whole.select("g", _straightened(F.col("ring")).alias("ring"))
+    return whole.select("g", _straightened(F.col("ring")).alias("ring")) if straighten else whole
 
 
 def _walked(steps: DataFrame) -> DataFrame:

@@ -655,6 +655,17 @@ def geo_coverage_unmatched(t):
     return V.unmatched(_flawed(t), "k", "shape", 1.0).select("key", "other", "place.x", "place.y")
 
 
+# plots of 1 x 1, 50 to a row; the border to the right of every third bends by 0.25, of the others by 0.05
+@kernel("SELECT p_partkey AS k, 1::DOUBLE + CASE WHEN p_partkey % 3 = 0 THEN 0.125 ELSE 0 END - CASE WHEN p_partkey % 3 = 1 THEN 0.125 ELSE 0 END AS area, 5 + CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END AS places FROM part")
+def geo_simplify_coverage(t):
+    k = c("p_partkey")
+    x, y = k % 50, F.floor(k / 50)
+    bend = lambda x, third: G.point(x + F.when(third, 0.25).otherwise(0.05), y + 0.5)
+    shell = F.array(G.point(x, y), G.point(x + 1, y), bend(x + 1, k % 3 == 0), G.point(x + 1, y + 1), G.point(x, y + 1), bend(x, k % 3 == 1), G.point(x, y))
+    found = V.simplify(t("part").select(k.alias("k"), P.polygon_shape(shell, None).alias("shape")), "k", "shape", 1.5, 0.1)
+    return found.select("k", F.round(P.area(c("shape")), 6).alias("area"), F.size(P.path_of(c("shape"))).alias("places"))
+
+
 # a plot of 1 x 1 for each part, 50 to a row, of the group of its size; plots of a group that share a side lose it
 _PLOTS = "(SELECT p_partkey, p_size % 5 AS g, p_partkey % 50 AS i, p_partkey // 50 AS j FROM part)"
 
