@@ -8,6 +8,8 @@ or join rows. Null in, null out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,18 @@ def path_from_wkt(wkt: Column) -> Column:
 
 
 # --- accessors and measures
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _segments(path: Column) -> Column:
     """array of (a, b): neighbours along the path."""
-    n = F.greatest(F.size(path) - 1, F.lit(0))
-    return F.zip_with(F.slice(path, F.lit(1), n), F.slice(path, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def pairs(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return _let(path, pairs)
 
 
 def _total(values: Column) -> Column:
@@ -102,10 +112,13 @@ perimeter = length
 def centroid(ring: Column) -> Column:
     """Area-weighted; of a ring without area, the mean of its points."""
     cross = lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
-    a = _signed_area(ring)
-    part = lambda k: _total(F.transform(_segments(ring), lambda s: (s["a"][k] + s["b"][k]) * cross(s))) / (6 * a)
-    mean = lambda k: _total(F.transform(ring, lambda p: p[k])) / F.size(ring)
-    return F.when(a != 0, point(part("x"), part("y"))).otherwise(point(mean("x"), mean("y")))
+
+    def middle(r: Column, a: Column) -> Column:
+        part = lambda k: _total(F.transform(_segments(r), lambda s: (s["a"][k] + s["b"][k]) * cross(s))) / (6 * a)
+        mean = lambda k: _total(F.transform(r, lambda p: p[k])) / F.size(r)
+        return F.when(a != 0, _let(F.array(part("x"), part("y")), lambda z: point(z[0], z[1]))).otherwise(_let(F.array(mean("x"), mean("y")), lambda z: point(z[0], z[1])))
+
+    return _let(ring, lambda r: _let(_signed_area(r), lambda a: middle(r, a)))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -192,11 +205,29 @@ def line_locate_point(path: Column, p: Column) -> Column:
 # --- predicates
 def covers_point(ring: Column, p: Column, boundary: bool = True) -> Column:
     """Whether a ring has ``p`` inside it (even-odd rule), or on its boundary."""
-    on = F.exists(_segments(ring), lambda s: ((s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) == (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])) & p["x"].between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & p["y"].between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"])))
-    crossings = F.size(F.filter(_segments(ring), lambda s: ((s["a"]["y"] > p["y"]) != (s["b"]["y"] > p["y"])) & (p["x"] < (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])))
+    return _let(_segments(ring), lambda edges: _let(p, lambda q: _around(edges, q, boundary)))
+
+
+def _around(edges: Column, p: Column, boundary: bool) -> Column:
+    on = F.exists(edges, lambda s: ((s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) == (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])) & p["x"].between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & p["y"].between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"])))
+    crossings = F.size(F.filter(edges, lambda s: ((s["a"]["y"] > p["y"]) != (s["b"]["y"] > p["y"])) & (p["x"] < (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])))
     return (on | (crossings % 2 == 1)) if boundary else (~on & (crossings % 2 == 1))
 
 
+def is_box(ring: Column) -> Column:
+    """Whether a ring is an axis-parallel rectangle; never null. What holds for its bounds holds for such a ring, so nothing else has to be asked."""
+    p, q, r, s, end = (F.get(ring, F.lit(k)) for k in range(5))
+    same = lambda *pairs: reduce(lambda a, b: a & b, (u[k] == v[k] for u, v, k in pairs))
+    along = same((p, q, "y"), (q, r, "x"), (r, s, "y"), (s, p, "x")) | same((p, q, "x"), (q, r, "y"), (r, s, "x"), (s, p, "y"))
+    return F.coalesce((F.size(ring) == 5) & (p == end) & along, F.lit(False))
+
+
+def box_gap(a: Column, b: Column, k: str) -> Column:
+    """How far two boxes (``is_box``) are apart along an axis; negative where they share some of it."""
+    ends = lambda z: (F.get(z, F.lit(0))[k], F.get(z, F.lit(2))[k])  # noqa: E731  opposite corners
+    return F.greatest(F.least(*ends(a)), F.least(*ends(b))) - F.least(F.greatest(*ends(a)), F.greatest(*ends(b)))
+
+
 # --- rows
 def line_builder(df: DataFrame, group_by: list[str], order_by: str, x: str, y: str, output: str = "path") -> DataFrame:
     """Points in order to a path for each group; a group of fewer than two has a null path."""
@@ -235,21 +266,26 @@ def _cell(v: Column, size: float) -> Column:
 
 
 def sjoin_points(polygons: DataFrame, points: DataFrame, ring: str, p: str, size: float, how: str = "inner") -> DataFrame:
-    """Polygons with the points they cover: an equi-join on grid cells, the test of the box, then the exact one. ``size``: of a cell, about a polygon's extent.
+    """Polygons with the points they cover: an equi-join on grid cells, the test of the box, then the exact one where the polygon is no box. ``size``: of a cell, about a polygon's extent.
 
-    ``how``: inner; left (polygons that cover none have a row of nulls); semi or anti (polygons that cover any, or none).
+    ``how``: inner; left (polygons that cover none have a row of nulls); semi or anti (polygons that cover any, or none). Both sides are
+    shuffled by cell: the rows of cells are many times the tables, whose files say nothing of that, so a broadcast would fill the driver.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"unknown how: {how}")
     b = bounds(F.col(ring))
-    inside = lambda: F.col(f"{p}.x").between(F.col("_b.minx"), F.col("_b.maxx")) & F.col(f"{p}.y").between(F.col("_b.miny"), F.col("_b.maxy"))
-    cells = polygons.withColumn("_b", b).withColumn("_cx", F.explode(F.sequence(_cell(F.col("_b.minx"), size), _cell(F.col("_b.maxx"), size)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_b.miny"), size), _cell(F.col("_b.maxy"), size))))
+    inside = F.col(f"{p}.x").between(F.col("_b.minx"), F.col("_b.maxx")) & F.col(f"{p}.y").between(F.col("_b.miny"), F.col("_b.maxy"))
+    inside &= F.col("_box") | covers_point(F.col(ring), F.col(p))
+    cells = polygons.withColumns({"_b": b, "_box": is_box(F.col(ring))}).withColumn("_cx", F.explode(F.sequence(_cell(F.col("_b.minx"), size), _cell(F.col("_b.maxx"), size)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col("_b.miny"), size), _cell(F.col("_b.maxy"), size))))
     placed = points.withColumns({"_cx": _cell(F.col(f"{p}.x"), size), "_cy": _cell(F.col(f"{p}.y"), size)})
-    met = cells.join(placed, ["_cx", "_cy"]).where(inside() & covers_point(F.col(ring), F.col(p))).drop("_cx", "_cy", "_b")
+    met = cells.hint("merge").join(placed.hint("merge"), ["_cx", "_cy"]).where(inside).drop("_cx", "_cy", "_b", "_box")
     if how == "inner":
         return met
     same = lambda df: [F.col(c).eqNullSafe(df[f"_own_{c}"]) for c in polygons.columns]
-    found = met.select(*(F.col(c).alias(f"_own_{c}") for c in polygons.columns)).distinct()
+    # a polygon is found once a cell, however many points it covers
+    spots = placed.select(p, F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+    on = (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")) & inside
+    found = cells.hint("merge").join(spots.hint("merge"), on, "left_semi").select(*(F.col(c).alias(f"_own_{c}") for c in polygons.columns)).distinct().hint("merge")
     if how == "semi":
         return polygons.join(found, same(found), "left_semi")
     none = polygons.join(found, same(found), "left_anti")
@@ -257,8 +293,10 @@ def sjoin_points(polygons: DataFrame, points: DataFrame, ring: str, p: str, size
 
 
 def count_points_in_polygons(polygons: DataFrame, points: DataFrame, key: str, ring: str, p: str, size: float, output: str = "n") -> DataFrame:
-    counted = sjoin_points(polygons.select(key, ring), points.select(p), ring, p, size).groupBy(key).agg(F.count("*").alias(output))
-    return polygons.join(counted, key, "left").withColumn(output, F.coalesce(output, F.lit(0)))
+    """Polygons with the number of points they cover; points at one place meet a polygon once."""
+    places = points.select(p).where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
+    counted = sjoin_points(polygons.select(key, ring), places, ring, p, size).groupBy(key).agg(F.sum("_n").alias(output))
+    return polygons.join(counted.hint("merge"), key, "left").withColumn(output, F.coalesce(output, F.lit(0)))
 
 
 def within_distance(left: DataFrame, right: DataFrame, p: str, q: str, most: float) -> DataFrame:
@@ -266,15 +304,21 @@ def within_distance(left: DataFrame, right: DataFrame, p: str, q: str, most: flo
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = left.withColumn("_n", F.explode(near)).withColumns({"_cx": _cell(F.col(f"{p}.x"), most) + F.col("_n.i"), "_cy": _cell(F.col(f"{p}.y"), most) + F.col("_n.j")}).drop("_n")
     b = right.withColumns({"_cx": _cell(F.col(f"{q}.x"), most), "_cy": _cell(F.col(f"{q}.y"), most)})
-    return a.join(b, ["_cx", "_cy"]).withColumn("distance", distance(F.col(p), F.col(q))).where(F.col("distance") <= most).drop("_cx", "_cy")
+    return a.hint("merge").join(b.hint("merge"), ["_cx", "_cy"]).withColumn("distance", distance(F.col(p), F.col(q))).where(F.col("distance") <= most).drop("_cx", "_cy")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, p: str, q: str, most: float, k: int = 1, how: str = "inner") -> DataFrame:
     """The ``k`` nearest right points within ``most`` of each left point; ties go to the least right key.
 
     With ``k`` above 1, ``rank`` counts them from 1. ``how="left"`` keeps left points with nothing near, with nulls.
+    The search is that of ``neighbours.nearest``, once for each different place, so crowded surroundings make no pairs.
     """
-    pairs = within_distance(left.select(key, p), right.select(right_key, q), p, q, most).select(key, right_key, "distance")
+    from lodestream.operators import neighbours
+
+    places = left.select(F.col(p).alias("_place")).where(F.col("_place").isNotNull()).distinct()
+    near = neighbours.nearest(places, right.select(F.col(right_key).alias("_key"), F.col(q).alias("_q")), "_place", "_key", "_place", "_q", k).where(F.col("distance") <= most)
+    near = near.select("_place", F.col("_key").alias(right_key), "distance").hint("merge")
+    pairs = left.select(key, F.col(p).alias("_place")).join(near, "_place").select(key, right_key, "distance")
     if k == 1:
         found = pairs.groupBy(key).agg(F.min(F.struct("distance", right_key)).alias("_m")).select(key, F.col(f"_m.{right_key}").alias(right_key), F.col("_m.distance").alias("distance"))
     else:
