@@ -22,7 +22,7 @@ from lodestream.operators.geo import _segments, _signed_area, covers_point
 DECIMALS = 9
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` (the warehouse where it is unset) and read back."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
@@ -31,6 +31,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """As ``_written``; what is made of it joins by shuffles. Places compress so well that the size of their files says little of the memory a broadcast takes."""
+    return _written(df).hint("merge")
+
+
 def _ends(path: Column) -> tuple[Column, Column]:
     return F.get(path, F.lit(0)), F.get(path, F.size(path) - 1)
 
@@ -137,10 +142,12 @@ def _between(s: Column, p: Column) -> Column:
 def make_valid(df: DataFrame, key: str, ring: str) -> DataFrame:
     """(key, ring): the simple rings that cover what a ring covers by the even-odd rule; one that covers nothing has no row.
 
-    A ring is cut where it meets itself, and the faces inside it stay.
+    A ring is cut where it meets itself, and the faces inside it stay. Its pieces are walked both ways, as in ``outlines``: in one pass, without rounds.
     """
-    lines = df.select(F.col(key).alias("_of"), F.posexplode(_noded(F.col(ring))).alias("_k", "_s")).where("_s.a <> _s.b")
-    lines = lines.select("_of", F.struct("_of", "_k").alias("_id"), F.array("_s.a", "_s.b").alias("_path"))
-    faces = polygonize(lines, ["_of"], "_id", "_path").select("_of", F.col("ring").alias("_face"))
-    inside = faces.join(df.select(F.col(key).alias("_of"), F.col(ring).alias("_ring")), "_of").where(O._let(O.point_on_surface(F.col("_face")), lambda p: covers_point(F.col("_ring"), p)))
+    from lodestream.operators.outlines import _rings
+
+    lines = df.select(F.struct(F.col(key).alias("_of")).alias("g"), F.explode(_noded(F.col(ring))).alias("_s")).where("_s.a <> _s.b")
+    both = lines.select("g", F.explode(F.array(F.struct("_s.a", "_s.b"), F.struct(F.col("_s.b").alias("a"), F.col("_s.a").alias("b")))).alias("_w")).select("g", "_w.a", "_w.b")
+    faces = _rings(both, straighten=False, faces=True).where(_signed_area(F.col("ring")) > O.EPS).select("g._of", F.col("ring").alias("_face"))
+    inside = faces.hint("merge").join(df.select(F.col(key).alias("_of"), F.col(ring).alias("_ring")).hint("merge"), "_of").where(O._let(O.point_on_surface(F.col("_face")), lambda p: covers_point(F.col("_ring"), p)))
     return inside.select(F.col("_of").alias(key), F.col("_face").alias(ring))

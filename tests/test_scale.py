@@ -48,3 +48,19 @@ def test_nearest_within_makes_no_pairs_of_crowded_places(spark, monkeypatch):
         got = sorted((r.k, r.j, round(r.distance, 9)) for r in G.nearest(a, b, "k", "j", "p", "q", 2.0, k).collect())
         want = sorted((i, j, round(d, 9)) for i in range(50) for d, j in sorted((((i % 5 - j % 7) ** 2 + 1) ** 0.5, j) for j in range(70))[:k])
         assert got == want
+
+
+def test_make_valid_takes_no_rounds(spark, monkeypatch):
+    """Two loops that a way there and back links, one inside the other and touching it, and a spike."""
+    def refuse(*_):
+        raise AssertionError("sewn in rounds")
+
+    monkeypatch.setattr(L, "_sewn", refuse)
+    inside = "0 0, 8 0, 8 8, 0 8, 0 0, 2 2, 2 4, 4 4, 4 2, 2 2, 0 0"
+    touching = "0 0, 8 0, 8 8, 0 8, 0 0, 4 2, 4 4, 2 4, 0 0"
+    spike = "0 0, 4 0, 6 0, 4 0, 4 4, 0 4, 0 0"
+    at_start = "6 2, 4 2, 4 4, 0 4, 0 0, 4 0, 4 2, 6 2"
+    df = spark.createDataFrame([(1, inside), (2, touching), (3, spike), (4, at_start), (5, "0 0, 2 2, 2 0, 0 2, 0 0"), (6, "0 0, 1 1, 0 0, 0 0")], "k int, w string")
+    df = df.select("k", G.path_from_wkt(F.concat(F.lit("POLYGON (("), "w", F.lit("))"))).alias("ring"))
+    got = {r.k: (r.n, round(r.area, 6)) for r in L.make_valid(df, "k", "ring").groupBy("k").agg(F.count("*").alias("n"), F.sum(G.area(F.col("ring"))).alias("area")).collect()}
+    assert got == {1: (1, 60.0), 2: (1, 56.0), 3: (1, 16.0), 4: (1, 16.0), 5: (2, 2.0)}
