@@ -1,7 +1,7 @@
 """What keeps polygons from being a coverage: overlaps, gaps, and edges that neighbours do not share vertex by vertex; and coverages simplified as one.
 
 Shapes are those of ``shapes``; only polygons count. Everything is joined by grid
-cells of ``size``, about the extent of a shape (for ``unmatched``, the length of an
+cells of ``size`` (shuffled by cell, never broadcast), about the extent of a shape (for ``unmatched``, the length of an
 edge, where shapes are much larger). Each pair is found in one cell alone, so
 nothing is deduplicated over the whole table. Places are rounded to
 ``linework.DECIMALS`` decimals; what is smaller than that is not seen. Null and
@@ -35,7 +35,7 @@ def overlaps(df: DataFrame, key: str, shape: str, size: float) -> DataFrame:
     for k, cell in (("x", "cx"), ("y", "cy")):
         low = F.greatest(F.col(f"box_a.min{k}"), F.col(f"box_b.min{k}"))
         meet = meet & (low < F.least(F.col(f"box_a.max{k}"), F.col(f"box_b.max{k}"))) & (_cell(low, size) == F.col(cell))
-    pairs = a.join(b, ["cx", "cy"]).where((F.col("key_a") < F.col("key_b")) & meet)
+    pairs = a.hint("merge").join(b.hint("merge"), ["cx", "cy"]).where((F.col("key_a") < F.col("key_b")) & meet)
     # a polygon is its shells less its holes, which run clockwise, so that their common areas count as negative
     common = F.aggregate("rings_a", F.lit(0.0), lambda s, r: s + F.aggregate("rings_b", F.lit(0.0), lambda t, q: t + O.common_area(r, q)))
     found = pairs.select(F.col("key_a").alias("key"), F.col("key_b").alias("other"), common.alias("area"))
@@ -67,7 +67,7 @@ def unmatched(df: DataFrame, key: str, shape: str, size: float, tolerance: float
     places = edges.select(F.col("key").alias("other"), F.col("e.a").alias("place")).distinct()
     places = places.withColumns({"cx": _cell(F.col("place.x"), size), "cy": _cell(F.col("place.y"), size)})
     low, high = (lambda k: F.least(f"e.a.{k}", f"e.b.{k}") - near), (lambda k: F.greatest(f"e.a.{k}", f"e.b.{k}") + near)
-    met = U._celled(edges, low("x"), low("y"), high("x"), high("y"), size).join(places, ["cx", "cy"]).where(F.col("key") != F.col("other"))
+    met = U._celled(edges, low("x"), low("y"), high("x"), high("y"), size).hint("merge").join(places.hint("merge"), ["cx", "cy"]).where(F.col("key") != F.col("other"))
     met = met.where(F.col("place.x").between(low("x"), high("x")) & F.col("place.y").between(low("y"), high("y")))
     met = met.withColumn("distance", _apart(F.col("place"), F.col("e.a"), F.col("e.b"))).where(F.col("distance") <= near)
     shared = (F.col("place") == F.col("e.a")) | (F.col("place") == F.col("e.b"))

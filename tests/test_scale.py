@@ -37,6 +37,14 @@ def test_points_in_polygons_are_not_broadcast(sides):
     assert {r.id: r.n for r in G.count_points_in_polygons(a, p.union(p), "id", "ring", "p", 2.0).collect()} == {i: 2 * sum(j == i for j, _ in want) for i in range(20)}
 
 
+def test_coverages_are_not_broadcast(sides):
+    shapes = sides[0].select("id", P.polygon_shape(F.col("ring")).alias("shape"))
+    assert "Broadcast" not in plan(V.overlaps(shapes, "id", "shape", 2.0))
+    assert "Broadcast" not in plan(V.unmatched(shapes, "id", "shape", 2.0))
+    cut = L._cut(shapes)
+    assert "Broadcast" not in plan(cut.join(cut.groupBy("id").count(), "id"))
+
+
 def test_nearest_within_makes_no_pairs_of_crowded_places(spark, monkeypatch):
     def refuse(*_):
         raise AssertionError("all pairs within the distance")
