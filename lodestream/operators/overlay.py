@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestream.operators.geodesic import MAJOR, geodesic_area, geodesic_distance, geodesic_line_length  # noqa: F401  part of this module's kernels
-from lodestream.operators.geo import PATH, _segments, _signed_area, _total, area, centroid, covers_point, distance, length, line_interpolate_point
+from lodestream.operators.geo import PATH, _let, _segments, _signed_area, _total, area, box_gap, centroid, covers_point, distance, is_box, length, line_interpolate_point
 
 EPS = 1e-9
 
@@ -36,26 +36,21 @@ def _none(kind: str = PATH) -> Column:
     return F.array().cast(kind)
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _cross(a: Column, b: Column, p: Column) -> Column:
     """Positive where p lies left of the line from a to b."""
     return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
 
 def _open(ring: Column) -> Column:
-    return F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
+    return _let(ring, lambda r: F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))))
 
 
 def _closed(points: Column) -> Column:
-    return F.concat(points, F.slice(points, 1, 1))
+    return _let(points, lambda z: F.concat(z, F.slice(z, 1, 1)))
 
 
 def _ccw(ring: Column) -> Column:
-    return F.when(_signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+    return _let(ring, lambda r: F.when(_signed_area(r) < 0, F.reverse(r)).otherwise(r))
 
 
 # --- cutting
@@ -66,7 +61,7 @@ def _left(points: Column, a: Column, b: Column) -> Column:
         cut = _xy(p["x"] + (q["x"] - p["x"]) * (u / (u - v)), p["y"] + (q["y"] - p["y"]) * (u / (u - v)))
         return F.concat(F.when(u >= 0, F.array(p)).otherwise(_none()), F.when(u * v < 0, F.array(cut)).otherwise(_none()))
 
-    return F.flatten(F.zip_with(points, F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1)), part))
+    return _let(points, lambda z: F.flatten(F.zip_with(z, F.concat(F.slice(z, F.lit(2), F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, 1, 1)), part)))
 
 
 def _sound(points: Column) -> Column:
@@ -81,14 +76,13 @@ def is_convex(ring: Column) -> Column:
 
 def pieces(ring: Column) -> Column:
     """Convex rings that make up a ring: itself, or upright trapezoids between neighbouring corners."""
-    return F.when(F.size(ring) == 0, _none(f"array<{PATH}>")).when(is_convex(ring), F.array(ring)).otherwise(pieces_of(F.array(ring)))
+    return _let(ring, lambda r: F.when(F.size(r) == 0, _none(f"array<{PATH}>")).when(is_convex(r), F.array(r)).otherwise(pieces_of(F.array(r))))
 
 
 def pieces_of(rings: Column) -> Column:
     """Convex rings that make up the area of several rings by the even-odd rule: an outline and its holes, or many outlines."""
     def slabs(z: Column) -> Column:
-        xs = F.array_sort(F.array_distinct(F.transform(z, lambda s: s["a"]["x"])))
-        spans = F.zip_with(xs, F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+        spans = _let(F.array_sort(F.array_distinct(F.transform(z, lambda s: s["a"]["x"]))), lambda xs: F.zip_with(xs, F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda u, v: F.struct(u.alias("u"), v.alias("v"))))
         return F.flatten(F.transform(F.filter(spans, lambda w: w["v"].isNotNull()), lambda w: between(z, w["u"], w["v"])))
 
     def between(z: Column, u: Column, v: Column) -> Column:
@@ -139,7 +133,7 @@ def union(a: Column, b: Column) -> Column:
 
 
 def symmetric_difference(a: Column, b: Column) -> Column:
-    return F.concat(difference(a, b), difference(b, a))
+    return _let(pieces(a), lambda p: _let(pieces(b), lambda q: F.concat(_without_all(p, q), _without_all(q, p))))
 
 
 def split(ring: Column, a: Column, b: Column) -> Column:
@@ -155,15 +149,18 @@ def areas(rings: Column) -> Column:
 # --- common area of any simple rings
 def _triangles(ring: Column) -> Column:
     """Triangles from the first point, counter-clockwise, each with the sign it had."""
-    n = F.size(ring)
-    tri = F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda k: F.array(F.get(ring, F.lit(0)), F.get(ring, k), F.get(ring, k + 1), F.get(ring, F.lit(0))))
+    tri = _let(ring, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 3, F.lit(1))), lambda k: F.array(F.get(r, F.lit(0)), F.get(r, k), F.get(r, k + 1), F.get(r, F.lit(0)))))
     signed = F.transform(tri, lambda t: F.struct(F.signum(_signed_area(t)).alias("sign"), _ccw(t).alias("ring")))
     return F.filter(signed, lambda t: t["sign"] != 0)
 
 
 def common_area(a: Column, b: Column) -> Column:
     pair = lambda t, u: t["sign"] * u["sign"] * F.aggregate(_segments(u["ring"]), _open(t["ring"]), lambda r, s: _left(r, s["a"], s["b"]), lambda r: area(_closed(r)))
-    return F.when(a.isNotNull() & b.isNotNull(), _let(_triangles(b), lambda of_b: _total(F.transform(_triangles(a), lambda t: _total(F.transform(of_b, lambda u: pair(t, u)))))))
+    general = lambda r, q: _let(_triangles(q), lambda of_q: _total(F.transform(_triangles(r), lambda t: _total(F.transform(of_q, lambda u: pair(t, u))))))
+
+    shared = lambda k: F.greatest(-box_gap(a, b, k), F.lit(0.0))
+    way = lambda r: F.signum(_cross(F.get(r, F.lit(0)), F.get(r, F.lit(1)), F.get(r, F.lit(2))))  # noqa: E731  areas of rings of unlike direction count as negative
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(is_box(a) & is_box(b), way(a) * way(b) * shared("x") * shared("y")).otherwise(general(a, b)))
 
 
 # --- predicates
@@ -213,6 +210,10 @@ def _shared_length(a: Column, b: Column) -> Column:
 
 def covers(a: Column, b: Column) -> Column:
     """No part of ``b`` (an area, a path or one point) lies outside ``a`` (an area or a path that does not run over itself)."""
+    return _let(a, lambda r: _let(b, lambda q: _covers(r, q)))
+
+
+def _covers(a: Column, b: Column) -> Column:
     point = F.get(b, F.lit(0))
     line = F.forall(_inside_flags(b, a, boundary=True), lambda inside: inside)
     of_area = F.when(is_area(b), common_area(a, b) >= area(b) - EPS).when(F.size(b) == 1, covers_point(a, point)).otherwise(line & covers_point(a, point))
@@ -230,10 +231,12 @@ def contains_properly(a: Column, b: Column) -> Column:
 
 def overlaps(a: Column, b: Column) -> Column:
     """Two areas, or two lines, that share a part of their own kind, each with more besides."""
-    both, shared = common_area(a, b), _shared_length(a, b)
-    of_areas = (both > EPS) & (both < F.least(area(a), area(b)) - EPS)
-    of_lines = (shared > EPS) & (shared < F.least(length(a), length(b)) - EPS)
-    return F.when(is_area(a) & is_area(b), of_areas).when(~is_area(a) & ~is_area(b), of_lines).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(False)))
+    def of_both(a: Column, b: Column) -> Column:
+        part = lambda of, measure: _let(of, lambda v: (v > EPS) & (v < F.least(measure(a), measure(b)) - EPS))
+        of_areas, of_lines = part(common_area(a, b), area), part(_shared_length(a, b), length)
+        return F.when(is_area(a) & is_area(b), of_areas).when(~is_area(a) & ~is_area(b), of_lines).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(False)))
+
+    return _let(a, lambda r: _let(b, lambda q: of_both(r, q)))
 
 
 def touches(a: Column, b: Column) -> Column:
@@ -305,8 +308,7 @@ def convex_hull(points: Column) -> Column:
     so a filter over the chain removes what it hides.
     """
     chain = lambda pts: F.aggregate(pts, _none(), lambda s, p: F.concat(F.filter(s, lambda v, i: (i == 0) | (_cross(F.get(s, i - 1), v, p) > 0)), F.array(p)))
-    ordered = F.array_sort(F.array_distinct(points))
-    return F.concat(_open(chain(ordered)), chain(F.reverse(ordered)))
+    return _let(F.array_sort(F.array_distinct(points)), lambda ordered: F.concat(_open(chain(ordered)), chain(F.reverse(ordered))))
 
 
 def hull_buffer(shape: Column, by: float, quad_segs: int = 8) -> Column:
@@ -344,12 +346,16 @@ def buffer(shape: Column, by: float, quad_segs: int = 8) -> Column:
 
 def point_on_surface(ring: Column) -> Column:
     """The middle of the widest stretch inside, halfway between the two middle heights of its points."""
-    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
-    k = F.floor((F.size(ys) - 1) / 2).cast("int")
-    y = (F.get(ys, k) + F.get(ys, k + 1)) / 2
-    xs = F.array_sort(F.transform(F.filter(_segments(ring), lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y)), lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])))
-    spans = F.filter(F.transform(xs, lambda x, i: F.struct((F.get(xs, i + 1) - x).alias("wide"), (x + (F.get(xs, i + 1) - x) / 2).alias("x"), (i % 2 == 0).alias("in"))), lambda z: z["in"] & z["wide"].isNotNull())
-    return F.when(F.size(spans) > 0, _xy(F.array_max(spans)["x"], y)).otherwise(centroid(ring))
+    def level(ys: Column) -> Column:
+        k = F.floor((F.size(ys) - 1) / 2).cast("int")
+        return (F.get(ys, k) + F.get(ys, k + 1)) / 2
+
+    def at(r: Column, y: Column) -> Column:
+        xs = F.array_sort(F.transform(F.filter(_segments(r), lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y)), lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])))
+        spans = _let(xs, lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct((F.get(xs, i + 1) - x).alias("wide"), (x + (F.get(xs, i + 1) - x) / 2).alias("x"), (i % 2 == 0).alias("in"))), lambda z: z["in"] & z["wide"].isNotNull()))
+        return _let(spans, lambda z: F.when(F.size(z) > 0, _xy(F.array_max(z)["x"], y)).otherwise(centroid(r)))
+
+    return _let(ring, lambda r: _let(level(F.array_sort(F.array_distinct(F.transform(r, lambda p: p["y"])))), lambda y: at(r, y)))
 
 
 def line_substring(path: Column, start: Column, end: Column) -> Column:

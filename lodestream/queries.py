@@ -273,12 +273,17 @@ _PTS = f"(SELECT c_custkey, {_X} AS x, {_Y} AS y FROM customer)"
 _RECTS = f"(SELECT p_partkey, {_RX} AS x0, {_RY} AS y0, 1 + p_size % 10 AS w, 1 + p_partkey % 7 AS h FROM part)"
 
 
+def _dealt(d: DataFrame, *columns: str) -> DataFrame:
+    """Rows of few bytes and much work: a file of some MB is one task's input, so they are dealt to all cores."""
+    return d.select(*columns).repartition(4 * d.sparkSession.sparkContext.defaultParallelism)
+
+
 def _pts(d: DataFrame) -> DataFrame:
     return d.select("c_custkey", G.point(F.expr(_X), F.expr(_Y)).alias("p"))
 
 
 def _rects(d: DataFrame) -> DataFrame:
-    d = d.select("p_partkey", F.expr(_RX).alias("x0"), F.expr(_RY).alias("y0"), (1 + c("p_size") % 10).alias("w"), (1 + c("p_partkey") % 7).alias("h"))
+    d = _dealt(d, "p_partkey", "p_size").select("p_partkey", F.expr(_RX).alias("x0"), F.expr(_RY).alias("y0"), (1 + c("p_size") % 10).alias("w"), (1 + c("p_partkey") % 7).alias("h"))
     return d.withColumn("ring", G.rectangle(c("x0"), c("y0"), c("x0") + c("w"), c("y0") + c("h")))
 
 

@@ -72,3 +72,7 @@ def test_make_valid_takes_no_rounds(spark, monkeypatch):
     df = df.select("k", G.path_from_wkt(F.concat(F.lit("POLYGON (("), "w", F.lit("))"))).alias("ring"))
     got = {r.k: (r.n, round(r.area, 6)) for r in L.make_valid(df, "k", "ring").groupBy("k").agg(F.count("*").alias("n"), F.sum(G.area(F.col("ring"))).alias("area")).collect()}
     assert got == {1: (1, 60.0), 2: (1, 56.0), 3: (1, 16.0), 4: (1, 16.0), 5: (2, 2.0)}
+
+
+def test_small_files_are_dealt_to_all_cores(spark):
+    assert Q._rects(spark.read.parquet(f"{SF}/part.parquet")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
