@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import overlay as O
-from lodestream.operators.geo import _cell, _segments, covers_point, distance
+from lodestream.operators.geo import _cell, _segments, box_gap, covers_point, distance, is_box
 from lodestream.operators.geo import bounds as _bounds
-from lodestream.operators.linework import _cut
+from lodestream.operators.linework import _written as _cut
 
 #: Points (places) of a cell that is not divided, halvings of the whole extent down to the least cell, and those of one step.
 LEAF, DEPTH, STEP = 64, 30, 3
@@ -133,7 +133,8 @@ def shape_distance(a: Column, b: Column) -> Column:
 
     least = O._let(_stretches(b), lambda of_b: F.array_min(F.transform(_stretches(a), lambda s: F.array_min(F.transform(of_b, lambda t: apart(s, t))))))
     within = (O.is_area(a) & covers_point(a, F.get(b, F.lit(0)))) | (O.is_area(b) & covers_point(b, F.get(a, F.lit(0))))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.when(within, 0.0).otherwise(least))
+    boxes = F.hypot(*(F.greatest(box_gap(a, b, k), F.lit(0.0)) for k in ("x", "y")))
+    return F.when(is_box(a) & is_box(b), boxes).when((F.size(a) > 0) & (F.size(b) > 0), F.when(within, 0.0).otherwise(least))
 
 
 def box_distance(a: Column, b: Column) -> Column:
@@ -147,6 +148,7 @@ def sjoin(left: DataFrame, right: DataFrame, a: str, b: str, size: float, predic
 
     ``how``: inner; left (unmatched left rows once, with nulls), semi or anti; these need ``key``, unique on the left. A pair meets in every
     cell that both boxes share (the left one widened by ``within``) and counts in the least of them, so nothing has to be made distinct.
+    Both sides are shuffled by cell, as in ``geo.sjoin_points``; whether a row is met at all is found by a semi join, without its pairs.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"unknown how: {how}")
@@ -162,18 +164,26 @@ def sjoin(left: DataFrame, right: DataFrame, a: str, b: str, size: float, predic
         df = df.withColumn(cx, F.explode(F.sequence(_cell(F.col(f"{box}.minx"), size), _cell(F.col(f"{box}.maxx"), size))))
         return df.withColumn(cy, F.explode(F.sequence(_cell(F.col(f"{box}.miny"), size), _cell(F.col(f"{box}.maxy"), size))))
 
-    near = celled(left, a, box_a, reach).join(celled(right, b, box_b, 0.0), [cx, cy])
+    cells_a, cells_b = celled(left, a, box_a, reach), celled(right, b, box_b, 0.0)
+    boxes_meet = box_distance(F.col(box_a), F.col(box_b)) == 0
+    keys = None
+    if how != "inner":
+        hit = predicate(F.col(a), F.col(b)) if within is None else shape_distance(F.col(a), F.col(b)) <= within
+        px, py = map(name, ("_px", "_py"))
+        spots = cells_b.select(b, box_b, F.col(cx).alias(px), F.col(cy).alias(py)).hint("merge")
+        on = (F.col(cx) == F.col(px)) & (F.col(cy) == F.col(py)) & boxes_meet & hit
+        keys = cells_a.select(key, a, box_a, cx, cy).hint("merge").join(spots, on, "left_semi").select(key).distinct().hint("merge")
+    if how == "semi":
+        return left.join(keys, key, "left_semi")
+    rest = left.join(keys, key, "left_anti") if keys is not None else None
+    if how == "anti":
+        return rest
+    near = cells_a.hint("merge").join(cells_b.hint("merge"), [cx, cy])
     least = lambda k: _cell(F.greatest(F.col(f"{box_a}.{k}"), F.col(f"{box_b}.{k}")), size)
-    near = near.where((F.col(cx) == least("minx")) & (F.col(cy) == least("miny")) & (box_distance(F.col(box_a), F.col(box_b)) == 0))
+    near = near.where((F.col(cx) == least("minx")) & (F.col(cy) == least("miny")) & boxes_meet)
     if within is None:
         met = near.where(predicate(F.col(a), F.col(b)))
     else:
         met = near.withColumn("distance", shape_distance(F.col(a), F.col(b))).where(F.col("distance") <= within)
     met = met.drop(cx, cy, box_a, box_b)
-    if how == "inner":
-        return met
-    keys = met.select(key).distinct()
-    if how == "semi":
-        return left.join(keys, key, "left_semi")
-    rest = left.join(keys, key, "left_anti")
-    return rest if how == "anti" else met.unionByName(rest, allowMissingColumns=True)
+    return met if rest is None else met.unionByName(rest, allowMissingColumns=True)

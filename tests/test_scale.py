@@ -45,6 +45,18 @@ def test_coverages_are_not_broadcast(sides):
     assert "Broadcast" not in plan(cut.join(cut.groupBy("id").count(), "id"))
 
 
+def test_boxes_agree_with_the_general_kernels(sides):
+    """A box with one more point on its outline is no ``is_box``; area and distance stay."""
+    a, _ = sides
+    more = lambda r: F.concat(F.slice(r, 1, 1), F.array(G.point((F.get(r, 0)["x"] + F.get(r, 1)["x"]) / 2, F.get(r, 0)["y"])), F.slice(r, 2, 4))
+    pairs = a.crossJoin(a.select(F.col("id").alias("j"), G.translate(F.reverse("ring"), 0.25, 0.5).alias("other"))).where("id < 6 AND j < 6")
+    r, q = F.col("ring"), F.col("other")
+    assert pairs.select(G.is_box(r) & G.is_box(q) & ~G.is_box(more(r)) & ~G.is_box(F.lit(None).cast(G.PATH))).distinct().collect() == [(True,)]
+    for of in (O.common_area, N.shape_distance):
+        for x in pairs.select(of(r, q), of(more(r), more(q))).collect():
+            assert x[0] == pytest.approx(x[1], abs=1e-9)
+
+
 def test_nearest_within_makes_no_pairs_of_crowded_places(spark, monkeypatch):
     def refuse(*_):
         raise AssertionError("all pairs within the distance")
