@@ -37,6 +37,14 @@ def test_points_in_polygons_are_not_broadcast(sides):
     assert {r.id: r.n for r in G.count_points_in_polygons(a, p.union(p), "id", "ring", "p", 2.0).collect()} == {i: 2 * sum(j == i for j, _ in want) for i in range(20)}
 
 
+def test_joins_of_shapes_are_not_broadcast(sides):
+    a, _ = sides
+    b = a.select(F.col("id").alias("j"), F.col("ring").alias("other"))
+    for how in ("inner", "left", "semi", "anti"):
+        assert "Broadcast" not in plan(N.sjoin(a, b, "ring", "other", 2.0, within=0.25, how=how, key="id"))
+    assert "Broadcast" not in plan(S.sjoin(a, b, "ring", "other", 2.0))
+
+
 def test_coverages_are_not_broadcast(sides):
     shapes = sides[0].select("id", P.polygon_shape(F.col("ring")).alias("shape"))
     assert "Broadcast" not in plan(V.overlaps(shapes, "id", "shape", 2.0))
