@@ -152,7 +152,7 @@ def table_fuzzy_join_jaccard(t):
 
 @kernel(f"WITH n AS ({_GRAMS}), p AS ({_LIKE}) SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 3")
 def table_fuzzy_join_nearest_grams(t):
-    n = t("supplier").select(c("s_name").alias("a"))
+    n = t("supplier").select(c("s_name").alias("a")).distinct()
     return Y.similar_sets(n, n.select(c("a").alias("b")), "a", "b", 0.7, tokens=Y.grams(3), k=3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -94,5 +94,12 @@ def test_make_valid_takes_no_rounds(spark, monkeypatch):
     assert got == {1: (1, 60.0), 2: (1, 56.0), 3: (1, 16.0), 4: (1, 16.0), 5: (2, 2.0)}
 
 
+def test_nearest_names_count_once(spark, tmp_path):
+    t = spark.read.parquet(f"{SF}/supplier.parquet")
+    t.union(t.withColumn("s_suppkey", F.col("s_suppkey") + 1000)).write.parquet(str(tmp_path / "supplier.parquet"))
+    name = "table_fuzzy_join_nearest_grams"
+    assert sorted(Q.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(Q.QUERIES[name](spark, SF).collect())
+
+
 def test_small_files_are_dealt_to_all_cores(spark):
     assert Q._rects(spark.read.parquet(f"{SF}/part.parquet")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
