@@ -102,4 +102,6 @@ def test_nearest_names_count_once(spark, tmp_path):
 
 
 def test_small_files_are_dealt_to_all_cores(spark):
-    assert Q._rects(spark.read.parquet(f"{SF}/part.parquet")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    for df in (Q._rects(read("part")), Q._flawed(read), Q._shapes6(read)):
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
