@@ -157,18 +157,23 @@ def sjoin(left: DataFrame, right: DataFrame, a: str, b: str, size: float, predic
     reach = within or 0.0
     name = lambda n: O.free_name(left.select("*", *(F.lit(0).alias(c) for c in right.columns if c not in left.columns)), n)
     box_a, box_b, cx, cy = map(name, ("_a", "_b", "_cx", "_cy"))
+    ends = ("minx", "miny", "maxx", "maxy")
+    grown = lambda box, by: {k: F.col(box)[k] + (by if k.startswith("max") else -by) for k in ends}
 
     def celled(df: DataFrame, shape: str, box: str, by: float) -> DataFrame:
-        x = _bounds(F.col(shape))
-        df = df.where(F.size(shape) > 0).withColumn(box, F.struct((x["minx"] - by).alias("minx"), (x["miny"] - by).alias("miny"), (x["maxx"] + by).alias("maxx"), (x["maxy"] + by).alias("maxy")))
-        df = df.withColumn(cx, F.explode(F.sequence(_cell(F.col(f"{box}.minx"), size), _cell(F.col(f"{box}.maxx"), size))))
-        return df.withColumn(cy, F.explode(F.sequence(_cell(F.col(f"{box}.miny"), size), _cell(F.col(f"{box}.maxy"), size))))
+        # once for each row, so that two boxes of the same cell are compared by numbers alone
+        df = df.where(F.size(shape) > 0).withColumn(box, F.struct(*(_bounds(F.col(shape))[k].alias(k) for k in ends), is_box(F.col(shape)).alias("whole")))
+        wide = grown(box, by)
+        df = df.withColumn(cx, F.explode(F.sequence(_cell(wide["minx"], size), _cell(wide["maxx"], size))))
+        return df.withColumn(cy, F.explode(F.sequence(_cell(wide["miny"], size), _cell(wide["maxy"], size))))
 
     cells_a, cells_b = celled(left, a, box_a, reach), celled(right, b, box_b, 0.0)
-    boxes_meet = box_distance(F.col(box_a), F.col(box_b)) == 0
+    of_a = grown(box_a, reach)
+    boxes_meet = box_distance(of_a, F.col(box_b)) == 0
+    apart = F.when(F.col(box_a)["whole"] & F.col(box_b)["whole"], box_distance(F.col(box_a), F.col(box_b))).otherwise(shape_distance(F.col(a), F.col(b)))
     keys = None
     if how != "inner":
-        hit = predicate(F.col(a), F.col(b)) if within is None else shape_distance(F.col(a), F.col(b)) <= within
+        hit = predicate(F.col(a), F.col(b)) if within is None else apart <= within
         px, py = map(name, ("_px", "_py"))
         spots = cells_b.select(b, box_b, F.col(cx).alias(px), F.col(cy).alias(py)).hint("merge")
         on = (F.col(cx) == F.col(px)) & (F.col(cy) == F.col(py)) & boxes_meet & hit
@@ -179,11 +184,11 @@ def sjoin(left: DataFrame, right: DataFrame, a: str, b: str, size: float, predic
     if how == "anti":
         return rest
     near = cells_a.hint("merge").join(cells_b.hint("merge"), [cx, cy])
-    least = lambda k: _cell(F.greatest(F.col(f"{box_a}.{k}"), F.col(f"{box_b}.{k}")), size)
+    least = lambda k: _cell(F.greatest(of_a[k], F.col(f"{box_b}.{k}")), size)
     near = near.where((F.col(cx) == least("minx")) & (F.col(cy) == least("miny")) & boxes_meet)
     if within is None:
         met = near.where(predicate(F.col(a), F.col(b)))
     else:
-        met = near.withColumn("distance", shape_distance(F.col(a), F.col(b))).where(F.col("distance") <= within)
+        met = near.withColumn("distance", apart).where(F.col("distance") <= within)
     met = met.drop(cx, cy, box_a, box_b)
     return met if rest is None else met.unionByName(rest, allowMissingColumns=True)

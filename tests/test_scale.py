@@ -105,3 +105,16 @@ def test_small_files_are_dealt_to_all_cores(spark):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     for df in (Q._rects(read("part")), Q._flawed(read), Q._shapes6(read)):
         assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_boxes_of_a_join_are_compared_by_numbers(sides, monkeypatch):
+    """Their distance comes from their bounds, found once for each row; the general kernel is for other shapes."""
+    monkeypatch.setattr(N, "shape_distance", lambda *_: F.raise_error(F.lit("general")).cast("double"))
+    a, _ = sides
+    b = a.select(F.col("id").alias("j"), G.translate("ring", 0.25, 2.5).alias("other"))
+    want = {(i, j): max(j + 0.25 - i - 1.5, i - j - 1.75, 0.0) for i in range(20) for j in range(20)}
+    want = {k: (gap * gap + 0.25) ** 0.5 for k, gap in want.items() if gap * gap + 0.25 <= 1.0}
+    got = {(r.id, r.j): r.distance for r in N.sjoin(a, b, "ring", "other", 2.0, within=1.0).collect()}
+    assert got == pytest.approx(want)
+    assert N.sjoin(a, b, "ring", "other", 2.0, within=1.0, how="anti", key="id").count() == 0
+    assert N.sjoin(a, b, "ring", "other", 2.0, within=1.0, how="semi", key="id").count() == 20
