@@ -54,14 +54,27 @@ def _ccw(ring: Column) -> Column:
 
 
 # --- cutting
-def _left(points: Column, a: Column, b: Column) -> Column:
-    """The part of an open ring on the left of the line from a to b."""
+def _sided(points: Column, a: Column, b: Column) -> Column:
+    """Each point (p) with the side (u) of the line from a to b that it is on: positive on the left."""
+    return F.transform(points, lambda p: F.struct(p.alias("p"), _cross(a, b, p).alias("u")))
+
+
+def _half(sided: Column, way: int = 1) -> Column:
+    """The part of an open ring on the left of a line, or (``way`` -1) on its right; ``sided`` is an element of a lambda."""
     def part(p: Column, q: Column) -> Column:
-        u, v = _cross(a, b, p), _cross(a, b, q)
-        cut = _xy(p["x"] + (q["x"] - p["x"]) * (u / (u - v)), p["y"] + (q["y"] - p["y"]) * (u / (u - v)))
-        return F.concat(F.when(u >= 0, F.array(p)).otherwise(_none()), F.when(u * v < 0, F.array(cut)).otherwise(_none()))
+        u, v, a, b = way * p["u"], way * q["u"], p["p"], q["p"]
+        cut = _xy(a["x"] + (b["x"] - a["x"]) * (u / (u - v)), a["y"] + (b["y"] - a["y"]) * (u / (u - v)))
+        return F.when(u * v < 0, F.when(u >= 0, F.array(a, cut)).otherwise(F.array(cut))).when(u >= 0, F.array(a)).otherwise(_none())
 
-    return _let(points, lambda z: F.flatten(F.zip_with(z, F.concat(F.slice(z, F.lit(2), F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, 1, 1)), part)))
+    z = sided
+    cut = F.flatten(F.zip_with(z, F.concat(F.slice(z, F.lit(2), F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, 1, 1)), part))
+    all_ = F.when(F.forall(z, lambda p: way * p["u"] >= 0), F.transform(z, lambda p: p["p"]))
+    return all_.when(F.forall(z, lambda p: way * p["u"] < 0), _none()).otherwise(cut)
+
+
+def _left(points: Column, a: Column, b: Column) -> Column:
+    """The part of an open ring on the left of the line from a to b."""
+    return _let(_sided(points, a, b), lambda z: _half(z))
 
 
 def _sound(points: Column) -> Column:
@@ -76,19 +89,19 @@ def is_convex(ring: Column) -> Column:
 
 def pieces(ring: Column) -> Column:
     """Convex rings that make up a ring: itself, or upright trapezoids between neighbouring corners."""
-    return _let(ring, lambda r: F.when(F.size(r) == 0, _none(f"array<{PATH}>")).when(is_convex(r), F.array(r)).otherwise(pieces_of(F.array(r))))
+    return _let(ring, lambda r: F.when(F.size(r) == 0, _none(f"array<{PATH}>")).when(is_box(r) | is_convex(r), F.array(r)).otherwise(pieces_of(F.array(r))))
 
 
 def pieces_of(rings: Column) -> Column:
     """Convex rings that make up the area of several rings by the even-odd rule: an outline and its holes, or many outlines."""
     def slabs(z: Column) -> Column:
-        spans = _let(F.array_sort(F.array_distinct(F.transform(z, lambda s: s["a"]["x"]))), lambda xs: F.zip_with(xs, F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda u, v: F.struct(u.alias("u"), v.alias("v"))))
+        spans = _let(F.sort_array(F.array_distinct(F.transform(z, lambda s: s["a"]["x"]))), lambda xs: F.zip_with(xs, F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda u, v: F.struct(u.alias("u"), v.alias("v"))))
         return F.flatten(F.transform(F.filter(spans, lambda w: w["v"].isNotNull()), lambda w: between(z, w["u"], w["v"])))
 
     def between(z: Column, u: Column, v: Column) -> Column:
         over = F.filter(z, lambda s: (F.least(s["a"]["x"], s["b"]["x"]) <= u) & (F.greatest(s["a"]["x"], s["b"]["x"]) >= v))
         y = lambda s, x: s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * ((x - s["a"]["x"]) / (s["b"]["x"] - s["a"]["x"]))
-        heights = F.array_sort(F.transform(over, lambda s: F.struct(y(s, (u + v) / 2).alias("middle"), y(s, u).alias("at_u"), y(s, v).alias("at_v"))))
+        heights = F.sort_array(F.transform(over, lambda s: F.struct(y(s, (u + v) / 2).alias("middle"), y(s, u).alias("at_u"), y(s, v).alias("at_v"))))
 
         def paired(h: Column) -> Column:
             both = F.filter(F.transform(h, lambda low, i: F.struct(low.alias("low"), F.get(h, i + 1).alias("high"), (i % 2 == 0).alias("opens"))), lambda w: w["opens"] & w["high"].isNotNull())
@@ -109,7 +122,11 @@ def clip_convex(ring: Column, mask: Column) -> Column:
 def _without(ring: Column, mask: Column) -> Column:
     """A convex ring without a convex one: array of convex rings."""
     start = F.struct(_open(ring).alias("rest"), _none(f"array<{PATH}>").alias("out"))
-    step = lambda s, e: F.struct(_left(s["rest"], e["a"], e["b"]).alias("rest"), F.concat(s["out"], F.array(_left(s["rest"], e["b"], e["a"]))).alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        cut = _let(_sided(s["rest"], e["a"], e["b"]), lambda z: F.struct(_half(z).alias("rest"), F.concat(s["out"], F.array(_half(z, -1))).alias("out")))
+        return F.when(F.size(s["rest"]) > 0, cut).otherwise(s)
+
     return F.aggregate(_segments(_ccw(mask)), start, step, lambda s: F.filter(F.transform(s["out"], _sound), lambda r: F.size(r) > 0))
 
 
@@ -147,16 +164,35 @@ def areas(rings: Column) -> Column:
 
 
 # --- common area of any simple rings
-def _triangles(ring: Column) -> Column:
-    """Triangles from the first point, counter-clockwise, each with the sign it had."""
-    tri = _let(ring, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 3, F.lit(1))), lambda k: F.array(F.get(r, F.lit(0)), F.get(r, k), F.get(r, k + 1), F.get(r, F.lit(0)))))
-    signed = F.transform(tri, lambda t: F.struct(F.signum(_signed_area(t)).alias("sign"), _ccw(t).alias("ring")))
-    return F.filter(signed, lambda t: t["sign"] != 0)
+def _spans(ring: Column, base: Column) -> Column:
+    """Edges that are not upright: from u to v, with their heights over ``base`` there, and their direction."""
+    def span(s: Column) -> Column:
+        ahead = s["a"]["x"] < s["b"]["x"]
+        low, high = (F.when(ahead, s[k]).otherwise(s[m]) for k, m in (("a", "b"), ("b", "a")))
+        return F.struct(low["x"].alias("u"), high["x"].alias("v"), (low["y"] - base).alias("at_u"), (high["y"] - base).alias("at_v"), F.when(ahead, 1.0).otherwise(-1.0).alias("way"))
+
+    return F.transform(F.filter(_segments(ring), lambda s: s["a"]["x"] != s["b"]["x"]), span)
 
 
 def common_area(a: Column, b: Column) -> Column:
-    pair = lambda t, u: t["sign"] * u["sign"] * F.aggregate(_segments(u["ring"]), _open(t["ring"]), lambda r, s: _left(r, s["a"], s["b"]), lambda r: area(_closed(r)))
-    general = lambda r, q: _let(_triangles(q), lambda of_q: _total(F.transform(_triangles(r), lambda t: _total(F.transform(of_q, lambda u: pair(t, u))))))
+    """A ring is the sum of the strips below its edges, down to a common base and signed by direction; two strips share what is below the lower edge."""
+    def shared_strip(s: Column, t: Column) -> Column:
+        u, v = F.greatest(s["u"], t["u"]), F.least(s["v"], t["v"])
+        y = lambda e, x: e["at_u"] + (e["at_v"] - e["at_u"]) * ((x - e["u"]) / (e["v"] - e["u"]))
+        ends = F.struct((v - u).alias("w"), y(s, u).alias("p"), y(t, u).alias("q"), y(s, v).alias("r"), y(t, v).alias("s"))
+
+        def below(z: Column) -> Column:
+            left, right, d, e = F.least(z["p"], z["q"]), F.least(z["r"], z["s"]), z["p"] - z["q"], z["r"] - z["s"]
+            crossed = _let(d / (d - e), lambda f: _let(z["p"] + (z["r"] - z["p"]) * f, lambda m: f * (left + m) + (1 - f) * (m + right)))
+            return z["w"] / 2 * F.when(d * e < 0, crossed).otherwise(left + right)
+
+        return F.when(u < v, s["way"] * t["way"] * _let(ends, below)).otherwise(0.0)
+
+    lowest = lambda r: F.array_min(F.transform(r, lambda p: p["y"]))
+
+    def general(r: Column, q: Column) -> Column:
+        strips = lambda base: _let(_spans(q, base), lambda of_q: _total(F.transform(_spans(r, base), lambda s: _total(F.transform(of_q, lambda t: shared_strip(s, t))))))
+        return _let(F.least(lowest(r), lowest(q)), strips)
 
     shared = lambda k: F.greatest(-box_gap(a, b, k), F.lit(0.0))
     way = lambda r: F.signum(_cross(F.get(r, F.lit(0)), F.get(r, F.lit(1)), F.get(r, F.lit(2))))  # noqa: E731  areas of rings of unlike direction count as negative

@@ -118,3 +118,25 @@ def test_boxes_of_a_join_are_compared_by_numbers(sides, monkeypatch):
     assert got == pytest.approx(want)
     assert N.sjoin(a, b, "ring", "other", 2.0, within=1.0, how="anti", key="id").count() == 0
     assert N.sjoin(a, b, "ring", "other", 2.0, within=1.0, how="semi", key="id").count() == 20
+
+
+def test_common_area_cuts_no_shapes(spark, monkeypatch):
+    """An L, a slanting ring and a ring that crosses itself: edges are compared with edges, without clipping."""
+    def refuse(*_):
+        raise AssertionError("clipped")
+
+    monkeypatch.setattr(O, "_left", refuse)
+    ring = lambda w: G.path_from_wkt(F.lit(f"POLYGON (({w}))"))
+    ell, diamond, bow = ring("0 0, 4 0, 4 2, 2 2, 2 4, 0 4, 0 0"), ring("2 0, 4 2, 2 4, 0 2, 2 0"), ring("0 0, 4 4, 4 0, 0 4, 0 0")
+    pairs = [(ell, diamond, 6.0), (F.reverse(ell), diamond, -6.0), (ell, ell, 12.0), (diamond, G.translate(diamond, 2.0, 0.0), 2.0), (ell, G.translate(ell, 4.0, 0.0), 0.0), (bow, bow, 8.0), (ring("0 0, 4 0, 0 0"), ell, 0.0)]
+    got = spark.range(1).select(*(O.common_area(a, b) for a, b, _ in pairs)).first()
+    assert list(got) == pytest.approx([x for *_, x in pairs], abs=1e-12)
+
+
+def test_cutting_finds_the_side_of_a_point_once(spark, monkeypatch):
+    found, cross = [], O._cross
+    monkeypatch.setattr(O, "_cross", lambda *z: found.append(1) or cross(*z))
+    ring = lambda w: G.path_from_wkt(F.lit(f"POLYGON (({w}))"))
+    left = O._without(ring("0 0, 4 0, 4 4, 0 4, 0 0"), ring("1 1, 3 1, 2 3, 1 1"))
+    assert len(found) == 1
+    assert spark.range(1).select(O.areas(left)).first()[0] == pytest.approx(14.0)
