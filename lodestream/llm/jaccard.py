@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import simhash
 from lodestream.llm.common import components, free_name, id_and_text, saved, slices
+from lodestream.llm.decontam import let_through, seed_filter
 from lodestream.llm.simhash import majority, shingle_hashes
 
 WORDS = 5
@@ -49,8 +50,10 @@ RADIUS = 4
 BUCKET = 32
 #: Shingles (and 128 for each set) in a block of a larger bucket.
 BLOCK = 1 << 18
-#: Sets in the sample, how often a shingle is in it to count as frequent, and how many such shingles tasks hold.
-SAMPLE, FREQUENT, _HELD = 20_000, 4, 100_000
+#: Texts that are all in the sample, and of more the least share (one in ``EVERY``), so that a shingle of many more texts than
+#: ``BUCKET`` is seen as frequent however large the corpus; how often a shingle is in it to count as frequent, and how many of
+#: these tasks hold with their counts (the others: in a Bloom filter of bounded size).
+SAMPLE, EVERY, FREQUENT, _HELD = 20_000, 4, 3, 100_000
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -71,30 +74,39 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def frequent_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of the distinct texts, ascending, and their counts."""
+def frequent_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple:
+    """Shingles that are frequent in a sample of the distinct texts, ascending, and their counts; then a filter of further ones, or None.
+
+    Only the first shingles of a set by hash are counted, twice its prefix: the others are in a prefix only where most of these are frequent.
+    """
     texts = id_and_text(docs, id_col, text_col)
-    every = -(-texts.count() // SAMPLE) or 1
+    every = min(EVERY, -(-texts.count() // SAMPLE)) or 1
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(x) for x in batch["text"].to_pylist()]
+            sets = [s[: 2 * prefix_size(len(s))] for s in map(shingle_set, batch["text"].to_pylist())]
             yield pa.record_batch({"s": pa.array(np.concatenate(sets) if sets else np.empty(0, "<i8"), pa.int64())})
 
-    counts = sample.mapInArrow(work, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT)
+    counts = saved(sample.mapInArrow(work, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT), "frequent")
     found = counts.orderBy(F.desc("c"), "s").limit(_HELD).toArrow()
     s, c = found["s"].to_numpy(), found["c"].to_numpy()
+    # the filter may hold shingles that are not frequent, and those of the list too: any order finds all links, if it is one for all sets
+    rest = seed_filter(counts.select(F.col("s").alias("seed"))) if len(s) == _HELD else None
     order = np.argsort(s)
-    return s[order], c[order]
+    return s[order], c[order], rest
 
 
-def in_order(s: np.ndarray, often: np.ndarray, count: np.ndarray) -> np.ndarray:
+def in_order(s: np.ndarray, often: np.ndarray, count: np.ndarray, rest: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """An ascending set with its frequent shingles last, by frequency."""
     if not len(often) or not len(s):
         return s
     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-    return s[np.lexsort((s, np.where(often[at] == s, count[at], 0)))]
+    rank = np.where(often[at] == s, count[at], 0)
+    if rest is not None:
+        held = let_through(s.view(np.uint64), *rest)
+        rank[held] = np.maximum(rank[held], 1)
+    return s[np.lexsort((s, rank))]
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -102,13 +114,15 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, "<i8"), pa.int64()))
 
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefixes(docs: DataFrame, frequent: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, id (hash of the set), n (its size), fp (SimHash of the text), prefix. No shuffle.
 
     Of equal sets that a task has seen lately only the first has its prefix, so that
     a large group of copies is not shuffled row by row.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
@@ -120,7 +134,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], id_col: s
                 ids.append(own)
                 sizes.append(len(s))
                 prints.append(majority(hashes))
-                heads.append(in_order(s, *frequent)[: prefix_size(len(s))] if len(s) and own not in seen else s[:0])
+                heads.append(in_order(s, *sent.value)[: prefix_size(len(s))] if len(s) and own not in seen else s[:0])
                 if len(seen) > _HELD:
                     seen.clear()
                 seen.add(own)
