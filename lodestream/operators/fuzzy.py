@@ -1,9 +1,13 @@
 """Joins of like texts by their sets of tokens, and by Jaro and Winkler's measure.
 
-Sets: two sets of Jaccard similarity t or more have a token in common among the first
-n - ceil(t n) + 1 of each, in any one order. With the rarest tokens first (counted
-over the different sets of both sides), pairs meet on rare tokens only; a token of a
-third of all rows comes last, and leads only where a set has nothing rarer. Sets whose sizes
+Sets: two sets of n and m tokens have Jaccard similarity t or more where they share at least
+o = ceil(t (n + m) / (1 + t)) tokens, so in any one order their first l common tokens are among
+the first n - o + l of the one and m - o + l of the other. The larger of two sets knows only that
+o is at least t n, the smaller one that it is at least 2 t m / (1 + t): each set has keys for
+both parts. With the rarest tokens first (counted over the different sets of both sides), sets meet
+on rare tokens only; a token of a third of all rows comes last, and leads only where a set has
+nothing rarer. Small sets meet on pairs of tokens (l = 2) that bring their sets along, so only pairs
+that the similarity needs are written; others on single tokens, and are verified after the join. Sets whose sizes
 alone forbid the similarity do not meet. Each different set is compared once,
 and the rows are joined to the result, so copies cost nothing before that.
 
@@ -13,6 +17,8 @@ columns; columns that both sides have are both in the result, as in Spark's join
 
 from __future__ import annotations
 
+from math import ceil, comb, floor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +27,9 @@ from pyspark.sql.types import DoubleType
 
 from lodestream.operators.table import KernelError, _free
 
+#: Tokens that all pairs of one set bring along, at most; sets too large for that meet on single tokens.
+CARRIED = 640
+
 
 def words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
@@ -60,24 +69,73 @@ def similar_sets(df: DataFrame, right: DataFrame, left_on: str, right_on: str, t
     left_sets, right_sets = (side.select("id", "set").dropDuplicates(["id"]) for side in (lefts, rights))
     each = left_sets.unionByName(right_sets).select(F.explode("set").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("often"))
-
-    def leading(side: DataFrame, name: str) -> DataFrame:
-        """token, id and size: each set's first tokens."""
-        ranked = side.select("id", F.size("set").alias("n"), F.explode("set").alias("token")).join(often, "token")
-        order = Window.partitionBy("id").orderBy("often", "token")
-        first = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-        return first.select("token", F.col("id").alias(f"id_{name}"), F.col("n").alias(f"n_{name}"))
-
-    a, b = leading(left_sets, "a"), leading(right_sets, "b")
-    fits = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-    met = a.join(b, "token").where(fits).select("id_a", "id_b").distinct()
-    met = met.join(left_sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), "id_a").join(right_sets.select(F.col("id").alias("id_b"), F.col("set").alias("set_b")), "id_b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    met = met.select("id_a", "id_b", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    met = _like_sets(_ordered(left_sets, often), _ordered(right_sets, often), threshold)
+    if k is not None:  # ties stay: which of their texts come first is seen once the texts are joined
+        met = met.withColumn("rank", F.rank().over(Window.partitionBy("id_a").orderBy(F.col("similarity").desc()))).where(F.col("rank") <= k).drop("rank")
     pairs = met.join(lefts.select(F.col("id").alias("id_a"), F.col("value").alias("a")), "id_a").join(rights.select(F.col("id").alias("id_b"), F.col("value").alias("b")), "id_b")
     return _rows(df, right, left_on, right_on, pairs.select("a", "b", "similarity"), k)
 
 
+def _ordered(side: DataFrame, often: DataFrame) -> DataFrame:
+    """id, set, n: the sets with their rarest tokens first."""
+    ranked = side.select("id", F.explode("set").alias("token")).join(often, "token")
+    found = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("set"))
+    return found.select("id", F.transform("set", lambda z: z["token"]).alias("set"), F.size("set").alias("n"))
+
+
+def _paired(threshold: float) -> tuple[int, int]:
+    """The least and the most tokens of the smaller of two sets that meet on pairs of tokens; none where the least is more."""
+    def carried(n: int) -> int:
+        larger = floor(n / threshold + 1e-9)
+        return comb(larger - ceil(threshold * larger - 1e-9) + 2, 2) * larger
+
+    least = next(n for n in range(1, ceil(2 / threshold) + 2) if ceil(2 * threshold / (1 + threshold) * n - 1e-9) >= 2)
+    return least, max((n for n in range(1, CARRIED + 1) if carried(n) <= CARRIED), default=0)
+
+
+def _like_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """id_a, id_b, similarity: the pairs of ordered sets that are like enough, each once."""
+    least, most = _paired(threshold)
+    pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y, j: F.struct(x.alias("u"), y.alias("v"), (i + j + 2).alias("rank")))))
+    singles = lambda p: F.transform(p, lambda x, i: F.struct(x.alias("u"), F.lit("").alias("v"), (i + 1).alias("rank")))
+
+    def keyed(side: DataFrame, name: str, other: str, tokens: int) -> DataFrame:
+        """Keys of each set where it is the larger one (or, on the left, of equal size) and where it is the smaller one."""
+        n, keys = F.col("n"), pairs if tokens == 2 else singles
+        as_larger, as_smaller = F.ceil(threshold * n - 1e-9), F.ceil(2 * threshold / (1 + threshold) * n - 1e-9)
+        if tokens == 2:
+            may_be_larger, may_be_smaller = (n >= least) & (as_larger <= most), n.between(least, most)
+        else:
+            may_be_larger, may_be_smaller = (as_larger < least) | (n > most) | F.lit(least > most), ~n.between(least, most)
+        of = lambda may, shared, larger: F.when(may, F.transform(keys(F.slice("set", F.lit(1), (n - shared + tokens).cast("int"))), lambda z: F.struct(F.lit(larger).alias("larger"), z.alias("key"))))
+        none = F.array().cast("array<struct<larger:string,key:struct<u:string,v:string,rank:int>>>")
+        both = F.concat(F.coalesce(of(may_be_larger, as_larger, name), none), F.coalesce(of(may_be_smaller, as_smaller, other), none))
+        found = side.select("id", "n", "set", F.explode(both).alias("z"))
+        brought = [F.col("set").alias(f"set_{name}")] if tokens == 2 else []
+        return found.select("z.larger", "z.key.u", "z.key.v", F.col("z.key.rank").alias(f"rank_{name}"), F.col("id").alias(f"id_{name}"), F.col("n").alias(f"n_{name}"), *brought)
+
+    def meeting(tokens: int) -> DataFrame:
+        a, b = keyed(left, "a", "b", tokens), keyed(right, "b", "a", tokens)
+        n_a, n_b = F.col("n_a"), F.col("n_b")
+        shared = F.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
+        own = F.least(n_a, n_b).between(least, most)
+        fits = ((F.col("larger") == "a") == (n_a >= n_b)) & (own if tokens == 2 else ~own) & (n_a >= threshold * n_b - 1e-9) & (n_b >= threshold * n_a - 1e-9)
+        # what the files hold says nothing of the keys, so none of them are broadcast
+        return a.hint("merge").join(b.hint("merge"), ["larger", "u", "v"]).where(fits & (F.col("rank_a") <= n_a - shared + tokens) & (F.col("rank_b") <= n_b - shared + tokens))
+
+    sets = lambda side, name: side.select(F.col("id").alias(f"id_{name}"), F.col("set").alias(f"set_{name}"), F.col("n").alias(f"n_{name}"))
+    common = F.size("common")
+    similarity = (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity")
+    # exploded, so that what is asked of the common tokens finds them once
+    shared = F.explode(F.array(F.array_intersect("set_a", "set_b"))).alias("common")
+    met = meeting(1).select("id_a", "id_b").distinct().join(sets(left, "a"), "id_a").join(sets(right, "b"), "id_b").select("id_a", "id_b", "n_a", "n_b", shared)
+    if least <= most:
+        # a pair counts where it meets on its first two common tokens, so nothing has to be made distinct
+        by_two = meeting(2).select("id_a", "id_b", "n_a", "n_b", "u", "v", shared)
+        met = met.unionByName(by_two.where((F.get("common", F.lit(0)) == F.col("u")) & (F.get("common", F.lit(1)) == F.col("v"))).drop("u", "v"))
+    return met.select("id_a", "id_b", similarity).where(F.col("similarity") >= threshold)
+
+
 def _rows(df: DataFrame, right: DataFrame, left_on: str, right_on: str, pairs: DataFrame, k: int | None) -> DataFrame:
     """The rows of both sides for ``pairs`` of texts (a, b, similarity)."""
     if k is not None:

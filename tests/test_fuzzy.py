@@ -47,6 +47,44 @@ def test_a_hot_token_does_not_bring_rows_together(spark):
     assert {r.w for r in ranked.collect()} == {"common", "word"}
 
 
+@pytest.mark.parametrize("threshold", [0.35, 0.6, 0.7, 0.9])
+def test_small_and_large_sets_are_those_of_all_pairs(spark, threshold):
+    """Sets of 1 to 60 tokens, near copies among them: on both sides of the size up to which sets meet on pairs of tokens."""
+    rnd = random.Random(int(threshold * 100))
+    texts = {k: sorted(rnd.sample(range(70), rnd.choice([1, 2, 3, 4, 5, 8, 13, 16, 17, 25, 40, 60]))) for k in range(60)}
+    for k in range(60, 200):
+        own = texts[rnd.randrange(k)]
+        texts[k] = sorted((set(own) - set(rnd.sample(own, rnd.randrange(min(len(own), 4))))) | set(rnd.sample(range(70), rnd.randrange(4)))) or own
+    rows = [(k, " ".join(f"w{v}" for v in words)) for k, words in texts.items()]
+    a, b = spark.createDataFrame(rows[:140], "k int, t string"), spark.createDataFrame(rows[80:], "j int, u string")
+    got = sorted((r.k, r.j, r.similarity) for r in fuzzy.similar_sets(a, b, "t", "u", threshold).collect())
+    likeness = [(k, j, jaccard(set(texts[k]), set(texts[j]))) for k in range(140) for j in range(80, 200)]
+    assert got == sorted(z for z in likeness if z[2] >= threshold)
+    by_text = sorted({(rows[k][1], rows[j][1], s) for k, j, s in likeness if s >= threshold}, key=lambda z: (z[0], -z[2], z[1]))
+    likest = [z for i, z in enumerate(by_text) if i < 2 or by_text[i - 2][0] != z[0]]
+    found = fuzzy.similar_sets(a.select("t").distinct(), b.select("u").distinct(), "t", "u", threshold, k=2)
+    assert sorted(map(tuple, found.select("t", "u", "similarity").collect())) == sorted(likest)
+
+
+def test_numbered_names_do_not_all_meet(spark):
+    """Names alike but for five digits: their first digits lead in every name and must not bring all of them together."""
+    names = [f"Supplier#{k:09d}" for k in range(10000, 11500)]
+    a = spark.createDataFrame([(n,) for n in names], "a string")
+    found = fuzzy.similar_sets(a, a.withColumnRenamed("a", "b"), "a", "b", 0.7, tokens=fuzzy.grams(3))
+    got = {(r.a, r.b): r.similarity for r in found.collect()}
+    sets = [{n[i : i + 3] for i in range(len(n) - 2)} for n in names]
+    assert got == {(m, n): jaccard(x, y) for m, x in zip(names, sets, strict=True) for n, y in zip(names, sets, strict=True) if jaccard(x, y) >= 0.7}
+
+    def joined(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        own = [node.metrics().apply("numOutputRows").value()] if "Join" in kind else []
+        return own + [n for child in below for n in joined(child)]
+
+    rows = joined(found._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) < 400 * len(names)
+
+
 def test_grams(spark):
     df = spark.createDataFrame([("abcd",), ("ab",), ("",), (None,)], "t string")
     assert [r.g for r in df.select(fuzzy.grams(3)(F.col("t")).alias("g")).collect()] == [["abc", "bcd"], ["ab"], [], []]
