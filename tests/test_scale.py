@@ -120,6 +120,31 @@ def test_boxes_of_a_join_are_compared_by_numbers(sides, monkeypatch):
     assert N.sjoin(a, b, "ring", "other", 2.0, within=1.0, how="semi", key="id").count() == 20
 
 
+def test_boxes_of_a_coverage_are_compared_by_numbers(spark, monkeypatch):
+    monkeypatch.setattr(O, "common_area", lambda *_: F.raise_error(F.lit("general")).cast("double"))
+    boxes = spark.range(60).select("id", G.rectangle(F.col("id") % 8, F.col("id") % 5, F.col("id") % 8 + 1 + F.col("id") % 3, F.col("id") % 5 + 2).alias("ring"))
+    span = {k: (k % 8, k % 8 + 1 + k % 3, k % 5, k % 5 + 2) for k in range(60)}
+    shared = lambda p, q: max(min(p[1], q[1]) - max(p[0], q[0]), 0) * max(min(p[3], q[3]) - max(p[2], q[2]), 0)
+    want = {(i, j): float(shared(span[i], span[j])) for i in span for j in span if i < j and shared(span[i], span[j])}
+    for size in (1.5, 20.0):
+        rows = S.coverage_validate(boxes, "id", "ring", size).collect()
+        assert len(rows) == len(want) and {(r.id, r.other): r.common for r in rows} == want
+
+
+def test_a_coverage_of_all_kinds_of_rings_agrees_with_all_pairs(spark):
+    """Boxes both ways round and without area, Ls, diamonds, nothing; names as keys, one of them null."""
+    x, y, k = F.col("id") * 7 % 11 - 5.0, F.col("id") * 3 % 7 - 3.0, F.col("id")
+    ring = lambda *ps: F.array(*(G.point(x + u, y + v) for u, v in ps))
+    box, ell, diamond = ring((0, 0), (3, 0), (3, 2), (0, 2), (0, 0)), ring((0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3), (0, 0)), ring((1, 0), (2, 1), (1, 2), (0, 1), (1, 0))
+    shape = F.when(k % 6 < 2, box).when(k % 6 == 2, F.reverse(box)).when(k % 6 == 3, ell).when(k % 6 == 4, diamond).when(k % 12 == 5, ring((0, 0), (3, 0), (3, 0), (0, 0), (0, 0)))
+    df = spark.range(72).select(F.when(k != 40, F.concat(F.lit("k"), k)).alias("name"), shape.alias("ring")).cache()
+    pairs = df.alias("a").crossJoin(df.alias("b")).where("a.name < b.name").select(F.col("a.name"), F.col("b.name").alias("other"), O.common_area(F.col("a.ring"), F.col("b.ring")).alias("common"))
+    want = {(r.name, r.other): r.common for r in pairs.where(F.col("common") > O.EPS).collect()}
+    for size in (2.0, 9.0):
+        rows = S.coverage_validate(df, "name", "ring", size).collect()
+        assert len(rows) == len(want) and {(r.name, r.other): r.common for r in rows} == pytest.approx(want)
+
+
 def test_common_area_cuts_no_shapes(spark, monkeypatch):
     """An L, a slanting ring and a ring that crosses itself: edges are compared with edges, without clipping."""
     def refuse(*_):
